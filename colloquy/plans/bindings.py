@@ -1,0 +1,67 @@
+"""Test bindings: how the driver tables play the parts of the domain tables.
+
+B1 bullets      = events (one dialogue per user, statements in time order)
+B2 dialogues    = conversations (one dialogue per conversation, by turn)
+B3 results      = labels JOIN documents (scored and diagnosed dialogues)
+B4 lookups      = orders, customer, nation, region, lineitem
+B5 replies      = model replies built from documents
+
+Every binding is a projection of whole tables; nothing is filtered to a
+subset to make a check cheap.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy import schemas
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# --------------------------------------------------------------------- B1
+# Fixed binding parameter: the label list of the five test diseases, in
+# file order.  d0 repeats "click" with another weight (first one counts);
+# d4 has "hard error", which makes the answer "error" a non-exact hit.
+B1_GOLD_ROWS: list[tuple[str, int, str, str]] = []
+for _k in range(5):
+    for _sym, _w in [("view", "m"), ("repeat view", "h"), ("click", "m"), ("purchase", "h")]:
+        B1_GOLD_ROWS.append((f"d{_k}", len(B1_GOLD_ROWS) + 1, _sym, _w))
+    if _k == 0:
+        B1_GOLD_ROWS.append(("d0", len(B1_GOLD_ROWS) + 1, "click", "h"))
+    if _k == 4:
+        B1_GOLD_ROWS.append(("d4", len(B1_GOLD_ROWS) + 1, "hard error", "h"))
+
+B1_KEYS = ["dialogue_id"]
+
+
+def b1_gold(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(B1_GOLD_ROWS, schemas.GOLD)
+
+
+def b1_disease(user_col: str = "user_id"):
+    return F.concat(F.lit("d"), (F.col(user_col) % 5).cast("string"))
+
+
+def b1_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement per event; order is (ts, event_id); answers above 50
+    are the 'repeat' form of the event type."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("user_id").alias("dialogue_id"),
+        b1_disease().alias("disease"),
+        "event_id",
+        F.struct("ts", "event_id").alias("pos"),
+        F.when(F.col("value") > 50, F.concat(F.lit("repeat "), F.col("event_type")))
+        .otherwise(F.col("event_type")).alias("resp"),
+        F.col("props").alias("reason"),
+    )
+
+
+def b1_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("dialogue_id")).distinct().withColumn(
+        "disease", b1_disease("dialogue_id"))

@@ -1,0 +1,105 @@
+"""DuckDB oracle SQL, one statement per query of ``plans.catalog``.
+
+Written independently of the Spark code: plain SQL over the driver's
+pre-registered views, with windows, ``string_agg`` and ``contains``
+stating each rule directly (row by row where the Spark plan decomposes).
+"""
+
+from __future__ import annotations
+
+from colloquy.plans import bindings as B
+
+ORACLE: dict[str, str] = {}
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+NL = "chr(10)"
+
+# ------------------------------------------------------------------ B1
+
+B1_GOLD = "gold(disease, ord, symptom, weight) AS (VALUES " + ", ".join(
+    f"({_q(d)}, {o}, {_q(s)}, {_q(w)})" for d, o, s, w in B.B1_GOLD_ROWS) + ")"
+
+B1_BASE = f"""
+{B1_GOLD},
+b AS (
+  SELECT user_id AS dialogue_id, 'd' || CAST(user_id % 5 AS VARCHAR) AS disease, event_id, ts,
+         CASE WHEN value > 50 THEN 'repeat ' || event_type ELSE event_type END AS resp,
+         props AS reason
+  FROM events),
+gl AS (SELECT disease, string_agg('-' || symptom, {NL} ORDER BY ord) AS gold_list FROM gold GROUP BY disease),
+lw AS (SELECT disease, symptom, arg_min(weight, ord) AS weight FROM gold GROUP BY disease, symptom),
+a AS (
+  SELECT b.*, coalesce(contains(coalesce(gl.gold_list, ''), b.resp), false) AS hit, lw.weight
+  FROM b LEFT JOIN gl ON gl.disease = b.disease
+         LEFT JOIN lw ON lw.disease = b.disease AND lw.symptom = b.resp),
+p AS (
+  SELECT *, hit AND weight IS NULL AS poison,
+         CASE WHEN hit THEN resp ELSE 'Not in Gold Label' END AS label,
+         row_number() OVER (PARTITION BY dialogue_id ORDER BY ts, event_id) AS pos
+  FROM a),
+k AS (SELECT *, min(CASE WHEN poison THEN pos END) OVER (PARTITION BY dialogue_id) AS brk FROM p),
+l AS (SELECT *, (brk IS NULL OR pos < brk) AS live FROM k),
+s AS (
+  SELECT *,
+    coalesce(contains(
+      string_agg(CASE WHEN live THEN '- ' || label || {NL} END, '')
+        OVER (PARTITION BY dialogue_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+      resp), false) AS seen_sub,
+    count(*) OVER (PARTITION BY dialogue_id, label ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS seen_exact
+  FROM l),
+scored AS (
+  SELECT dialogue_id, any_value(disease) AS disease, count(*) AS n_bullets,
+    count(*) FILTER (WHERE live) AS n_live,
+    max(CASE WHEN pos = brk THEN event_id END) AS break_event_id,
+    CASE WHEN max(brk) IS NOT NULL THEN -1 ELSE count(*) FILTER (WHERE live AND hit) END AS score,
+    CASE WHEN max(brk) IS NOT NULL THEN -1
+         ELSE coalesce(sum(CASE WHEN live AND hit THEN (CASE WHEN weight = 'h' THEN 2 ELSE 1 END) END), 0) END
+      AS weighted_score,
+    coalesce(sum(CASE WHEN live AND hit THEN (CASE WHEN seen_sub THEN 0.5 ELSE 1.0 END) END), 0)::DOUBLE
+      AS penalty_score,
+    coalesce(sum(CASE WHEN live AND hit THEN (CASE WHEN seen_sub THEN 1.5 ELSE 1.0 END) END), 0)::DOUBLE
+      AS reward_score,
+    CASE WHEN max(brk) IS NOT NULL THEN 'match_error' ELSE 'clean' END AS status,
+    coalesce(string_agg(CASE WHEN live THEN '- ' || label || {NL} END, '' ORDER BY pos), '') AS label_trace,
+    coalesce(string_agg(CASE WHEN live THEN '- ' || reason || {NL} END, '' ORDER BY pos), '') AS reason_trace
+  FROM s GROUP BY dialogue_id)
+"""
+
+
+def _b1(select: str) -> str:
+    return f"WITH {B1_BASE} {select}"
+
+
+ORACLE["bullet_scoring"] = _b1(
+    "SELECT dialogue_id, disease, n_bullets, n_live, break_event_id, score::BIGINT AS score, "
+    "weighted_score::BIGINT AS weighted_score, round(penalty_score, 6) AS penalty_score, "
+    "round(reward_score, 6) AS reward_score, status, label_trace, reason_trace FROM scored")
+ORACLE["score_plain"] = _b1("SELECT dialogue_id, score::BIGINT AS score FROM scored")
+ORACLE["score_weighted"] = _b1("SELECT dialogue_id, weighted_score::BIGINT AS weighted_score FROM scored")
+ORACLE["score_penalty"] = _b1("SELECT dialogue_id, round(penalty_score, 6) AS penalty_score FROM scored")
+ORACLE["score_reward"] = _b1("SELECT dialogue_id, round(reward_score, 6) AS reward_score FROM scored")
+ORACLE["poison_break"] = _b1("SELECT dialogue_id, break_event_id, n_live FROM scored")
+ORACLE["label_trace"] = _b1("SELECT dialogue_id, label_trace FROM scored")
+ORACLE["reason_trace"] = _b1("SELECT dialogue_id, reason_trace FROM scored")
+ORACLE["gold_contains"] = _b1("SELECT event_id, dialogue_id, resp, hit FROM a")
+ORACLE["label_weight"] = _b1("SELECT event_id, resp, weight FROM a")
+ORACLE["join_gold"] = f"""WITH {B1_GOLD},
+d AS (SELECT DISTINCT user_id AS dialogue_id, 'd' || CAST(user_id % 5 AS VARCHAR) AS disease FROM events)
+SELECT d.dialogue_id, d.disease, g.ord::BIGINT AS ord, g.symptom, g.weight
+FROM d LEFT JOIN gold g ON g.disease = d.disease"""
+ORACLE["seen_before"] = _b1(
+    "SELECT event_id, dialogue_id, label, live, (live AND hit AND seen_sub) AS seen FROM s")
+ORACLE["seen_before_exact"] = _b1(
+    "SELECT event_id, dialogue_id, label, live, (live AND hit AND seen_exact) AS seen FROM s")
+ORACLE["gold_list_text"] = f"""WITH {B1_GOLD},
+gl AS (SELECT disease, string_agg('-' || symptom, {NL} ORDER BY ord) AS gold_list FROM gold GROUP BY disease),
+d AS (SELECT DISTINCT user_id AS dialogue_id, 'd' || CAST(user_id % 5 AS VARCHAR) AS disease FROM events)
+SELECT d.dialogue_id, d.disease, gl.gold_list FROM d LEFT JOIN gl ON gl.disease = d.disease"""
+ORACLE["first_label"] = _b1(
+    "SELECT dialogue_id, label, arg_min(event_id, pos) AS first_event_id, count(*) AS n_rows "
+    "FROM p GROUP BY dialogue_id, label")
