@@ -65,3 +65,37 @@ def b1_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("dialogue_id")).distinct().withColumn(
         "disease", b1_disease("dialogue_id"))
+
+
+# --------------------------------------------------------------------- B3
+# Scored and diagnosed dialogues: run = (model = source, turn = 2..5),
+# organizer outcome by doc_id % 5 (format error, early stop, generic
+# error, missing, bullets), scores as simple functions of n_chars.
+B3_ORGANIZED = ["QA format Error.", "Early Stop Error.", "Error", None, "bullets"]
+
+
+def b3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels")
+    r = lab.join(d, "doc_id")
+    k = F.col("doc_id") % 5
+    n = F.col("n_chars")
+    organized = (F.when(k == 0, F.lit(B3_ORGANIZED[0])).when(k == 1, F.lit(B3_ORGANIZED[1]))
+                 .when(k == 2, F.lit(B3_ORGANIZED[2])).when(k == 3, F.lit(None).cast("string"))
+                 .otherwise(F.concat(F.lit("- "), F.col("lang"))))
+    guarded = k < 3
+    score = F.when(guarded, F.lit(-1)).otherwise(n % 7 - 1).cast("bigint")
+    r = r.select(
+        F.col("source").alias("model"),
+        (F.col("doc_id") % 4 + 2).cast("bigint").alias("turn"),
+        F.col("doc_id").alias("pid"), "lang", "quality", "toxic",
+        organized.alias("organized_QA"),
+        score.alias("score"),
+        F.when(score == -1, F.lit(-1)).otherwise(score + (n % 2) * score).cast("bigint").alias("weighted_score"),
+        F.when(guarded, F.lit(-1.0)).otherwise((n % 11).cast("double") / 2).alias("penalty_score"),
+        F.when(guarded, F.lit(-1.0)).otherwise((n % 13).cast("double") / 2 + 1).alias("reward_score"),
+    )
+    failed = F.col("score") == -1
+    return r.withColumn("top1_result", F.when(failed, F.lit(False)).otherwise(F.col("quality") == 1)) \
+            .withColumn("topk_result", F.when(failed, F.lit(False))
+                        .otherwise((F.col("quality") == 1) | (F.col("toxic") == 1)))

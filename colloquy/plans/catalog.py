@@ -122,3 +122,68 @@ def first_label(spark, sf_dir):
     a = S.annotate_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark))
     f = L.first_rows(a, ["dialogue_id", "label"], "pos", ["event_id"])
     return f.select("dialogue_id", "label", F.col("event_id").alias("first_event_id"), "n_rows")
+
+
+# ------------------------------------------------------------- B3 metrics
+
+from colloquy.operators import metrics as M  # noqa: E402
+
+
+@query("score_stats")
+def score_stats(spark, sf_dir):
+    return M.score_stats(B.b3_results(spark, sf_dir))
+
+
+@query("score_describe")
+def score_describe(spark, sf_dir):
+    return M.score_describe(B.b3_results(spark, sf_dir))
+
+
+@query("accuracy_rates")
+def accuracy_rates(spark, sf_dir):
+    return M.accuracy_rates(B.b3_results(spark, sf_dir))
+
+
+@query("error_counts")
+def error_counts(spark, sf_dir):
+    return M.error_counts(B.b3_results(spark, sf_dir))
+
+
+@query("run_leaderboard")
+def run_leaderboard(spark, sf_dir):
+    return M.run_leaderboard(B.b3_results(spark, sf_dir))
+
+
+@query("metrics_json")
+def metrics_json(spark, sf_dir):
+    return M.metrics_json(B.b3_results(spark, sf_dir))
+
+
+@query("status_taxonomy")
+def status_taxonomy(spark, sf_dir):
+    r = B.b3_results(spark, sf_dir)
+    return r.select("pid", "model", "turn", M.status_column().alias("status"))
+
+
+@query("clean_rows")
+def clean_rows(spark, sf_dir):
+    return M.clean_rows(B.b3_results(spark, sf_dir)).select("pid", "model", "turn", "score", "weighted_score")
+
+
+@query("error_guard")
+def error_guard(spark, sf_dir):
+    r = B.b3_results(spark, sf_dir)
+    g = M.error_guard()
+    return r.select("pid", g.alias("guarded"),
+                    F.when(g, F.lit(-1).cast("bigint")).otherwise(F.col("score")).alias("score"),
+                    F.when(g, F.lit("Error.")).alias("referred_gold_label"))
+
+
+@query("sentinel_default")
+def sentinel_default(spark, sf_dir):
+    """Diagnosis defaults for failed dialogues (no model call is made)."""
+    from colloquy.operators import diagnosis as D
+    r = B.b3_results(spark, sf_dir).withColumn(
+        "model_predictions", F.concat(F.col("lang"), F.lit("-disease")))
+    out = D.sentinel_default(r)
+    return out.select("pid", "model_predictions", "topk_result", "top1_result", "n_calls")

@@ -103,3 +103,111 @@ SELECT d.dialogue_id, d.disease, gl.gold_list FROM d LEFT JOIN gl ON gl.disease
 ORACLE["first_label"] = _b1(
     "SELECT dialogue_id, label, arg_min(event_id, pos) AS first_event_id, count(*) AS n_rows "
     "FROM p GROUP BY dialogue_id, label")
+
+# ------------------------------------------------------------------ B3
+
+B3_BASE = """
+r0 AS (
+  SELECT d.source AS model, CAST(d.doc_id % 4 + 2 AS BIGINT) AS turn, d.doc_id AS pid, d.lang,
+         l.quality, l.toxic, d.n_chars,
+         CASE d.doc_id % 5 WHEN 0 THEN 'QA format Error.' WHEN 1 THEN 'Early Stop Error.'
+              WHEN 2 THEN 'Error' WHEN 3 THEN NULL ELSE '- ' || d.lang END AS organized_QA,
+         CAST(CASE WHEN d.doc_id % 5 < 3 THEN -1 ELSE d.n_chars % 7 - 1 END AS BIGINT) AS score,
+         CASE WHEN d.doc_id % 5 < 3 THEN -1.0 ELSE (d.n_chars % 11) / 2.0 END::DOUBLE AS penalty_score,
+         CASE WHEN d.doc_id % 5 < 3 THEN -1.0 ELSE (d.n_chars % 13) / 2.0 + 1 END::DOUBLE AS reward_score
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+r AS (
+  SELECT *,
+    CAST(CASE WHEN score = -1 THEN -1 ELSE score + (n_chars % 2) * score END AS BIGINT) AS weighted_score,
+    CASE WHEN score = -1 THEN false ELSE quality = 1 END AS top1_result,
+    CASE WHEN score = -1 THEN false ELSE quality = 1 OR toxic = 1 END AS topk_result,
+    score IS DISTINCT FROM -1 AS clean
+  FROM r0)
+"""
+
+_SCORES = ["score", "weighted_score", "penalty_score", "reward_score"]
+
+
+def _stats(c: str, describe: bool = False) -> str:
+    x = f"CASE WHEN clean THEN {c}::DOUBLE END"
+    s = (f"round(avg({x}), 6) AS {c}_mean, round(quantile_cont({x}, 0.5), 6) AS {c}_median, "
+         f"round(stddev_samp({x}), 6) AS {c}_std")
+    if describe:
+        s += (f", count({x}) AS {c}_count, min({x}) AS {c}_min, round(quantile_cont({x}, 0.25), 6) AS {c}_p25, "
+              f"round(quantile_cont({x}, 0.75), 6) AS {c}_p75, max({x}) AS {c}_max")
+    return s
+
+
+_RATES = ("round(count(*) FILTER (WHERE clean AND top1_result IS NOT DISTINCT FROM true)::DOUBLE "
+          "/ nullif(count(*) FILTER (WHERE clean), 0), 6) AS top1_accuracy, "
+          "round(count(*) FILTER (WHERE clean AND topk_result IS NOT DISTINCT FROM true)::DOUBLE "
+          "/ nullif(count(*) FILTER (WHERE clean), 0), 6) AS topk_accuracy")
+
+_FLAGS = """
+    clean,
+    coalesce(organized_QA = 'Early Stop Error.', false) AS early_stop,
+    coalesce(organized_QA = 'QA format Error.', false) AS format_error,
+    NOT coalesce(contains(organized_QA, 'Error'), false) AND coalesce(score = -1, false) AS matching_error
+"""
+
+_COUNTS = ("count(*) FILTER (WHERE clean) AS clean_len, count(*) FILTER (WHERE early_stop) AS early_stop_len, "
+           "count(*) FILTER (WHERE format_error) AS format_error_len, "
+           "count(*) FILTER (WHERE matching_error) AS matching_error_len, "
+           "count(*) FILTER (WHERE NOT (clean OR early_stop OR format_error OR matching_error)) AS other_error_len, "
+           "count(*) AS total_len")
+
+B3_FLAGGED = B3_BASE + f", f AS (SELECT *, {_FLAGS.replace(chr(10) + '    clean,', '')} FROM r)"
+
+
+def _b3(select: str) -> str:
+    return f"WITH {B3_FLAGGED} {select}"
+
+
+ORACLE["score_stats"] = _b3(
+    "SELECT model, turn, " + ", ".join(_stats(c) for c in _SCORES) + " FROM f GROUP BY model, turn")
+ORACLE["score_describe"] = _b3("""
+SELECT model, turn, metric, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
+       min(v) AS min, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50,
+       round(quantile_cont(v, 0.75), 6) AS p75, max(v) AS max
+FROM (SELECT model, turn, 'score' AS metric, score::DOUBLE AS v FROM f WHERE clean
+      UNION ALL SELECT model, turn, 'weighted_score', weighted_score::DOUBLE FROM f WHERE clean
+      UNION ALL SELECT model, turn, 'penalty_score', penalty_score FROM f WHERE clean
+      UNION ALL SELECT model, turn, 'reward_score', reward_score FROM f WHERE clean)
+GROUP BY model, turn, metric""")
+ORACLE["accuracy_rates"] = _b3(f"SELECT model, turn, {_RATES} FROM f GROUP BY model, turn")
+ORACLE["error_counts"] = _b3(f"SELECT model, turn, {_COUNTS} FROM f GROUP BY model, turn")
+ORACLE["run_leaderboard"] = _b3(
+    "SELECT model, turn, " + ", ".join(_stats(c) for c in _SCORES) + f", {_RATES}, {_COUNTS} "
+    "FROM f GROUP BY model, turn")
+
+
+def _json_block(c: str) -> str:
+    return (f"json_object('mean', {c}_mean, 'median', {c}_median, 'std_dev', {c}_std, 'describe', "
+            f"json_object('count', {c}_count::DOUBLE, 'mean', {c}_mean, 'std', {c}_std, 'min', {c}_min, "
+            f"'25%', {c}_p25, '50%', {c}_median, '75%', {c}_p75, 'max', {c}_max))")
+
+
+ORACLE["metrics_json"] = _b3(
+    "SELECT model, turn, json_object(" + ", ".join(f"'{c}', {_json_block(c)}" for c in _SCORES)
+    + ", 'top1_accuracy', top1_accuracy, 'topk_accuracy', topk_accuracy, 'clean_len', clean_len, "
+      "'early_stop_len', early_stop_len, 'format_error_len', format_error_len, "
+      "'matching_error_len', matching_error_len, 'other_error_len', other_error_len)::VARCHAR AS metrics_json "
+      "FROM (SELECT model, turn, " + ", ".join(_stats(c, True) for c in _SCORES)
+    + f", {_RATES}, {_COUNTS} FROM f GROUP BY model, turn)")
+ORACLE["status_taxonomy"] = _b3("""
+SELECT pid, model, turn,
+  CASE WHEN clean THEN 'clean' WHEN early_stop THEN 'early_stop' WHEN format_error THEN 'format_error'
+       WHEN matching_error THEN 'matching_error' ELSE 'other_error' END AS status
+FROM f""")
+ORACLE["clean_rows"] = _b3("SELECT pid, model, turn, score, weighted_score FROM f WHERE clean")
+ORACLE["error_guard"] = _b3("""
+SELECT pid, coalesce(contains(organized_QA, 'Error'), true) AS guarded,
+  CASE WHEN coalesce(contains(organized_QA, 'Error'), true) THEN -1 ELSE score END::BIGINT AS score,
+  CASE WHEN coalesce(contains(organized_QA, 'Error'), true) THEN 'Error.' END AS referred_gold_label
+FROM f""")
+ORACLE["sentinel_default"] = _b3("""
+SELECT pid, CASE WHEN score = -1 THEN NULL ELSE lang || '-disease' END AS model_predictions,
+  CASE WHEN score = -1 THEN false ELSE topk_result END AS topk_result,
+  CASE WHEN score = -1 THEN false ELSE top1_result END AS top1_result,
+  CAST(CASE WHEN score = -1 THEN 0 ELSE 3 END AS BIGINT) AS n_calls
+FROM f""")
