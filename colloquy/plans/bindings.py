@@ -99,3 +99,33 @@ def b3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("top1_result", F.when(failed, F.lit(False)).otherwise(F.col("quality") == 1)) \
             .withColumn("topk_result", F.when(failed, F.lit(False))
                         .otherwise((F.col("quality") == 1) | (F.col("toxic") == 1)))
+
+
+# --------------------------------------------------------------------- B2
+# Dialogues: one per conversation; ``turn`` is the 0-based item position
+# (dense in the table), the first item is the head (chief complaint).
+B2_TURNS = 2
+B2_MARKER = "the"
+B2_SEP = "\x1e"  # record separator used to show a list as one text
+
+# Own prompt texts for the test bindings (the real ones are read at run
+# time from the user's prompt files).
+ORGANIZER_TEMPLATE = ("List every finding about {disease} stated in the dialogue below as lines "
+                      "starting with '- '.\n\nDialogue:\n{input}")
+DOCTOR_SYSTEM = "You interview the patient before the visit.\nPatient: {patient_information}"
+PATIENT_SYSTEM = "You are the patient described here: {patient_information}"
+
+
+def b2_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", F.col("turn").alias("pos"), "role", "text")
+
+
+def b2_disease():
+    return F.concat(F.lit("d"), (F.col("conv_id") % 5).cast("string"))
+
+
+def b2_dialogues(spark: SparkSession, sf_dir: str, max_items: int | None = None) -> DataFrame:
+    from colloquy.operators.dialogue import assemble_dialogue
+    d = assemble_dialogue(b2_turn_rows(spark, sf_dir), ["conv_id"], max_items=max_items)
+    return d.withColumn("disease", b2_disease())

@@ -187,3 +187,97 @@ def sentinel_default(spark, sf_dir):
         "model_predictions", F.concat(F.col("lang"), F.lit("-disease")))
     out = D.sentinel_default(r)
     return out.select("pid", "model_predictions", "topk_result", "top1_result", "n_calls")
+
+
+# ------------------------------------------------------------ B2 dialogues
+
+from colloquy.functions import text as X  # noqa: E402
+from colloquy.operators import dialogue as DG  # noqa: E402
+from colloquy.operators import requests as RQ  # noqa: E402
+
+ORGANIZER_TEMPLATE = B.ORGANIZER_TEMPLATE
+DOCTOR_SYSTEM = B.DOCTOR_SYSTEM
+PATIENT_SYSTEM = B.PATIENT_SYSTEM
+
+
+def _b2_cut(spark, sf_dir):
+    return B.b2_dialogues(spark, sf_dir, max_items=2 * B.B2_TURNS + 1)
+
+
+@query("assemble_dialogue")
+def assemble_dialogue(spark, sf_dir):
+    d = B.b2_dialogues(spark, sf_dir)
+    return d.select("conv_id", F.size("QA").cast("bigint").alias("n_items"),
+                    F.array_join("QA", B.B2_SEP).alias("qa_text"))
+
+
+@query("cut_turns")
+def cut_turns(spark, sf_dir):
+    d = _b2_cut(spark, sf_dir).withColumn("QA", DG.cut_turns("QA", B.B2_TURNS))
+    return d.select("conv_id", F.size("QA").cast("bigint").alias("n_items"),
+                    F.array_join("QA", B.B2_SEP).alias("qa_text"))
+
+
+@query("split_head_body")
+def split_head_body(spark, sf_dir):
+    d = _b2_cut(spark, sf_dir)
+    body = DG.body("QA", B.B2_TURNS)
+    return d.select("conv_id", DG.head("QA").alias("head"), F.array_join(body, B.B2_SEP).alias("body_text"),
+                    F.size(body).cast("bigint").alias("n_body"))
+
+
+@query("render_dialogue")
+def render_dialogue(spark, sf_dir):
+    d = _b2_cut(spark, sf_dir)
+    return d.select("conv_id", X.render_dialogue(DG.head("QA"), DG.body("QA", B.B2_TURNS), B.B2_TURNS)
+                    .alias("dialogue_text"))
+
+
+@query("render_history")
+def render_history(spark, sf_dir):
+    d = _b2_cut(spark, sf_dir)
+    return d.select("conv_id", X.render_history("QA", B.B2_TURNS).alias("history"))
+
+
+@query("chat_messages")
+def chat_messages(spark, sf_dir):
+    rows = B.b2_turn_rows(spark, sf_dir)
+    info = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
+    out = None
+    for mode, template in [("doctor", DOCTOR_SYSTEM), ("patient", PATIENT_SYSTEM)]:
+        m = DG.chat_message_rows(rows, ["conv_id"], X.fill_template(template, [("patient_information", info)]),
+                                 mode).withColumn("mode", F.lit(mode))
+        out = m if out is None else out.unionByName(m)
+    return out.select("conv_id", "mode", "msg_idx", "role", "content")
+
+
+@query("validate_turns")
+def validate_turns(spark, sf_dir):
+    d = _b2_cut(spark, sf_dir)
+    return d.select("conv_id", DG.marker_count("QA", B.B2_TURNS, B.B2_MARKER).alias("n_marker"),
+                    DG.validate_turns("QA", B.B2_TURNS, B.B2_MARKER).alias("status"))
+
+
+@query("count_marker")
+def count_marker(spark, sf_dir):
+    rows = B.b2_turn_rows(spark, sf_dir)
+    return rows.select("conv_id", F.col("pos").alias("turn"), X.count_marker("text", B.B2_MARKER).alias("n_marker"))
+
+
+@query("emit_requests")
+def emit_requests(spark, sf_dir):
+    """Organizer requests for dialogues that pass validation, predictor
+    requests for every dialogue."""
+    T = B.B2_TURNS
+    d = _b2_cut(spark, sf_dir).withColumn("status", DG.validate_turns("QA", T, B.B2_MARKER)) \
+        .withColumn("model", F.lit("conversations")).withColumn("turn", F.lit(T)).withColumn("pos", F.lit(0))
+    org = d.where(F.col("status") == DG.VALID)
+    prompt = X.fill_template(ORGANIZER_TEMPLATE, [
+        ("input", X.render_dialogue(DG.head("QA"), DG.body("QA", T), T)), ("disease", F.col("disease"))])
+    r1 = RQ.emit_requests(org, "organize", ["model", "turn", "conv_id", "pos"], prompt)
+    from colloquy.operators.diagnosis import predictor_input
+    info = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"), F.lit("\n"))
+    r2 = RQ.emit_requests(d, "predict", ["model", "turn", "conv_id", "pos"],
+                          predictor_input(info, X.render_history("QA", T)))
+    return r1.unionByName(r2).select("request_id", "stage", "conv_id",
+                                     F.col("messages")[1]["content"].alias("prompt"))

@@ -211,3 +211,81 @@ SELECT pid, CASE WHEN score = -1 THEN NULL ELSE lang || '-disease' END AS model_
   CASE WHEN score = -1 THEN false ELSE top1_result END AS top1_result,
   CAST(CASE WHEN score = -1 THEN 0 ELSE 3 END AS BIGINT) AS n_calls
 FROM f""")
+
+# ------------------------------------------------------------------ B2
+
+BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '\\A{BLANK}+|{BLANK}+\\z', '', 'g')"
+
+
+T2 = B.B2_TURNS
+SEP = "chr(30)"
+B2_CUT = f"""
+cut AS (
+  SELECT conv_id, count(*) AS n_items, string_agg(text, {SEP} ORDER BY turn) AS qa_text,
+    max(CASE WHEN turn = 0 THEN text END) AS head,
+    coalesce(string_agg(CASE WHEN turn BETWEEN 1 AND {2 * T2} THEN text END, {SEP} ORDER BY turn), '') AS body_text,
+    coalesce(string_agg(CASE WHEN turn BETWEEN 1 AND {2 * T2} THEN text END, {NL} ORDER BY turn), '') AS body_nl,
+    coalesce(string_agg(CASE WHEN turn BETWEEN 1 AND {2 * T2} THEN text END, '' ORDER BY turn), '') AS body_cat,
+    count(*) FILTER (WHERE turn BETWEEN 1 AND {2 * T2}) AS n_body,
+    string_agg(replace(text, {NL} || {NL}, {NL}), {NL} || {NL} ORDER BY turn) AS history
+  FROM conversations WHERE turn < {2 * T2 + 1} GROUP BY conv_id),
+v AS (
+  SELECT *, (length(body_cat) - length(replace(body_cat, '{B.B2_MARKER}', ''))) // {len(B.B2_MARKER)} AS n_marker,
+    {strip_sql("'Main Symptom: ' || head || " + NL + " || " + NL + " || body_nl")} AS rendered
+  FROM cut),
+vs AS (
+  SELECT *, CASE WHEN n_marker > {T2} THEN 'QA format Error.' WHEN n_marker < {T2} THEN 'Early Stop Error.'
+                 WHEN n_body < {2 * T2} THEN 'Error' ELSE 'valid' END AS status
+  FROM v)
+"""
+
+
+def _b2(select: str) -> str:
+    return f"WITH {B2_CUT} {select}"
+
+
+ORACLE["assemble_dialogue"] = (f"SELECT conv_id, count(*) AS n_items, string_agg(text, {SEP} ORDER BY turn) AS qa_text "
+                               "FROM conversations GROUP BY conv_id")
+ORACLE["cut_turns"] = _b2("SELECT conv_id, n_items, qa_text FROM cut")
+ORACLE["split_head_body"] = _b2("SELECT conv_id, head, body_text, n_body FROM cut")
+ORACLE["render_dialogue"] = _b2(
+    f"SELECT conv_id, CASE WHEN n_body >= {2 * T2} THEN rendered END AS dialogue_text FROM v")
+ORACLE["render_history"] = _b2("SELECT conv_id, history FROM cut")
+
+
+def _chat(mode: str, template: str) -> str:
+    user_parity = 0 if mode == "doctor" else 1
+    sys_content = "replace(" + _q(template).replace("\n", "' || chr(10) || '") + \
+        ", '{patient_information}', 'conversation ' || CAST(conv_id AS VARCHAR))"
+    return (f"SELECT DISTINCT conv_id, '{mode}' AS mode, CAST(0 AS BIGINT) AS msg_idx, 'system' AS role, "
+            f"{sys_content} AS content FROM conversations "
+            f"UNION ALL SELECT conv_id, '{mode}', CAST(turn + 1 AS BIGINT), "
+            f"CASE WHEN turn % 2 = {user_parity} THEN 'user' ELSE 'assistant' END, text FROM conversations")
+
+
+def _chat_all() -> str:
+    return _chat("doctor", B.DOCTOR_SYSTEM) + " UNION ALL " + _chat("patient", B.PATIENT_SYSTEM)
+
+
+ORACLE["validate_turns"] = _b2("SELECT conv_id, n_marker::BIGINT AS n_marker, status FROM vs")
+ORACLE["count_marker"] = (f"SELECT conv_id, turn, ((length(text) - length(replace(text, '{B.B2_MARKER}', ''))) "
+                          f"// {len(B.B2_MARKER)})::BIGINT AS n_marker FROM conversations")
+
+
+def _emit() -> str:
+    tpl = _q(B.ORGANIZER_TEMPLATE).replace("\n", "' || chr(10) || '")
+    org_prompt = f"replace(replace({tpl}, '{{input}}', rendered), '{{disease}}', 'd' || CAST(conv_id % 5 AS VARCHAR))"
+    rid = "sha256('{stage}|conversations|" + str(T2) + "|' || CAST(conv_id AS VARCHAR) || '|0')"
+    pred_prompt = ("'patient_info: ' || chr(10) || 'conversation ' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) "
+                   "|| 'medical_history: ' || chr(10) || history")
+    return _b2(f"SELECT {rid.format(stage='organize')} AS request_id, 'organize' AS stage, conv_id, "
+               f"{org_prompt} AS prompt FROM vs WHERE status = 'valid' "
+               f"UNION ALL SELECT {rid.format(stage='predict')}, 'predict', conv_id, {pred_prompt} FROM vs")
+
+
+ORACLE["chat_messages"] = _chat_all()
+ORACLE["emit_requests"] = _emit()
