@@ -33,11 +33,22 @@ def _literal_list(v):
     return [x if isinstance(x, str) or x is None else str(x) for x in out]
 
 
-@pandas_udf("array<string>")
-def _literal_eval_udf(cells: pd.Series) -> pd.Series:
+def _literal_eval_series(cells: pd.Series) -> pd.Series:
     return cells.map(_literal_list)
 
 
+_UDF = None
+
+
+def _literal_eval_udf(col: Column) -> Column:
+    # built on first use on the driver: a decorator at import time would
+    # need a session in every Python worker that unpickles this module
+    global _UDF
+    if _UDF is None:
+        _UDF = pandas_udf(_literal_eval_series, "array<string>")
+    return _UDF(col)
+
+
 def parse_list_cell(col) -> Column:
     """Python list literal text -> ARRAY<STRING>; NULL when unreadable."""
     c = F.col(col) if isinstance(col, str) else col

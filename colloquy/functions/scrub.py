@@ -40,7 +40,10 @@ def scrub_negations(response, context, rules=None) -> Column:
         for k in keywords:
             cond = ~ctx.contains(k)
             absent = cond if absent is None else absent & cond
-        out = F.when(absent, F.replace(out, F.lit(phrase), F.lit(""))).otherwise(out)
+        # replacing the phrase by itself is a no-op: keeps the expression
+        # linear in the number of rules (a when/otherwise per rule would
+        # copy the whole chain twice per rule)
+        out = F.replace(out, F.lit(phrase), F.when(absent, F.lit("")).otherwise(F.lit(phrase)))
     return out
 
 
@@ -52,5 +55,5 @@ def scrub_sql(response: str, context: str, rules=None) -> str:
     out = response
     for keywords, phrase in rules or default_rules():
         absent = " AND ".join(f"NOT contains({context}, {q(k)})" for k in keywords)
-        out = f"(CASE WHEN {absent} THEN replace({out}, {q(phrase)}, '') ELSE {out} END)"
+        out = f"replace({out}, {q(phrase)}, CASE WHEN {absent} THEN '' ELSE {q(phrase)} END)"
     return out

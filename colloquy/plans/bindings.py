@@ -129,3 +129,112 @@ def b2_dialogues(spark: SparkSession, sf_dir: str, max_items: int | None = None)
     from colloquy.operators.dialogue import assemble_dialogue
     d = assemble_dialogue(b2_turn_rows(spark, sf_dir), ["conv_id"], max_items=max_items)
     return d.withColumn("disease", b2_disease())
+
+
+# --------------------------------------------------------------------- B5
+# Model replies built from whole documents (the full text is used, never a
+# prefix): comparer verdicts, fenced predictor YAML and judge YAML.
+B5_STRIP_PAD_LEFT = "  　"
+B5_STRIP_PAD_RIGHT = " \n\x1c "
+B5_TEMPLATE = "Decide whether the note below is about {disease}.\n{input}\n(answer for {disease})"
+B5_BATCH = 4
+
+
+def b5_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def b5_verdict_reply():
+    k = F.col("doc_id") % 5
+    t, lang, src = F.col("text"), F.col("lang"), F.col("source")
+    return (F.when(k == 0, F.concat(F.lit("Reason: "), t, F.lit("\nFinal Response: **"), lang, F.lit("**")))
+            .when(k == 1, t)
+            .when(k == 2, F.lit("Final Response:"))
+            .when(k == 3, F.concat(F.lit("Reason: Reason: "), src, F.lit(" Final Response: "), lang,
+                                   F.lit(" Final Response: "), src))
+            .otherwise(F.concat(F.lit("Reason: "), t, F.lit("\nFinal Response: ** "), src, F.lit(" **"))))
+
+
+def b5_predictor_reply():
+    k = F.col("doc_id") % 3
+    return (F.when(k == 0, F.concat(F.lit("Sure.\n```yaml\nDiseases:\n  - "), F.col("lang"), F.lit("\n  - "),
+                                    F.col("source"), F.lit("\n```\n"), F.col("text")))
+            .when(k == 1, F.concat(F.lit("Diseases:\n  - "), F.col("source")))
+            .otherwise(F.col("text")))
+
+
+def b5_judge_reply():
+    k = F.col("doc_id") % 4
+    return (F.when(k == 0, F.concat(F.lit("```yaml\nReasoning: "), F.col("source"), F.lit(" matches\nResult: True\n```")))
+            .when(k == 1, F.concat(F.lit("Reasoning: no match\nResult: "),
+                                   F.when(F.col("n_chars") % 2 == 0, F.lit("yes")).otherwise(F.lit("True/False"))))
+            .when(k == 2, F.concat(F.lit("Reasoning: "), F.col("lang"), F.lit("\nResult: False")))
+            .otherwise(F.lit("Reasoning only")))
+
+
+def b5_model_name():
+    k = F.col("doc_id") % 4
+    return (F.when(k == 0, F.lit("gpt-4o-mini")).when(k == 1, F.lit("claude-3-haiku"))
+            .when(k == 2, F.concat(F.lit("org/"), F.col("lang"), F.lit("-model")))
+            .otherwise(F.concat(F.lit("llama-"), F.col("source"))))
+
+
+def b5_scrub_response():
+    return F.concat(F.lit("- 체중 변화는 없다.\n- 두통이 없다.\n- 기침은 없다.\n"), F.col("text"),
+                    F.lit("\n- 발열은 없다.\n- 피로감이 없다.\n"))
+
+
+def b5_scrub_context():
+    return F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" 두통 피곤"))).otherwise(F.col("text"))
+
+
+# --------------------------------------------------------------------- B4
+# Profiles = customers (padded key, nation as disease, a few info keys),
+# dialogues = orders (pid = customer key), replies = per-order line items.
+def b4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.functions.text import pad_key
+    from colloquy.operators.joins import broadcast_if_small
+    c = table(spark, sf_dir, "customer")
+    n = broadcast_if_small(table(spark, sf_dir, "nation"))
+    r = broadcast_if_small(table(spark, sf_dir, "region"))
+    p = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    info = F.create_map(F.lit("Chief Complaint"), F.col("c_mktsegment"), F.lit("Region"), F.col("r_name"),
+                        F.lit("Name"), F.col("c_name"))
+    return p.select(pad_key("c_custkey").alias("pid"), F.col("n_name").alias("disease_name"),
+                    info.alias("simple_info"), "c_custkey", "c_name", "n_name", "r_name", "c_acctbal")
+
+
+def b4_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.col("o_custkey").alias("pid"), "o_orderstatus", "o_orderpriority",
+                    "o_orderdate")
+
+
+def b4_order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order results computed from line items (pre-aggregated before
+    any join, so the join side is one row per order)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                        F.sum("l_quantity").alias("total_qty"))
+
+
+# ------------------------------------------------------------ profile maps
+# Profiles built from events: JSON text with a string, a list and a number
+# value, the chief complaint under the Korean or the English key.
+def profile_json():
+    k = F.get_json_object(F.col("props"), "$.k")
+    key = F.when(F.col("user_id") % 2 == 0, F.lit("주증상")).otherwise(F.lit("Chief Complaint"))
+    return F.concat(F.lit('{"pid": "'), F.col("event_id").cast("string"), F.lit('", "'), key, F.lit('": "'),
+                    F.col("event_type"), F.lit('", "Hx": ["'), F.col("event_type"), F.lit('", "'), k,
+                    F.lit('"], "Age": '), k, F.lit(', "token": "t'), F.col("user_id").cast("string"), F.lit('"}'))
+
+
+def b_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", "user_id", "event_type", "props",
+                     F.from_json(profile_json(), "map<string,string>").alias("info"))
+
+
+def list_cell():
+    return F.concat(F.lit("['"), F.col("event_type"), F.lit("', '"), F.col("props"), F.lit("', 'u"),
+                    F.col("user_id").cast("string"), F.lit("\\tx']"))

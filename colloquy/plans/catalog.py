@@ -281,3 +281,375 @@ def emit_requests(spark, sf_dir):
                           predictor_input(info, X.render_history("QA", T)))
     return r1.unionByName(r2).select("request_id", "stage", "conv_id",
                                      F.col("messages")[1]["content"].alias("prompt"))
+
+
+# -------------------------------------------------------------- B5 replies
+
+from colloquy.functions.scrub import scrub_negations as _scrub  # noqa: E402
+
+
+@query("parse_verdict")
+def parse_verdict(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir).select("doc_id", X.parse_verdict(B.b5_verdict_reply()).alias("v"))
+    return d.select("doc_id", "v.reason", "v.answer", "v.marker_found")
+
+
+@query("clean_verdict")
+def clean_verdict(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    return d.select("doc_id", X.clean_reason("text").alias("no_breaks"), X.clean_answer("text").alias("no_stars"))
+
+
+@query("fenced_block")
+def fenced_block(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    return d.select("doc_id", X.fenced_block(B.b5_predictor_reply()).alias("block"))
+
+
+def _predictions(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    return d.select("doc_id", X.parse_predictions(X.fenced_block(B.b5_predictor_reply())).alias("p"))
+
+
+@query("parse_predictions")
+def parse_predictions(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    return p.select("doc_id", F.size("p").cast("bigint").alias("n_predictions"),
+                    F.array_join("p", "|").alias("predictions"))
+
+
+@query("top1_slice")
+def top1_slice(spark, sf_dir):
+    from colloquy.operators.diagnosis import python_list_text, top_k
+    p = _predictions(spark, sf_dir)
+    top = top_k(F.col("p"), 1)
+    return p.select("doc_id", F.try_element_at(top, F.lit(1)).alias("top1"),
+                    python_list_text(top).alias("top1_text"),
+                    F.when(F.col("p").isNull(), F.lit("prediction_parse_error")).otherwise(F.lit("ok"))
+                    .alias("status"))
+
+
+@query("parse_judgement")
+def parse_judgement(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir).select("doc_id", X.parse_judgement(X.fenced_block(B.b5_judge_reply())).alias("j"))
+    return d.select("doc_id", "j.reasoning", "j.result_text", "j.result",
+                    F.when(F.col("j.ok"), F.lit("ok")).otherwise(F.lit("judge_parse_error")).alias("status"))
+
+
+@query("strip_unicode")
+def strip_unicode(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    padded = F.concat(F.lit(B.B5_STRIP_PAD_LEFT), F.col("text"), F.lit(B.B5_STRIP_PAD_RIGHT))
+    s = X.strip(padded)
+    return d.select("doc_id", s.alias("stripped"), F.length(s).cast("bigint").alias("n_stripped"))
+
+
+@query("fill_template")
+def fill_template(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    return d.select("doc_id", X.fill_template(B.B5_TEMPLATE, [("input", F.col("text")), ("disease", F.col("lang"))])
+                    .alias("prompt"))
+
+
+@query("scrub_negations")
+def scrub_negations(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    return d.select("doc_id", _scrub(B.b5_scrub_response(), B.b5_scrub_context()).alias("scrubbed"))
+
+
+@query("explode_bullets")
+def explode_bullets(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir)
+    e = d.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
+    return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), X.strip("line").alias("bullet"))
+
+
+@query("route_requests")
+def route_requests(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir).select("doc_id", B.b5_model_name().alias("model"),
+                                        (F.size(F.split(F.col("text"), "\n", -1)) + 1).cast("bigint")
+                                        .alias("n_messages"))
+    provider, target = RQ.route_provider(F.col("model"), F.col("n_messages"))
+    return d.select("doc_id", "model", "n_messages", provider.alias("provider"), target.alias("target_model"))
+
+
+@query("batch_ids")
+def batch_ids(spark, sf_dir):
+    d = B.b5_docs(spark, sf_dir).select("doc_id", "lang")
+    return RQ.batch_ids(d, ["lang"], ["doc_id"], B.B5_BATCH).select("doc_id", "lang", "batch_id")
+
+
+# --------------------------------------------------------------- B4 lookups
+
+from colloquy.operators import diagnosis as D  # noqa: E402
+from colloquy.session import staging_path  # noqa: E402
+from colloquy.sources import readers as RD  # noqa: E402
+from colloquy.sources import sinks as SK  # noqa: E402
+from colloquy.streaming import incremental as INC  # noqa: E402
+
+
+@query("join_profile")
+def join_profile(spark, sf_dir):
+    j = D.join_profile(B.b4_dialogues(spark, sf_dir), B.b4_profiles(spark, sf_dir))
+    return j.select("o_orderkey", F.col("profile_key").alias("pid"), "c_name", "n_name", "r_name")
+
+
+@query("unmatched_profiles")
+def unmatched_profiles(spark, sf_dir):
+    """Orders whose customer has no profile (profiles exist for accounts
+    with a non-negative balance)."""
+    prof = B.b4_profiles(spark, sf_dir).where(F.col("c_acctbal") >= 0)
+    return D.unmatched_profiles(B.b4_dialogues(spark, sf_dir), prof).select(
+        "o_orderkey", F.col("pid").alias("o_custkey"))
+
+
+@query("pad_key")
+def pad_key(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", X.pad_key("c_custkey").alias("pid"))
+
+
+@query("dedup_last")
+def dedup_last(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderstatus", F.struct("o_orderdate", "o_orderkey").alias("ord"))
+    return D.dedup_last(o, "o_custkey", "ord").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("attach_results")
+def attach_results(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    res = B.b4_order_results(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
+    return D.attach_results(o, res, ["o_orderkey"]).select("o_orderkey", "o_custkey", "n_lines", "total_qty")
+
+
+def _b4_requests(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    return o.select(RQ.request_id("diagnose", "o_orderkey").alias("request_id"), "o_orderkey")
+
+
+def _b4_responses(spark, sf_dir):
+    res = B.b4_order_results(spark, sf_dir)
+    return res.select(RQ.request_id("diagnose", "l_orderkey").alias("request_id"),
+                      F.concat(F.lit("lines="), F.col("n_lines").cast("string")).alias("response"))
+
+
+@query("join_responses")
+def join_responses(spark, sf_dir):
+    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir), how="inner")
+    return j.select("request_id", "o_orderkey", "response")
+
+
+@query("missing_results")
+def missing_results(spark, sf_dir):
+    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir))
+    return RQ.with_missing_default(j).select("o_orderkey", "response", "missing")
+
+
+@query("pending_rows")
+def pending_rows(spark, sf_dir):
+    """Orders with no finished line item yet."""
+    li = B.table(spark, sf_dir, "lineitem")
+    done = li.where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return INC.pending_rows(o, done, ["o_orderkey"])
+
+
+
+@query("resume_batch")
+def resume_batch(spark, sf_dir):
+    """First run covers finished orders, the resumed run the rest; the
+    result equals one run over all orders."""
+    from pyspark.sql import types as T
+    out_schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()),
+                               T.StructField("n_lines", T.LongType())])
+    res = B.b4_order_results(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey").select(
+        "o_orderkey", "n_lines")
+
+    def process(todo):
+        return todo.join(res, "o_orderkey", "left").select("o_orderkey", "o_orderstatus", "n_lines")
+
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    path = staging_path(spark, "resume")
+    INC.resume_batch(spark, orders.where(F.col("o_orderstatus") == "F"), process, path, ["o_orderkey"], out_schema)
+    return INC.resume_batch(spark, orders, process, path, ["o_orderkey"], out_schema)
+
+
+@query("union_runs")
+def union_runs(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    finished = o.where(F.col("o_orderstatus") == "F").select(F.lit("finished").alias("run"), "o_orderkey", "o_custkey")
+    rest = o.where(~F.col("o_orderstatus").eqNullSafe("F")).select(F.lit("open").alias("run"), "o_orderkey",
+                                                                    "o_custkey")
+    return finished.unionByName(rest)
+
+
+@query("ordered_export")
+def ordered_export(spark, sf_dir):
+    from pyspark.sql import types as T
+    o = B.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    path = staging_path(spark, "export")
+    SK.export_sorted(o, path, ["o_custkey", "o_orderkey"])
+    schema = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderkey", T.LongType()),
+                           T.StructField("o_orderstatus", T.StringType())])
+    return RD.csv_reader(spark, schema).csv(path)
+
+
+@query("project_core")
+def project_core(spark, sf_dir):
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("append_rows")
+def append_rows(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    path = staging_path(spark, "append")
+    SK.append_rows(o.where(F.col("o_orderstatus") == "F"), path, ["o_orderpriority"])
+    SK.append_rows(o.where(~F.col("o_orderstatus").eqNullSafe("F")), path, ["o_orderpriority"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("stage_write")
+def stage_write(spark, sf_dir):
+    """Stage written twice (the second time only the urgent partition):
+    dynamic partition overwrite keeps it idempotent."""
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    path = staging_path(spark, "stage")
+    SK.stage_write(o, path, ["o_orderpriority"])
+    SK.stage_write(o.where(F.col("o_orderpriority") == "1-URGENT"), path, ["o_orderpriority"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderpriority")
+
+
+# -------------------------------------------------------------- profile maps
+
+@query("render_profile")
+def render_profile(spark, sf_dir):
+    p = B.b_profiles(spark, sf_dir)
+    return p.select("event_id", X.render_profile("info").alias("profile_text"),
+                    X.render_profile("info", trailing_newline=True).alias("profile_text_nl"))
+
+
+@query("chief_complaint")
+def chief_complaint(spark, sf_dir):
+    return B.b_profiles(spark, sf_dir).select("event_id", X.chief_complaint("info").alias("chief_complaint"))
+
+
+@query("profile_drop_keys")
+def profile_drop_keys(spark, sf_dir):
+    m = X.drop_keys("info")
+    return B.b_profiles(spark, sf_dir).select("event_id", F.array_join(F.map_keys(m), ",").alias("keys_csv"),
+                                              F.size(m).cast("bigint").alias("n_keys"))
+
+
+@query("parse_list_cell")
+def parse_list_cell(spark, sf_dir):
+    from colloquy.functions.lists import parse_list_cell as plc
+    ev = B.table(spark, sf_dir, "events").select("event_id", plc(B.list_cell()).alias("items"))
+    return ev.select("event_id", F.size("items").cast("bigint").alias("n_items"),
+                     F.array_join("items", "|").alias("items"))
+
+
+# ------------------------------------------------- staged files and streams
+
+@query("scan_dialogues")
+def scan_dialogues(spark, sf_dir):
+    """Dialogues written as pandas-style CSV (QA as list text), read back."""
+    from colloquy.functions.lists import parse_list_cell as plc
+    d = B.b2_dialogues(spark, sf_dir).select(F.col("conv_id").cast("string").alias("pid"), "disease", "QA")
+    path = staging_path(spark, "dialogues")
+    SK.write_csv(d, path)
+    back = RD.scan_dialogues(spark, path).withColumn("QA", plc("QA"))
+    return back.select(F.col("pid").cast("bigint").alias("conv_id"), "disease",
+                       F.size("QA").cast("bigint").alias("n_items"), F.array_join("QA", B.B2_SEP).alias("qa_text"))
+
+
+@query("scan_gold")
+def scan_gold(spark, sf_dir):
+    """A label file derived from ``part`` (brand = disease), written in key
+    order, read back and numbered in file order."""
+    p = B.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("disease"), F.when(F.col("p_size") > 25, "h").otherwise("m").alias("weight"),
+        F.col("p_name").alias("symptom"), "p_partkey")
+    path = staging_path(spark, "gold")
+    SK.write_csv(p.orderBy("p_partkey").drop("p_partkey"), path)
+    return RD.scan_gold(spark, path).select("ord", "disease", "symptom", "weight")
+
+
+@query("scan_profiles")
+def scan_profiles(spark, sf_dir):
+    prof = B.b4_profiles(spark, sf_dir).select("pid", "disease_name", "simple_info")
+    path = staging_path(spark, "profiles")
+    SK.write_json_arrays(prof, path)
+    back = RD.scan_profiles(spark, path)
+    return back.select("pid", "disease_name", F.size("simple_info").cast("bigint").alias("n_info"),
+                       X.chief_complaint("simple_info").alias("chief_complaint"),
+                       F.array_join(F.map_keys("simple_info"), ",").alias("keys_csv"))
+
+
+
+def _written_runs(spark, sf_dir):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("pid", T.StringType()), T.StructField("organized_QA", T.StringType()),
+                           T.StructField("score", T.LongType()), T.StructField("top1_result", T.StringType())])
+    r = B.b3_results(spark, sf_dir).select("model", "turn", F.col("pid").cast("string").alias("pid"),
+                                           "organized_QA", "score", F.col("top1_result").cast("string"))
+    base = staging_path(spark, "runs")
+    SK.write_legacy_runs(r, base)
+    return RD.scan_runs(spark, base + "/*.csv", schema)
+
+
+@query("scan_runs")
+def scan_runs(spark, sf_dir):
+    r = _written_runs(spark, sf_dir)
+    return r.select("model", "turn", F.col("pid").cast("bigint").alias("pid"), "organized_QA", "score",
+                    "top1_result")
+
+
+@query("run_identity")
+def run_identity(spark, sf_dir):
+    r = _written_runs(spark, sf_dir)
+    return r.groupBy("model", "turn").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("resume_stream")
+def resume_stream(spark, sf_dir):
+    """Dialogues arrive as files in two drops (conversations that open with
+    a system message first); each drop is validated by one availableNow
+    run of the stream; the sink then holds every dialogue once."""
+    from pyspark.sql import types as T
+    T2 = B.B2_TURNS
+    rows = B.b2_turn_rows(spark, sf_dir)
+    sys_first = rows.where((F.col("pos") == 0) & (F.col("role") == "system")).select("conv_id")
+    d = B.b2_dialogues(spark, sf_dir, max_items=2 * T2 + 1).select("conv_id", "QA")
+    drops = [d.join(sys_first, "conv_id", "left_semi"), d.join(sys_first, "conv_id", "left_anti")]
+    src, sink, ckpt = (staging_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("QA", T.ArrayType(T.StringType()))])
+
+    def process(df):
+        return df.select("conv_id", DG.marker_count("QA", T2, B.B2_MARKER).alias("n_marker"),
+                         DG.validate_turns("QA", T2, B.B2_MARKER).alias("status"))
+
+    for drop in drops:
+        drop.write.mode("append").parquet(src)
+        INC.resume_stream(spark, src, schema, process, sink, ckpt)
+    return spark.read.parquet(sink).select("conv_id", "n_marker", "status")
+
+
+def _model_requests(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    return c.select(RQ.request_id("echo", "conv_id", "turn").alias("request_id"), F.col("text").alias("prompt"))
+
+
+@query("apply_model")
+def apply_model(spark, sf_dir):
+    from colloquy.plans.standins import make_echo_model
+    out = RQ.apply_model(_model_requests(spark, sf_dir), make_echo_model, batch_size=8, backoff_seconds=0)
+    return out.select("request_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+@query("apply_model_errors")
+def apply_model_errors(spark, sf_dir):
+    from colloquy.plans.standins import MAX_RETRIES, make_refusing_model
+    out = RQ.apply_model(_model_requests(spark, sf_dir), make_refusing_model, batch_size=8,
+                         max_retries=MAX_RETRIES, backoff_seconds=0)
+    return out.select("request_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"))

@@ -289,3 +289,199 @@ def _emit() -> str:
 
 ORACLE["chat_messages"] = _chat_all()
 ORACLE["emit_requests"] = _emit()
+
+# ------------------------------------------------------------------ B5
+
+from colloquy.functions.scrub import scrub_sql  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    """SQL literal for any text (newlines and other controls via chr())."""
+    parts, cur = [], ""
+    for ch in s:
+        if ch == "\n" or (ord(ch) < 32) or ch in " 　 ":
+            if cur:
+                parts.append(_q(cur))
+                cur = ""
+            parts.append(f"chr({ord(ch)})")
+        else:
+            cur += ch
+    if cur or not parts:
+        parts.append(_q(cur))
+    return "(" + " || ".join(parts) + ")"
+
+
+B5_REPLIES = f"""
+docs AS (
+  SELECT doc_id, text, lang, source, n_chars,
+    CASE doc_id % 5
+      WHEN 0 THEN 'Reason: ' || text || {NL} || 'Final Response: **' || lang || '**'
+      WHEN 1 THEN text
+      WHEN 2 THEN 'Final Response:'
+      WHEN 3 THEN 'Reason: Reason: ' || source || ' Final Response: ' || lang || ' Final Response: ' || source
+      ELSE 'Reason: ' || text || {NL} || 'Final Response: ** ' || source || ' **' END AS verdict,
+    CASE doc_id % 3
+      WHEN 0 THEN 'Sure.' || {NL} || '```yaml' || {NL} || 'Diseases:' || {NL} || '  - ' || lang || {NL} || '  - '
+                  || source || {NL} || '```' || {NL} || text
+      WHEN 1 THEN 'Diseases:' || {NL} || '  - ' || source
+      ELSE text END AS predictor,
+    CASE doc_id % 4
+      WHEN 0 THEN '```yaml' || {NL} || 'Reasoning: ' || source || ' matches' || {NL} || 'Result: True' || {NL} || '```'
+      WHEN 1 THEN 'Reasoning: no match' || {NL} || 'Result: ' || CASE WHEN n_chars % 2 = 0 THEN 'yes' ELSE 'True/False' END
+      WHEN 2 THEN 'Reasoning: ' || lang || {NL} || 'Result: False'
+      ELSE 'Reasoning only' END AS judge
+  FROM documents),
+vr AS (SELECT doc_id, {strip_sql("replace(verdict, 'Reason:', '')")} AS r FROM docs),
+vi AS (SELECT doc_id, r, strpos(r, 'Final Response:') AS i FROM vr),
+fb AS (SELECT doc_id,
+    CASE WHEN contains(predictor, '```yaml') THEN split_part(split_part(predictor, '```yaml', 2), '```', 1)
+         ELSE predictor END AS pblock,
+    CASE WHEN contains(judge, '```yaml') THEN split_part(split_part(judge, '```yaml', 2), '```', 1)
+         ELSE judge END AS jblock
+  FROM docs),
+pr AS (SELECT doc_id, pblock,
+    CASE WHEN contains(pblock, 'Diseases:')
+         THEN regexp_extract_all(substring(pblock, strpos(pblock, 'Diseases:') + 9),
+                                 '(?m)^[ \\t]*-[ \\t]+(.*?)[ \\t]*$', 1) END AS p
+  FROM fb)
+"""
+
+
+def _b5(select: str) -> str:
+    return f"WITH {B5_REPLIES} {select}"
+
+
+ORACLE["parse_verdict"] = _b5(f"""
+SELECT doc_id,
+  translate({strip_sql("CASE WHEN i > 0 THEN substring(r, 1, i - 1) WHEN length(r) = 0 THEN '' "
+                       "ELSE substring(r, 1, length(r) - 1) END")}, {NL} || '-', '') AS reason,
+  replace({strip_sql("CASE WHEN i > 0 THEN substring(r, i + 15) ELSE substring(r, 15) END")}, '*', '') AS answer,
+  i > 0 AS marker_found
+FROM vi""")
+ORACLE["clean_verdict"] = (f"SELECT doc_id, translate({strip_sql('text')}, {NL} || '-', '') AS no_breaks, "
+                           f"replace({strip_sql('text')}, '*', '') AS no_stars FROM documents")
+ORACLE["fenced_block"] = _b5("SELECT doc_id, pblock AS block FROM fb")
+ORACLE["parse_predictions"] = _b5(
+    "SELECT doc_id, len(p)::BIGINT AS n_predictions, array_to_string(p, '|') AS predictions FROM pr")
+ORACLE["top1_slice"] = _b5("""
+SELECT doc_id, p[1] AS top1,
+  CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN '[]'
+       ELSE '[''' || replace(replace(p[1], '\\', '\\\\'), '''', '\\''') || ''']' END AS top1_text,
+  CASE WHEN p IS NULL THEN 'prediction_parse_error' ELSE 'ok' END AS status
+FROM pr""")
+ORACLE["parse_judgement"] = _b5(f"""
+SELECT doc_id,
+  CASE WHEN ok THEN regexp_extract(jblock, '(?s)Reasoning:[ \\t]*(.*?)[ \\t\\n]*(?:\\nResult:|\\z)', 1) END AS reasoning,
+  CASE WHEN ok THEN rt END AS result_text,
+  CASE WHEN ok THEN (CASE WHEN rt IN ('yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true
+                          WHEN rt IN ('no','No','NO','false','False','FALSE','off','Off','OFF') THEN false END) END
+    AS result,
+  CASE WHEN ok THEN 'ok' ELSE 'judge_parse_error' END AS status
+FROM (SELECT doc_id, jblock,
+        regexp_matches(jblock, '(?m)^[ \\t]*Reasoning:') AND regexp_matches(jblock, '(?m)^[ \\t]*Result:') AS ok,
+        regexp_extract(jblock, '(?m)^[ \\t]*Result:[ \\t]*(.*?)[ \\t]*$', 1) AS rt
+      FROM fb)""")
+_PADDED = f"{_lit(B.B5_STRIP_PAD_LEFT)} || text || {_lit(B.B5_STRIP_PAD_RIGHT)}"
+ORACLE["strip_unicode"] = (f"SELECT doc_id, {strip_sql(_PADDED)} AS stripped, "
+                           f"length({strip_sql(_PADDED)})::BIGINT AS n_stripped FROM documents")
+ORACLE["fill_template"] = (f"SELECT doc_id, replace(replace({_lit(B.B5_TEMPLATE)}, '{{input}}', text), "
+                           f"'{{disease}}', lang) AS prompt FROM documents")
+_SCRUB_RESP = _lit("- 체중 변화는 없다.\n- 두통이 없다.\n- 기침은 없다.\n") + " || text || " + \
+    _lit("\n- 발열은 없다.\n- 피로감이 없다.\n")
+_SCRUB_CTX = "(CASE WHEN doc_id % 3 = 0 THEN text || ' 두통 피곤' ELSE text END)"
+ORACLE["scrub_negations"] = f"SELECT doc_id, {scrub_sql(_SCRUB_RESP, _SCRUB_CTX)} AS scrubbed FROM documents"
+ORACLE["explode_bullets"] = (f"SELECT doc_id, (i - 1)::BIGINT AS pos, {strip_sql('parts[i]')} AS bullet "
+                             f"FROM (SELECT doc_id, string_split(text, {NL}) AS parts FROM documents), "
+                             f"LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)")
+ORACLE["route_requests"] = f"""
+SELECT doc_id, model, n_messages,
+  CASE WHEN n_messages % 2 = 0 THEN
+    CASE WHEN contains(model, 'gpt') OR contains(model, 'mini') OR contains(model, 'o1') THEN 'openai'
+         WHEN contains(model, 'claude') OR contains(model, 'haiku') THEN 'anthropic'
+         WHEN contains(model, '/') THEN 'local' ELSE 'unsupported' END
+  ELSE 'openai' END AS provider,
+  CASE WHEN n_messages % 2 = 0 THEN model ELSE 'gpt-4o-mini' END AS target_model
+FROM (SELECT doc_id,
+        CASE doc_id % 4 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'claude-3-haiku'
+             WHEN 2 THEN 'org/' || lang || '-model' ELSE 'llama-' || source END AS model,
+        (len(string_split(text, {NL})) + 1)::BIGINT AS n_messages
+      FROM documents)"""
+ORACLE["batch_ids"] = (f"SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) "
+                       f"// {B.B5_BATCH})::BIGINT AS batch_id FROM documents")
+
+# ------------------------------------------------------------------ B4
+
+PROFILES = """
+prof AS (
+  SELECT printf('%08d', c.c_custkey) AS pid, c.c_custkey, c.c_name, c.c_acctbal, c.c_mktsegment, n.n_name, r.r_name
+  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+res AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS total_qty FROM lineitem GROUP BY l_orderkey)
+"""
+
+
+def _b4(select: str) -> str:
+    return f"WITH {PROFILES} {select}"
+
+
+ORACLE["join_profile"] = _b4("SELECT o.o_orderkey, p.pid, p.c_name, p.n_name, p.r_name "
+                             "FROM orders o JOIN prof p ON printf('%08d', o.o_custkey) = p.pid")
+ORACLE["unmatched_profiles"] = _b4(
+    "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS "
+    "(SELECT 1 FROM prof p WHERE p.c_acctbal >= 0 AND p.pid = printf('%08d', o.o_custkey))")
+ORACLE["pad_key"] = "SELECT c_custkey, printf('%08d', c_custkey) AS pid FROM customer"
+ORACLE["dedup_last"] = ("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER "
+                        "(PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) "
+                        "WHERE rn = 1")
+ORACLE["attach_results"] = _b4("SELECT o.o_orderkey, o.o_custkey, res.n_lines, res.total_qty "
+                               "FROM orders o LEFT JOIN res ON res.l_orderkey = o.o_orderkey")
+ORACLE["join_responses"] = _b4(
+    "SELECT sha256('diagnose|' || CAST(o.o_orderkey AS VARCHAR)) AS request_id, o.o_orderkey, "
+    "'lines=' || CAST(res.n_lines AS VARCHAR) AS response FROM orders o JOIN res ON res.l_orderkey = o.o_orderkey")
+ORACLE["missing_results"] = _b4(
+    "SELECT o.o_orderkey, coalesce('lines=' || CAST(res.n_lines AS VARCHAR), 'Error') AS response, "
+    "res.n_lines IS NULL AS missing FROM orders o LEFT JOIN res ON res.l_orderkey = o.o_orderkey")
+ORACLE["pending_rows"] = ("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS "
+                          "(SELECT 1 FROM lineitem l WHERE l.l_linestatus = 'F' AND l.l_orderkey = o.o_orderkey)")
+ORACLE["resume_batch"] = _b4("SELECT o.o_orderkey, o.o_orderstatus, res.n_lines "
+                             "FROM orders o LEFT JOIN res ON res.l_orderkey = o.o_orderkey")
+ORACLE["union_runs"] = ("SELECT CASE WHEN o_orderstatus IS NOT DISTINCT FROM 'F' THEN 'finished' ELSE 'open' END "
+                        "AS run, o_orderkey, o_custkey FROM orders")
+ORACLE["ordered_export"] = "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders"
+ORACLE["project_core"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+ORACLE["append_rows"] = "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders"
+ORACLE["stage_write"] = "SELECT o_orderkey, o_orderpriority FROM orders"
+
+# ---------------------------------------------------------- profile maps
+
+_PKEY = "CASE WHEN user_id % 2 = 0 THEN '주증상' ELSE 'Chief Complaint' END"
+_K = "json_extract_string(props, '$.k')"
+_PTEXT = (f"'pid: ' || CAST(event_id AS VARCHAR) || {NL} || {_PKEY} || ': ' || event_type || {NL} || 'Hx: ' "
+          f"|| event_type || ', ' || {_K} || {NL} || 'Age: ' || {_K} || {NL} || 'token: t' || CAST(user_id AS VARCHAR)")
+ORACLE["render_profile"] = (f"SELECT event_id, {_PTEXT} AS profile_text, {_PTEXT} || {NL} AS profile_text_nl "
+                            "FROM events")
+ORACLE["chief_complaint"] = "SELECT event_id, event_type AS chief_complaint FROM events"
+ORACLE["profile_drop_keys"] = (f"SELECT event_id, {_PKEY} || ',Hx,Age' AS keys_csv, CAST(3 AS BIGINT) AS n_keys "
+                               "FROM events")
+ORACLE["parse_list_cell"] = ("SELECT event_id, CAST(3 AS BIGINT) AS n_items, event_type || '|' || props || '|u' || "
+                             "CAST(user_id AS VARCHAR) || chr(9) || 'x' AS items FROM events")
+
+# ------------------------------------------------- staged files and streams
+
+ORACLE["scan_dialogues"] = (f"SELECT conv_id, 'd' || CAST(conv_id % 5 AS VARCHAR) AS disease, count(*) AS n_items, "
+                            f"string_agg(text, {SEP} ORDER BY turn) AS qa_text FROM conversations GROUP BY conv_id")
+ORACLE["scan_gold"] = ("SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS ord, p_brand AS disease, "
+                       "p_name AS symptom, CASE WHEN p_size > 25 THEN 'h' ELSE 'm' END AS weight FROM part")
+ORACLE["scan_profiles"] = _b4("SELECT pid, n_name AS disease_name, CAST(3 AS BIGINT) AS n_info, "
+                              "c_mktsegment AS chief_complaint, 'Chief Complaint,Region,Name' AS keys_csv FROM prof")
+ORACLE["scan_runs"] = _b3("SELECT model, turn, pid, organized_QA, score, CAST(top1_result AS VARCHAR) AS top1_result "
+                          "FROM f")
+ORACLE["run_identity"] = _b3("SELECT model, turn, count(*) AS n_rows FROM f GROUP BY model, turn")
+ORACLE["resume_stream"] = ORACLE["validate_turns"]
+ORACLE["apply_model"] = ("SELECT sha256('echo|' || CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)) "
+                         "AS request_id, 'ok:' || sha256(text) AS response, CAST(NULL AS VARCHAR) AS error, "
+                         "CAST(1 AS BIGINT) AS attempts FROM conversations")
+ORACLE["apply_model_errors"] = (
+    "SELECT sha256('echo|' || CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)) AS request_id, "
+    "CASE WHEN length(text) % 7 = 0 THEN NULL ELSE 'ok:' || sha256(text) END AS response, "
+    "CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error, "
+    "CAST(CASE WHEN length(text) % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM conversations")
