@@ -18,6 +18,10 @@ BLANK_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 STRIP_PATTERN = rf"\A{BLANK_CLASS}+|{BLANK_CLASS}+\z"
+# The same characters as a set for Spark's ``trim(BOTH set FROM s)``, which
+# removes code points of the set from both ends without a regex.
+BLANK_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # The marker words of the comparer reply.
 REASON_MARKER = "Reason:"
@@ -34,7 +38,7 @@ def _c(x) -> Column:
 
 def strip(col) -> Column:
     """Python ``str.strip()`` (all BMP blanks at both ends)."""
-    return F.regexp_replace(_c(col), STRIP_PATTERN, "")
+    return F.trim(_c(col), F.lit(BLANK_CHARS))
 
 
 def fill_template(template, slots: list[tuple[str, Column | str]]) -> Column:

@@ -63,20 +63,27 @@ def _live(brk: Column) -> Column:
 
 
 def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    # 1. first position of each label per dialogue: partial aggregation,
+    #    so a hot dialogue is reduced on the map side before the shuffle
     firsts = ann.groupBy(*keys, "disease", "label", "poison").agg(F.min("pos").alias("first_pos"))
-    brk = firsts.where("poison").groupBy(*keys).agg(F.min("first_pos").alias("brk"))
-    clean = firsts.where(~F.col("poison"))
+    # 2. labels whose trace line covers each symptom (small broadcast side);
+    #    poison labels get no cover row and carry the break position instead
     if mode == EXACT:
-        earliest = clean.select(*keys, F.col("label").alias("symptom"), F.col("first_pos").alias("cover_pos"))
+        cover = firsts.select("*", F.when(~F.col("poison"), F.col("label")).alias("symptom"))
     else:
-        cover = broadcast_if_small(label_cover(gold).withColumnRenamed("disease", "__cd"))
-        earliest = (clean.join(cover, (F.col("disease") == F.col("__cd")) & (F.col("label") == F.col("cover")))
-                    .groupBy(*keys, "symptom").agg(F.min("first_pos").alias("cover_pos")))
-    # one row per dialogue; the map has at most one entry per label of its
-    # disease, so its size is bounded by the label file
-    covers = earliest.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("symptom", "cover_pos"))).alias("cover_map"))
-    state = covers.join(brk, keys, "full")
+        lc = broadcast_if_small(label_cover(gold).withColumnRenamed("disease", "__cd"))
+        cover = firsts.join(lc, (F.col("disease") == F.col("__cd")) & (F.col("label") == F.col("cover"))
+                            & ~F.col("poison"), "left")
+    per_symptom = cover.groupBy(*keys, "symptom").agg(
+        F.min(F.when(~F.col("poison"), F.col("first_pos"))).alias("cover_pos"),
+        F.min(F.when(F.col("poison"), F.col("first_pos"))).alias("brk"))
+    # 3. one state row per dialogue: break position and a symptom -> earliest
+    #    cover map with at most one entry per label of its disease
+    state = per_symptom.groupBy(*keys).agg(
+        F.min("brk").alias("brk"),
+        F.map_from_entries(F.collect_list(F.when(F.col("symptom").isNotNull() & F.col("cover_pos").isNotNull(),
+                                                 F.struct("symptom", "cover_pos")))).alias("cover_map"))
+    # 4. the single shuffle of the bullets: join the state back by dialogue
     j = ann.join(state, keys, "left")
     seen = F.coalesce(F.try_element_at(F.col("cover_map"), F.col("resp")) < F.col("pos"), F.lit(False))
     if mode != EXACT:
@@ -111,15 +118,17 @@ def bullet_flags(bullets: DataFrame, gold: DataFrame, keys: list[str],
 
 
 def score_bullets(bullets: DataFrame, gold: DataFrame, keys: list[str],
-                  mode: str = SUBSTRING, form: str = "auto") -> DataFrame:
+                  mode: str = SUBSTRING, form: str = "auto", carry: list[str] | None = None) -> DataFrame:
     """One row per dialogue: ``n_bullets, n_live, break_pos, score,
     weighted_score, penalty_score, reward_score, label_trace,
-    reason_trace, status`` (``clean`` or ``match_error``)."""
+    reason_trace, status`` (``clean`` or ``match_error``); with ``carry``
+    also ``break_row``, the carried columns of the poisoning bullet."""
+    carry = list(carry or [])
     f = bullet_flags(bullets, gold, keys, mode, form)
     live_hit = F.col("live") & F.col("hit")
     has_reason = "reason" in bullets.columns
     f = f.select(
-        *keys, "disease", "pos",
+        *keys, "disease", "pos", *carry,
         F.col("live"), live_hit.alias("live_hit"), "brk",
         F.when(live_hit, F.when(F.col("weight") == "h", 2).otherwise(1)).alias("__w"),
         F.when(live_hit, F.when(F.col("seen"), 0.5).otherwise(1.0)).alias("__p"),
@@ -139,10 +148,12 @@ def score_bullets(bullets: DataFrame, gold: DataFrame, keys: list[str],
         F.sum("__r").alias("__rsum"),
         F.expr("listagg(__lt, '') WITHIN GROUP (ORDER BY pos)").alias("__ltrace"),
         F.expr("listagg(__rt, '') WITHIN GROUP (ORDER BY pos)").alias("__rtrace"),
+        *([F.min_by(F.struct(*carry), F.when(F.col("pos") == F.col("brk"), F.col("pos"))).alias("break_row")]
+          if carry else []),
     )
     poisoned = F.col("break_pos").isNotNull()
     return agg.select(
-        *keys, "disease", "n_bullets", "n_live", "break_pos",
+        *keys, "disease", "n_bullets", "n_live", "break_pos", *(["break_row"] if carry else []),
         F.when(poisoned, F.lit(-1).cast("bigint")).otherwise(F.col("__hits")).alias("score"),
         F.when(poisoned, F.lit(-1).cast("bigint")).otherwise(F.coalesce(F.col("__wsum"), F.lit(0)).cast("bigint"))
         .alias("weighted_score"),

@@ -28,14 +28,15 @@ def query(name: str):
 # ------------------------------------------------------------- B1 scoring
 
 def _b1_scores(spark, sf_dir, mode=S.SUBSTRING):
-    return S.score_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark), B.B1_KEYS, mode=mode)
+    s = S.score_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark), B.B1_KEYS, mode=mode,
+                        carry=["event_id"])
+    return s.withColumn("break_event_id", F.col("break_row.event_id"))
 
 
 @query("bullet_scoring")
 def bullet_scoring(spark, sf_dir):
     s = _b1_scores(spark, sf_dir)
-    return s.select("dialogue_id", "disease", "n_bullets", "n_live",
-                    F.col("break_pos.event_id").alias("break_event_id"),
+    return s.select("dialogue_id", "disease", "n_bullets", "n_live", "break_event_id",
                     "score", "weighted_score", "penalty_score", "reward_score",
                     "status", "label_trace", "reason_trace")
 
@@ -63,7 +64,7 @@ def score_reward(spark, sf_dir):
 @query("poison_break")
 def poison_break(spark, sf_dir):
     s = _b1_scores(spark, sf_dir)
-    return s.select("dialogue_id", F.col("break_pos.event_id").alias("break_event_id"), "n_live")
+    return s.select("dialogue_id", "break_event_id", "n_live")
 
 
 @query("label_trace")
