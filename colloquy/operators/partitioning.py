@@ -1,0 +1,18 @@
+"""Parallelism guard for CPU-heavy per-row work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions
+    than the cluster has cores (e.g. one large row group read by one task).
+    A split input at scale already has more partitions than cores, so this
+    is then a no-op and adds no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Spark Connect: leave as is
+        return df
+    return df.repartition(want) if have < want else df
