@@ -140,3 +140,30 @@ def test_multiline_label_uses_window_form(spark):
     r = S.score_bullets(b, gold, ["did"]).collect()[0]
     want = score_dialogue(["a\n- b", "b"], [("a\n- b", "m"), ("b", "h")], ["r0", "r1"])
     assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace) == want[:5]
+
+
+def test_decomposed_plan_shape(spark):
+    """No window, label tables broadcast, one shuffle join (the join back)."""
+    gold = _gold(spark, GOLDS)
+    b = _bullets(spark, _random_dialogues(5, 20))
+    plan = S.score_bullets(b, gold, ["did"], form="decomposed")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert plan.count("BroadcastHashJoin") >= 3
+    assert plan.count("SortMergeJoin") <= 1
+
+
+def test_hot_dialogue(spark):
+    """One dialogue holds a third of all statements; results still equal
+    the rule (the hot key is reduced map-side and split by AQE)."""
+    rnd = random.Random(9)
+    dialogues = _random_dialogues(13, 200)
+    n_rest = sum(len(a) for _, a in dialogues.values())
+    hot = [rnd.choice(["Hypertension", "Fatigue", "Dyspnea", "Cough", "Exertional Dyspnea"]) for _ in range(n_rest // 2)]
+    dialogues["hot"] = ("D", hot)
+    gold = _gold(spark, GOLDS)
+    got = {r.did: r for r in S.score_bullets(_bullets(spark, dialogues), gold, ["did"]).collect()}
+    for did in ("hot", "x0", "x1"):
+        disease, answers = dialogues[did]
+        want = score_dialogue(answers, GOLDS.get(disease, []), [f"r{i}" for i in range(len(answers))])
+        r = got[did]
+        assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace) == want[:5]
