@@ -171,7 +171,9 @@ def apply_error_guard(dialogues: DataFrame, scored: DataFrame, keys: list[str],
     contains ``Error`` (or is missing) gets -1 for all four scores and the
     trace ``Error.`` (it was never scored)."""
     guard = F.coalesce(F.col(organized_col).contains("Error"), F.lit(True))
-    j = dialogues.join(scored.drop("disease"), keys, "left")
+    s = scored.select(*keys, "label_trace", "reason_trace", "score", "weighted_score", "penalty_score",
+                      "reward_score")
+    j = dialogues.join(s, keys, "left")
     neg = F.lit(-1)
     return j.select(
         *[F.col(c) for c in dialogues.columns],

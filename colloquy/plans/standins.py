@@ -29,3 +29,31 @@ def make_refusing_model():
                 raise ValueError("refused")
         return [digest_reply(p) for p in prompts]
     return fn
+
+
+# Stage stand-ins (end-to-end test of the stages; fixed, rule-based replies).
+
+def make_organizer_model():
+    """Always the same three statements, one a negation line to scrub."""
+    return lambda prompts: ["- Fatigue\n- 두통이 없다.\n- Hypertension\n" for _ in prompts]
+
+
+def make_comparer_model():
+    """Answers with the statement after ``Statement: `` (without its dash),
+    or the not-in-list label for an empty statement."""
+    def fn(prompts):
+        out = []
+        for p in prompts:
+            stmt = p.split("Statement: ", 1)[1].strip()
+            ans = stmt[2:] if stmt.startswith("- ") else "Not in Gold Label"
+            out.append(f"Reason: compared\nFinal Response: **{ans}**")
+        return out
+    return fn
+
+
+def make_predictor_model():
+    return lambda prompts: ["```yaml\nDiseases:\n  - D\n  - Other\n```" for _ in prompts]
+
+
+def make_judge_model():
+    return lambda prompts: ["Reasoning: same\nResult: " + ("True" if "['D'" in p else "False") for p in prompts]
