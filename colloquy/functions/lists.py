@@ -44,6 +44,12 @@ def _literal_eval_udf(col: Column) -> Column:
     # built on first use on the driver: a decorator at import time would
     # need a session in every Python worker that unpickles this module
     global _UDF
+    from pyspark.sql import SparkSession
+
+    from colloquy.session import ship_package
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     if _UDF is None:
         _UDF = pandas_udf(_literal_eval_series, "array<string>")
     return _UDF(col)

@@ -119,6 +119,9 @@ def apply_model(df: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[
     Concurrency is the number of partitions: ``repartition(n)`` first to
     bound the calls in flight."""
 
+    from colloquy.session import ship_package
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()
         for pdf in batches:
@@ -138,7 +141,7 @@ def apply_model(df: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[
 def batch_ids(df: DataFrame, partition_cols: list[str], order_cols: list[str], size: int) -> DataFrame:
     """``batch_id = floor(rank / size)`` with a dense 0-based rank per
     partition key in ``order_cols`` order, computed without a window over
-    a whole key (see ``dense_rank_by``)."""
+    a whole key (see ``ranking.dense_index``)."""
     from colloquy.operators.ranking import dense_index
     ranked = dense_index(df, partition_cols, order_cols, "__rank")
     return ranked.withColumn("batch_id", F.floor(F.col("__rank") / size).cast("bigint")).drop("__rank")

@@ -64,3 +64,30 @@ def staging_path(spark: SparkSession, name: str) -> str:
     table (never a machine-local temp folder on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``colloquy`` importable in the Python workers (needed by the
+    operators that run Python inside tasks): the package is zipped once per
+    application and added with ``addPyFile``, which distributes it to every
+    executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="colloquy-pkg-"), "colloquy.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)

@@ -95,5 +95,7 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
         if parts:
             yield pd.DataFrame({"value": ["[\n" + ",\n".join(parts) + "\n]"]})
 
+    from colloquy.session import ship_package
+    ship_package(df.sparkSession)
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
     rows.mapInPandas(arrays, "value string").write.mode("overwrite").text(path)
