@@ -68,15 +68,24 @@ def _r(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def _stat_aggs(col: str, clean: Column, describe: bool) -> list[Column]:
+# ``approx``: relative error bound of ``percentile_approx`` (its accuracy
+# is 1 / error); None keeps the exact, interpolated percentiles.
+def _pct(x: Column, q, approx: float | None) -> Column:
+    if approx is None:
+        return F.percentile(x, F.array(*[F.lit(v) for v in q]) if isinstance(q, list) else F.lit(q))
+    acc = int(round(1 / approx))
+    return F.percentile_approx(x, F.array(*[F.lit(v) for v in q]) if isinstance(q, list) else F.lit(q), acc)
+
+
+def _stat_aggs(col: str, clean: Column, describe: bool, approx: float | None = None) -> list[Column]:
     x = F.when(clean, F.col(col).cast("double"))
     out = [
         _r(F.avg(x)).alias(f"{col}_mean"),
-        _r(F.percentile(x, F.lit(0.5))).alias(f"{col}_median"),
+        _r(_pct(x, 0.5, approx)).alias(f"{col}_median"),
         _r(F.stddev_samp(x)).alias(f"{col}_std"),
     ]
     if describe:
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = _pct(x, [0.25, 0.5, 0.75], approx)
         out += [
             F.count(x).alias(f"{col}_count"),
             F.min(x).alias(f"{col}_min"),
@@ -87,10 +96,11 @@ def _stat_aggs(col: str, clean: Column, describe: bool) -> list[Column]:
     return out
 
 
-def score_stats(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
-    """mean / median / sample std of the four scores over clean rows."""
+def score_stats(df: DataFrame, keys=RUN_KEYS, approx: float | None = None) -> DataFrame:
+    """mean / median / sample std of the four scores over clean rows
+    (``approx``: opt-in approximate median for very large runs)."""
     clean = is_clean()
-    return df.groupBy(*keys).agg(*[a for c in SCORE_COLS for a in _stat_aggs(c, clean, False)])
+    return df.groupBy(*keys).agg(*[a for c in SCORE_COLS for a in _stat_aggs(c, clean, False, approx)])
 
 
 def score_describe(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
@@ -135,10 +145,10 @@ def error_counts(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(*count_aggs())
 
 
-def run_leaderboard(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
+def run_leaderboard(df: DataFrame, keys=RUN_KEYS, approx: float | None = None) -> DataFrame:
     """All run metrics in one aggregation: one row per (model, turn)."""
     clean = is_clean()
-    aggs = [a for c in SCORE_COLS for a in _stat_aggs(c, clean, False)] + accuracy_aggs() + count_aggs()
+    aggs = [a for c in SCORE_COLS for a in _stat_aggs(c, clean, False, approx)] + accuracy_aggs() + count_aggs()
     return df.groupBy(*keys).agg(*aggs)
 
 

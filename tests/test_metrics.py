@@ -47,3 +47,11 @@ def test_metrics_json_document(spark):
     doc = json.loads(M.metrics_json(_df(spark)).collect()[0].metrics_json)
     assert doc["score"]["describe"]["25%"] == 0.75 and doc["clean_len"] == 2
     assert set(doc) >= {"score", "weighted_score", "penalty_score", "reward_score", "top1_accuracy"}
+
+
+def test_approximate_median_opt_in(spark):
+    exact = M.score_stats(_df(spark)).collect()[0]
+    approx = M.score_stats(_df(spark), approx=0.001).collect()[0]
+    # percentile_approx returns an observed value (no interpolation)
+    assert approx.score_median in (0.0, 3.0) and exact.score_median == 1.5
+    assert approx.score_mean == exact.score_mean
