@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, token_count
+from . import mixing, quality, sharding, token_count
 from .common import prepare, read
 
 
@@ -17,5 +17,15 @@ def op9_quality_rules(spark, sf_dir):
     return quality.quality_ledger(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op9_quality_rules)}
-ORACLE = {"op9_quality_rules": quality.ORACLE}
+def op3_source_mixing(spark, sf_dir):
+    """Words that a low-discrepancy source schedule takes from every document."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark, sf_dir):
+    """Shard of every document by the permutation-filled table."""
+    return sharding.assign(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op3_source_mixing, op5_token_counts, op6_sharding, op9_quality_rules)}
+ORACLE = {"op3_source_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
