@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, token_count
+from . import mixing, quality, sharding, token_count, toxicity, url_filter
 from .common import prepare, read
 
 
@@ -17,6 +17,16 @@ def op9_quality_rules(spark, sf_dir):
     return quality.quality_ledger(read(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of every document and its offending sentences."""
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_url_filter(spark, sf_dir):
+    """Verdict on every page's URL."""
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark, sf_dir):
     """Words that a low-discrepancy source schedule takes from every document."""
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -27,5 +37,5 @@ def op6_sharding(spark, sf_dir):
     return sharding.assign(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op5_token_counts, op6_sharding, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op5_token_counts, op6_sharding, op9_quality_rules)}
 ORACLE = {"op3_source_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
