@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, token_count, toxicity, url_filter
+from . import jaccard_tree, mixing, quality, sharding, token_count, toxicity, url_filter
 from .common import prepare, read
 
 
+def op4_jaccard_join(spark, sf_dir):
+    """Classes of documents whose 3-word shingle sets reach Jaccard 0.9."""
+    return jaccard_tree.classes(read(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op5_token_counts(spark, sf_dir):
     """Tokens of every document as byte_bpe_50k.json gives them."""
     import public_tokenizers
@@ -37,5 +42,20 @@ def op6_sharding(spark, sf_dir):
     return sharding.assign(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op5_token_counts, op6_sharding, op9_quality_rules)}
-ORACLE = {"op3_source_mixing": mixing.ORACLE, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
+#: All pairs that share a shingle, then classes by spreading the least id.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN length(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(list_slice(ws, i, i + 2), ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(length(ws) - 1, 2)::BIGINT)) AS i FROM w WHERE length(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.id AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a) m ON m.a = w.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op9_quality_rules)}
+ORACLE = {"op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
