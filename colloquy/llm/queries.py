@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import jaccard_tree, mixing, quality, sharding, token_count, toxicity, url_filter
-from .common import prepare, read
+from . import jaccard_tree, mixing, quality, sharding, token_count, toxicity, url_filter, warc
+from .common import read, staging_path
 
 
 def op4_jaccard_join(spark, sf_dir):
@@ -17,6 +17,12 @@ def op5_token_counts(spark, sf_dir):
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_warc(spark, sf_dir):
+    """Write a WARC record per page, index first, and read all records back by the index."""
+    index = warc.write(read(spark, sf_dir, "pages"), staging_path(spark, "warc"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark, sf_dir):
     """Rule bitmask ledger over all documents."""
     return quality.quality_ledger(read(spark, sf_dir, "documents"))
@@ -57,5 +63,5 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op8_warc, op9_quality_rules)}
 ORACLE = {"op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
