@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_tree, mixing, quality, sharding, token_count, toxicity, url_filter, warc
+from . import jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import read, staging_path
 
 
@@ -48,6 +48,11 @@ def op6_sharding(spark, sf_dir):
     return sharding.assign(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    """Bytes of every document without the 400-byte strings that occur elsewhere."""
+    return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
+
+
 #: All pairs that share a shingle, then classes by spreading the least id.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -63,5 +68,5 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op8_warc, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op8_warc, op9_quality_rules, op10_suffix_dedup)}
 ORACLE = {"op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
