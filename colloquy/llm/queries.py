@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import decontaminate, jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import read, staging_path
 
 
@@ -17,6 +17,11 @@ def op5_token_counts(spark, sf_dir):
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item, with the nearest stretch."""
+    return decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op8_warc(spark, sf_dir):
     """Write a WARC record per page, index first, and read all records back by the index."""
     index = warc.write(read(spark, sf_dir, "pages"), staging_path(spark, "warc"))
@@ -68,5 +73,5 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op8_warc, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup)}
 ORACLE = {"op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}

@@ -17,6 +17,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters, digits and the bytes of other characters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -67,14 +70,15 @@ class Words:
         return np.diff(self.first)
 
 
-def words(texts: list[bytes], lower: bool = False) -> Words:
+def words(texts: list[bytes], lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """``space``: by byte value, whether it parts words; the line feed must."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         buf = _LOWER[buf]
     base = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=base[1:])
     inside = np.zeros(len(buf) + 1, np.int8)
-    inside[1:] = ~_SPACE[buf]
+    inside[1:] = ~space[buf]
     edge = np.diff(inside)
     start = np.flatnonzero(edge == 1)
     end = np.flatnonzero(edge == -1)
