@@ -93,17 +93,17 @@ def slice_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _describe(k: int, docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, n (set size), one, two (set hashes) per row."""
+def _describe(k: int, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """doc_id, the columns ``keep``, n (set size), one, two (set hashes) per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "__text"):
             sets = shingle_sets(words(texts, lower=True), k)
             one, two = set_keys(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n", "one", "two"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["doc_id", *keep, "n", "one", "two"])
 
-    return docs.select("doc_id", F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"doc_id {kind}, n bigint, one bigint, two bigint")
+    return docs.select("doc_id", *keep, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"doc_id {kind}, {''.join(f'{c} bigint, ' for c in keep)}n bigint, one bigint, two bigint")
 
 
 def _chains(k: int, t: Threshold, docs: DataFrame, text: str) -> DataFrame:
@@ -261,12 +261,24 @@ def _block_links(k: int, t: Threshold, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": [x for x, _ in out], "b": [x for _, x in out]}, dtype="int64")
 
 
-def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", leaves: int = LEAVES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; ``doc_id`` must be of an
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row with the least id, of
+    rows equal in id and text one.  Texts without words and sets without an id stay."""
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = classes(rows, k, num, den, keep=["__key"])
+    free = found.where("component_id IS NULL OR n_shingles = 0").select("__key")
+    first = found.where("component_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one"))
+    stay = free.unionByName(first.select(F.col("one.__key").alias("__key"))).distinct()
+    return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*docs.columns)
+
+
+def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", leaves: int = LEAVES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the bigint columns ``keep``, n_shingles and component_id for every row of ``docs``; ``doc_id`` must be of an
     integer type.  Sets link at Jaccard similarity num / den or more on shingles of k words."""
     prepare(docs.sparkSession)
     t = Threshold(num, den)
-    found = _describe(k, docs, text).checkpoint()
+    keep = keep or []
+    found = _describe(k, docs, text, keep).checkpoint()
     blocks = components(_chains(k, t, docs, text), "a", "b")  # of set hashes
     blocks = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     # one document for each distinct set of a block with others in it
@@ -283,4 +295,4 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str =
     named = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
     named = named.join(joined, named["rep"] == joined["node"], "left").select(F.col("one").alias("o"), F.col("two").alias("w"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("class"))
     out = found.join(named, F.expr("one = o AND two = w AND n = m AND n > 0"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -146,6 +146,18 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     return joined.select(*keep, "size", "source_size", "target", "taken")
 
 
+def repeat(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` mixed: every row as often as the mix takes its words, rounded; at most one
+    document of a source is taken in part.  Rows equal in id and text are repeated as one row.
+    Texts without words are never taken."""
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    taken = mix(rows, ["__key"], block=block).where("size > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    copies = taken.groupBy("__key").agg(F.sum(times).alias("__n")).where(F.col("__n") > 0)
+    out = rows.dropDuplicates(["__key"]).join(copies, "__key").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return out.select(*docs.columns)
+
+
 #: DuckDB SQL of the rows of mix over a table of documents: the closed form of the schedule,
 #: which takes the first floor(target) words of each source's repeating stream.
 SQL = r"""

@@ -21,6 +21,8 @@ from .common import prepare, text_batches
 from .words import windows, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Measured for rules alone: lines with a word, words equal to the one before.
+OTHERS = ["n_lines", "n_stutter"]
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
@@ -32,14 +34,16 @@ RULES = {
     "repeated_lines": (3, "n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     "word_length": (4, "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     "too_many_words": (5, "n_words > 1000000"),
+    "stutter": (6, "n_words >= 20 and 10 * n_stutter > 3 * n_words"),
 }
 #: Policy version: the rules that reject a document.
 POLICIES = {
     "base": ("too_few_words", "repeated_words"),
     "v1": ("too_few_words", "repeated_words", "symbol_noise", "repeated_lines", "word_length"),
-    "v2": ("too_few_words", "repeated_words", "symbol_noise", "repeated_lines", "word_length", "too_many_words"),
+    "v2": ("too_few_words", "repeated_words", "symbol_noise", "repeated_lines", "word_length", "stutter"),
+    "v3": ("too_few_words", "repeated_words", "symbol_noise", "repeated_lines", "word_length", "stutter", "too_many_words"),
 }
-CURRENT = "v1"
+CURRENT = "v2"
 
 
 def mask(policy: str | tuple[str, ...]) -> int:
@@ -70,6 +74,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     np.add.at(cover, repeat, 1)
     np.add.at(cover, repeat + WINDOW, -1)
     covered = np.cumsum(cover)[:n] > 0
+    again = np.zeros(n, bool)  # words equal to the one before
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & (text_of[1:] == text_of[:-1])
     dup_lines, lines = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if b"\n" in t:
@@ -84,6 +90,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         "n_dup_lines": dup_lines,
         "n_repeat_words": np.bincount(text_of, covered, len(texts)).astype(np.int64),
         "n_lines": lines,
+        "n_stutter": np.bincount(text_of, again, len(texts)).astype(np.int64),
     }
 
 
@@ -98,10 +105,10 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     """One row per row of ``docs``: the columns ``keep`` (default: all), the measurements and
     ``failed``, the bitmask of failed rules."""
     prepare(docs.sparkSession)
-    own = [*MEASURES, "n_lines", "failed"]
+    own = [*MEASURES, *OTHERS, "failed"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{m} bigint" for m in [*MEASURES, "n_lines"]])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"{m} bigint" for m in [*MEASURES, *OTHERS]])
     bits = [F.when(F.expr(cond), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long") for bit, cond in RULES.values()]
     failed = bits[0]
     for b in bits[1:]:
@@ -131,6 +138,14 @@ def ablate(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
+def passing(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their columns, also those whose names
+    clash with the ledger's."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = apply_policies(ledger(docs.toDF(*own), own[docs.columns.index(text)]), (policy,))
+    return rows.where(F.col(f"kept_{policy}")).select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns)])
+
+
 def quality_ledger(docs: DataFrame) -> DataFrame:
     """The contract's row per document: measurements, base verdict and the current policy's."""
     rows = apply_policies(ledger(docs, keep=["doc_id"]), ("base", CURRENT))
@@ -145,7 +160,8 @@ MEASURE_SQL = rf"""
     coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (length(ls) - length(list_distinct(ls)))::BIGINT AS n_dup_lines,
-    length(ls)::BIGINT AS n_lines, ws, rid
+    length(ls)::BIGINT AS n_lines, ws, rid,
+    length(list_filter(range(2, length(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stutter
   FROM (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
       regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws,
       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls
@@ -156,13 +172,14 @@ win AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g
   FROM (SELECT rid, ws, unnest(range(1, greatest(length(ws) - 6, 1)::BIGINT)) AS i FROM m)),
 rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(range(0, 8)) AS j) GROUP BY rid),
-r AS (SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_lines,
+r AS (SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_lines, m.n_stutter,
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM m LEFT JOIN cov USING (rid)),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
   + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
   + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
   + (CASE WHEN n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
   + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END)
-  + (CASE WHEN n_words > 1000000 THEN 32 ELSE 0 END) AS b FROM r)
+  + (CASE WHEN n_words > 1000000 THEN 32 ELSE 0 END)
+  + (CASE WHEN n_words >= 20 AND 10 * n_stutter > 3 * n_words THEN 64 ELSE 0 END) AS b FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (b & 3) <> 0 AS base_failed, (b & 31) = 0 AS kept, b::BIGINT AS failed FROM f"""
+  (b & 3) <> 0 AS base_failed, (b & 95) = 0 AS kept, b::BIGINT AS failed FROM f"""
