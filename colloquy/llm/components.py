@@ -34,5 +34,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         now = _small_star(_large_star(now)).checkpoint()
         r = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
         if (r["n"], r["h"]) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            rest = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return rest.unionByName(rest.select(F.col("component").alias("node"), "component").distinct())
         mark = (r["n"], r["h"])

@@ -267,7 +267,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     found = classes(rows, k, num, den, keep=["__key"])
     free = found.where("component_id IS NULL OR n_shingles = 0").select("__key")
-    first = found.where("component_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one"))
+    first = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one"))
     stay = free.unionByName(first.select(F.col("one.__key").alias("__key"))).distinct()
     return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*docs.columns)
 
@@ -280,7 +280,6 @@ def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str =
     keep = keep or []
     found = _describe(k, docs, text, keep).checkpoint()
     blocks = components(_chains(k, t, docs, text), "a", "b")  # of set hashes
-    blocks = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     # one document for each distinct set of a block with others in it
     reps = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
     reps = reps.where("rep IS NOT NULL").join(blocks, reps["one"] == blocks["node"]).select("rep", "one", "n", F.col("component").alias("block")).checkpoint()

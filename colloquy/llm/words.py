@@ -92,7 +92,7 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = h * _U(0xD6E8FEB86659FD93)
-        h[: n - j] += w.hash[j:]
+        h[: max(0, n - j)] += w.hash[j:]
     left = np.repeat(w.first[1:], w.count) - np.arange(n)
     return mix(h + _U(k)), left >= k
 
