@@ -27,6 +27,9 @@ BLANK_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 REASON_MARKER = "Reason:"
 ANSWER_MARKER = "Final Response:"
 
+# Fixed value: opens the organizer's input.
+MAIN_SYMPTOM = "Main Symptom: "
+
 # Scalars PyYAML's safe loader reads as booleans.
 YAML_TRUE = ["yes", "Yes", "YES", "true", "True", "TRUE", "on", "On", "ON"]
 YAML_FALSE = ["no", "No", "NO", "false", "False", "FALSE", "off", "Off", "OFF"]
@@ -100,16 +103,25 @@ def fenced_block(col, lang: str = "yaml") -> Column:
     return F.when(s.contains(fence), F.substring_index(after, "```", 1)).otherwise(s)
 
 
-def _after_key(col, key: str) -> Column:
-    s = _c(col)
-    return F.when(s.contains(key), F.substr(s, F.locate(key, s) + len(key)))
+def _unquote(col: Column) -> Column:
+    """A YAML scalar without its quotes (``''`` and ``\\"`` inside them undone)."""
+    c = F.trim(col, F.lit(" \t"))
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    return (F.when((F.length(c) >= 2) & c.startswith('"') & c.endswith('"'), F.replace(inner, F.lit('\\"'), F.lit('"')))
+            .when((F.length(c) >= 2) & c.startswith("'") & c.endswith("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+            .otherwise(c))
 
 
 def parse_predictions(block) -> Column:
-    """``Diseases:`` YAML list of the predictor reply -> ARRAY<STRING>
-    (NULL when the key is missing)."""
-    after = _after_key(block, "Diseases:")
-    return F.regexp_extract_all(after, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1))
+    """``Diseases:`` list of the predictor reply -> ARRAY<STRING>, from a block list (items up to
+    the next unindented key) or a flow list; items lose their quotes.  NULL, a parse error, when
+    the key or its items are missing."""
+    b = F.concat(_c(block), F.lit("\n"))
+    part = F.regexp_extract(b, r"(?m)^Diseases:[ \t]*(\[[^\]]*\]|(?:\n(?:[ \t]*-(?:[ \t][^\n]*)?|[ \t]+[^\n]*|))*)", 1)
+    flow = F.regexp_extract_all(F.substring(part, F.lit(2), F.length(part) - 2), F.lit(r"""[ \t\n]*("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1))
+    items = F.when(part.startswith("["), flow).otherwise(F.regexp_extract_all(part, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)))
+    items = F.filter(F.transform(items, _unquote), lambda x: x != "")
+    return F.when(F.size(items) > 0, items)
 
 
 def yaml_bool(col) -> Column:
@@ -119,17 +131,23 @@ def yaml_bool(col) -> Column:
 
 
 def parse_judgement(block) -> Column:
-    """``Reasoning`` / ``Result`` fields of the judge reply.
+    """``Reasoning`` / ``Result`` fields of the judge reply, both unindented keys.  The reasoning
+    may be a block scalar (``|`` keeps lines, ``>`` folds them; the indent and outer blank lines
+    go), a quoted or a plain scalar, also over several indented lines.
 
     ``ok`` is false when either field is missing (the original retries and
     then fails); ``result`` is NULL when the value is not a YAML boolean, so
     it never counts as a correct answer."""
-    b = _c(block)
-    has_reasoning = b.rlike(r"(?m)^[ \t]*Reasoning:")
-    has_result = b.rlike(r"(?m)^[ \t]*Result:")
-    reasoning = F.regexp_extract(b, r"(?s)Reasoning:[ \t]*(.*?)[ \t\n]*(?:\n[ \t]*Result:|\z)", 1)
-    result_text = F.regexp_extract(b, r"(?m)^[ \t]*Result:[ \t]*(.*?)[ \t]*$", 1)
-    ok = has_reasoning & has_result
+    b = F.concat(_c(block), F.lit("\n"))
+    key = r"(?m)^Reasoning:[ \t]*([^\n]*)((?:\n[ \t]+[^\n]*|\n(?=\n))*)"
+    first, rest = F.rtrim(F.regexp_extract(b, key, 1)), F.regexp_extract(b, key, 2)
+    indent = F.regexp_extract(rest, r"\A(?:\n[ \t]*(?=\n))*\n([ \t]+)", 1)
+    literal = F.trim(F.when(indent != "", F.replace(rest, F.concat(F.lit("\n"), indent), F.lit("\n"))).otherwise(rest), F.lit("\n \t"))
+    folded = F.regexp_replace(literal, r"[ \t]*\n[ \t]*", " ")
+    plain = _unquote(F.regexp_replace(F.concat(first, F.rtrim(rest)), r"[ \t]*\n[ \t]*", " "))
+    reasoning = F.when(first.rlike(r"\A\|[+-]?\z"), literal).when(first.rlike(r"\A>[+-]?\z"), folded).otherwise(plain)
+    result_text = F.regexp_extract(b, r"(?m)^Result:[ \t]*([^\n]*?)[ \t]*$", 1)
+    ok = F.coalesce(b.rlike(r"(?m)^Reasoning:") & b.rlike(r"(?m)^Result:"), F.lit(False))
     return F.struct(
         F.when(ok, reasoning).alias("reasoning"),
         F.when(ok, result_text).alias("result_text"),
@@ -143,7 +161,7 @@ def render_dialogue(head, body, turns: int) -> Column:
     body items, one per line after a blank line, stripped.  NULL when the
     body is shorter (the original fails with an index error there)."""
     items = F.slice(_c(body), 1, 2 * turns) if turns > 0 else F.array().cast("array<string>")
-    text = F.concat(F.lit("Main Symptom: "), _c(head), F.lit("\n\n"), F.array_join(items, "\n"))
+    text = F.concat(F.lit(MAIN_SYMPTOM), _c(head), F.lit("\n\n"), F.array_join(items, "\n"))
     return F.when(F.size(_c(body)) >= 2 * turns, strip(text))
 
 
@@ -165,7 +183,7 @@ def render_profile(info, trailing_newline: bool = False) -> Column:
     ``trailing_newline`` selects the diagnosis variant (every line ends
     with a newline) over the simulator variant (lines joined)."""
     lines = F.transform(F.map_entries(_c(info)),
-                        lambda e: F.concat(e["key"], F.lit(": "), _list_value(e["value"])))
+                        lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(_list_value(e["value"]), F.lit("None"))))
     text = F.array_join(lines, "\n")
     if trailing_newline:
         text = F.when(F.size(lines) > 0, F.concat(text, F.lit("\n"))).otherwise(F.lit(""))
@@ -173,8 +191,10 @@ def render_profile(info, trailing_newline: bool = False) -> Column:
 
 
 def pad_key(col, width: int = 8) -> Column:
-    """``f'{pid:08d}'``: zero padding that never truncates longer ids."""
-    return F.format_string(f"%0{width}d", _c(col).cast("bigint"))
+    """``f'{pid:08d}'``: zero padding that never truncates longer ids; NULL for a key that is no
+    integer (such rows show up as unmatched)."""
+    number = _c(col).cast("string").try_cast("bigint")
+    return F.when(number.isNotNull(), F.format_string(f"%0{width}d", number))
 
 
 def chief_complaint(info, keys: tuple[str, ...] = ("주증상", "Chief Complaint")) -> Column:
@@ -182,6 +202,16 @@ def chief_complaint(info, keys: tuple[str, ...] = ("주증상", "Chief Complaint
     return F.coalesce(*[F.try_element_at(_c(info), F.lit(k)) for k in keys])
 
 
+def profile_text(profile, drop: tuple[str, ...] = ("token", "pid")) -> Column:
+    """Whole profile as the patient prompt shows it: a JSON object without the dropped keys, in
+    key order; lists and objects kept as JSON, missing values as ``null``."""
+    entries = F.map_entries(drop_keys(profile, drop))
+    nested = lambda v: v.rlike(r"\A(?s:\[.*\]|\{.*\})\z")
+    one = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)\A\[(.*)\]\z", 1)
+    lines = F.transform(entries, lambda e: F.concat(one(e["key"]), F.lit(": "), F.when(e["value"].isNull(), F.lit("null")).when(nested(e["value"]), e["value"]).otherwise(one(e["value"]))))
+    return F.concat(F.lit("{"), F.array_join(lines, ", "), F.lit("}"))
+
+
 def drop_keys(info, keys: tuple[str, ...] = ("token", "pid")) -> Column:
     """Profile map without the given keys (order of the rest kept)."""
     return F.map_filter(_c(info), lambda k, v: ~k.isin(list(keys)))

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.operators.joins import broadcast_if_small
+
+# The headings of the judge's and the predictor's input.
+PREDICTIONS, GOLDEN = "model_predictions: \n", "\ngolden_standard: \n"
+PATIENT_INFO, HISTORY = "patient_info: \n", "\nmedical_history: \n"
 
 
 def profile_key(col) -> Column:
@@ -16,13 +19,22 @@ def profile_key(col) -> Column:
 
 
 def join_profile(dialogues: DataFrame, profiles: DataFrame, pid_col: str = "pid",
-                 how: str = "inner") -> DataFrame:
-    """Dialogues with their profile on the padded key.  The profile side is
-    broadcast only when its estimated size is below the limit; otherwise a
-    shuffle join (AQE may still convert it at run time)."""
+                 how: str = "left") -> DataFrame:
+    """Dialogues with their profile on the padded key; a dialogue without
+    one keeps its row with a NULL ``profile_key``.  ``profiles`` holds each
+    pid once (``last_profiles``)."""
     p = profiles.withColumnRenamed("pid", "profile_key")
     d = dialogues.withColumn("__key", profile_key(F.col(pid_col)))
-    return d.join(broadcast_if_small(p), F.col("__key") == F.col("profile_key"), how).drop("__key")
+    return d.join(p, F.col("__key") == F.col("profile_key"), how).drop("__key")
+
+
+def last_profiles(profiles: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One row per pid, the last one by ``order_col`` (file order, as
+    numbered at ingest); without it, the greatest by its JSON text."""
+    values = [c for c in profiles.columns if c not in ("pid", order_col)]
+    packed = F.struct(*values)
+    order = F.col(order_col) if order_col else F.to_json(packed)
+    return profiles.groupBy("pid").agg(F.max_by(packed, order).alias("__p")).select("pid", "__p.*")
 
 
 def unmatched_profiles(dialogues: DataFrame, profiles: DataFrame, pid_col: str = "pid") -> DataFrame:
@@ -44,20 +56,25 @@ def dedup_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
 
 def judge_input(predictions: Column, disease: Column) -> Column:
     """``model_predictions: \\n<p>\\ngolden_standard: \\n<g>``."""
-    return F.concat(F.lit("model_predictions: \n"), predictions, F.lit("\ngolden_standard: \n"), disease)
+    return F.concat(F.lit(PREDICTIONS), predictions, F.lit(GOLDEN), disease)
 
 
 def predictor_input(profile_text: Column, history: Column) -> Column:
     """``patient_info: \\n<profile>\\nmedical_history: \\n<history>``."""
-    return F.concat(F.lit("patient_info: \n"), profile_text, F.lit("\nmedical_history: \n"), history)
+    return F.concat(F.lit(PATIENT_INFO), profile_text, F.lit(HISTORY), history)
 
 
 def python_list_text(arr: Column) -> Column:
-    """``str(list)`` of a list of plain strings (how the predictions are
-    shown to the judge): ``['a', 'b']``."""
-    quoted = F.transform(arr, lambda x: F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")),
-                                                                       F.lit("'"), F.lit("\\'")), F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """``str(list)`` of a list of strings (how the predictions are shown to
+    the judge): ``['a', "Crohn's"]``; the quote is chosen as ``repr`` does."""
+    def quoted(x):
+        body = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            body = F.replace(body, F.lit(raw), F.lit(shown))
+        double = x.contains("'") & ~x.contains('"')
+        return (F.when(double, F.concat(F.lit('"'), body, F.lit('"')))
+                .otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(arr, quoted), ", "), F.lit("]"))
 
 
 def top_k(predictions: Column, k: int = 1) -> Column:

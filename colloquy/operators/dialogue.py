@@ -37,6 +37,13 @@ def cut_turns(qa, turns: int) -> Column:
     return F.slice(X._c(qa), 1, 2 * turns + 1)
 
 
+def cut_run(df: DataFrame, turns: int, qa_col: str = "QA", turn_col: str = "turn") -> DataFrame:
+    """A run cut to ``turns`` is a run of its own: its dialogues are cut and
+    carry the new turn number, so that writing it leaves the longer run as
+    it is."""
+    return df.withColumn(qa_col, cut_turns(qa_col, turns)).withColumn(turn_col, F.lit(turns).cast(df.schema[turn_col].dataType))
+
+
 def head(qa) -> Column:
     return F.try_element_at(X._c(qa), F.lit(1))
 
@@ -81,10 +88,11 @@ def chat_messages(qa, system_prompt, mode: str = "doctor") -> Column:
 def chat_message_rows(turn_rows: DataFrame, keys: list[str], system_prompt: Column, mode: str,
                       pos_col: str = "pos", text_col: str = "text") -> DataFrame:
     """The same messages as rows ``(keys, msg_idx, role, content)`` straight
-    from turn rows: no dialogue is ever collected into one row."""
-    items = turn_rows.select(*keys, (F.col(pos_col) + 1).cast("bigint").alias("msg_idx"),
-                             chat_roles(mode, F.col(pos_col)).alias("role"), F.col(text_col).alias("content"))
-    system = turn_rows.select(*keys).distinct().select(
-        *keys, F.lit(0).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"),
-        system_prompt.alias("content"))
-    return system.unionByName(items)
+    from turn rows in one scan: item 0 brings the system row along, and no
+    dialogue is ever collected into one row."""
+    item = F.struct((F.col(pos_col) + 1).cast("bigint").alias("msg_idx"), chat_roles(mode, F.col(pos_col)).alias("role"),
+                    F.col(text_col).alias("content"))
+    system = F.struct(F.lit(0).cast("bigint").alias("msg_idx"), F.lit("system").alias("role"),
+                      system_prompt.alias("content"))
+    rows = F.explode(F.when(F.col(pos_col) == 0, F.array(system, item)).otherwise(F.array(item)))
+    return turn_rows.select(*keys, rows.alias("m")).select(*keys, "m.*")

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Hard ceiling for an explicit broadcast hint, whatever the session says.
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan (no job is run)."""
     try:
@@ -18,21 +14,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit = int(str(conf).lower().rstrip("b").replace("k", "000").replace("m", "000000"))
-    except ValueError:
-        limit = 10 * 1024 * 1024
-    # the small sides passed here are label / rule tables: allow a bit more
-    # than the automatic threshold, never more than the hard ceiling
-    return min(max(limit, 64 * 1024 * 1024), MAX_BROADCAST_BYTES)
+    """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 is off."""
+    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
+    return int(text.rstrip("kmg")) * unit
 
 
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast only when the estimated size is known and below
-    ``limit``; otherwise leave the choice to the planner and AQE, which
-    re-plans from runtime sizes (shuffle join beyond the limit)."""
+    """Hint a broadcast only when the estimated size is known and below the
+    session's limit (or a smaller ``limit``); otherwise leave the choice to
+    the planner and AQE, which re-plans from runtime sizes."""
     size = estimated_bytes(df)
-    if size is not None and size <= (limit or broadcast_limit(df)):
+    if size is not None and size <= (broadcast_limit(df) if limit is None else min(limit, broadcast_limit(df))):
         return F.broadcast(df)
     return df

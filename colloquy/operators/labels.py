@@ -53,10 +53,16 @@ def label_cover(gold: DataFrame) -> DataFrame:
     return pairs.where(F.concat(F.lit("- "), F.col("cover")).contains(F.col("symptom")))
 
 
-def has_multiline_labels(gold: DataFrame) -> bool:
-    """True when some label contains a newline (the cover relation above is
-    then not exact and scoring uses the window form)."""
-    return gold.where(F.col("symptom").contains("\n")).limit(1).count() > 0
+def accepted_labels(gold: DataFrame) -> DataFrame:
+    """Labels that can be matched: one line each.  A label with a line break
+    could be found across several lines of a trace, which no lookup by label
+    can tell; such rows are reported by ``refused_labels``."""
+    return gold.where(~F.coalesce(F.col("symptom").contains("\n"), F.lit(False)))
+
+
+def refused_labels(gold: DataFrame) -> DataFrame:
+    """The rows that ``accepted_labels`` leaves out, with the reason."""
+    return gold.where(F.col("symptom").contains("\n")).withColumn("error", F.lit("label spans lines"))
 
 
 def first_rows(df: DataFrame, keys: list[str], order_col: str, value_cols: list[str]) -> DataFrame:

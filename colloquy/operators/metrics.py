@@ -64,61 +64,49 @@ def error_guard(org_col: str = "organized_QA") -> Column:
     return F.coalesce(F.col(org_col).contains("Error"), F.lit(True))
 
 
-def _r(c: Column) -> Column:
-    return F.round(c, 6)
+def _pct(x: Column, q) -> Column:
+    return F.percentile(x, F.array(*[F.lit(v) for v in q]) if isinstance(q, list) else F.lit(q))
 
 
-# ``approx``: relative error bound of ``percentile_approx`` (its accuracy
-# is 1 / error); None keeps the exact, interpolated percentiles.
-def _pct(x: Column, q, approx: float | None) -> Column:
-    if approx is None:
-        return F.percentile(x, F.array(*[F.lit(v) for v in q]) if isinstance(q, list) else F.lit(q))
-    acc = int(round(1 / approx))
-    return F.percentile_approx(x, F.array(*[F.lit(v) for v in q]) if isinstance(q, list) else F.lit(q), acc)
-
-
-def _stat_aggs(col: str, clean: Column, describe: bool, approx: float | None = None) -> list[Column]:
+def _stat_aggs(col: str, clean: Column, describe: bool) -> list[Column]:
     x = F.when(clean, F.col(col).cast("double"))
     out = [
-        _r(F.avg(x)).alias(f"{col}_mean"),
-        _r(_pct(x, 0.5, approx)).alias(f"{col}_median"),
-        _r(F.stddev_samp(x)).alias(f"{col}_std"),
+        F.avg(x).alias(f"{col}_mean"),
+        _pct(x, 0.5).alias(f"{col}_median"),
+        F.stddev_samp(x).alias(f"{col}_std"),
     ]
     if describe:
-        q = _pct(x, [0.25, 0.5, 0.75], approx)
+        q = _pct(x, [0.25, 0.5, 0.75])
         out += [
             F.count(x).alias(f"{col}_count"),
             F.min(x).alias(f"{col}_min"),
-            _r(q[0]).alias(f"{col}_p25"),
-            _r(q[2]).alias(f"{col}_p75"),
+            q[0].alias(f"{col}_p25"),
+            q[2].alias(f"{col}_p75"),
             F.max(x).alias(f"{col}_max"),
         ]
     return out
 
 
-def score_stats(df: DataFrame, keys=RUN_KEYS, approx: float | None = None) -> DataFrame:
-    """mean / median / sample std of the four scores over clean rows
-    (``approx``: opt-in approximate median for very large runs)."""
+def score_stats(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
+    """mean / median / sample std of the four scores over clean rows."""
     clean = is_clean()
-    return df.groupBy(*keys).agg(*[a for c in SCORE_COLS for a in _stat_aggs(c, clean, False, approx)])
+    return df.groupBy(*keys).agg(*[a for c in SCORE_COLS for a in _stat_aggs(c, clean, False)])
 
 
 def score_describe(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
     """pandas ``describe()`` of each score over clean rows, long format:
     ``keys, metric, count, mean, std, min, p25, p50, p75, max``."""
-    stacked = df.where(is_clean()).select(
-        *keys, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in SCORE_COLS
-        ])).alias("m")).select(*keys, "m.metric", "m.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return stacked.groupBy(*keys, "metric").agg(
-        F.count("v").alias("count"), _r(F.avg("v")).alias("mean"), _r(F.stddev_samp("v")).alias("std"),
-        F.min("v").alias("min"), _r(q[0]).alias("p25"), _r(q[1]).alias("p50"), _r(q[2]).alias("p75"),
-        F.max("v").alias("max"))
+    clean = is_clean()
+    wide = df.groupBy(*keys).agg(*[a for c in SCORE_COLS for a in _stat_aggs(c, clean, True)])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), *[F.col(f"{c}_{n}").alias(m) for n, m in (
+        ("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "p25"), ("median", "p50"), ("p75", "p75"), ("max", "max"))])
+        for c in SCORE_COLS])
+    # runs without a clean row have no describe, as an empty frame has none
+    return wide.where(F.greatest(*[F.col(f"{c}_count") for c in SCORE_COLS]) > 0).select(*keys, F.explode(rows).alias("m")).select(*keys, "m.*")
 
 
 def _rate(flag: Column, clean: Column) -> Column:
-    return _r(F.try_divide(F.count_if(clean & flag).cast("double"), F.count_if(clean).cast("double")))
+    return F.try_divide(F.count_if(clean & flag).cast("double"), F.count_if(clean).cast("double"))
 
 
 def accuracy_aggs() -> list[Column]:
@@ -145,10 +133,10 @@ def error_counts(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(*count_aggs())
 
 
-def run_leaderboard(df: DataFrame, keys=RUN_KEYS, approx: float | None = None) -> DataFrame:
+def run_leaderboard(df: DataFrame, keys=RUN_KEYS) -> DataFrame:
     """All run metrics in one aggregation: one row per (model, turn)."""
     clean = is_clean()
-    aggs = [a for c in SCORE_COLS for a in _stat_aggs(c, clean, False, approx)] + accuracy_aggs() + count_aggs()
+    aggs = [a for c in SCORE_COLS for a in _stat_aggs(c, clean, False)] + accuracy_aggs() + count_aggs()
     return df.groupBy(*keys).agg(*aggs)
 
 

@@ -10,7 +10,6 @@ as a table from any batch service, joined back on ``request_id``.
 from __future__ import annotations
 
 import time
-import traceback
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -31,23 +30,39 @@ UNSUPPORTED = "unsupported"
 PATIENT_PROVIDER = "openai"
 PATIENT_MODEL = "gpt-4o-mini"
 MISSING_RESPONSE = "Error"
+# Fixed value: system message of the stages that have no prompt of their own.
+DEFAULT_SYSTEM = "You are a helpful assistant."
 
 
 def request_id(stage: str, *parts) -> Column:
-    """Stable id: SHA-256 of ``stage|part1|part2|...``."""
-    cols = [F.lit(stage)] + [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
-    return F.sha2(F.concat_ws("|", *cols), 256)
+    """Stable id: SHA-256 of the stage and each part with its length (a NULL
+    part is ``|-``), so different keys never give the same text."""
+    texts = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    marked = [F.coalesce(F.concat(F.lit("|"), F.length(t).cast("string"), F.lit(":"), t), F.lit("|-")) for t in texts]
+    return F.sha2(F.concat(F.lit(stage), *marked), 256)
+
+
+def messages(prompt: Column, system: Column | str | None = None) -> Column:
+    """``ARRAY<STRUCT<role, content>>`` of a system and a user message."""
+    head = system if isinstance(system, Column) else F.lit(DEFAULT_SYSTEM if system is None else system)
+    return F.array(F.struct(F.lit("system").alias("role"), head.alias("content")),
+                   F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+
+
+def last_replies(replies: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One reply per request: the last by ``order_col`` that has a text; at-least-once services
+    deliver some twice.  Without an order column, the greatest text."""
+    order = F.col(order_col) if order_col else F.col("response")
+    has = F.col("response").isNotNull()
+    return replies.groupBy("request_id").agg(F.max_by("response", F.when(has, order)).alias("response"))
 
 
 def emit_requests(df: DataFrame, stage: str, key_cols: Sequence[str], prompt: Column,
                   system: Column | None = None) -> DataFrame:
     """``(request_id, stage, keys..., messages)`` with a system and a user
     message; the caller filters failed rows first so they cost no call."""
-    sys_msg = F.struct(F.lit("system").alias("role"),
-                       (system if system is not None else F.lit("You are a helpful assistant.")).alias("content"))
-    user = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
     return df.select(request_id(stage, *key_cols).alias("request_id"), F.lit(stage).alias("stage"),
-                     *key_cols, F.array(sys_msg, user).alias("messages"))
+                     *key_cols, messages(prompt, system).alias("messages"))
 
 
 def route_provider(model: Column, n_messages: Column) -> tuple[Column, Column]:
@@ -62,10 +77,11 @@ def route_provider(model: Column, n_messages: Column) -> tuple[Column, Column]:
             F.when(even, model).otherwise(F.lit(PATIENT_MODEL)))
 
 
-def join_responses(requests: DataFrame, responses: DataFrame, how: str = "left") -> DataFrame:
-    """Requests with their reply by ``request_id`` (replaces the
-    future -> row-index map)."""
-    return requests.join(responses, "request_id", how)
+def join_responses(requests: DataFrame, responses: DataFrame, how: str = "left",
+                   on: str | list[str] = "request_id") -> DataFrame:
+    """Requests with their reply (replaces the future -> row-index map); by
+    the natural key where the replies still carry it, which is narrower."""
+    return requests.join(responses, on, how)
 
 
 def with_missing_default(df: DataFrame, response_col: str = "response") -> DataFrame:
@@ -76,64 +92,91 @@ def with_missing_default(df: DataFrame, response_col: str = "response") -> DataF
 
 # ------------------------------------------------------------------ U1/U2
 
-def _call_batch(fn, prompts: list[str], max_retries: int, backoff: float):
-    """Whole-batch call first; on failure, item by item with bounded
-    retries and exponential back-off.  Returns (responses, errors, attempts)."""
-    try:
-        out = list(fn(prompts))
-        if len(out) != len(prompts):
-            raise ValueError(f"model returned {len(out)} replies for {len(prompts)} prompts")
-        return out, [None] * len(prompts), [1] * len(prompts)
-    except Exception:  # noqa: BLE001 - fall back to single calls
-        pass
-    responses, errors, attempts = [], [], []
-    for p in prompts:
-        err = None
-        for attempt in range(max_retries):
-            try:
-                r = list(fn([p]))[0]
-                responses.append(r)
-                errors.append(None)
-                attempts.append(attempt + 1)
-                break
-            except Exception as e:  # noqa: BLE001
-                err = f"{type(e).__name__}: {e}"
-                if backoff and attempt + 1 < max_retries:
-                    time.sleep(backoff * (2 ** attempt))
-        else:
-            responses.append(None)
-            errors.append(err or traceback.format_exc(limit=1))
-            attempts.append(max_retries)
+def _call_batch(fn, items: list, valid, retryable, max_retries: int, backoff: float):
+    """One call for the whole batch, then calls for the items that failed or
+    whose reply is not valid, all of them together, with one back-off per
+    round.  ``attempts`` counts every call an item took part in."""
+    n = len(items)
+    responses, errors, attempts = [None] * n, [None] * n, [0] * n
+
+    def call(which: list[int]) -> None:
+        for i in which:
+            attempts[i] += 1
+        out = list(fn([items[i] for i in which]))
+        if len(out) != len(which):
+            raise ValueError(f"model returned {len(out)} replies for {len(which)} prompts")
+        for i, r in zip(which, out):
+            if valid is None or valid(r):
+                responses[i], errors[i] = r, None
+            else:
+                responses[i], errors[i] = None, "invalid reply"
+
+    todo = list(range(n))
+    for attempt in range(max_retries):
+        if attempt and backoff:
+            time.sleep(backoff * 2 ** (attempt - 1))
+        left = []
+        try:
+            call(todo)
+            left = [i for i in todo if errors[i]]
+        except Exception as e:  # noqa: BLE001 - one item may spoil the batch: ask for each
+            if len(todo) == 1:
+                errors[todo[0]] = f"{type(e).__name__}: {e}"
+                left = todo if retryable(e) else []
+            else:
+                for i in todo:
+                    if attempts[i] >= max_retries:
+                        errors[i] = f"{type(e).__name__}: {e}"
+                        continue
+                    try:
+                        call([i])
+                        again = errors[i] is not None
+                    except Exception as single:  # noqa: BLE001
+                        errors[i] = f"{type(single).__name__}: {single}"
+                        again = retryable(single)
+                    if again:
+                        left.append(i)
+        todo = [i for i in left if attempts[i] < max_retries]
+        if not todo:
+            break
     return responses, errors, attempts
 
 
-def apply_model(df: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[str]]],
+def apply_model(df: DataFrame, make_fn: Callable[[], Callable[[list], list[str]]],
                 prompt_col: str = "prompt", id_col: str = "request_id", batch_size: int = 16,
-                max_retries: int = 5, backoff_seconds: float = 1.0) -> DataFrame:
+                max_retries: int = 5, backoff_seconds: float = 1.0,
+                valid: Callable[[str], bool] | None = None,
+                retryable: Callable[[Exception], bool] | None = None) -> DataFrame:
     """Run the user's batch model over ``prompt_col``.
 
     ``make_fn()`` is called once per task (a client per task, like a
-    thread-local client) and must return ``fn(list[str]) -> list[str]``.
-    Rows reach Python as Arrow batches; a failing row ends with
-    ``response = NULL`` and the error text instead of failing the job.
+    thread-local client) and must return ``fn(list) -> list[str]``; its
+    items are texts, or lists of ``{role, content}`` when ``prompt_col`` is a
+    messages column.  A reply for which ``valid`` is false is asked for again;
+    an exception is retried if ``retryable`` says so (default: always).  Rows
+    reach Python as Arrow batches; a failing row ends with ``response = NULL``,
+    the error text and the number of calls made instead of failing the job.
     Concurrency is the number of partitions: ``repartition(n)`` first to
     bound the calls in flight."""
 
     from colloquy.session import ship_package
     ship_package(df.sparkSession)
+    again = retryable or (lambda e: True)
+
+    def shown(x):
+        return x if x is None or isinstance(x, str) else [{"role": m["role"], "content": m["content"]} for m in x]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()
         for pdf in batches:
             ids = pdf[id_col].tolist()
-            prompts = pdf[prompt_col].tolist()
+            prompts = [shown(x) for x in pdf[prompt_col].tolist()]
             for i in range(0, len(prompts), batch_size):
-                r, e, a = _call_batch(fn, prompts[i:i + batch_size], max_retries, backoff_seconds)
+                r, e, a = _call_batch(fn, prompts[i:i + batch_size], valid, again, max_retries, backoff_seconds)
                 yield pd.DataFrame({"request_id": ids[i:i + batch_size], "response": r, "error": e,
                                     "attempts": pd.Series(a, dtype="int32")})
 
-    return df.select(F.col(id_col).cast("string").alias(id_col), F.col(prompt_col).cast("string")
-                     .alias(prompt_col)).mapInPandas(run, schemas.MODEL_RESULT)
+    return df.select(F.col(id_col).cast("string").alias(id_col), prompt_col).mapInPandas(run, schemas.MODEL_RESULT)
 
 
 # ------------------------------------------------------------------ R9

@@ -16,28 +16,22 @@ Rules (per dialogue, in ``pos`` order):
 * trace lines ``- label`` (``Not in Gold Label`` for non-hits) and
   ``- reason`` for every row before the break.
 
-Two physical forms compute the same thing:
-
-``decomposed`` (default)
-    Only partial aggregations and equi-joins against small label tables:
-    first position per ``(dialogue, label)``, the break position, and the
-    "seen" test as a lookup of the earliest covering label.  No window and
-    no per-dialogue array: a dialogue holding a third of all rows is still
-    split across tasks (partial aggregation; AQE skew join for the single
-    join back).
-``window``
-    Windows over the dialogue with a running trace text; exact for any
-    label text, used as a cross-check and when a label contains a newline.
+Only partial aggregations and equi-joins against small label tables are
+used: first position per ``(dialogue, label)``, the break position, and the
+"seen" test as a lookup of the earliest covering label.  No window and no
+per-dialogue array of statements: a dialogue holding a third of all rows is
+still split across tasks (partial aggregation; AQE skew join for the single
+join back).  Labels are single lines (``labels.accepted_labels``); the
+tests hold the result against a running trace text in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators.joins import broadcast_if_small
-from colloquy.operators.labels import (NOT_IN_GOLD, gold_list_text, has_multiline_labels,
-                                       label_cover, label_weight)
+from colloquy.operators.labels import NOT_IN_GOLD, accepted_labels, gold_list_text, label_cover, label_weight
 
 SUBSTRING = "substring"
 EXACT = "exact"
@@ -91,42 +85,27 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
     return j.withColumn("live", _live(F.col("brk"))).withColumn("seen", seen).drop("cover_map")
 
 
-def _seen_window(ann: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    ordered = Window.partitionBy(*keys).orderBy("pos")
-    j = ann.withColumn("brk", F.min(F.when(F.col("poison"), F.col("pos"))).over(whole))
-    j = j.withColumn("live", _live(F.col("brk")))
-    if mode == EXACT:
-        seen = F.row_number().over(Window.partitionBy(*keys, "label").orderBy("pos")) > 1
-    else:
-        line = F.when(F.col("live"), F.concat(F.lit("- "), F.col("label"), F.lit("\n")))
-        prior = F.array_join(F.collect_list(line).over(
-            ordered.rowsBetween(Window.unboundedPreceding, -1)), "")
-        seen = F.coalesce(prior.contains(F.col("resp")), F.lit(False))
-    return j.withColumn("seen", seen)
-
-
 def bullet_flags(bullets: DataFrame, gold: DataFrame, keys: list[str],
-                 mode: str = SUBSTRING, form: str = "auto") -> DataFrame:
+                 mode: str = SUBSTRING) -> DataFrame:
     """Per-bullet ``hit, weight, poison, label, brk, live, seen``."""
-    ann = annotate_bullets(bullets, gold)
-    if form == "auto":
-        form = "window" if mode != EXACT and has_multiline_labels(gold) else "decomposed"
-    if form == "window":
-        return _seen_window(ann, keys, mode)
-    return _seen_decomposed(ann, gold, keys, mode)
+    gold = accepted_labels(gold)
+    return _seen_decomposed(annotate_bullets(bullets, gold), gold, keys, mode)
 
 
 def score_bullets(bullets: DataFrame, gold: DataFrame, keys: list[str],
-                  mode: str = SUBSTRING, form: str = "auto", carry: list[str] | None = None) -> DataFrame:
+                  mode: str = SUBSTRING, carry: list[str] | None = None) -> DataFrame:
     """One row per dialogue: ``n_bullets, n_live, break_pos, score,
     weighted_score, penalty_score, reward_score, label_trace,
     reason_trace, status`` (``clean`` or ``match_error``); with ``carry``
     also ``break_row``, the carried columns of the poisoning bullet."""
+    return score_flags(bullet_flags(bullets, gold, keys, mode), keys, carry)
+
+
+def score_flags(f: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """The scores from per-bullet flags."""
     carry = list(carry or [])
-    f = bullet_flags(bullets, gold, keys, mode, form)
     live_hit = F.col("live") & F.col("hit")
-    has_reason = "reason" in bullets.columns
+    has_reason = "reason" in f.columns
     f = f.select(
         *keys, "disease", "pos", *carry,
         F.col("live"), live_hit.alias("live_hit"), "brk",

@@ -2,7 +2,8 @@
 
 B1 bullets      = events (one dialogue per user, statements in time order)
 B2 dialogues    = conversations (one dialogue per conversation, by turn)
-B3 results      = labels JOIN documents (scored and diagnosed dialogues)
+B3 results      = documents LEFT JOIN labels (scored and diagnosed dialogues)
+C  evaluation   = orders (dialogues), part (labels), customer (profiles)
 B4 lookups      = orders, customer, nation, region, lineitem
 B5 replies      = model replies built from documents
 
@@ -18,16 +19,8 @@ from pyspark.sql import functions as F
 from colloquy import schemas
 
 
-# Tables whose scans feed row-heavy work; spread when under-partitioned.
-SPREAD_TABLES = {"events", "orders", "lineitem", "documents"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in SPREAD_TABLES:
-        from colloquy.operators.partitioning import spread
-        df = spread(df)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --------------------------------------------------------------------- B1
@@ -104,7 +97,8 @@ B3_ORGANIZED = ["QA format Error.", "Early Stop Error.", "Error", None, "bullets
 def b3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     lab = table(spark, sf_dir, "labels")
-    r = lab.join(d, "doc_id")
+    # every document is a dialogue; one without a label has no judgement
+    r = d.join(lab, "doc_id", "left")
     k = F.col("doc_id") % 5
     n = F.col("n_chars")
     organized = (F.when(k == 0, F.lit(B3_ORGANIZED[0])).when(k == 1, F.lit(B3_ORGANIZED[1]))
@@ -168,8 +162,6 @@ B5_BATCH = 4
 
 
 def b5_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # whole-text parsing is CPU-bound: ``table`` spreads a scan that yields
-    # fewer partitions than cores (a no-op on split input)
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -185,19 +177,27 @@ def b5_verdict_reply():
 
 
 def b5_predictor_reply():
-    k = F.col("doc_id") % 3
+    k = F.col("doc_id") % 7
     return (F.when(k == 0, F.concat(F.lit("Sure.\n```yaml\nDiseases:\n  - "), F.col("lang"), F.lit("\n  - "),
                                     F.col("source"), F.lit("\n```\n"), F.col("text")))
             .when(k == 1, F.concat(F.lit("Diseases:\n  - "), F.col("source")))
+            .when(k == 2, F.concat(F.lit("```yaml\nDiseases: ["), F.col("lang"), F.lit(", 'a b', \"Crohn's\"]\nNotes:\n- none\n```")))
+            .when(k == 3, F.concat(F.lit("Diseases:\n- \""), F.col("source"), F.lit("\"\n- Crohn's\n\nNotes:\n- not one\n")))
+            .when(k == 4, F.lit("Diseases:\nNotes:\n- not one"))
+            .when(k == 5, F.concat(F.lit("  Diseases:\n  - "), F.col("source")))
             .otherwise(F.col("text")))
 
 
 def b5_judge_reply():
-    k = F.col("doc_id") % 4
+    k = F.col("doc_id") % 8
     return (F.when(k == 0, F.concat(F.lit("```yaml\nReasoning: "), F.col("source"), F.lit(" matches\nResult: True\n```")))
             .when(k == 1, F.concat(F.lit("Reasoning: no match\nResult: "),
                                    F.when(F.col("n_chars") % 2 == 0, F.lit("yes")).otherwise(F.lit("True/False"))))
             .when(k == 2, F.concat(F.lit("Reasoning: "), F.col("lang"), F.lit("\nResult: False")))
+            .when(k == 3, F.concat(F.lit("```yaml\nReasoning: |\n  "), F.col("source"), F.lit(" fits\n    well\n  Result: False\n\nResult: True\n```")))
+            .when(k == 4, F.concat(F.lit("Reasoning: >\n  "), F.col("source"), F.lit("\n  fits\nResult: no")))
+            .when(k == 5, F.concat(F.lit("Reasoning: \""), F.col("lang"), F.lit("\"\n  Result: True")))
+            .when(k == 6, F.concat(F.lit("Reasoning: it\n  goes on\nResult: \"True\"")))
             .otherwise(F.lit("Reasoning only")))
 
 
@@ -265,5 +265,104 @@ def b_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_cell():
-    return F.concat(F.lit("['"), F.col("event_type"), F.lit("', '"), F.col("props"), F.lit("', 'u"),
-                    F.col("user_id").cast("string"), F.lit("\\tx']"))
+    plain = F.concat(F.lit("['"), F.col("event_type"), F.lit("', '"), F.col("props"), F.lit("', 'u"),
+                     F.col("user_id").cast("string"), F.lit("\\tx']"))
+    escaped = F.concat(F.lit("['"), F.col("event_type"), F.lit("\\x41\\a', \"it's\\v\", 'u"), F.col("user_id").cast("string"),
+                       F.lit("\\U0001F600\\101']"))
+    return F.when(F.col("event_id") % 4 == 0, escaped).otherwise(plain)
+
+
+# ---------------------------------------------------------------------- C
+# The evaluation chain: one dialogue per order, labels from parts, profiles
+# from customers, replies as functions of the keys.  They hold what services
+# deliver: missing, doubled (the greater ``ord`` is the later) and unreadable
+# replies; profiles hold doubled and absent customers and odd keys.
+C_KEYS = ["o_orderkey"]
+C_TURNS = 2
+C_ORGANIZER = "Findings about {disease}:\n{input}"
+C_COMPARER = "{disease}\n{a}\n{b}"
+C_PREDICTOR_SYSTEM = "Name the likely diseases."
+C_JUDGE_SYSTEM = "Judge the predictions."
+
+
+def c_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_brand").alias("disease"), F.col("p_type").alias("symptom")).agg(
+        F.min("p_partkey").alias("ord"), F.min_by(F.when(F.col("p_size") > 25, "h").otherwise("m"), "p_partkey").alias("weight"))
+
+
+def c_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    first = F.concat(F.lit("Question: since "), F.col("o_orderstatus"), F.lit("?"))
+    answer = F.concat(F.lit("answer "), F.col("o_custkey").cast("string"))
+    two, last = F.lit("Question: how?"), F.lit("badly\n\nvery")
+    both = F.lit("Question: a Question: b")
+    head = F.col("o_orderpriority")
+    qa = (F.when(k % 9 == 0, F.array(head, both, answer, two, last)).when(k % 9 == 1, F.array(head, first, answer, F.lit("thanks"), last))
+          .when(k % 9 == 2, F.array(head, both, answer)).when(k % 2 == 0, F.array(head, first, answer, two, last, F.lit("Question: more?"), F.lit("no")))
+          .otherwise(F.array(head, first, answer, two, last)))
+    pid = F.when(k % 13 == 0, F.concat(F.lit("P-"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", pid.alias("pid"), F.concat(F.lit("Brand#"), (k % 27 + 1).cast("string")).alias("disease"), qa.alias("QA"))
+
+
+def _twice(rows: DataFrame, again, old: str) -> DataFrame:
+    """``rows`` with ``ord`` 2 and, where ``again`` holds, an older reply."""
+    both = F.array_compact(F.array(F.struct(F.lit(2).alias("ord"), F.col("response")),
+                                   F.when(again, F.struct(F.lit(1).alias("ord"), F.lit(old).alias("response")))))
+    return rows.select("request_id", F.explode(both).alias("r")).select("request_id", "r.ord", "r.response")
+
+
+def c_organizer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.operators.requests import request_id
+    k = F.col("o_orderkey")
+    lines = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 4), lambda i: F.concat(F.lit("- statement "), i.cast("string"))), "\n")
+    rows = table(spark, sf_dir, "orders").where(k % 17 != 0).select(
+        k, request_id("organize", "o_orderkey").alias("request_id"), F.when(k % 19 == 0, "Error in service").otherwise(lines).alias("response"))
+    return _twice(rows, k % 5 == 0, "- old")
+
+
+def c_comparer_replies(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    k, pos = F.col("o_orderkey"), F.col("pos")
+    ends = c_gold(spark, sf_dir).groupBy(F.col("disease").alias("d")).agg(F.min("symptom").alias("lo"), F.max("symptom").alias("hi"))
+    c = (k + pos) % 6
+    lo, hi = F.coalesce("lo", F.lit("none")), F.coalesce("hi", F.lit("none"))
+    said = (F.when(c == 2, hi).when(c == 3, F.lit("Not there")).when((c == 5) & (k % 3 == 0), F.substring(lo, F.lit(2), F.length(lo))).otherwise(lo))
+    rows = requests.join(ends, F.col("disease") == F.col("d"), "left").where((k * 7 + pos) % 41 != 0).select(
+        k, pos, "request_id", F.concat(F.lit("Reason: r-"), pos.cast("string"), F.lit("\nFinal Response: **"), said, F.lit("**")).alias("response"))
+    return _twice(rows, c == 1, "Reason: x\nFinal Response: old")
+
+
+def c_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.functions.text import pad_key
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 != 0)
+    both = F.array_compact(F.array(F.struct(F.lit(2).alias("ord"), F.col("c_mktsegment").alias("said")),
+                                   F.when(F.col("c_custkey") % 10 == 0, F.struct(F.lit(1).alias("ord"), F.lit("old").alias("said")))))
+    c = c.select("c_custkey", "c_name", F.explode(both).alias("r"))
+    info = F.create_map(F.lit("Chief Complaint"), F.col("r.said"), F.lit("Name"), F.col("c_name"), F.lit("Hx"), F.lit(None).cast("string"))
+    return c.select(pad_key("c_custkey").alias("pid"), info.alias("simple_info"), F.col("r.ord").alias("ord"))
+
+
+def c_predictor_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.operators.requests import request_id
+    k = F.col("o_orderkey")
+    named = F.concat(F.lit("Diseases:\n  - Brand#"), (k % 27 + 1).cast("string"), F.lit("\n  - Other"))
+    said = (F.when(k % 8 == 0, F.lit("Sure.\n```yaml\nDiseases:\n- \"Asthma\"\n- Crohn's\nNotes:\n- none\n```"))
+            .when(k % 8 == 1, F.lit("Diseases: [Asthma, 'COPD']")).when(k % 8 == 2, F.lit("no idea")).otherwise(named))
+    rows = table(spark, sf_dir, "orders").where(k % 8 != 3).select(k, request_id("predict", "o_orderkey").alias("request_id"), said.alias("response"))
+    return _twice(rows, k % 5 == 0, "Diseases:\n- old")
+
+
+def c_judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colloquy.operators.requests import request_id
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    out = None
+    for n, stage in enumerate(("judge_topk", "judge_top1")):
+        c = (k + n) % 7
+        said = (F.when(c == 0, F.lit("Reasoning: |\n  fine match\n  Result: False\n  more\nResult: True"))
+                .when(c == 1, F.lit("```yaml\nReasoning: \"no\"\nResult: False\n```")).when(c == 3, F.lit("Reasoning only"))
+                .when(c == 4, F.lit("Reasoning: plain\n  goes on\nResult: yes")).otherwise(F.lit("Reasoning: ok\nResult: True")))
+        rows = _twice(o.where(c != 2).select(k, request_id(stage, "o_orderkey").alias("request_id"), said.alias("response")), k % 5 == 0, "Reasoning: old\nResult: False")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -130,19 +130,24 @@ def first_label(spark, sf_dir):
 from colloquy.operators import metrics as M  # noqa: E402
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles at 6 places, for the compare (the operators don't round)."""
+    return df.select(*[F.round(F.col(f"`{n}`"), 6).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 @query("score_stats")
 def score_stats(spark, sf_dir):
-    return M.score_stats(B.b3_results(spark, sf_dir))
+    return _rounded(M.score_stats(B.b3_results(spark, sf_dir)))
 
 
 @query("score_describe")
 def score_describe(spark, sf_dir):
-    return M.score_describe(B.b3_results(spark, sf_dir))
+    return _rounded(M.score_describe(B.b3_results(spark, sf_dir)))
 
 
 @query("accuracy_rates")
 def accuracy_rates(spark, sf_dir):
-    return M.accuracy_rates(B.b3_results(spark, sf_dir))
+    return _rounded(M.accuracy_rates(B.b3_results(spark, sf_dir)))
 
 
 @query("error_counts")
@@ -152,12 +157,19 @@ def error_counts(spark, sf_dir):
 
 @query("run_leaderboard")
 def run_leaderboard(spark, sf_dir):
-    return M.run_leaderboard(B.b3_results(spark, sf_dir))
+    return _rounded(M.run_leaderboard(B.b3_results(spark, sf_dir)))
 
 
 @query("metrics_json")
 def metrics_json(spark, sf_dir):
-    return M.metrics_json(B.b3_results(spark, sf_dir))
+    """The document's numbers as one row per metric and statistic."""
+    doc = M.metrics_struct(B.b3_results(spark, sf_dir))
+    parts = [F.struct(F.lit(f"{c}.{n}").alias("name"), F.col(f"metrics.{c}.{n}").cast("double").alias("value"))
+             for c in M.SCORE_COLS for n in ("mean", "median", "std_dev", "describe.count", "describe.min", "describe.`25%`", "describe.`75%`", "describe.max")]
+    parts += [F.struct(F.lit(n).alias("name"), F.col(f"metrics.{n}").cast("double").alias("value"))
+              for n in ("top1_accuracy", "topk_accuracy", "clean_len", "early_stop_len", "format_error_len", "matching_error_len", "other_error_len")]
+    out = doc.select("model", "turn", F.explode(F.array(*parts)).alias("p")).select("model", "turn", "p.*")
+    return _rounded(out.withColumn("name", F.replace("name", F.lit("`"), F.lit(""))))
 
 
 @query("status_taxonomy")
@@ -214,11 +226,23 @@ def assemble_dialogue(spark, sf_dir):
 
 @query("cut_turns")
 def cut_turns(spark, sf_dir):
-    d = _b2_cut(spark, sf_dir).withColumn("QA", DG.cut_turns("QA", B.B2_TURNS))
+    d = B.b2_dialogues(spark, sf_dir).withColumn("QA", DG.cut_turns("QA", B.B2_TURNS))
     return d.select("conv_id", F.size("QA").cast("bigint").alias("n_items"),
                     F.array_join("QA", B.B2_SEP).alias("qa_text"))
 
 
+@query("cut_run")
+def cut_run(spark, sf_dir):
+    """A run cut to fewer turns and written to the long run's table: both
+    runs are there afterwards, each under its own turn."""
+    long = B.c_dialogues(spark, sf_dir).select("o_orderkey", F.lit("m").alias("model"), F.lit(9).alias("turn"), "QA")
+    path = staging_path(spark, "cut")
+    SK.stage_write(long, path)
+    SK.stage_write(DG.cut_run(long, B.C_TURNS), path)
+    back = spark.read.parquet(path)
+    return back.select("o_orderkey", F.col("turn").cast("bigint").alias("turn"), F.size("QA").cast("bigint").alias("n_items"))
+
+
 @query("split_head_body")
 def split_head_body(spark, sf_dir):
     d = _b2_cut(spark, sf_dir)
@@ -267,8 +291,8 @@ def count_marker(spark, sf_dir):
 
 @query("emit_requests")
 def emit_requests(spark, sf_dir):
-    """Organizer requests for dialogues that pass validation, predictor
-    requests for every dialogue."""
+    """Organizer and predictor requests for dialogues that pass validation;
+    the others cost no call."""
     T = B.B2_TURNS
     d = _b2_cut(spark, sf_dir).withColumn("status", DG.validate_turns("QA", T, B.B2_MARKER)) \
         .withColumn("model", F.lit("conversations")).withColumn("turn", F.lit(T)).withColumn("pos", F.lit(0))
@@ -278,9 +302,10 @@ def emit_requests(spark, sf_dir):
     r1 = RQ.emit_requests(org, "organize", ["model", "turn", "conv_id", "pos"], prompt)
     from colloquy.operators.diagnosis import predictor_input
     info = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"), F.lit("\n"))
-    r2 = RQ.emit_requests(d, "predict", ["model", "turn", "conv_id", "pos"],
+    r2 = RQ.emit_requests(org, "predict", ["model", "turn", "conv_id", "pos"],
                           predictor_input(info, X.render_history("QA", T)))
     return r1.unionByName(r2).select("request_id", "stage", "conv_id",
+                                     F.col("messages")[0]["content"].alias("system"),
                                      F.col("messages")[1]["content"].alias("prompt"))
 
 
@@ -391,7 +416,7 @@ from colloquy.streaming import incremental as INC  # noqa: E402
 
 @query("join_profile")
 def join_profile(spark, sf_dir):
-    j = D.join_profile(B.b4_dialogues(spark, sf_dir), B.b4_profiles(spark, sf_dir))
+    j = D.join_profile(B.b4_dialogues(spark, sf_dir), B.b4_profiles(spark, sf_dir).where(F.col("c_acctbal") >= 0))
     return j.select("o_orderkey", F.col("profile_key").alias("pid"), "c_name", "n_name", "r_name")
 
 
@@ -425,25 +450,24 @@ def attach_results(spark, sf_dir):
 
 
 def _b4_requests(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders")
-    return o.select(RQ.request_id("diagnose", "o_orderkey").alias("request_id"), "o_orderkey")
+    return B.table(spark, sf_dir, "orders").select("o_orderkey")
 
 
 def _b4_responses(spark, sf_dir):
-    res = B.b4_order_results(spark, sf_dir)
-    return res.select(RQ.request_id("diagnose", "l_orderkey").alias("request_id"),
-                      F.concat(F.lit("lines="), F.col("n_lines").cast("string")).alias("response"))
+    li = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return li.select("o_orderkey", F.concat(F.lit("lines="), F.col("n").cast("string")).alias("response"))
 
 
 @query("join_responses")
 def join_responses(spark, sf_dir):
-    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir), how="inner")
-    return j.select("request_id", "o_orderkey", "response")
+    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir), "inner", on="o_orderkey")
+    # the id is for outside services; inside, the natural key joins
+    return j.select(RQ.request_id("diagnose", "o_orderkey").alias("request_id"), "o_orderkey", "response")
 
 
 @query("missing_results")
 def missing_results(spark, sf_dir):
-    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir))
+    j = RQ.join_responses(_b4_requests(spark, sf_dir), _b4_responses(spark, sf_dir), on="o_orderkey")
     return RQ.with_missing_default(j).select("o_orderkey", "response", "missing")
 
 
@@ -493,7 +517,7 @@ def ordered_export(spark, sf_dir):
     SK.export_sorted(o, path, ["o_custkey", "o_orderkey"])
     schema = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderkey", T.LongType()),
                            T.StructField("o_orderstatus", T.StringType())])
-    return RD.csv_reader(spark, schema).csv(path)
+    return RD.read_by_name(spark, path, schema).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query("project_core")
@@ -530,6 +554,11 @@ def render_profile(spark, sf_dir):
                     X.render_profile("info", trailing_newline=True).alias("profile_text_nl"))
 
 
+@query("profile_text")
+def profile_text(spark, sf_dir):
+    return B.b_profiles(spark, sf_dir).select("event_id", X.profile_text("info").alias("profile_text"))
+
+
 @query("chief_complaint")
 def chief_complaint(spark, sf_dir):
     return B.b_profiles(spark, sf_dir).select("event_id", X.chief_complaint("info").alias("chief_complaint"))
@@ -651,6 +680,71 @@ def apply_model(spark, sf_dir):
 @query("apply_model_errors")
 def apply_model_errors(spark, sf_dir):
     from colloquy.plans.standins import MAX_RETRIES, make_refusing_model
-    out = RQ.apply_model(_model_requests(spark, sf_dir), make_refusing_model, batch_size=8,
+    # one item a call: in larger batches an item also takes part in calls that others spoil
+    out = RQ.apply_model(_model_requests(spark, sf_dir), make_refusing_model, batch_size=1,
                          max_retries=MAX_RETRIES, backoff_seconds=0)
     return out.select("request_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+# --------------------------------------------------- C the whole evaluation
+
+from colloquy.operators import stages as ST  # noqa: E402
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Each stage's result is a table of its own, as replies are costly."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _organize(spark, sf_dir):
+    org = ST.organize_requests(B.c_dialogues(spark, sf_dir), B.C_KEYS, B.C_TURNS, B.C_ORGANIZER)
+    return ST.organize_results(org, B.c_organizer_replies(spark, sf_dir), "ord")
+
+
+def _compare(spark, sf_dir):
+    organized, gold = _stored(_organize(spark, sf_dir), "organized"), B.c_gold(spark, sf_dir)
+    reqs = ST.compare_requests(organized, gold, B.C_KEYS, B.C_COMPARER)
+    return ST.compare_results(organized, reqs, B.c_comparer_replies(spark, sf_dir, reqs), gold, B.C_KEYS, order_col="ord")
+
+
+def _predict(spark, sf_dir):
+    scored = _stored(_compare(spark, sf_dir), "scored")
+    reqs = ST.predict_requests(scored, B.c_profiles(spark, sf_dir), B.C_KEYS, B.C_TURNS, system=B.C_PREDICTOR_SYSTEM, order_col="ord")
+    preds, judge = ST.judge_requests(scored, reqs, B.c_predictor_replies(spark, sf_dir), B.C_KEYS, B.C_JUDGE_SYSTEM, "ord")
+    return scored, reqs, preds, judge
+
+
+@query("stage_organize")
+def stage_organize(spark, sf_dir):
+    return _organize(spark, sf_dir).select("o_orderkey", "organized_QA", F.size("QA").cast("bigint").alias("n_items"))
+
+
+@query("stage_compare")
+def stage_compare(spark, sf_dir):
+    return _compare(spark, sf_dir).select("o_orderkey", "status", *ST.SCORES, "referred_gold_label", "reasons")
+
+
+@query("stage_predict")
+def stage_predict(spark, sf_dir):
+    _, reqs, preds, _ = _predict(spark, sf_dir)
+    m = F.col("messages")
+    return reqs.select("o_orderkey", m[0]["content"].alias("system"), m[1]["content"].alias("prompt")).join(preds, "o_orderkey").select(
+        "o_orderkey", "system", "prompt", F.col("predict_status").alias("status"), F.array_join("model_predictions", "|").alias("predictions"))
+
+
+@query("stage_judge")
+def stage_judge(spark, sf_dir):
+    _, _, _, judge = _predict(spark, sf_dir)
+    j = judge.join(RQ.last_replies(B.c_judge_replies(spark, sf_dir), "ord"), "request_id", "left")
+    v = X.parse_judgement(X.fenced_block("response"))
+    return j.select("o_orderkey", "stage", F.col("messages")[0]["content"].alias("system"), "prompt", v["reasoning"].alias("reasoning"), v["result"].alias("result"))
+
+
+@query("evaluate_run")
+def evaluate_run(spark, sf_dir):
+    scored, _, preds, judge = _predict(spark, sf_dir)
+    out = ST.diagnose_results(scored, preds, judge, B.c_judge_replies(spark, sf_dir), B.C_KEYS, "ord")
+    return out.select("o_orderkey", "status", "score", "weighted_score", "penalty_score", "reward_score", F.array_join("model_predictions", "|").alias("predictions"),
+                      "topk_reason", "topk_result", "top1_reason", "top1_result")

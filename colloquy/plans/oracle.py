@@ -115,7 +115,7 @@ r0 AS (
          CAST(CASE WHEN d.doc_id % 5 < 3 THEN -1 ELSE d.n_chars % 7 - 1 END AS BIGINT) AS score,
          CASE WHEN d.doc_id % 5 < 3 THEN -1.0 ELSE (d.n_chars % 11) / 2.0 END::DOUBLE AS penalty_score,
          CASE WHEN d.doc_id % 5 < 3 THEN -1.0 ELSE (d.n_chars % 13) / 2.0 + 1 END::DOUBLE AS reward_score
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 r AS (
   SELECT *,
     CAST(CASE WHEN score = -1 THEN -1 ELSE score + (n_chars % 2) * score END AS BIGINT) AS weighted_score,
@@ -181,19 +181,17 @@ ORACLE["run_leaderboard"] = _b3(
     "FROM f GROUP BY model, turn")
 
 
-def _json_block(c: str) -> str:
-    return (f"json_object('mean', {c}_mean, 'median', {c}_median, 'std_dev', {c}_std, 'describe', "
-            f"json_object('count', {c}_count::DOUBLE, 'mean', {c}_mean, 'std', {c}_std, 'min', {c}_min, "
-            f"'25%', {c}_p25, '50%', {c}_median, '75%', {c}_p75, 'max', {c}_max))")
+def _metric_rows() -> str:
+    names = [(f"{c}.{n}", f"{c}_{k}") for c in _SCORES for n, k in (
+        ("mean", "mean"), ("median", "median"), ("std_dev", "std"), ("describe.count", "count"), ("describe.min", "min"),
+        ("describe.25%", "p25"), ("describe.75%", "p75"), ("describe.max", "max"))]
+    names += [(n, n) for n in ("top1_accuracy", "topk_accuracy", "clean_len", "early_stop_len", "format_error_len",
+                               "matching_error_len", "other_error_len")]
+    return " UNION ALL ".join(f"SELECT model, turn, '{n}' AS name, round({c}::DOUBLE, 6) AS value FROM w" for n, c in names)
 
 
-ORACLE["metrics_json"] = _b3(
-    "SELECT model, turn, json_object(" + ", ".join(f"'{c}', {_json_block(c)}" for c in _SCORES)
-    + ", 'top1_accuracy', top1_accuracy, 'topk_accuracy', topk_accuracy, 'clean_len', clean_len, "
-      "'early_stop_len', early_stop_len, 'format_error_len', format_error_len, "
-      "'matching_error_len', matching_error_len, 'other_error_len', other_error_len)::VARCHAR AS metrics_json "
-      "FROM (SELECT model, turn, " + ", ".join(_stats(c, True) for c in _SCORES)
-    + f", {_RATES}, {_COUNTS} FROM f GROUP BY model, turn)")
+ORACLE["metrics_json"] = (f"WITH {B3_FLAGGED}, w AS (SELECT model, turn, " + ", ".join(_stats(c, True) for c in _SCORES)
+                          + f", {_RATES}, {_COUNTS} FROM f GROUP BY model, turn) {_metric_rows()}")
 ORACLE["status_taxonomy"] = _b3("""
 SELECT pid, model, turn,
   CASE WHEN clean THEN 'clean' WHEN early_stop THEN 'early_stop' WHEN format_error THEN 'format_error'
@@ -250,6 +248,9 @@ def _b2(select: str) -> str:
 
 ORACLE["assemble_dialogue"] = (f"SELECT conv_id, count(*) AS n_items, string_agg(text, {SEP} ORDER BY turn) AS qa_text "
                                "FROM conversations GROUP BY conv_id")
+ORACLE["cut_run"] = (f"SELECT o_orderkey, turn, least(n, turn * 2 + 1)::BIGINT AS n_items FROM (SELECT o_orderkey, "
+                     f"CASE WHEN o_orderkey % 9 = 2 THEN 3 WHEN o_orderkey % 9 > 2 AND o_orderkey % 2 = 0 THEN 7 ELSE 5 END AS n FROM orders), "
+                     f"(SELECT unnest([{B.C_TURNS}, 9])::BIGINT AS turn)")
 ORACLE["cut_turns"] = _b2("SELECT conv_id, n_items, qa_text FROM cut")
 ORACLE["split_head_body"] = _b2("SELECT conv_id, head, body_text, n_body FROM cut")
 ORACLE["render_dialogue"] = _b2(
@@ -279,12 +280,14 @@ ORACLE["count_marker"] = (f"SELECT conv_id, turn, ((length(text) - length(replac
 def _emit() -> str:
     tpl = _q(B.ORGANIZER_TEMPLATE).replace("\n", "' || chr(10) || '")
     org_prompt = f"replace(replace({tpl}, '{{input}}', rendered), '{{disease}}', 'd' || CAST(conv_id % 5 AS VARCHAR))"
-    rid = "sha256('{stage}|conversations|" + str(T2) + "|' || CAST(conv_id AS VARCHAR) || '|0')"
+    rid = ("sha256('{stage}|13:conversations|1:" + str(T2) + "|' || length(CAST(conv_id AS VARCHAR)) || ':' "
+           "|| CAST(conv_id AS VARCHAR) || '|1:0')")
     pred_prompt = ("'patient_info: ' || chr(10) || 'conversation ' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) "
                    "|| 'medical_history: ' || chr(10) || history")
     return _b2(f"SELECT {rid.format(stage='organize')} AS request_id, 'organize' AS stage, conv_id, "
-               f"{org_prompt} AS prompt FROM vs WHERE status = 'valid' "
-               f"UNION ALL SELECT {rid.format(stage='predict')}, 'predict', conv_id, {pred_prompt} FROM vs")
+               f"'You are a helpful assistant.' AS system, {org_prompt} AS prompt FROM vs WHERE status = 'valid' "
+               f"UNION ALL SELECT {rid.format(stage='predict')}, 'predict', conv_id, 'You are a helpful assistant.', "
+               f"{pred_prompt} FROM vs WHERE status = 'valid'")
 
 
 ORACLE["chat_messages"] = _chat_all()
@@ -320,30 +323,24 @@ docs AS (
       WHEN 2 THEN 'Final Response:'
       WHEN 3 THEN 'Reason: Reason: ' || source || ' Final Response: ' || lang || ' Final Response: ' || source
       ELSE 'Reason: ' || text || {NL} || 'Final Response: ** ' || source || ' **' END AS verdict,
-    CASE doc_id % 3
+    CASE doc_id % 7
       WHEN 0 THEN 'Sure.' || {NL} || '```yaml' || {NL} || 'Diseases:' || {NL} || '  - ' || lang || {NL} || '  - '
                   || source || {NL} || '```' || {NL} || text
       WHEN 1 THEN 'Diseases:' || {NL} || '  - ' || source
-      ELSE text END AS predictor,
-    CASE doc_id % 4
-      WHEN 0 THEN '```yaml' || {NL} || 'Reasoning: ' || source || ' matches' || {NL} || 'Result: True' || {NL} || '```'
-      WHEN 1 THEN 'Reasoning: no match' || {NL} || 'Result: ' || CASE WHEN n_chars % 2 = 0 THEN 'yes' ELSE 'True/False' END
-      WHEN 2 THEN 'Reasoning: ' || lang || {NL} || 'Result: False'
-      ELSE 'Reasoning only' END AS judge
+      WHEN 2 THEN '```yaml' || {NL} || 'Diseases: [' || lang || ', ''a b'', "Crohn''s"]' || {NL} || 'Notes:' || {NL} || '- none' || {NL} || '```'
+      WHEN 3 THEN 'x' WHEN 4 THEN 'x' WHEN 5 THEN 'x'
+      ELSE text END AS predictor
   FROM documents),
 vr AS (SELECT doc_id, {strip_sql("replace(verdict, 'Reason:', '')")} AS r FROM docs),
 vi AS (SELECT doc_id, r, strpos(r, 'Final Response:') AS i FROM vr),
 fb AS (SELECT doc_id,
     CASE WHEN contains(predictor, '```yaml') THEN split_part(split_part(predictor, '```yaml', 2), '```', 1)
-         ELSE predictor END AS pblock,
-    CASE WHEN contains(judge, '```yaml') THEN split_part(split_part(judge, '```yaml', 2), '```', 1)
-         ELSE judge END AS jblock
+         ELSE predictor END AS pblock
   FROM docs),
-pr AS (SELECT doc_id, pblock,
-    CASE WHEN contains(pblock, 'Diseases:')
-         THEN regexp_extract_all(substring(pblock, strpos(pblock, 'Diseases:') + 9),
-                                 '(?m)^[ \\t]*-[ \\t]+(.*?)[ \\t]*$', 1) END AS p
-  FROM fb)
+-- what a reader of each reply would list; whole texts (6) hold no list
+pr AS (SELECT doc_id, CASE doc_id % 7
+    WHEN 0 THEN [lang, source] WHEN 1 THEN [source] WHEN 2 THEN [lang, 'a b', 'Crohn''s'] WHEN 3 THEN [source, 'Crohn''s'] END AS p
+  FROM documents)
 """
 
 
@@ -360,27 +357,30 @@ SELECT doc_id,
 FROM vi""")
 ORACLE["clean_verdict"] = (f"SELECT doc_id, translate({strip_sql('text')}, {NL} || '-', '') AS no_breaks, "
                            f"replace({strip_sql('text')}, '*', '') AS no_stars FROM documents")
-ORACLE["fenced_block"] = _b5("SELECT doc_id, pblock AS block FROM fb")
+ORACLE["fenced_block"] = _b5(f"""
+SELECT doc_id, CASE doc_id % 7
+    WHEN 3 THEN 'Diseases:' || {NL} || '- "' || source || '"' || {NL} || '- Crohn''s' || {NL} || {NL} || 'Notes:' || {NL} || '- not one' || {NL}
+    WHEN 4 THEN 'Diseases:' || {NL} || 'Notes:' || {NL} || '- not one'
+    WHEN 5 THEN '  Diseases:' || {NL} || '  - ' || source ELSE pblock END AS block
+FROM fb JOIN documents USING (doc_id)""")
 ORACLE["parse_predictions"] = _b5(
     "SELECT doc_id, len(p)::BIGINT AS n_predictions, array_to_string(p, '|') AS predictions FROM pr")
 ORACLE["top1_slice"] = _b5("""
-SELECT doc_id, p[1] AS top1,
-  CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN '[]'
-       ELSE '[''' || replace(replace(p[1], '\\', '\\\\'), '''', '\\''') || ''']' END AS top1_text,
+SELECT doc_id, p[1] AS top1, CASE WHEN p IS NULL THEN NULL ELSE '[''' || p[1] || ''']' END AS top1_text,
   CASE WHEN p IS NULL THEN 'prediction_parse_error' ELSE 'ok' END AS status
 FROM pr""")
-ORACLE["parse_judgement"] = _b5(f"""
+# what a reader of each judge reply would note down
+ORACLE["parse_judgement"] = f"""
 SELECT doc_id,
-  CASE WHEN ok THEN regexp_extract(jblock, '(?s)Reasoning:[ \\t]*(.*?)[ \\t\\n]*(?:\\nResult:|\\z)', 1) END AS reasoning,
-  CASE WHEN ok THEN rt END AS result_text,
-  CASE WHEN ok THEN (CASE WHEN rt IN ('yes','Yes','YES','true','True','TRUE','on','On','ON') THEN true
-                          WHEN rt IN ('no','No','NO','false','False','FALSE','off','Off','OFF') THEN false END) END
-    AS result,
-  CASE WHEN ok THEN 'ok' ELSE 'judge_parse_error' END AS status
-FROM (SELECT doc_id, jblock,
-        regexp_matches(jblock, '(?m)^[ \\t]*Reasoning:') AND regexp_matches(jblock, '(?m)^[ \\t]*Result:') AS ok,
-        regexp_extract(jblock, '(?m)^[ \\t]*Result:[ \\t]*(.*?)[ \\t]*$', 1) AS rt
-      FROM fb)""")
+  CASE doc_id % 8 WHEN 0 THEN source || ' matches' WHEN 1 THEN 'no match' WHEN 2 THEN lang
+       WHEN 3 THEN source || ' fits' || {NL} || '  well' || {NL} || 'Result: False' WHEN 4 THEN source || ' fits'
+       WHEN 6 THEN 'it goes on' END AS reasoning,
+  CASE doc_id % 8 WHEN 0 THEN 'True' WHEN 1 THEN CASE WHEN n_chars % 2 = 0 THEN 'yes' ELSE 'True/False' END
+       WHEN 2 THEN 'False' WHEN 3 THEN 'True' WHEN 4 THEN 'no' WHEN 6 THEN '"True"' END AS result_text,
+  CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN CASE WHEN n_chars % 2 = 0 THEN true END WHEN 2 THEN false
+       WHEN 3 THEN true WHEN 4 THEN false END AS result,
+  CASE WHEN doc_id % 8 IN (5, 7) THEN 'judge_parse_error' ELSE 'ok' END AS status
+FROM documents"""
 _PADDED = f"{_lit(B.B5_STRIP_PAD_LEFT)} || text || {_lit(B.B5_STRIP_PAD_RIGHT)}"
 ORACLE["strip_unicode"] = (f"SELECT doc_id, {strip_sql(_PADDED)} AS stripped, "
                            f"length({strip_sql(_PADDED)})::BIGINT AS n_stripped FROM documents")
@@ -424,7 +424,7 @@ def _b4(select: str) -> str:
 
 
 ORACLE["join_profile"] = _b4("SELECT o.o_orderkey, p.pid, p.c_name, p.n_name, p.r_name "
-                             "FROM orders o JOIN prof p ON printf('%08d', o.o_custkey) = p.pid")
+                             "FROM orders o LEFT JOIN (SELECT * FROM prof WHERE c_acctbal >= 0) p ON printf('%08d', o.o_custkey) = p.pid")
 ORACLE["unmatched_profiles"] = _b4(
     "SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS "
     "(SELECT 1 FROM prof p WHERE p.c_acctbal >= 0 AND p.pid = printf('%08d', o.o_custkey))")
@@ -435,7 +435,7 @@ ORACLE["dedup_last"] = ("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELEC
 ORACLE["attach_results"] = _b4("SELECT o.o_orderkey, o.o_custkey, res.n_lines, res.total_qty "
                                "FROM orders o LEFT JOIN res ON res.l_orderkey = o.o_orderkey")
 ORACLE["join_responses"] = _b4(
-    "SELECT sha256('diagnose|' || CAST(o.o_orderkey AS VARCHAR)) AS request_id, o.o_orderkey, "
+    "SELECT sha256('diagnose|' || length(CAST(o.o_orderkey AS VARCHAR)) || ':' || CAST(o.o_orderkey AS VARCHAR)) AS request_id, o.o_orderkey, "
     "'lines=' || CAST(res.n_lines AS VARCHAR) AS response FROM orders o JOIN res ON res.l_orderkey = o.o_orderkey")
 ORACLE["missing_results"] = _b4(
     "SELECT o.o_orderkey, coalesce('lines=' || CAST(res.n_lines AS VARCHAR), 'Error') AS response, "
@@ -459,11 +459,14 @@ _PTEXT = (f"'pid: ' || CAST(event_id AS VARCHAR) || {NL} || {_PKEY} || ': ' || e
           f"|| event_type || ', ' || {_K} || {NL} || 'Age: ' || {_K} || {NL} || 'token: t' || CAST(user_id AS VARCHAR)")
 ORACLE["render_profile"] = (f"SELECT event_id, {_PTEXT} AS profile_text, {_PTEXT} || {NL} AS profile_text_nl "
                             "FROM events")
+ORACLE["profile_text"] = (f"SELECT event_id, '{{\"' || {_PKEY} || '\": \"' || event_type || '\", \"Hx\": [\"' || event_type || '\",\"' || {_K} "
+                          f"|| '\"], \"Age\": \"' || {_K} || '\"}}' AS profile_text FROM events")
 ORACLE["chief_complaint"] = "SELECT event_id, event_type AS chief_complaint FROM events"
 ORACLE["profile_drop_keys"] = (f"SELECT event_id, {_PKEY} || ',Hx,Age' AS keys_csv, CAST(3 AS BIGINT) AS n_keys "
                                "FROM events")
-ORACLE["parse_list_cell"] = ("SELECT event_id, CAST(3 AS BIGINT) AS n_items, event_type || '|' || props || '|u' || "
-                             "CAST(user_id AS VARCHAR) || chr(9) || 'x' AS items FROM events")
+ORACLE["parse_list_cell"] = ("SELECT event_id, CAST(3 AS BIGINT) AS n_items, CASE WHEN event_id % 4 = 0 THEN event_type || 'A' || chr(7) || '|it''s' "
+                             "|| chr(11) || '|u' || CAST(user_id AS VARCHAR) || chr(128512) || 'A' "
+                             "ELSE event_type || '|' || props || '|u' || CAST(user_id AS VARCHAR) || chr(9) || 'x' END AS items FROM events")
 
 # ------------------------------------------------- staged files and streams
 
@@ -477,11 +480,81 @@ ORACLE["scan_runs"] = _b3("SELECT model, turn, pid, organized_QA, score, CAST(to
                           "FROM f")
 ORACLE["run_identity"] = _b3("SELECT model, turn, count(*) AS n_rows FROM f GROUP BY model, turn")
 ORACLE["resume_stream"] = ORACLE["validate_turns"]
-ORACLE["apply_model"] = ("SELECT sha256('echo|' || CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)) "
+ORACLE["apply_model"] = ("SELECT sha256('echo|' || length(conv_id::VARCHAR) || ':' || conv_id::VARCHAR || '|' || length(turn::VARCHAR) || ':' || turn::VARCHAR) "
                          "AS request_id, 'ok:' || sha256(text) AS response, CAST(NULL AS VARCHAR) AS error, "
                          "CAST(1 AS BIGINT) AS attempts FROM conversations")
 ORACLE["apply_model_errors"] = (
-    "SELECT sha256('echo|' || CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)) AS request_id, "
+    "SELECT sha256('echo|' || length(conv_id::VARCHAR) || ':' || conv_id::VARCHAR || '|' || length(turn::VARCHAR) || ':' || turn::VARCHAR) AS request_id, "
     "CASE WHEN length(text) % 7 = 0 THEN NULL ELSE 'ok:' || sha256(text) END AS response, "
     "CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error, "
     "CAST(CASE WHEN length(text) % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM conversations")
+
+# --------------------------------------------------- C the whole evaluation
+# The chain stated row by row: what each order's dialogue, statements and
+# replies are, then the scoring rule over a running trace text.
+
+C_BASE = f"""
+g AS (SELECT p_brand AS disease, p_type AS symptom, min(p_partkey) AS ord,
+    arg_min(CASE WHEN p_size > 25 THEN 'h' ELSE 'm' END, p_partkey) AS weight FROM part GROUP BY ALL),
+gt AS (SELECT disease, string_agg('-' || symptom, {NL} ORDER BY ord) AS txt, min(symptom) AS lo, max(symptom) AS hi FROM g GROUP BY disease),
+d AS (SELECT o_orderkey AS k, o_custkey AS cust, o_orderpriority AS prio, o_orderstatus AS st, 'Brand#' || (o_orderkey % 27 + 1) AS disease,
+    CASE o_orderkey % 9 WHEN 0 THEN 'QA format Error.' WHEN 1 THEN 'Early Stop Error.' WHEN 2 THEN 'Error' ELSE
+      CASE WHEN o_orderkey % 17 = 0 THEN 'Error' WHEN o_orderkey % 19 = 0 THEN 'Error in service'
+           ELSE array_to_string(list_transform(range(0, o_orderkey % 4 + 1), lambda i: '- statement ' || i), {NL}) END END AS organized,
+    CASE WHEN o_orderkey % 9 = 2 THEN 3 ELSE 5 END::BIGINT AS n_items
+  FROM orders),
+b0 AS (SELECT d.k, d.disease, i AS pos, (d.k * 7 + i) % 41 = 0 AS absent,
+    CASE WHEN (d.k + i) % 6 = 2 THEN coalesce(hi, 'none') WHEN (d.k + i) % 6 = 3 THEN 'Not there'
+         WHEN (d.k + i) % 6 = 5 AND d.k % 3 = 0 THEN substring(coalesce(lo, 'none'), 2) ELSE coalesce(lo, 'none') END AS said, coalesce(txt, '') AS txt
+  FROM d LEFT JOIN gt USING (disease), LATERAL (SELECT unnest(range(0, d.k % 4 + 1)) AS i)
+  WHERE NOT contains(organized, 'Error')),
+b1 AS (SELECT b0.*, contains(txt, said) AS hit, g.weight FROM b0 LEFT JOIN g ON g.disease = b0.disease AND g.symptom = said),
+b2 AS (SELECT *, min(CASE WHEN hit AND weight IS NULL THEN pos END) OVER (PARTITION BY k) AS brk, CASE WHEN hit THEN said ELSE 'Not in Gold Label' END AS label FROM b1),
+b3 AS (SELECT *, brk IS NULL OR pos < brk AS live FROM b2),
+b4 AS (SELECT *, coalesce(contains(string_agg(CASE WHEN live THEN '- ' || label || {NL} END, '') OVER (PARTITION BY k ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), said), false) AS seen FROM b3),
+sc AS (SELECT k, bool_or(absent) AS absent, max(brk) IS NOT NULL AS bad, count(*) FILTER (WHERE live AND hit) AS hits,
+    coalesce(sum(CASE WHEN live AND hit THEN CASE WHEN weight = 'h' THEN 2 ELSE 1 END END), 0) AS w,
+    coalesce(sum(CASE WHEN live AND hit THEN CASE WHEN seen THEN 0.5 ELSE 1 END END), 0) AS pen,
+    coalesce(sum(CASE WHEN live AND hit THEN CASE WHEN seen THEN 1.5 ELSE 1 END END), 0) AS rew,
+    coalesce(string_agg(CASE WHEN live THEN '- ' || label || {NL} END, '' ORDER BY pos), '') AS labels,
+    coalesce(string_agg(CASE WHEN live THEN '- r' || pos || {NL} END, '' ORDER BY pos), '') AS reasons FROM b4 GROUP BY k),
+cmp AS (SELECT d.*, CASE WHEN contains(organized, 'Error') THEN 'organizer_error' WHEN absent THEN 'missing_reply' WHEN bad THEN 'match_error' ELSE 'ok' END AS cs,
+    hits, w, pen, rew, labels, reasons FROM d LEFT JOIN sc USING (k)),
+cmp2 AS (SELECT *, CASE cs WHEN 'organizer_error' THEN -1 WHEN 'match_error' THEN -1 WHEN 'ok' THEN hits END::BIGINT AS score,
+    CASE cs WHEN 'organizer_error' THEN -1 WHEN 'match_error' THEN -1 WHEN 'ok' THEN w END::BIGINT AS weighted_score,
+    CASE cs WHEN 'organizer_error' THEN -1 WHEN 'missing_reply' THEN NULL ELSE pen END::DOUBLE AS penalty_score,
+    CASE cs WHEN 'organizer_error' THEN -1 WHEN 'missing_reply' THEN NULL ELSE rew END::DOUBLE AS reward_score,
+    CASE cs WHEN 'organizer_error' THEN 'Error.' WHEN 'missing_reply' THEN NULL ELSE labels END AS referred_gold_label,
+    CASE cs WHEN 'organizer_error' THEN 'Error.' WHEN 'missing_reply' THEN NULL ELSE reasons END AS why FROM cmp),
+pq AS (SELECT k, disease, c.c_custkey IS NOT NULL AND k % 13 <> 0 AS has,
+    'patient_info: ' || {NL} || 'Chief Complaint: ' || c_mktsegment || {NL} || 'Name: ' || c_name || {NL} || 'Hx: None' || {NL} || {NL} || 'medical_history: ' || {NL}
+      || prio || {NL} || {NL} || 'Question: since ' || st || '?' || {NL} || {NL} || 'answer ' || cust || {NL} || {NL} || 'Question: how?' || {NL} || {NL} || 'badly' || {NL} || 'very' AS prompt
+  FROM cmp2 LEFT JOIN customer c ON c.c_custkey = cust AND c.c_custkey % 7 <> 0 WHERE cs = 'ok'),
+ps AS (SELECT *, CASE WHEN NOT has THEN 'no_profile' WHEN k % 8 = 3 THEN 'missing_prediction' WHEN k % 8 = 2 THEN 'prediction_parse_error' ELSE 'ok' END AS status,
+    CASE k % 8 WHEN 0 THEN ['Asthma', 'Crohn''s'] WHEN 1 THEN ['Asthma', 'COPD'] ELSE [disease, 'Other'] END AS p,
+    CASE k % 8 WHEN 0 THEN '[''Asthma'', "Crohn''s"]' WHEN 1 THEN '[''Asthma'', ''COPD'']' ELSE '[''' || disease || ''', ''Other'']' END AS shown FROM pq),
+jq AS (SELECT k, n, stage, 'model_predictions: ' || {NL} || CASE n WHEN 0 THEN shown ELSE '[''' || p[1] || ''']' END || {NL} || 'golden_standard: ' || {NL} || disease AS prompt,
+    (k + n) % 7 AS c FROM ps, (VALUES (0, 'judge_topk'), (1, 'judge_top1')) s(n, stage) WHERE status = 'ok'),
+jr AS (SELECT *, CASE c WHEN 0 THEN 'fine match' || {NL} || 'Result: False' || {NL} || 'more' WHEN 1 THEN 'no' WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'plain goes on' ELSE 'ok' END AS reasoning,
+    CASE c WHEN 1 THEN false WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE true END AS result FROM jq)
+"""
+
+
+def _c(select: str) -> str:
+    return f"WITH {C_BASE} {select}"
+
+
+ORACLE["stage_organize"] = _c("SELECT k AS o_orderkey, organized AS organized_QA, n_items FROM d")
+ORACLE["stage_compare"] = _c("SELECT k AS o_orderkey, cs AS status, score, weighted_score, penalty_score, reward_score, referred_gold_label, why AS reasons FROM cmp2")
+ORACLE["stage_predict"] = _c(
+    f"SELECT k AS o_orderkey, CASE WHEN has THEN {_q(B.C_PREDICTOR_SYSTEM)} END AS system, CASE WHEN has THEN prompt END AS prompt, status, "
+    "CASE WHEN status = 'ok' THEN array_to_string(p, '|') END AS predictions FROM ps")
+ORACLE["stage_judge"] = _c(f"SELECT k AS o_orderkey, stage, {_q(B.C_JUDGE_SYSTEM)} AS system, prompt, reasoning, result FROM jr")
+ORACLE["evaluate_run"] = _c("""
+SELECT cmp2.k AS o_orderkey, CASE WHEN cs <> 'ok' THEN cs WHEN ps.status <> 'ok' THEN ps.status WHEN a.c = 2 OR b.c = 2 THEN 'missing_judgement'
+    WHEN a.c = 3 OR b.c = 3 THEN 'judge_parse_error' ELSE 'ok' END AS status, score, weighted_score, penalty_score, reward_score,
+  CASE WHEN ps.status = 'ok' THEN array_to_string(p, '|') END AS predictions,
+  a.reasoning AS topk_reason, CASE WHEN score = -1 THEN false ELSE a.result END AS topk_result,
+  b.reasoning AS top1_reason, CASE WHEN score = -1 THEN false ELSE b.result END AS top1_result
+FROM cmp2 LEFT JOIN ps USING (k) LEFT JOIN (SELECT * FROM jr WHERE n = 0) a ON a.k = cmp2.k LEFT JOIN (SELECT * FROM jr WHERE n = 1) b ON b.k = cmp2.k""")

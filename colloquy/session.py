@@ -46,12 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     On a cluster the launcher sets ``spark.checkpoint.dir`` to a folder all
-    executors see; it is used as is.  Only when it is unset (tests, local
-    runs) a fresh local folder is created and registered."""
+    executors see; it is used as is.  Only when it is unset on a local master
+    (tests, local runs) a fresh local folder is created and registered;
+    elsewhere that is an error, as executors do not share such a folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="colloquy-ckpt-", dir=os.environ.get("COLLOQUY_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():

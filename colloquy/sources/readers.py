@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 from colloquy import schemas
 from colloquy.operators.ranking import dense_index
@@ -23,20 +23,78 @@ RUN_FILE_PATTERN = r"([^/]+)_turn_(\d+)\.csv(?:/[^/]*)?$"
 
 def csv_reader(spark: SparkSession, schema: StructType):
     """pandas-compatible CSV: header, multi-line quoted cells, ``""`` as
-    the quote escape (Spark's default ``\\`` escape corrupts such cells)."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    the quote escape (Spark's default ``\\`` escape corrupts such cells).
+    A file whose header differs from ``schema`` is an error, not shifted."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", False)
             .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of one file, in its order (only its first rows are read)."""
+    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return r.csv(path).columns
+
+
+def read_by_name(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """CSV columns selected by the header's names, in any order and among
+    others.  Cells are read as text and cast: whole numbers may be written
+    as ``3.0``.  ``parse_error`` lists the columns whose cell does not fit
+    its type (the value is then NULL); it is NULL for sound rows.  A missing
+    column is an error."""
+    text = StructType([StructField(c, StringType()) for c in _header(spark, path if isinstance(path, str) else path[0])])
+    lacking = [c for c in schema.fieldNames() if c not in text.fieldNames()]
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    raw = csv_reader(spark, text).csv(path).select(*schema.fieldNames(), F.col("_metadata.file_path").alias("__file"))
+    cast, wrong = [], []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, StringType):
+            value = c
+        elif isinstance(f.dataType, IntegralType):
+            whole = c.try_cast("double")
+            value = F.coalesce(c.try_cast(f.dataType), F.when(whole == F.floor(whole), whole).try_cast(f.dataType))
+        else:
+            value = c.try_cast(f.dataType)
+        cast.append(value.alias(f.name))
+        wrong.append(F.when(c.isNotNull() & value.isNull(), F.lit(f.name)))
+    error = F.concat_ws(",", *wrong)
+    return raw.select(*cast, F.when(error != "", error).alias("parse_error"), "__file")
+
+
 def scan_dialogues(spark: SparkSession, path: str, schema: StructType = schemas.DIALOGUE_CSV) -> DataFrame:
-    return csv_reader(spark, schema).csv(path)
+    return read_by_name(spark, path, schema).drop("__file", "parse_error")
+
+
+def language_paths(base: str, language: str = "korean") -> dict[str, str]:
+    """Files of a language: the English ones carry ``_en`` before the suffix."""
+    # The file names of the evaluation's inputs.
+    mark = "" if language == "korean" else "_en"
+    names = {"profiles": "data/patient_profile{}.json", "gold": "data/gold_label{}.csv", "patient_prompt": "prompt/patient_prompt{}.txt",
+             "organizer_prompt": "prompt/organizer_prompt{}.txt", "comparer_prompt": "prompt/comparer_prompt{}.txt"}
+    same = {"doctor_prompt": "prompt/doctor_prompt.txt", "prediction_prompt": "prompt/disease_prediction_prompt.txt",
+            "evaluation_prompt": "prompt/disease_evaluation_prompt.txt"}
+    root = base.rstrip("/")
+    return {k: f"{root}/{v.format(mark)}" for k, v in names.items()} | {k: f"{root}/{v}" for k, v in same.items()}
+
+
+def load_prompt(spark: SparkSession, path: str) -> str:
+    """A prompt file as one text, exactly as it stands (one small file)."""
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def land(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Landing step: a multi-line CSV or JSON file is read by one task, once;
+    everything after it reads the Parquet copy."""
+    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scan_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold labels ``(disease, ord, symptom, weight)``; ``ord`` is the
     0-based row position in file order (files in path order)."""
-    raw = csv_reader(spark, schemas.GOLD_CSV).csv(path).select(
-        "*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+    raw = read_by_name(spark, path, schemas.GOLD_CSV).drop("parse_error").withColumn(
+        "__row", F.monotonically_increasing_id())
     # a multi-line CSV file is read whole by one task, so the row id grows
     # in file order inside each file
     numbered = dense_index(raw, [], ["__file", "__row"], "ord")
@@ -60,7 +118,16 @@ def run_identity(path_col: Column) -> tuple[Column, Column]:
 
 def scan_runs(spark: SparkSession, pattern: str, schema: StructType = schemas.SCORED_CSV) -> DataFrame:
     """All run files matching ``pattern`` as one DataFrame with ``model``
-    and ``turn`` columns taken from each file's name."""
-    df = csv_reader(spark, schema).csv(pattern)
-    model, turn = run_identity(F.col("_metadata.file_path"))
-    return df.select(model.alias("model"), turn.alias("turn"), *schema.fieldNames())
+    and ``turn`` columns taken from each file's name, columns by name.  Runs
+    whose headers differ are read apart (as many headers as runs at most)."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path")
+    runs = names.where(~F.col("path").rlike(r"/[._][^/]*$")).select(F.regexp_extract("path", r"^(.*_turn_\d+\.csv)(?:/[^/]*)?$", 1).alias("run")).distinct()
+    headers: dict[tuple, list[str]] = {}
+    for r in runs.orderBy("run").collect():  # one row per run
+        headers.setdefault(tuple(_header(spark, r["run"])), []).append(r["run"])
+    out = None
+    for paths in headers.values():
+        df = read_by_name(spark, paths, schema)
+        out = df if out is None else out.unionByName(df)
+    model, turn = run_identity(F.col("__file"))
+    return out.select(model.alias("model"), turn.alias("turn"), *schema.fieldNames(), "parse_error")

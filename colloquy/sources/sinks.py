@@ -58,8 +58,13 @@ def write_legacy_runs(df: DataFrame, base: str, keys=("model", "turn")) -> list[
     """Write one ``{model}_turn_{n}.csv`` folder per run (the legacy name
     layout): a partitioned write, then one rename per run folder (metadata
     only; the number of renames is the number of runs).  The model name
-    keeps its last ``/`` segment, as run files are named."""
+    keeps its last ``/`` segment, as run files are named; two models that
+    would share a name are an error, raised before anything is written."""
     spark = df.sparkSession
+    short = F.substring_index(F.col(keys[0]), "/", -1)
+    shared = df.select(*keys).distinct().groupBy(short.alias("m"), F.col(keys[1])).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if shared:
+        raise ValueError(f"several models share a run file name: {[tuple(r)[:2] for r in shared]}")
     staging = base.rstrip("/") + "/_partitioned"
     write_csv(df, staging, partition_cols=keys)
     jvm = spark._jvm
@@ -78,7 +83,8 @@ def write_legacy_runs(df: DataFrame, base: str, keys=("model", "turn")) -> list[
             if not t.isDirectory() or not tname.startswith(f"{keys[1]}="):
                 continue
             target = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{model}_turn_{tname.split('=', 1)[1]}.csv")
-            fs.rename(t.getPath(), target)
+            if fs.exists(target) or not fs.rename(t.getPath(), target):
+                raise OSError(f"could not move a run to {target}")
             out.append(target.toString())
     return out
 
@@ -89,11 +95,14 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
     import pandas as pd
 
     def arrays(batches):
-        parts = []
-        for pdf in batches:
-            parts.extend(pdf["j"].tolist())
-        if parts:
-            yield pd.DataFrame({"value": ["[\n" + ",\n".join(parts) + "\n]"]})
+        opened = False
+        for pdf in batches:  # one line per row: the array is never held as a whole
+            lines = pdf["j"].tolist()
+            if lines:
+                yield pd.DataFrame({"value": [("," if opened or i else "[") + x for i, x in enumerate(lines)]})
+                opened = True
+        if opened:
+            yield pd.DataFrame({"value": ["]"]})
 
     from colloquy.session import ship_package
     ship_package(df.sparkSession)

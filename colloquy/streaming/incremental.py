@@ -21,20 +21,32 @@ from pyspark.sql.types import StructType
 from colloquy.sources.sinks import append_rows, ensure_table
 
 
-def pending_rows(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``todo`` whose key is not in ``done``."""
+def pending_rows(todo: DataFrame, done: DataFrame, keys: list[str], failed: str | None = None) -> DataFrame:
+    """Rows of ``todo`` whose key is not in ``done``; rows of ``done`` for
+    which the condition ``failed`` holds (a model call that ended in an
+    error) don't count and are done again."""
+    if failed is not None:
+        done = done.where(~F.coalesce(F.expr(failed), F.lit(False)))
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
 def resume_batch(spark: SparkSession, todo: DataFrame, process: Callable[[DataFrame], DataFrame],
-                 out_path: str, keys: list[str], out_schema: StructType, partition_cols=()) -> DataFrame:
-    """Process the rows of ``todo`` not yet in ``out_path`` and append them;
-    returns the whole result table."""
+                 out_path: str, keys: list[str], out_schema: StructType, partition_cols=(),
+                 failed: str | None = None) -> DataFrame:
+    """Process the rows of ``todo`` not yet in ``out_path``, or there only as
+    ``failed``, and append them; returns the result table, in which a failed
+    row gives way to a later one of its key."""
     ensure_table(spark, out_path, out_schema, partition_cols)
     done = spark.read.schema(out_schema).parquet(out_path)
-    new = process(pending_rows(todo, done, keys))
+    new = process(pending_rows(todo, done, keys, failed))
     append_rows(new.select(*out_schema.fieldNames()), out_path, partition_cols)
-    return spark.read.schema(out_schema).parquet(out_path)
+    out = spark.read.schema(out_schema).parquet(out_path)
+    if failed is None:
+        return out
+    bad = F.coalesce(F.expr(failed), F.lit(False))
+    good = out.where(~bad)
+    lost = out.where(bad).join(good.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    return good.unionByName(lost.select(*out_schema.fieldNames()))
 
 
 def resume_stream(spark: SparkSession, source_dir: str, source_schema: StructType,

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import schemas
+from colloquy.operators.labels import refused_labels
 from colloquy.operators import scoring as S
 from colloquy.plans.bindings import inline_table
 from tests.rules import score_dialogue
+from tests.window_form import score as score_by
 
 # FIXTURES 3.1: gold of disease D in file order
 GOLD_D = [("Hypertension", "m"), ("Sudden Severe Hypertension", "h"), ("Dyspnea", "h"),
@@ -41,11 +43,11 @@ def _bullets(spark, dialogues):
     return spark.createDataFrame(rows, BULLET_SCHEMA)
 
 
-@pytest.mark.parametrize("form", ["decomposed", "window"])
+@pytest.mark.parametrize("form", ["package", "window"])
 def test_golden_rows(spark, form):
     gold = _gold(spark, {"D": GOLD_D})
     b = _bullets(spark, {k: ("D", v[0]) for k, v in GOLDEN.items()})
-    got = {r.did: r for r in S.score_bullets(b, gold, ["did"], form=form).collect()}
+    got = {r.did: r for r in score_by(b, gold, ["did"], form=form).collect()}
     for did, (_, score, weighted, penalty, reward) in GOLDEN.items():
         r = got[did]
         assert (r.score, r.weighted_score, r.penalty_score, r.reward_score) == (score, weighted, penalty, reward), did
@@ -100,8 +102,8 @@ def test_forms_agree_with_rule(spark, mode):
     dialogues = _random_dialogues(7 if mode == S.SUBSTRING else 11, 300)
     gold = _gold(spark, GOLDS)
     b = _bullets(spark, dialogues)
-    forms = {f: {r.did: r for r in S.score_bullets(b, gold, ["did"], mode=mode, form=f).collect()}
-             for f in ("decomposed", "window")}
+    forms = {f: {r.did: r for r in score_by(b, gold, ["did"], mode=mode, form=f).collect()}
+             for f in ("package", "window")}
     for did, (disease, answers) in dialogues.items():
         reasons = [f"r{i}" for i in range(len(answers))]
         want = score_dialogue(answers, GOLDS.get(disease, []), reasons, exact=(mode == S.EXACT))
@@ -134,11 +136,12 @@ def test_invariants_and_partition_count(spark):
             assert penalty + reward == 2 * score
 
 
-def test_multiline_label_uses_window_form(spark):
+def test_labels_over_several_lines_are_refused_and_reported(spark):
     gold = _gold(spark, {"M": [("a\n- b", "m"), ("b", "h")]})
+    assert [(r.symptom, r.error) for r in refused_labels(gold).collect()] == [("a\n- b", "label spans lines")]
     b = _bullets(spark, {"m1": ("M", ["a\n- b", "b"])})
     r = S.score_bullets(b, gold, ["did"]).collect()[0]
-    want = score_dialogue(["a\n- b", "b"], [("a\n- b", "m"), ("b", "h")], ["r0", "r1"])
+    want = score_dialogue(["a\n- b", "b"], [("b", "h")], ["r0", "r1"])
     assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace) == want[:5]
 
 
@@ -146,7 +149,7 @@ def test_decomposed_plan_shape(spark):
     """No window, label tables broadcast, one shuffle join (the join back)."""
     gold = _gold(spark, GOLDS)
     b = _bullets(spark, _random_dialogues(5, 20))
-    plan = S.score_bullets(b, gold, ["did"], form="decomposed")._jdf.queryExecution().executedPlan().toString()
+    plan = S.score_bullets(b, gold, ["did"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert plan.count("BroadcastHashJoin") >= 3
     assert plan.count("SortMergeJoin") <= 1

@@ -57,7 +57,45 @@ def test_stages_end_to_end(spark):
     diagnosed = ST.diagnose_results(scored, preds, jreq, _call(jreq, make_judge_model), KEYS)
     d = {r.pid: r for r in diagnosed.collect()}
     assert d["1"].model_predictions == ["D", "Other"] and d["1"].topk_result and d["1"].top1_result
-    assert d["2"].model_predictions is None and d["2"].top1_result is False and d["2"].n_calls == 0
+    assert d["2"].model_predictions is None and d["2"].top1_result is False
 
     board = M.run_leaderboard(diagnosed).collect()[0]
     assert (board.clean_len, board.format_error_len, board.score_mean, board.top1_accuracy) == (2, 1, 2.0, 1.0)
+
+
+def _tables(spark):
+    organized = spark.createDataFrame([(p, p, "D", ["head", "Question: q", "a"], "- one\n- two") for p in ("1", "2", "3", "4")],
+                                      "key string, pid string, disease string, QA array<string>, organized_QA string")
+    gold = inline_table(spark, [("D", 1, "Fatigue", "m"), ("D", 2, "Cough", "h")], schemas.GOLD)
+    return organized, gold
+
+
+def test_missing_and_doubled_replies(spark):
+    organized, gold = _tables(spark)
+    reqs = ST.compare_requests(organized, gold, ["key"], COMPARER)
+    ids = {(r.key, r.pos): r.request_id for r in reqs.collect()}
+    replies = [(i, 2, "Reason: r\nFinal Response: Fatigue") for k, i in ids.items() if k != ("2", 1)]
+    replies += [(ids["1", 0], 1, "Reason: r\nFinal Response: Cough"), (ids["3", 1], 3, "Reason: r\nFinal Response: Cough"), (ids["4", 0], 3, None)]
+    r = spark.createDataFrame(replies, "request_id string, ord int, response string")
+    got = {x.key: x for x in ST.compare_results(organized, reqs, r, gold, ["key"], order_col="ord").collect()}
+    assert len(got) == 4
+    assert (got["1"].status, got["1"].score, got["1"].penalty_score, got["1"].referred_gold_label) == ("ok", 2, 1.5, "- Fatigue\n- Fatigue\n")
+    assert (got["2"].status, got["2"].score, got["2"].referred_gold_label) == ("missing_reply", None, None)
+    assert got["3"].referred_gold_label == "- Fatigue\n- Cough\n" and got["4"].score == 2
+
+
+def test_doubled_absent_and_odd_profiles(spark):
+    organized, _ = _tables(spark)
+    scored = organized.withColumn("score", F.lit(1)).withColumn("status", F.when(F.col("key") == "4", "match_error").otherwise("ok"))
+    scored = scored.withColumn("pid", F.when(F.col("key") == "3", "P-12").otherwise(F.col("pid")))
+    prof = spark.createDataFrame([("00000001", {"a": "new", "b": None}, 2), ("00000001", {"a": "old"}, 1), ("00000009", {"a": "x"}, 1)],
+                                 "pid string, simple_info map<string,string>, ord int")
+    got = {r.key: r for r in ST.predict_requests(scored, prof, ["key"], 1, system="S", order_col="ord").collect()}
+    assert set(got) == {"1", "2", "3"} and got["2"].status == got["3"].status == "no_profile" and got["2"].messages is None
+    assert "a: new\nb: None\n" in got["1"].prompt
+    assert [m.role for m in got["1"].messages] == ["system", "user"] and got["1"].messages[0].content == "S"
+
+
+def test_request_ids_differ_for_different_keys(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("", "x")], "p string, q string")
+    assert df.select(RQ.request_id("s", "p", "q").alias("i")).distinct().count() == 5

@@ -122,3 +122,46 @@ def test_chat_messages_roles(spark):
     pat = df.select(DG.chat_messages("QA", F.lit("sys"), "patient").alias("m")).collect()[0].m
     assert [m.role for m in doc] == ["system", "user", "assistant", "user"]
     assert [m.role for m in pat] == ["system", "assistant", "user", "assistant"]
+
+
+@pytest.mark.parametrize("block,want", [
+    ("Diseases: [Asthma, COPD]", ["Asthma", "COPD"]),
+    ("Diseases: ['a, b', \"c\"]", ["a, b", "c"]),
+    ("Diseases:\n- \"Asthma\"\n- Crohn's\nNotes:\n- x", ["Asthma", "Crohn's"]),
+    ("Diseases:\n\n  - A\n  - B \n", ["A", "B"]),
+    ("Diseases:", None), ("Diseases: []", None), ("Diseases: Asthma", None), ("other", None), ("Notes:\n  Diseases:\n  - A", None),
+])
+def test_predictions(spark, block, want):
+    assert _one(spark, X.parse_predictions(F.col("s")), block) == want
+
+
+@pytest.mark.parametrize("block,want", [
+    ("Reasoning: |\n  fine match\nResult: True", ("fine match", True)),
+    ("Reasoning: |\n  a\n    b\n  Result: False\n\n  c\nResult: no", ("a\n  b\nResult: False\n\nc", False)),
+    ("Reasoning: >-\n  a\n  b\nResult: yes", ("a b", True)),
+    ("Result: True\nReasoning: 'it''s'", ("it's", True)),
+    ("Reasoning: a\n  Result: True\nResult: \"True\"", ("a Result: True", None)),
+    ("Reasoning: a\n  Result: True", (None, None)),
+])
+def test_judgements(spark, block, want):
+    v = _one(spark, X.parse_judgement(F.col("s")), block)
+    assert (v.reasoning, v.result) == want
+
+
+@pytest.mark.parametrize("items", [["Crohn's"], ["a", 'say "x"'], ["it's \"x\""], ["back\\\\slash", "l1\nl2\t"], []])
+def test_list_text_is_python_s(spark, items):
+    from colloquy.operators.diagnosis import python_list_text
+    assert _one(spark, python_list_text(F.col("a")), items, "a array<string>") == str(items)
+
+
+@pytest.mark.parametrize("items", [["\x07\x0b\x1b", "it's \"x\""], ["\U0001f600é", "a/b\\/c"], ["\u200b", "\x85\xa0", ""], []])
+def test_list_cells_read_like_python_literals(spark, items):
+    assert _one(spark, parse_list_cell("s"), str(items)) == items
+    assert _one(spark, parse_list_cell("s"), ascii(items)) == items
+
+
+def test_odd_keys_and_missing_values(spark):
+    assert _one(spark, X.pad_key("s"), "P-12") is None and _one(spark, X.pad_key("s"), "12") == "00000012"
+    assert _one(spark, X.render_profile("m"), {"a": None, "b": '["x","y"]'}, "m map<string,string>") == "a: None\nb: x, y"
+    m = F.create_map(*[F.lit(x) for x in ("pid", "1", "q", 'say "x"')], F.lit("n"), F.lit(None).cast("string"), F.lit("l"), F.lit('["x"]'), F.lit("token"), F.lit("t"))
+    assert _one(spark, X.profile_text(m), "") == '{"q": "say \\"x\\"", "n": null, "l": ["x"]}'
