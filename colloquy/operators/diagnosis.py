@@ -47,8 +47,11 @@ def unmatched_profiles(dialogues: DataFrame, profiles: DataFrame, pid_col: str =
 def dedup_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """Last row per key by ``order_col`` (a dict built in file order keeps
     the last duplicate).  ``max_by`` on a struct: a partial aggregation,
-    no window over a whole key."""
+    no window over a whole key (Spark sorts each task's rows for it).  With
+    one other column the aggregate is hash-based."""
     others = [c for c in df.columns if c != key]
+    if len(others) == 1:
+        return df.groupBy(key).agg(F.max_by(others[0], F.col(order_col)).alias(others[0]))
     packed = F.struct(*[F.col(c) for c in others])
     agg = df.groupBy(key).agg(F.max_by(packed, F.col(order_col)).alias("__last"))
     return agg.select(key, *[F.col("__last")[c].alias(c) for c in others])

@@ -66,8 +66,10 @@ def refused_labels(gold: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, keys: list[str], order_col: str, value_cols: list[str]) -> DataFrame:
-    """First row per key by ``order_col`` as a partial aggregation
-    (``min_by`` on a struct, no window and no sort of a whole key)."""
+    """First row per key by ``order_col`` as a partial aggregation, without
+    a window.  With several value columns Spark aggregates by sorting."""
+    if len(value_cols) == 1:  # plain values keep the aggregate hash-based
+        return df.groupBy(*keys).agg(F.min_by(value_cols[0], F.col(order_col)).alias(value_cols[0]), F.count(F.lit(1)).alias("n_rows"))
     packed = F.struct(*[F.col(c) for c in value_cols])
     agg = df.groupBy(*keys).agg(F.min_by(packed, F.col(order_col)).alias("__first"),
                                 F.count(F.lit(1)).alias("n_rows"))

@@ -24,10 +24,11 @@ def dense_index(df: DataFrame, partition_cols: list[str], order_cols: list[str],
     the caller: ``order_cols`` should make rows unique)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_cols)
-    ordered = df.repartitionByRange(n, *[F.col(c) for c in keys + list(order_cols)]) \
-                .sortWithinPartitions(*(keys + list(order_cols)))
+    cols = [F.col(c) for c in keys + list(order_cols)]
+    # without a number, AQE sizes the partitions from the data
+    ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    ordered = ranged.sortWithinPartitions(*cols)
     numbered = ordered.withColumn("__part", F.spark_partition_id()) \
                       .withColumn("__local", F.monotonically_increasing_id() - (F.col("__part").cast("bigint") * (1 << 33)))
     numbered = numbered.checkpoint(eager=True)

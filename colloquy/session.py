@@ -66,7 +66,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one staged
     table (never a machine-local temp folder on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/stage-{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.append(path)
+    return path
+
+
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the staged tables of this application, once the results that
+    read them are written; returns their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 _SHIPPED: set[str] = set()

@@ -174,3 +174,33 @@ def test_prompts_and_languages(spark, tmpdir_path):
     with open(path, "w") as f:
         f.write(" line\n\nlast\n")
     assert RD.load_prompt(spark, path) == " line\n\nlast\n"
+
+
+def test_staged_tables_go(spark):
+    from colloquy.session import drop_staged, staging_path
+    drop_staged(spark)
+    path = staging_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert drop_staged(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from colloquy.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
