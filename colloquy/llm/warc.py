@@ -1,12 +1,14 @@
 """WARC archives, index first.
 
-Writing.  Pages are dealt to archives by a hash; within an archive, records are ordered by page
-and their lengths add up to their offsets before anything is written.  So the index (archive,
-offset, length, URL, digest per record) exists first, as a Parquet table, and the records follow
-in that order.  The archives are written by Spark's own text writer: a WARC record ends with two
-CRLFs, which is the writer's line end.  Its commit protocol keeps lost or doubled tasks harmless.
-
-Reading.  Index rows are selected, sorted by (archive, offset) and coalesced into byte ranges:
+Writing.  Pages are dealt to archives by a hash; within an archive, records are ordered by page.
+A task streams its archives' pages, already sorted, and writes each record as a gzip member of
+its own, as web archives are kept.  What it returns is the index: archive file, offset, length,
+URL and digest per record, stored as a Parquet table.  Archives have fixed names and the same
+bytes in every attempt, and appear under their name only when complete, so a lost or doubled task
+does no harm.  Pages cross the network once: only the narrow facts which record refers to which
+are joined, and travel to the archive's task as rows of their own.
+
+Reading.  Index rows are selected, sorted by (file, offset) and coalesced into byte ranges:
 records less than ``GAP`` bytes apart are read in one request.  A task reads a range, cuts it by
 the index, and parses every record's header and payload.
 
@@ -19,20 +21,27 @@ written as an empty id; rows that share the least page id of a payload are all r
 ends in a URL are written percent-encoded.  Empty tables give an empty index.  Other columns of
 the input, clashing names included, are not carried.  Records of any length are written whole; a
 range holds at least one record.
+
+The folder must be one that tasks reach by its URI: a shared file system, or a store that
+pyarrow's file systems open.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import prepare
 
 #: Payload bytes that an archive holds on average.
-ARCHIVE = 32 << 20
+ARCHIVE = 16 << 20
 #: Bytes between two selected records that are rather read than skipped.
 GAP = 64 << 10
 #: Bytes at which a range ends.
@@ -50,58 +59,91 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), _DIGITS, _BASE32)
 
 
-def plan(pages: DataFrame, smallest: int = 0, archives: int | None = None) -> DataFrame:
-    """Every page's record with its place: archive, offset, length, record and index columns."""
-    prepare(pages.sparkSession)
+def tape(pages: DataFrame, smallest: int = 0, archives: int | None = None) -> DataFrame:
+    """What the writers need, by archive: every page, behind a note (no html) of the page that it
+    refers to if it is a revisit."""
     html = F.coalesce(F.col("html"), F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A")
-    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html.cast("binary")).alias("payload_digest"))
+    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), base32_sha1(html.cast("binary")).alias("digest"))
     if archives is None:
-        total = rows.agg(F.sum("payload_bytes")).first()[0] or 0  # one number
+        total = rows.agg(F.sum("bytes")).first()[0] or 0  # one number
         archives = total // ARCHIVE + 1
-    first = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= smallest) & (F.col("page_id").isNull() & F.col("first").isNotNull() | (F.col("page_id") != F.col("first")))
-    rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
-    block = F.when(F.col("again"), F.lit("")).otherwise(F.col("html"))
-    kind = F.when(F.col("again"), "revisit").otherwise("response")
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind,
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), name,
-        F.lit(f">\r\nWARC-Date: {_DATE}\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
-        F.when(F.col("again"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block)
-    rows = rows.select(
-        F.pmod(F.xxhash64("page_id", "url", "payload_digest"), F.lit(archives)).cast("int").alias("archive"),
-        "page_id", "url", "payload_digest", kind.alias("record_type"), head.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long") + len(_END))
-    # an archive is bounded by ARCHIVE, so the running sum is over a bounded group
-    before = W.partitionBy("archive").orderBy(F.col("page_id").asc_nulls_last(), "url", "payload_digest").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("int"))
+    first = rows.where(F.col("bytes") >= smallest).groupBy("digest").agg(F.min("page_id").alias("first")).where("first IS NOT NULL")
+    notes = rows.where(F.col("bytes") >= smallest).select("archive", "page_id", "url", "digest").distinct().join(first, "digest")
+    notes = notes.where("page_id IS NULL OR page_id <> first")
+    both = rows.select("archive", "page_id", "url", "digest", F.lit(None).cast("long").alias("first"), "html").unionByName(
+        notes.select("archive", "page_id", "url", "digest", F.col("first").cast("long").alias("first"), F.lit(None).cast("string").alias("html")))
+    return both.repartition("archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_last(), "url", "digest", F.col("first").asc_nulls_last())
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return fs.FileSystem.from_uri(uri)
+
+
+def record(page: object, url: str, digest: str, payload: bytes, first: int | None) -> bytes:
+    block = payload if first is None else b""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {_DATE}",
+            f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    if first is not None:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{first}>"]
+    head += ["Content-Type: text/html", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + _END).encode() + block + _END.encode()
+
+
+_INDEX = pa.schema([("archive", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("record_type", pa.string())])
+
+
+def _writer(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        now = out = note = None
+        part = name = ""
+        offset = 0
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                store.move(part, name)
+
+        for batch in batches:
+            index: list[dict] = []
+            for archive, page, url, digest, first, html in zip(*(batch.column(n).to_pylist() for n in ("archive", "page_id", "url", "digest", "first", "html"))):
+                if archive != now:
+                    done()
+                    now, offset = archive, 0
+                    name = f"{root}/archive-{archive:06d}.warc.gz"
+                    part = f"{root}/.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                if html is None:
+                    note = (page, url, digest, first)
+                    continue
+                refers = note[3] if note and note[:3] == (page, url, digest) else None
+                member = gzip.compress(record(page, url, digest, html.encode(), refers), 6, mtime=0)
+                out.write(member)
+                index.append({"archive": archive, "file": f"{folder}/archive-{archive:06d}.warc.gz", "offset": offset, "length": len(member), "page_id": page, "url": url,
+                              "payload_digest": digest, "record_type": "response" if refers is None else "revisit"})
+                offset += len(member)
+            yield pa.RecordBatch.from_pylist(index, _INDEX)
+        done()
+
+    return run
 
 
 def write(pages: DataFrame, path: str, smallest: int = 0, archives: int | None = None) -> DataFrame:
     """Write the archives under ``path`` and return the index."""
     spark = pages.sparkSession
-    rows = plan(pages, smallest, archives)
-    (rows.sortWithinPartitions("archive", "offset").select("archive", "record")
-         .write.partitionBy("archive").option("lineSep", _END).option("compression", "none").text(f"{path}/archives"))
-    files = _files(spark, f"{path}/archives")
-    index = rows.select("archive", "offset", "length", "page_id", "url", "payload_digest", "record_type").join(files, "archive")
-    index.write.parquet(f"{path}/index")
+    prepare(spark)
+    folder = f"{path}/archives"
+    store, root = _store(folder)
+    store.create_dir(root)
+    rows = tape(pages, smallest, archives).mapInArrow(_writer(folder), "archive int, file string, offset bigint, length bigint, page_id bigint, url string, payload_digest string, record_type string")
+    rows.write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, file): the one file of each archive.  Only names are listed."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path")
-    found = rows.select(F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("archive"), F.col("path").alias("file"))
-    return found
-
-
 def ranges(index: DataFrame, gap: int = GAP, most: int = RANGE) -> DataFrame:
     """Selected index rows, coalesced: file, start, stop and the records inside."""
     order = W.partitionBy("file").orderBy("offset")
@@ -126,21 +168,18 @@ def parse(record: bytes) -> dict:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import base64
-    import hashlib
-
     def number(name: str) -> int | None:
         return int(text) if (text := name.removeprefix("<urn:page:").removesuffix(">")) else None
 
     for batch in batches:
         for row in batch.to_pylist():
-            store, place = fs.FileSystem.from_uri(row["file"].replace("file:/", "file:///", 1) if row["file"].startswith("file:/") and not row["file"].startswith("file://") else row["file"])
+            store, place = _store(row["file"])
             with store.open_input_file(place) as f:
                 data = f.read_at(row["stop"] - row["start"], row["start"])
             out = []
             for part in row["parts"]:
                 at = part["offset"] - row["start"]
-                r = parse(data[at : at + part["length"]])
+                r = parse(gzip.decompress(data[at : at + part["length"]]))
                 h, payload = r["fields"], r["payload"]
                 digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                 if h["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -159,3 +198,13 @@ def read(index: DataFrame) -> DataFrame:
     the full payload), record_type, refers_to and html (empty for revisits)."""
     prepare(index.sparkSession)
     return ranges(index).mapInArrow(_read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string")
+
+
+#: DuckDB SQL of the records' facts over pages.
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda j: substr('{_BASE32}', ((('0x' || substr(sha1(h), 1 + 5 * (j // 4), 5))::BIGINT >> (15 - 5 * (j % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""

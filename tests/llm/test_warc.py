@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -42,7 +43,11 @@ def test_round_trip(spark, tmpdir_path):
         for r in index.limit(20).collect():
             with open(r.file.replace("file:", "").replace("//", "/"), "rb") as f:
                 f.seek(r.offset)
-                assert warc.parse(f.read(r.length))["fields"]["WARC-Type"] == r.record_type
+                assert warc.parse(gzip.decompress(f.read(r.length)))["fields"]["WARC-Type"] == r.record_type
+        # an archive as a whole is a chain of gzip members
+        one = index.where("archive = 0").orderBy("offset").collect()
+        with gzip.open(one[0].file.replace("file:", "").replace("//", "/")) as f:
+            assert f.read().count(b"WARC/1.1\r\nWARC-Type: ") >= len(one)
         some = index.where("page_id % 9 = 0")
         assert {r.page_id for r in warc.read(some).collect()} == {i for i in html if i is not None and i % 9 == 0}
 
