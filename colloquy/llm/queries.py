@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import decontaminate, jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import read, staging_path
 
@@ -40,7 +42,8 @@ def op1_toxicity(spark, sf_dir):
 
 def op2_url_filter(spark, sf_dir):
     """Verdict on every page's URL."""
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    rows = url_filter.judge(read(spark, sf_dir, "pages"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("score", "p_allow")})
 
 
 def op3_source_mixing(spark, sf_dir):
@@ -74,4 +77,4 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup)}
-ORACLE = {"op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
+ORACLE = {"op2_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}

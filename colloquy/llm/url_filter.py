@@ -101,7 +101,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     rest, host, path = address(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{keep}`").alias(keep), rest.alias("rest"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
-    rows = rows.select(keep, "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("label"), normalised(F.col("rest")).alias("key"), F.pmod(F.xxhash64("host"), F.lit(2)).cast("int").alias("half"))
+    rows = rows.select(keep, "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("label"), normalised(F.col("rest")).alias("key"), (F.conv(F.substring(F.md5("host"), 1, 1), 16, 10).cast("int") % 2).alias("half"))
     # rows per address, label and half of the hosts; a run counts once for each row that has it
     lots = rows.groupBy("key", "label", "half").agg(F.count("*").alias("n")).checkpoint()
     runs = lots.select("label", "half", "n", F.explode(_runs(F.col("key"))).alias("run"))
@@ -126,3 +126,36 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     out = rows.join(scores, F.col("key") == F.col("s_key"))
     verdict = F.coalesce(F.col("label"), F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block"))
     return out.withColumn("p_allow", p.cast("double")).select(keep, "host", "path", "rule", verdict.alias("verdict"), F.col("score_2").alias("score"), "p_allow")
+
+
+_LEVELS = "\n".join(f"""t{k} AS (SELECT c, f, substr(run, {ORDER + 1 - k}, {k + 1}) AS r, sum(n)::DOUBLE AS n FROM m GROUP BY ALL),
+u{k} AS (SELECT c, f, r, n, sum(n) OVER w AS s, sum((n > 0)::INT) OVER w AS t FROM t{k} WINDOW w AS (PARTITION BY c, f, substr(r, 1, {k}))),
+p{k} AS (SELECT p.run, p.c, p.f, CASE WHEN s + t > 0 THEN (n + t * p.p) / (s + t) ELSE p.p END AS p FROM p{k - 1} p
+  JOIN u{k} u ON u.c = p.c AND u.f = p.f AND u.r = substr(p.run, {ORDER + 1 - k}, {k + 1})),""" for k in range(1, ORDER + 1))
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+#: DuckDB SQL of the rows of judge over pages, scores at 6 places.
+ORACLE = rf"""
+WITH a AS (SELECT page_id, rid, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), '{_UPPER}', '{_DOWN}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path
+  FROM (SELECT page_id, row_number() OVER () AS rid, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+ru(h, p, v) AS (VALUES {_RULES}),
+b AS (SELECT a.*, x.rule, x.v AS label, ('0x' || substr(md5(host), 1, 1))::INT % 2 AS half,
+    '^^^' || regexp_replace(regexp_replace(translate(rest, '{_UPPER}', '{_DOWN}'), '[0-9]+', '0', 'g'), '[^a-z0./?=&_%:\-+#]', '~', 'g') || '$' AS key
+  FROM a LEFT JOIN (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM a JOIN ru
+      ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid) x USING (rid)),
+o AS (SELECT rid, key, label, half, substr(key, i, 4) AS run FROM (SELECT *, unnest(range(1, length(key) - 2)) AS i FROM b)),
+mm AS (SELECT * FROM (SELECT unnest(['allow', 'block']) AS c), (SELECT unnest([0, 1, 2]) AS f)),
+m AS (SELECT r.run, mm.c, mm.f, coalesce(n, 0) AS n FROM (SELECT DISTINCT run FROM o) r CROSS JOIN mm
+  LEFT JOIN (SELECT run, c, f, count(*) AS n FROM o JOIN mm ON label = c AND half <> f GROUP BY ALL) k ON k.run = r.run AND k.c = mm.c AND k.f = mm.f),
+z AS (SELECT c, f, substr(run, {ORDER + 1}, 1) AS r, sum(n)::DOUBLE AS n FROM m GROUP BY ALL),
+p0 AS (SELECT m.run, m.c, m.f, (z.n + 1) / (sum_n + {float(len(ALPHABET) - 1)}) AS p FROM m JOIN z ON z.c = m.c AND z.f = m.f AND z.r = substr(m.run, {ORDER + 1}, 1)
+  JOIN (SELECT c, f, sum(n) AS sum_n FROM z GROUP BY ALL) y ON y.c = m.c AND y.f = m.f),
+{_LEVELS}
+l AS (SELECT run, f, sum(CASE WHEN c = 'allow' THEN ln(p) ELSE -ln(p) END) AS x FROM p{ORDER} GROUP BY ALL),
+s AS (SELECT rid, label, half, f, avg(x) AS score FROM o JOIN l USING (run) GROUP BY ALL),
+g AS (SELECT label, count(*)::DOUBLE AS n, avg(score) AS mu, sum(score * score) AS sq FROM s WHERE label IS NOT NULL AND f = half GROUP BY label),
+q AS (SELECT x.n AS na, y.n AS nb, x.mu AS ma, y.mu AS mb, greatest(1e-9, (x.sq - x.n * x.mu ** 2 + y.sq - y.n * y.mu ** 2) / (x.n + y.n)) AS v
+  FROM (SELECT * FROM g WHERE label = 'allow') x, (SELECT * FROM g WHERE label = 'block') y),
+e AS (SELECT rid, score, 1 / (1 + exp(-((score - (ma + mb) / 2) * (ma - mb) / v + ln(na / nb)))) AS p FROM s, q WHERE f = 2)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN p >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score, round(p, 6) AS p_allow
+FROM b JOIN e USING (rid)"""
