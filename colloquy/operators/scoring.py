@@ -20,8 +20,7 @@ Only partial aggregations and equi-joins against small label tables are
 used: first position per ``(dialogue, label)``, the break position, and the
 "seen" test as a lookup of the earliest covering label.  No window and no
 per-dialogue array of statements: a dialogue holding a third of all rows is
-still split across tasks (partial aggregation; AQE skew join for the single
-join back).  Labels are single lines (``labels.accepted_labels``); the
+still split across tasks (partial aggregation; a salted join back).  Labels are single lines (``labels.accepted_labels``); the
 tests hold the result against a running trace text in a window.
 """
 
@@ -35,6 +34,8 @@ from colloquy.operators.labels import NOT_IN_GOLD, accepted_labels, gold_list_te
 
 SUBSTRING = "substring"
 EXACT = "exact"
+#: Parts that the bullets of every dialogue are dealt to when its state is joined back.
+SALTS = 8
 
 
 def annotate_bullets(bullets: DataFrame, gold: DataFrame) -> DataFrame:
@@ -77,8 +78,11 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
         F.min("brk").alias("brk"),
         F.map_from_entries(F.collect_list(F.when(F.col("symptom").isNotNull() & F.col("cover_pos").isNotNull(),
                                                  F.struct("symptom", "cover_pos")))).alias("cover_map"))
-    # 4. the single shuffle of the bullets: join the state back by dialogue
-    j = ann.join(state, keys, "left")
+    # 4. the single shuffle of the bullets: join the state back by dialogue and
+    #    salt, so that a hot dialogue's bullets are dealt to several tasks
+    #    (AQE cannot split this join, as its other side is an aggregate)
+    salted = state.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = ann.withColumn("__salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], "left").drop("__salt")
     seen = F.coalesce(F.try_element_at(F.col("cover_map"), F.col("resp")) < F.col("pos"), F.lit(False))
     if mode != EXACT:
         seen = seen | (F.col("resp") == "")  # '' is inside any text, even an empty one
@@ -101,6 +105,14 @@ def score_bullets(bullets: DataFrame, gold: DataFrame, keys: list[str],
     return score_flags(bullet_flags(bullets, gold, keys, mode), keys, carry)
 
 
+def trace_rows(f: DataFrame, keys: list[str]) -> DataFrame:
+    """The traces as a table, from per-bullet flags: one row per live
+    statement with its label and reason.  A dialogue of any length stays
+    rows; the trace texts of ``score_bullets`` are the export form."""
+    reason = F.col("reason") if "reason" in f.columns else F.lit(None).cast("string")
+    return f.where("live").select(*keys, "pos", "label", reason.alias("reason"))
+
+
 def score_flags(f: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
     """The scores from per-bullet flags."""
     carry = list(carry or [])

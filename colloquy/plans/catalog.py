@@ -77,6 +77,12 @@ def reason_trace(spark, sf_dir):
     return _b1_scores(spark, sf_dir).select("dialogue_id", "reason_trace")
 
 
+@query("trace_rows")
+def trace_rows(spark, sf_dir):
+    f = S.bullet_flags(B.b1_bullets(spark, sf_dir), B.b1_gold(spark), B.B1_KEYS)
+    return S.trace_rows(f, ["dialogue_id", "event_id"]).drop("pos")
+
+
 @query("gold_contains")
 def gold_contains(spark, sf_dir):
     a = S.annotate_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark))

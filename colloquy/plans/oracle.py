@@ -86,6 +86,7 @@ ORACLE["score_reward"] = _b1("SELECT dialogue_id, round(reward_score, 6) AS rewa
 ORACLE["poison_break"] = _b1("SELECT dialogue_id, break_event_id, n_live FROM scored")
 ORACLE["label_trace"] = _b1("SELECT dialogue_id, label_trace FROM scored")
 ORACLE["reason_trace"] = _b1("SELECT dialogue_id, reason_trace FROM scored")
+ORACLE["trace_rows"] = _b1("SELECT dialogue_id, event_id, label, reason FROM s WHERE live")
 ORACLE["gold_contains"] = _b1("SELECT event_id, dialogue_id, resp, hit FROM a")
 ORACLE["label_weight"] = _b1("SELECT event_id, resp, weight FROM a")
 ORACLE["join_gold"] = f"""WITH {B1_GOLD},

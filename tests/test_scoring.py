@@ -170,3 +170,18 @@ def test_hot_dialogue(spark):
         want = score_dialogue(answers, GOLDS.get(disease, []), [f"r{i}" for i in range(len(answers))])
         r = got[did]
         assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace) == want[:5]
+
+
+def test_hot_dialogue_is_split(spark):
+    """The statements of a hot dialogue reach several tasks."""
+    n = 9000
+    hot = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("d"), (F.col("id") % 97).cast("string"))).alias("did"),
+                                F.lit("D").alias("disease"), F.col("id").alias("pos"), F.lit("Fatigue").alias("resp"), F.lit("r").alias("reason"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        f = S.bullet_flags(hot, _gold(spark, GOLDS), ["did"]).where("did = 'hot'")
+        parts = [r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(key, "true")
+    assert sum(parts) == n // 3 and max(parts) < 0.6 * sum(parts)
