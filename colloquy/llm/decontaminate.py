@@ -38,9 +38,9 @@ _U = np.uint64
 LEAST = 6
 #: Bits of the triple bitmap.
 BITS = 1 << 24
-WALKS = 4
+WALKS = 6
 #: Places of an embedding in a key.
-PLACES = 3
+PLACES = 2
 #: Keys per walk at most.
 MOST = 16
 TARGET = 0.97
@@ -184,23 +184,28 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value.view(np.int64))], ["place", "bits"])
 
 
-def window_starts(hit: np.ndarray, n: int, w: int) -> np.ndarray:
-    """Grid starts of the windows of w of n words that hold enough of the triples at ``hit``
-    (sorted): what an item of this class, up to 1.3 w words long, must at least keep of its first
-    w words."""
-    longest = w * 13 // 10
-    need = max(1, w - 2 - 3 * edits(longest))
-    if len(hit) < need or n < 1:
-        return hit[:0]
-    first, last = hit[: len(hit) - need + 1], hit[need - 1 :]
-    lo, hi = last - (w - 3), first
-    ok = lo <= hi
-    step = max(1, w // 8)
-    lo, hi = np.maximum(lo[ok], 0) - step // 2, hi[ok] + step // 2
-    a, b = -(-lo // step), hi // step  # grid numbers
+def window_starts(w: Words, hits: np.ndarray, text_of: np.ndarray, c: int) -> np.ndarray:
+    """Grid starts (as word numbers of the batch) of the windows of c words that hold enough of
+    the triples at ``hits``: what an item of this class, up to 1.3 c words long, must at least
+    keep of its first c words."""
+    need = max(1, c - 2 - 3 * edits(c * 13 // 10))
+    if len(hits) < need:
+        return hits[:0]
+    first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
+    ok = (text_of[: len(first)] == text_of[need - 1 :]) & (last - first <= c - 3)
+    first, last, base = first[ok], last[ok], w.first[text_of[: len(first)][ok]]
+    size = w.first[text_of[: len(ok)][ok] + 1] - base
+    step = max(1, c // 8)
+    lo, hi = np.maximum(last - (c - 3) - base, 0) - step // 2, first - base + step // 2
+    a, b = np.maximum(-(-lo // step), 0), np.minimum(hi // step, (size - 1) // step)
     many = np.maximum(b - a + 1, 0)
-    grid = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else a, many) + np.arange(many.sum())
-    return np.unique(np.clip(grid * step, 0, max(0, n - 1)))
+    grid = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.unique(np.repeat(base, many) + grid * step)
+
+
+def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
+    """Values sorted by owner 0 to n - 1, as one list per owner."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def _regions(samples: int, sizes: list[int], bitmap):
@@ -213,35 +218,45 @@ def _regions(samples: int, sizes: list[int], bitmap):
             bit = _bit(h)
             hits = np.flatnonzero(whole & ((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & _U(1)).astype(bool))
             text_of = np.searchsorted(w.first, hits, "right") - 1
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            out: list[tuple] = []
-            for i in np.unique(text_of).tolist():
-                t = w.hash[w.first[i] : w.first[i + 1]]
-                own = hits[text_of == i] - w.first[i]
-                found = [(c, s) for c in sizes for s in [window_starts(own, len(t), c)] if len(s)]
-                if not found:
-                    continue
-                lo = np.concatenate([s - (6 * c // 10 + 2) for c, s in found])
-                hi = np.concatenate([s + c + 6 * c // 10 + 2 for c, s in found])
-                order = np.argsort(lo, kind="stable")
-                reach = np.maximum.accumulate(hi[order])
-                cut = np.concatenate([[True], lo[order][1:] > reach[:-1]])
-                region = np.empty(len(lo), np.int64)
-                region[order] = np.cumsum(cut) - 1
-                starts, ends = lo[order][cut], reach[np.append(np.flatnonzero(cut)[1:], len(lo)) - 1]
-                mine: list[list] = [[] for _ in starts]
-                at = 0
-                for c, s in found:
-                    padded = np.concatenate([t, np.zeros(c, np.uint64)])
-                    k = keys(padded[s[:, None] + np.arange(c)], samples)
-                    for x, row in zip(region[at : at + len(s)].tolist(), k):
-                        mine[x].append(row)
-                    at += len(s)
-                for a, b, ks in zip(starts.tolist(), ends.tolist(), mine):
-                    a = max(a, 0)
-                    out.append((key[i], batch.column("doc_id")[i].as_py(), a, t[a:b].view(np.int64).tolist(), np.unique(np.concatenate(ks)).view(np.int64).tolist()))
+            starts = [window_starts(w, hits, text_of, c) for c in sizes]
+            at = np.concatenate(starts) if starts else hits[:0]
+            if not len(at):
+                continue
+            of = np.searchsorted(w.first, at, "right") - 1
+            long = np.repeat(sizes, [len(s) for s in starts])
+            pad = 6 * long // 10 + 2
+            lo, hi = np.maximum(at - pad, w.first[of]), np.minimum(at + long + pad, w.first[of + 1])
+            order = np.lexsort((lo, of))
+            reach = np.maximum.accumulate(hi[order])
+            cut = np.ones(len(at), bool)
+            cut[1:] = (lo[order][1:] > reach[:-1]) | (of[order][1:] != of[order][:-1])
+            region = np.empty(len(at), np.int64)
+            region[order] = np.cumsum(cut) - 1
+            begin, text = lo[order][cut], of[order][cut]
+            stop = reach[np.append(np.flatnonzero(cut)[1:], len(at)) - 1]
+            found, owners, done = [], [], 0
+            padded = np.concatenate([w.hash, np.zeros(max(sizes), np.uint64)])
+            for c, s in zip(sizes, starts):
+                for part in range(0, len(s), 8192):
+                    some = s[part : part + 8192]
+                    span = some[:, None] + np.arange(c)
+                    end = w.first[of[done + part : done + part + len(some)] + 1]
+                    tokens = np.where(span < end[:, None], padded[span], _U(0))
+                    k = keys(tokens, samples)
+                    found.append(k.ravel())
+                    owners.append(np.repeat(region[done + part : done + part + len(some)], k.shape[1]))
+                done += len(s)
+            key, owner = np.concatenate(found), np.concatenate(owners)
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            n = len(begin)
+            long = stop - begin
+            word = np.repeat(begin - np.cumsum(long) + long, long) + np.arange(long.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[j] for x in out], k) for j, k in enumerate((pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                [batch.column("key").take(pa.array(text)), batch.column("doc_id").take(pa.array(text)), pa.array(begin - w.first[text]),
+                 _lists(np.repeat(np.arange(n), long), n, w.hash[word]), _lists(owner[new], n, key[new])],
                 ["key", "doc_id", "start", "words", "keys"])
 
     return run
