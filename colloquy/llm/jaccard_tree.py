@@ -1,8 +1,10 @@
 """N-gram Jaccard join with signature trees.
 
 1. Blocking.  A pair with Jaccard similarity t or more differs in at most d shingles, where d
-   follows from the larger size.  Shingles are dealt by hash into d + 1 slices, so such a pair
-   has at least one slice in common, shingle for shingle.  Documents that share a slice (of the
+   follows from the larger size.  Shingles are dealt by hash into d + 1 + k slices, so such a pair
+   has at least k + 1 slices in common, shingle for shingle.  Empty slices say nothing, so a
+   document with at most k of them leaves them out: one common slice is still not empty.  (The
+   few documents with more empty slices keep them, and so meet each other.)  Documents that share a slice (of the
    same size class; a class's smaller neighbours use its slices too) are chained, and the
    components of these chains are the blocks: a linked pair never lies across two blocks.
    Equal slices met in one batch are combined before the shuffle.
@@ -59,11 +61,14 @@ class Threshold:
     def size_class(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
 
-    def slices(self, k: int) -> int:
-        """One more than the shingles in which a linked pair whose larger set is of class k can differ."""
+    def slices(self, k: int) -> tuple[int, int]:
+        """Slices of class k, and how many of them a linked pair whose larger set is of that class
+        has in common at least."""
         most = int(self.low[k + 1]) - 1
         t = Fraction(self.num, self.den)
-        return int(2 * most * (1 - t) / (1 + t)) + 1
+        d = int(2 * most * (1 - t) / (1 + t))
+        spare = d // 8 + 3 if d else 0
+        return d + 1 + spare, spare + 1
 
     def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
         return self.den * common >= self.num * (a + b - common)
@@ -85,11 +90,13 @@ def slice_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
     for c in (k, k + 1):
         if c > k and n * t.den < t.num * int(t.low[c]):
             break
-        parts = t.slices(c)
+        parts, common = t.slices(c)
         at = ((s >> _U(20)) % _U(parts)).astype(np.int64)
         value = np.zeros(parts, np.uint64)
         np.add.at(value, at, mix(s + _U(c)))
-        out.append(mix(value + np.arange(parts, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(c << 40)))
+        key = mix(value + np.arange(parts, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(c << 40))
+        full = np.bincount(at, minlength=parts) > 0
+        out.append(key[full] if parts - full.sum() < common else key)
     return np.concatenate(out)
 
 
@@ -124,7 +131,9 @@ def _chains(k: int, t: Threshold, docs: DataFrame, text: str) -> DataFrame:
             lead[1:] = key[1:] != key[:-1]
             leader = own[lead][np.cumsum(lead) - 1]
             links = np.unique(np.stack([leader[~lead], own[~lead]], 1), axis=0)
-            key, own = np.concatenate([key[lead], links[:, 0]]), np.concatenate([own[lead], links[:, 1]])
+            # a set's slices one after another, which the shuffle compresses best
+            by = np.argsort(own[lead], kind="stable")
+            key, own = np.concatenate([key[lead][by], links[:, 0]]), np.concatenate([own[lead][by], links[:, 1]])
             kind = np.zeros(len(key), np.int8)
             kind[len(kind) - len(links):] = 1
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(own)], ["kind", "a", "b"])
@@ -221,21 +230,23 @@ def traverse(u: Tree, v: Tree, root_u: np.ndarray, root_v: np.ndarray, t: Thresh
             continue
         alo, ahi = (a * FAN, min((a + 1) * FAN, len(u.sets))) if level else (a, a + 1)
         blo, bhi = (b * FAN, min((b + 1) * FAN, len(v.sets))) if level else (b, b + 1)
-        for i in range(alo, ahi):
-            lo = max(blo, i + 1) if same else blo
-            if lo >= bhi:
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(alo, ahi), np.arange(blo, bhi), indexing="ij"))
+        ok = root_u[i] != root_v[j]
+        if same:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        ok = possible(u, v, 0, i, j, t)
+        i, j = i[ok], j[ok]
+        for x in np.unique(i).tolist():
+            near = j[i == x]
+            near = near[root_v[near] != root_u[x]]
+            if not len(near):
                 continue
-            j = np.arange(lo, bhi)
-            j = j[root_v[j] != root_u[i]]
-            if len(j):
-                j = j[possible(u, v, 0, np.full(len(j), i), j, t)]
-            if not len(j):
-                continue
-            hit = np.arange(lo, bhi)[t.linked(v.common(u.sets[i], lo, bhi), len(u.sets[i]), v.size[lo:bhi])]
-            for x in hit.tolist():
-                if root_v[x] != root_u[i]:
-                    links.append((i, x))
-                    old, new = root_v[x], root_u[i]
+            hit = t.linked(v.common(u.sets[x], blo, bhi)[near - blo], len(u.sets[x]), v.size[near])
+            for y in near[hit].tolist():
+                if root_v[y] != root_u[x]:
+                    links.append((x, y))
+                    old, new = root_v[y], root_u[x]
                     root_u[root_u == old] = new
                     if root_v is not root_u:
                         root_v[root_v == old] = new
