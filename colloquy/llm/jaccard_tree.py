@@ -42,8 +42,8 @@ from .components import components
 from .words import mix, shingle_sets, words
 
 _U = np.uint64
-#: Shingles of a block's distinct sets that one side of a task holds (20 MB), one set at least.
-LEAVES = 2_500_000
+#: Shingles of a block's distinct sets that one side of a task holds (8 MB), one set at least.
+LEAVES = 1_000_000
 #: Sets under one lowest node, and nodes under a higher one.
 FAN = 32
 
@@ -255,7 +255,9 @@ def traverse(u: Tree, v: Tree, root_u: np.ndarray, root_v: np.ndarray, t: Thresh
 
 def _block_links(k: int, t: Threshold, frame: pd.DataFrame) -> pd.DataFrame:
     """Links within one task's sets: one part of a block with itself, or two parts."""
-    sets = shingle_sets(words([x.encode() for x in frame["text"]], lower=True), k)
+    batch = pa.RecordBatch.from_arrays([pa.array(frame["text"], pa.string())], ["text"])
+    # the texts in small slices, as hashing takes many times their size
+    sets = [s for _, texts in text_batches(iter([batch])) for s in shingle_sets(words(texts, lower=True), k)]
     # a repeated id may have brought other texts along, or the same one twice
     key = pd.DataFrame({"one": set_keys(sets)[0], "rep": frame["rep"].to_numpy()})
     keep = np.flatnonzero((key["one"].to_numpy() == frame["one"].to_numpy()) & ~key.duplicated().to_numpy())
