@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.session import ensure_checkpoint_dir, ship_package, staging_path
 
 #: Text bytes that a task handles at once; longer single texts form a batch of their own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 __all__ = ["BATCH_BYTES", "prepare", "staging_path", "text_batches", "read"]
 
