@@ -266,8 +266,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         distance, first, last = [], [], []
         for item, text, start in zip(*(batch.column(n).to_pylist() for n in ("item", "words", "start"))):
-            d, end = least_edits(item, text)
-            if d <= edits(len(item)):
+            # each edit takes one word of the item at most: the others are all in the region
+            near = sum(map(set(text).__contains__, item)) >= len(item) - edits(len(item))
+            d, end = least_edits(item, text) if near else (len(item), 0)
+            if near and d <= edits(len(item)):
                 back, length = least_edits(item[::-1], text[:end][::-1])
                 distance.append(d)
                 first.append(start + end - length)
