@@ -2,9 +2,12 @@
 
 1. Blocking.  A pair with Jaccard similarity t or more differs in at most d shingles, where d
    follows from the larger size.  Shingles are dealt by hash into d + 1 + k slices, so such a pair
-   has at least k + 1 slices in common, shingle for shingle.  Empty slices say nothing, so a
-   document with at most k of them leaves them out: one common slice is still not empty.  (The
-   few documents with more empty slices keep them, and so meet each other.)  Documents that share a slice (of the
+   has at least k + 1 slices in common, shingle for shingle.  Slices without a shingle, or with
+   none but very frequent ones (boilerplate, passages that many documents hold), say nothing, so
+   a document with at most k such weak slices leaves them out: one common slice is still strong,
+   as equal slices are weak or strong together.  (The few documents with more weak slices keep
+   them, and so meet each other.)  What is very frequent is read off a table of ``COUNTERS``
+   counts of shingle hashes, the only thing broadcast.  Documents that share a slice (of the
    same size class; a class's smaller neighbours use its slices too) are chained, and the
    components of these chains are the blocks: a linked pair never lies across two blocks.
    Equal slices met in one batch are combined before the shuffle.
@@ -42,8 +45,11 @@ from .components import components
 from .words import mix, shingle_sets, words
 
 _U = np.uint64
-#: Shingles of a block's distinct sets that one side of a task holds (8 MB), one set at least.
-LEAVES = 1_000_000
+#: Shingles of a block's distinct sets that one side of a task holds (24 MB), one set at least.
+LEAVES = 3_000_000
+#: Counters of shingle hashes; a shingle is very frequent if its counter is ``FREQUENT`` times the mean.
+COUNTERS = 1 << 20
+FREQUENT = 8
 #: Sets under one lowest node, and nodes under a higher one.
 FAN = 32
 
@@ -54,8 +60,8 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         low = [1]
-        while low[-1] < 1 << 40:  # a class spans a factor of about 5 / 4, or of 1 / t if that is more
-            low.append(max(low[-1] * den // num, low[-1] * 5 // 4) + 1)
+        while low[-1] < 1 << 40:  # a class spans a factor of about 8 / 5, or of 1 / t if that is more
+            low.append(max(low[-1] * den // num, low[-1] * 8 // 5) + 1)
         self.low = np.array(low, np.int64)
 
     def size_class(self, n: np.ndarray) -> np.ndarray:
@@ -67,7 +73,7 @@ class Threshold:
         most = int(self.low[k + 1]) - 1
         t = Fraction(self.num, self.den)
         d = int(2 * most * (1 - t) / (1 + t))
-        spare = d // 8 + 3 if d else 0
+        spare = d // 5 + 3 if d else 0
         return d + 1 + spare, spare + 1
 
     def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
@@ -81,9 +87,10 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one).view(np.int64), mix(two).view(np.int64)
 
 
-def slice_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
+def slice_keys(s: np.ndarray, t: Threshold, frequent: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the slices of one sorted set, under its own class and, where a larger set of the
-    next class can still be linked, under that."""
+    next class can still be linked, under that.  ``frequent``: by counter, whether a shingle is."""
+    tell = np.ones(len(s), bool) if frequent is None else ~frequent[(s % _U(len(frequent))).astype(np.int64)]
     n = len(s)
     k = int(t.size_class(np.array([n]))[0])
     out = []
@@ -95,8 +102,8 @@ def slice_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
         value = np.zeros(parts, np.uint64)
         np.add.at(value, at, mix(s + _U(c)))
         key = mix(value + np.arange(parts, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(c << 40))
-        full = np.bincount(at, minlength=parts) > 0
-        out.append(key[full] if parts - full.sum() < common else key)
+        strong = np.bincount(at[tell], minlength=parts) > 0
+        out.append(key[strong] if parts - strong.sum() < common else key)
     return np.concatenate(out)
 
 
@@ -113,8 +120,28 @@ def _describe(k: int, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select("doc_id", *keep, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"doc_id {kind}, {''.join(f'{c} bigint, ' for c in keep)}n bigint, one bigint, two bigint")
 
 
+def _frequent(k: int, docs: DataFrame, text: str) -> np.ndarray:
+    """By counter: whether the shingles that it counts are very frequent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, texts in text_batches(batches, "__text"):
+            every = np.concatenate(shingle_sets(words(texts, lower=True), k))
+            total += np.bincount((every % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    counts = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).checkpoint()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > FREQUENT * (total / COUNTERS + 4)).select("counter").toPandas()  # at most COUNTERS / FREQUENT rows
+    out = np.zeros(COUNTERS, bool)
+    out[found["counter"].to_numpy(np.int64)] = True
+    return out
+
+
 def _chains(k: int, t: Threshold, docs: DataFrame, text: str) -> DataFrame:
     """(a, b): set hashes that share a slice, chained by the least one of each slice."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(k, docs, text))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(slice, set), and (set, set) with kind 1 where a batch has several sets of a slice."""
@@ -123,7 +150,7 @@ def _chains(k: int, t: Threshold, docs: DataFrame, text: str) -> DataFrame:
             if not sets:
                 continue
             one, first = np.unique(set_keys(sets)[0], return_index=True)
-            keys = [slice_keys(sets[i], t) for i in first]
+            keys = [slice_keys(sets[i], t, frequent.value) for i in first]
             key, own = np.concatenate(keys).view(np.int64), np.repeat(one, [len(x) for x in keys])
             order = np.lexsort((own, key))
             key, own = key[order], own[order]

@@ -80,6 +80,8 @@ def test_slices_of_a_linked_pair_meet():
             c = len(np.intersect1d(a, b))
             if den * c >= num * (len(a) + len(b) - c):
                 assert len(np.intersect1d(J.slice_keys(a, t), J.slice_keys(b, t)))
+                frequent = draw.random(64) < draw.random()
+                assert len(np.intersect1d(J.slice_keys(a, t, frequent), J.slice_keys(b, t, frequent)))
 
 
 def test_components(spark):
