@@ -31,9 +31,10 @@ other columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -67,13 +68,20 @@ class Threshold:
     def size_class(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
 
+    @cache
     def slices(self, k: int) -> tuple[int, int]:
         """Slices of class k, and how many of them a linked pair whose larger set is of that class
         has in common at least."""
         most = int(self.low[k + 1]) - 1
         t = Fraction(self.num, self.den)
         d = int(2 * most * (1 - t) / (1 + t))
-        spare = d // 5 + 3 if d else 0
+        least = max(1.0, float(t) * int(self.low[k]))  # the smallest set with slices of this class
+        spare = 0
+        while d and spare < d:  # as many as even that set's empty slices are, with a margin
+            empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
+            if spare >= empty + 4 * math.sqrt(empty):
+                break
+            spare += max(1, spare // 16)
         return d + 1 + spare, spare + 1
 
     def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
