@@ -6,14 +6,18 @@ item of m words when some stretch of it is within ``edits(m)`` word edits (a fif
 1. Windows.  Only stretches that can be that near are embedded: at most e edits leave at least
    m - 2 - 3 e of an item's word triples, so a window needs as many triples that occur in any
    item.  The triples are kept as a bitmap of fixed size (2 MB), which alone is broadcast.
-   Windows have the sizes of ``CLASSES`` (an item is compared by its first words, as many as the
-   largest class up to its length) and begin on a grid of an eighth of their size.
+   An item of more than ``PIECE`` words is cut into equal pieces: one of them has at most its
+   share of the edits, a fifth of its words.  Windows have the sizes of ``CLASSES`` (a piece is
+   compared by its first words, as many as the largest class up to its length) and begin on a
+   grid of an eighth of their size.
 2. Embedding.  A CGK walk writes, step after step, the word that it stands on, and moves on to
    the next one if a random bit of (step, word) says so.  Sequences that differ by an edit walk
    together again after a few steps, so a small edit distance becomes a small Hamming distance.
 3. Bit sampling.  A key is a few sampled places of an embedding; windows and items with a key in
-   common are candidates.  ``WALKS`` walks are sampled as often as it takes to reach the target
-   recall on mutated copies of a bounded sample of the items (``plan_samples``).
+   common are candidates.  ``WALKS`` walks are sampled as often as it takes, in each class, to
+   reach the target recall on mutated copies of a bounded sample of its pieces (``plan_samples``).
+   A class that ``MOST`` samples do not bring there has the triples themselves as keys, one of
+   which a near stretch keeps: no pair of it is missed.
 4. Verification.  Each candidate's region is compared with the whole item exactly: the least
    edit distance of the item to any stretch of the region, by bit-parallel dynamic programming.
 
@@ -28,8 +32,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import prepare, text_batches
 from .words import NO_LETTER, Words, mix, windows, words
@@ -44,18 +49,21 @@ PLACES = 2
 #: Keys per walk at most.
 MOST = 16
 TARGET = 0.97
-#: Items on which the recall is measured at most.
+#: Pieces of a class on which its recall is measured at most, and mutated copies of them at least.
 SAMPLE = 64
+TRIALS = 256
+#: Words of an item that are embedded as one at most.
+PIECE = 47
 
 
 def _classes() -> list[int]:
     out = [LEAST]
-    while out[-1] < 1 << 20:
-        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
+    while (c := max(out[-1] + 1, out[-1] * 13 // 10)) <= PIECE:
+        out.append(c)
     return out
 
 
-#: Window sizes, each about 1.3 times the one before.
+#: Window sizes, each about 1.3 times the one before: the last one's pieces reach up to ``PIECE``.
 CLASSES = _classes()
 
 
@@ -68,6 +76,13 @@ def size_class(m: int) -> int:
     return max(c for c in CLASSES if c <= m)
 
 
+def pieces(first: int, m: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of m words from ``first`` on."""
+    n = -(-m // PIECE)
+    cut = [first + m * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+
+
 def embed(tokens: np.ndarray, walk: int) -> np.ndarray:
     """CGK embedding of rows of w words into 2 w steps; past its end a row writes 0."""
     n, w = tokens.shape
@@ -83,8 +98,13 @@ def embed(tokens: np.ndarray, walk: int) -> np.ndarray:
 
 
 def keys(tokens: np.ndarray, samples: int) -> np.ndarray:
-    """(rows, WALKS * samples) keys of rows of w words."""
+    """(rows, WALKS * samples) keys of rows of w words; without samples, their triples."""
     n, w = tokens.shape
+    if not samples:
+        key = np.full((n, w - 2), w * 100_000, np.uint64)
+        for j in range(3):
+            key = mix(key * _U(0xD6E8FEB86659FD93) + tokens[:, j : w - 2 + j])
+        return key
     out = np.empty((n, WALKS * samples), np.uint64)
     for walk in range(WALKS):
         e = embed(tokens, walk)
@@ -98,32 +118,32 @@ def keys(tokens: np.ndarray, samples: int) -> np.ndarray:
     return out
 
 
-def plan_samples(items: list[np.ndarray], target: float = TARGET) -> int:
-    """Keys per walk that find the target share of mutated items: as many edits as are allowed,
-    and a window begun up to half a grid step off."""
+def mutated(item: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """The item after as many random edits as are allowed."""
+    body = item.tolist()
+    for _ in range(edits(len(item))):
+        at = int(draw.integers(0, len(body)))
+        kind = int(draw.integers(0, 3))
+        new = int(draw.integers(0, 1 << 62))
+        body[at : at + (kind != 0)] = [new] if kind < 2 else []
+    return np.array(body, np.uint64)
+
+
+def plan_samples(c: int, some: list[np.ndarray]) -> int:
+    """Keys per walk that find the target share of mutated pieces of class c: as many edits as
+    are allowed, and a window begun up to half a grid step off.  0 if ``MOST`` do not."""
     draw = np.random.Generator(np.random.PCG64(11))
-    hits = np.zeros(MOST)
-    tried = 0
-    for item in items:
-        m = len(item)
-        w = size_class(m)
-        own = keys(item[None, :w], MOST)[0].reshape(WALKS, MOST)
-        for _ in range(4):
-            text = draw.integers(0, 1 << 62, m + 2 * w, dtype=np.uint64)
-            body = item.tolist()
-            for _ in range(edits(m)):
-                at = int(draw.integers(0, len(body)))
-                kind = int(draw.integers(0, 3))
-                new = int(draw.integers(0, 1 << 62))
-                body[at : at + (kind != 0)] = [new] if kind < 2 else []
-            text = np.concatenate([text[:w], np.array(body, np.uint64), text[w:]])
-            off = w + int(draw.integers(-(w // 16), w // 16 + 1))
-            near = np.stack([text[off : off + w]])
-            same = (keys(near, MOST)[0].reshape(WALKS, MOST) == own).any(0)
-            hits += np.cumsum(same) > 0
-            tried += 1
-    good = np.flatnonzero(hits >= target * tried)
-    return int(good[0]) + 1 if len(good) else MOST
+    copies = -(-TRIALS // len(some))
+    near = np.empty((len(some) * copies, c), np.uint64)
+    for i in range(len(near)):
+        around = draw.integers(0, 1 << 62, 4 * c, dtype=np.uint64)
+        text = np.concatenate([around[:c], mutated(some[i // copies], draw), around[c:]])
+        off = c + int(draw.integers(-(c // 16), c // 16 + 1))
+        near[i] = text[off : off + c]
+    own = np.repeat(keys(np.stack([t[:c] for t in some]), MOST), copies, axis=0)
+    same = (keys(near, MOST) == own).reshape(-1, WALKS, MOST).any(1)
+    good = np.flatnonzero(np.logical_or.accumulate(same, axis=1).mean(0) >= TARGET)
+    return int(good[0]) + 1 if len(good) else 0
 
 
 def least_edits(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -156,18 +176,46 @@ def _bit(h: np.ndarray) -> np.ndarray:
     return (h % _U(BITS)).astype(np.int64)
 
 
-def _item_rows(samples: int):
+def _batch_pieces(w: Words) -> pd.DataFrame:
+    """item (its number), start, words, c (class) and reach (how many words of the item, edits
+    included, may lie beside it) of every piece of a batch."""
+    rows = [(i, a, n, size_class(n), max(a - f, f + m - a - n) + edits(m) if m > n else 0) for i, (f, m) in enumerate(zip(w.first.tolist(), w.count.tolist())) if m >= LEAST for a, n in pieces(f, m)]
+    return pd.DataFrame(rows, columns=["item", "start", "words", "c", "reach"], dtype="int64")
+
+
+def _first_words(w: Words, part: pd.DataFrame, c: int) -> np.ndarray:
+    return w.hash[part["start"].to_numpy()[:, None] + np.arange(c)]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each class in a batch, the largest reach and the pieces of least hash."""
+    for _, texts in text_batches(batches):
+        w = tokens_of(texts)
+        out = []
+        for c, part in _batch_pieces(w).groupby("c"):
+            h = np.bitwise_xor.reduce(mix(_first_words(w, part, c) + np.arange(c, dtype=np.uint64)), axis=1)
+            h, at = np.unique(mix(h), return_index=True)
+            for x, i in zip(h[:SAMPLE].view(np.int64).tolist(), at[:SAMPLE]):
+                a, n = part["start"].iat[i], part["words"].iat[i]
+                out.append((c, part["reach"].max(), x, w.hash[a : a + n].view(np.int64).tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["c", "reach", "hash", "piece"])
+
+
+def _item_rows(plan: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             w = tokens_of(texts)
-            ids, toks, found = [], [], []
-            for i, x in enumerate(batch.column("item_id").to_pylist()):
-                t = w.hash[w.first[i] : w.first[i + 1]]
-                if len(t) >= LEAST:
-                    ids.append(x)
-                    toks.append(t.view(np.int64).tolist())
-                    found.append(np.unique(keys(t[None, : size_class(len(t))], samples)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("item_id").type), pa.array(toks, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["item_id", "item", "keys"])
+            found: dict[int, list[np.ndarray]] = {}
+            for c, part in _batch_pieces(w).groupby("c"):
+                for cut in range(0, len(part), 8192):
+                    some = part[cut : cut + 8192]
+                    for i, k in zip(some["item"].tolist(), keys(_first_words(w, some, c), plan[c])):
+                        found.setdefault(i, []).append(k)
+            own = sorted(found)
+            toks = [w.hash[w.first[i] : w.first[i + 1]].view(np.int64).tolist() for i in own]
+            key = [np.unique(np.concatenate(found[i])).view(np.int64).tolist() for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(own, pa.int64())), pa.array(toks, pa.list_(pa.int64())), pa.array(key, pa.list_(pa.int64()))], ["item_id", "item", "keys"])
 
     return run
 
@@ -208,7 +256,10 @@ def _lists(owner: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _regions(samples: int, sizes: list[int], bitmap):
+def _regions(plan: dict[int, int], beside: dict[int, int], bitmap):
+    """``plan`` and ``beside``: by class, keys per walk and what its pieces' items add to a region."""
+    sizes = sorted(plan)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regions of documents that may hold an item: their words and window keys."""
         bits = bitmap.value
@@ -224,7 +275,7 @@ def _regions(samples: int, sizes: list[int], bitmap):
                 continue
             of = np.searchsorted(w.first, at, "right") - 1
             long = np.repeat(sizes, [len(s) for s in starts])
-            pad = 6 * long // 10 + 2
+            pad = 6 * long // 10 + 2 + np.repeat([beside[c] for c in sizes], [len(s) for s in starts])
             lo, hi = np.maximum(at - pad, w.first[of]), np.minimum(at + long + pad, w.first[of + 1])
             order = np.lexsort((lo, of))
             reach = np.maximum.accumulate(hi[order])
@@ -242,7 +293,7 @@ def _regions(samples: int, sizes: list[int], bitmap):
                     span = some[:, None] + np.arange(c)
                     end = w.first[of[done + part : done + part + len(some)] + 1]
                     tokens = np.where(span < end[:, None], padded[span], _U(0))
-                    k = keys(tokens, samples)
+                    k = keys(tokens, plan[c])
                     found.append(k.ravel())
                     owners.append(np.repeat(region[done + part : done + part + len(some)], k.shape[1]))
                 done += len(s)
@@ -297,15 +348,18 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = np.zeros(BITS // 64, np.uint64)
     bits[placed["place"].to_numpy(np.int64)] = placed["bits"].to_numpy(np.int64).view(np.uint64)
     bitmap = spark.sparkContext.broadcast(bits)
-    sample = [r["text"].encode() for r in items.orderBy(F.xxhash64("item_id", "text")).limit(SAMPLE).collect()]
-    w = tokens_of(sample) if sample else None
-    some = [t for i in range(len(sample)) for t in [w.hash[w.first[i] : w.first[i + 1]]] if len(t) >= LEAST]
-    samples = plan_samples(some) if some else 1
     kind, own = (x.schema[n].dataType.simpleString() for x, n in ((items, "item_id"), (docs, "doc_id")))
-    known = items.mapInArrow(_item_rows(samples), f"item_id {kind}, item array<bigint>, keys array<bigint>").checkpoint()
-    sizes = sorted({r["c"] for r in known.select(F.size("item").alias("m")).distinct().select(F.array_max(F.filter(F.array(*map(F.lit, CLASSES)), lambda c: c <= F.col("m"))).alias("c")).distinct().collect()})  # at most the classes
+    some = items.mapInArrow(_sampled, "c bigint, reach bigint, hash bigint, piece array<bigint>").withColumn("reach", F.max("reach").over(W.partitionBy("c")))
+    some = some.dropDuplicates(["c", "hash"]).withColumn("n", F.row_number().over(W.partitionBy("c").orderBy("hash")))
+    sample: dict[int, list[np.ndarray]] = {}
+    reach: dict[int, int] = {}
+    for r in some.where(F.col("n") <= SAMPLE).orderBy("c", "n").collect():  # at most SAMPLE pieces per class
+        sample.setdefault(r["c"], []).append(np.array(r["piece"], np.int64).view(np.uint64))
+        reach[r["c"]] = r["reach"]
+    plan = {c: plan_samples(c, x) for c, x in sample.items()}
+    known = items.mapInArrow(_item_rows(plan), f"item_id {kind}, item array<bigint>, keys array<bigint>").checkpoint()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key(docs))
-    regions = rows.mapInArrow(_regions(samples, sizes, bitmap), f"key bigint, doc_id {own}, start bigint, words array<bigint>, keys array<bigint>").checkpoint()
+    regions = rows.mapInArrow(_regions(plan, reach, bitmap), f"key bigint, doc_id {own}, start bigint, words array<bigint>, keys array<bigint>").checkpoint()
     probes = regions.select("key", "start", F.explode("keys").alias("k"))
     met = probes.join(known.select("item_id", F.explode("keys").alias("k")), "k").select("key", "start", "item_id").distinct()
     pairs = met.join(regions.drop("keys").dropDuplicates(["key", "start"]), ["key", "start"]).join(known.drop("keys"), "item_id")

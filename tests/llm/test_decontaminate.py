@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from colloquy.llm import decontaminate as D
 
 
@@ -63,3 +65,35 @@ def test_hard_rows(spark):
     left = D.clean(d, b)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert D.hits(d.limit(0), b).collect() == [] and D.hits(d, b.limit(0)).collect() == []
+
+
+def mutated_items(spark, sizes, each):
+    """Items of the sizes, and documents that hold a copy of one with as many edits as allowed."""
+    draw = np.random.Generator(np.random.PCG64(5))
+    some = lambda n: draw.integers(0, 1 << 40, n, dtype=np.uint64)
+    items = {(m, i): some(m) for m in sizes for i in range(each)}
+    text = lambda ws: " ".join(map(str, ws.tolist()))
+    docs = [(m * 1000 + i, text(np.concatenate([some(150), D.mutated(x, draw), some(150)]))) for (m, i), x in items.items()]
+    b = [(m * 1000 + i, text(x)) for (m, i), x in items.items()]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")
+
+
+def test_recall_by_length(spark):
+    sizes, each = [8, 20, 40, 59, 62, 100, 200, 400, 1000], 40
+    docs, items = mutated_items(spark, sizes, each)
+    text = {r[0]: r[1].split() for r in docs.collect()}
+    item = {r[0]: r[1].split() for r in items.collect()}
+    got = D.hits(docs, items).collect()
+    for m in sizes:
+        assert sum(r.item_id // 1000 == m for r in got) >= 0.93 * each, m
+    for r in got:
+        assert r.doc_id == r.item_id
+        if r.item_id % 1000 == 0 and r.item_id < 300_000:
+            assert r.distance == table(item[r.item_id], text[r.doc_id]) == table(item[r.item_id], text[r.doc_id][r.first_word : r.end_word])
+
+
+def test_class_short_of_the_target_uses_triples(spark, monkeypatch):
+    monkeypatch.setattr(D, "TARGET", 2)
+    assert D.plan_samples(6, [np.arange(6, dtype=np.uint64)]) == 0
+    docs, items = mutated_items(spark, [6, 8, 11, 17, 28, 47, 61, 62, 130, 300], 30)
+    assert sorted(r.item_id for r in D.hits(docs, items).collect()) == sorted(r.item_id for r in items.collect())
