@@ -23,9 +23,11 @@ Equal sets collapse into one leaf first.  Nothing is sampled and no block or sli
 Cost of a block of g shingles in distinct sets: (g / LEAVES)**2 / 2 tasks before pruning.
 
 Documents without words or text have an empty set, link with nothing and are their own class, as
-equal empty texts are too.  Null ids: a class's id is the least id that is not null; sets
-of which no row has an id get null.  Repeated rows stay rows of their own; rows that share an id
-but not a text are each matched by their text.  Empty tables give empty results;
+equal empty texts are too.  Sets are known by their hash, not by an id: rows without an id, and
+rows that share an id but not a text, are each matched by their text.  A class's id is the least
+id that is not null; if none of its rows has one, it is null.  So unrelated texts that share an id
+can have equal class ids, and ``keep_one`` goes by the classes themselves.  Repeated rows stay
+rows of their own.  Empty tables give empty results;
 other columns are not carried.
 """
 
@@ -53,6 +55,9 @@ COUNTERS = 1 << 20
 FREQUENT = 8
 #: Sets under one lowest node, and nodes under a higher one.
 FAN = 32
+#: What names a set: whether no row has an id, the least id (else 0), its two hashes.  The least
+#: name of a class so holds the class's id.
+NAME = ["none", "least", "one", "two"]
 
 
 class Threshold:
@@ -293,29 +298,35 @@ def _block_links(k: int, t: Threshold, frame: pd.DataFrame) -> pd.DataFrame:
     batch = pa.RecordBatch.from_arrays([pa.array(frame["text"], pa.string())], ["text"])
     # the texts in small slices, as hashing takes many times their size
     sets = [s for _, texts in text_batches(iter([batch])) for s in shingle_sets(words(texts, lower=True), k)]
-    # a repeated id may have brought other texts along, or the same one twice
-    key = pd.DataFrame({"one": set_keys(sets)[0], "rep": frame["rep"].to_numpy()})
-    keep = np.flatnonzero((key["one"].to_numpy() == frame["one"].to_numpy()) & ~key.duplicated().to_numpy())
-    sets, side, name = [sets[i] for i in keep], frame["side"].to_numpy()[keep], frame["rep"].to_numpy()[keep]
+    # a row key shared by chance may have brought another text along, a repeated row the same one
+    key = pd.DataFrame(dict(zip(("one", "two"), set_keys(sets))))
+    keep = np.flatnonzero((key["one"].to_numpy() == frame["one"].to_numpy()) & (key["two"].to_numpy() == frame["two"].to_numpy()) & ~key.duplicated().to_numpy())
+    sets, side, name = [sets[i] for i in keep], frame["side"].to_numpy()[keep], frame[NAME].to_numpy(np.int64)[keep]
     if (side == side[0]).all():
         u = Tree(sets)
         root = np.arange(len(sets))
-        out = [(name[u.order[i]], name[u.order[j]]) for i, j in traverse(u, u, root, root, t)]
+        out = [(u.order[i], u.order[j]) for i, j in traverse(u, u, root, root, t)]
     else:
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         u, v = Tree([sets[i] for i in left]), Tree([sets[i] for i in right])
         ru, rv = np.arange(len(left)), len(left) + np.arange(len(right))
-        out = [(name[left[u.order[i]]], name[right[v.order[j]]]) for i, j in traverse(u, v, ru, rv, t)]
-    return pd.DataFrame({"a": [x for x, _ in out], "b": [x for _, x in out]}, dtype="int64")
+        out = [(left[u.order[i]], right[v.order[j]]) for i, j in traverse(u, v, ru, rv, t)]
+    at = np.array(out, np.int64).reshape(-1, 2)
+    return pd.DataFrame(np.hstack([name[at[:, 0]], name[at[:, 1]]]), columns=[f"{x}_{c}" for x in "ab" for c in NAME])
+
+
+def row_key(text: str):
+    return F.xxhash64("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row with the least id, of
-    rows equal in id and text one.  Texts without words and sets without an id stay."""
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = classes(rows, k, num, den, keep=["__key"])
-    free = found.where("component_id IS NULL OR n_shingles = 0").select("__key")
-    first = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("one"))
+    """The rows of ``docs`` without near duplicates: of each class the row with the least id (one
+    of those without an id, if none has one), of rows equal in id and text one.  Texts without
+    words stay."""
+    rows = docs.withColumn("__key", row_key("text"))
+    found = _classed(rows, k, num, den, keep=["__key"])
+    free = found.where("n = 0").select("__key")
+    first = found.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("one"))
     stay = free.unionByName(first.select(F.col("one.__key").alias("__key"))).distinct()
     return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*docs.columns)
 
@@ -323,23 +334,35 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", leaves: int = LEAVES, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the bigint columns ``keep``, n_shingles and component_id for every row of ``docs``; ``doc_id`` must be of an
     integer type.  Sets link at Jaccard similarity num / den or more on shingles of k words."""
+    keep = keep or []
+    out = _classed(docs, k, num, den, text, leaves, keep)
+    of_class = F.when(F.col("class.none") == 0, F.col("class.least"))
+    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, of_class).otherwise(F.col("doc_id")).cast(docs.schema["doc_id"].dataType).alias("component_id"))
+
+
+def _classed(docs: DataFrame, k: int, num: int, den: int, text: str = "text", leaves: int = LEAVES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns ``keep``, n (set size) and class (the least name of its sets; null
+    without words) of every row."""
     prepare(docs.sparkSession)
     t = Threshold(num, den)
     keep = keep or []
-    found = _describe(k, docs, text, keep).checkpoint()
+    docs = docs.withColumn("__row", row_key(text))
+    found = _describe(k, docs, text, [*keep, "__row"]).checkpoint()
     blocks = components(_chains(k, t, docs, text), "a", "b")  # of set hashes
-    # one document for each distinct set of a block with others in it
-    reps = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
-    reps = reps.where("rep IS NOT NULL").join(blocks, reps["one"] == blocks["node"]).select("rep", "one", "n", F.col("component").alias("block")).checkpoint()
+    sets = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").cast("long").alias("least"), F.min("__row").alias("rep"))
+    sets = sets.withColumn("none", F.col("least").isNull().cast("long")).fillna(0, ["least"]).checkpoint()
+    # one row for each distinct set of a block with others in it
+    reps = sets.join(blocks, sets["one"] == blocks["node"]).select("rep", *NAME, "n", F.col("component").alias("block")).checkpoint()
     sizes = reps.groupBy("block").agg(F.ceil(F.sum("n") / leaves).alias("parts"))
     reps = reps.join(sizes, "block").withColumn("side", F.pmod(F.xxhash64("one"), F.col("parts")))
     others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    tiles = reps.withColumn("other", F.explode(others)).select("rep", "one", "block", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(f"`{text}`").alias("text"))
-    work = tiles.join(texts, "rep").where("text IS NOT NULL")
-    links = work.groupBy("block", "x", "y").applyInPandas(lambda f: _block_links(k, t, f), "a bigint, b bigint")
-    joined = components(links, "a", "b")
-    named = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
-    named = named.join(joined, named["rep"] == joined["node"], "left").select(F.col("one").alias("o"), F.col("two").alias("w"), F.col("n").alias("m"), F.coalesce("component", "rep").alias("class"))
-    out = found.join(named, F.expr("one = o AND two = w AND n = m AND n > 0"), "left")
-    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
+    tiles = reps.withColumn("other", F.explode(others)).select("rep", *NAME, "block", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    texts = docs.select("doc_id", F.col("__row").alias("rep"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    # many rows without an id may be equal
+    texts = texts.where("doc_id IS NOT NULL").unionByName(texts.where("doc_id IS NULL").dropDuplicates(["rep"])).drop("doc_id")
+    work = tiles.join(texts, "rep")
+    links = work.groupBy("block", "x", "y").applyInPandas(lambda f: _block_links(k, t, f), ", ".join(f"{x}_{c} bigint" for x in "ab" for c in NAME))
+    joined = components(links.select(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in NAME)).alias(x) for x in "ab")), "a", "b")
+    named = sets.withColumn("name", F.struct(*NAME))
+    named = named.join(joined, named["name"] == joined["node"], "left").select(F.col("one").alias("o"), F.col("two").alias("w"), F.col("n").alias("m"), F.coalesce("component", "name").alias("class"))
+    return found.join(named, F.expr("one = o AND two = w AND n = m AND n > 0"), "left").select("doc_id", *keep, "n", "class")

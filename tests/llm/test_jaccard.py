@@ -68,6 +68,22 @@ def test_hard_rows(spark):
     assert sorted((r.doc_id, r.text[:3]) for r in kept.collect() if r.doc_id and r.doc_id > 5) == [(7, "a b"), (8, "w0 ")]
 
 
+def test_shared_and_null_ids(spark):
+    draw = random.Random(4)
+    text = lambda: [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda ws: ws[:-1] + ["other"]
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (None, c), (None, near(c)), (None, c), (None, d), (8, near(d)), (9, text())]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in J.classes(docs).collect() if r.doc_id)
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (9, 9)]
+    assert sorted(str(r.component_id) for r in J.classes(docs).collect() if r.doc_id is None) == ["8", "None", "None", "None"]
+    kept = [(r.doc_id, r.text) for r in J.keep_one(docs).collect()]
+    # both texts of id 5 stay, of c and its near copy one
+    assert sorted((i, t) for i, t in kept if i) == sorted([(5, " ".join(a)), (5, " ".join(b)), (8, " ".join(near(d))), (9, " ".join(rows[-1][1]))])
+    assert [t for i, t in kept if i is None] in ([" ".join(c)], [" ".join(near(c))])
+
+
 def test_slices_of_a_linked_pair_meet():
     draw = np.random.Generator(np.random.PCG64(3))
     for num, den in ((9, 10), (4, 5)):
