@@ -22,9 +22,9 @@ item of m words when some stretch of it is within ``edits(m)`` word edits (a fif
    edit distance of the item to any stretch of the region, by bit-parallel dynamic programming.
 
 Items of fewer than ``LEAST`` words are too short to tell and are not searched for.  Null and
-empty texts hold nothing; null items are nothing.  Long texts are handled whole.  Rows that are
-equal in id and text give one result.  Null ids are reported as null.  Repeated item ids keep
-their nearest text.  Other columns are not carried.  Empty tables give empty results.
+empty texts hold nothing; items without a text are nothing.  Long texts are handled whole.  Rows
+that are equal in id and text give one result.  Null ids, of documents and of items, are reported
+as null.  Repeated item ids, null among them, keep their nearest text.  Other columns are not carried.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def _item_rows(plan: dict[int, int]):
             own = sorted(found)
             toks = [w.hash[w.first[i] : w.first[i + 1]].view(np.int64).tolist() for i in own]
             key = [np.unique(np.concatenate(found[i])).view(np.int64).tolist() for i in own]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(own, pa.int64())), pa.array(toks, pa.list_(pa.int64())), pa.array(key, pa.list_(pa.int64()))], ["item_id", "item", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_key").take(pa.array(own, pa.int64())), batch.column("item_id").take(pa.array(own, pa.int64())), pa.array(toks, pa.list_(pa.int64())), pa.array(key, pa.list_(pa.int64()))], ["item_key", "item_id", "item", "keys"])
 
     return run
 
@@ -342,7 +342,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nearest stretch) for every document and item that it holds."""
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    items = benchmark.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item_key"), "item_id", "text").where("text IS NOT NULL")
     # at most BITS / 64 rows, whatever the size of the benchmark
     placed = items.mapInArrow(_triples, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.uint64)
@@ -357,12 +357,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sample.setdefault(r["c"], []).append(np.array(r["piece"], np.int64).view(np.uint64))
         reach[r["c"]] = r["reach"]
     plan = {c: plan_samples(c, x) for c, x in sample.items()}
-    known = items.mapInArrow(_item_rows(plan), f"item_id {kind}, item array<bigint>, keys array<bigint>").checkpoint()
+    known = items.mapInArrow(_item_rows(plan), f"item_key bigint, item_id {kind}, item array<bigint>, keys array<bigint>").dropDuplicates(["item_key"]).checkpoint()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key(docs))
     regions = rows.mapInArrow(_regions(plan, reach, bitmap), f"key bigint, doc_id {own}, start bigint, words array<bigint>, keys array<bigint>").checkpoint()
     probes = regions.select("key", "start", F.explode("keys").alias("k"))
-    met = probes.join(known.select("item_id", F.explode("keys").alias("k")), "k").select("key", "start", "item_id").distinct()
-    pairs = met.join(regions.drop("keys").dropDuplicates(["key", "start"]), ["key", "start"]).join(known.drop("keys"), "item_id")
+    met = probes.join(known.select("item_key", F.explode("keys").alias("k")), "k").select("key", "start", "item_key").distinct()
+    pairs = met.join(regions.drop("keys").dropDuplicates(["key", "start"]), ["key", "start"]).join(known.drop("keys"), "item_key")
     found = pairs.select("key", "doc_id", "item_id", "start", "words", "item").mapInArrow(_verify, f"key bigint, doc_id {own}, item_id {kind}, distance bigint, first_word bigint, end_word bigint")
     best = found.where("distance IS NOT NULL").groupBy("key", "doc_id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("b"))
     return best.select("key", "doc_id", "item_id", "b.*")

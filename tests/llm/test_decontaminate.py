@@ -97,3 +97,13 @@ def test_class_short_of_the_target_uses_triples(spark, monkeypatch):
     assert D.plan_samples(6, [np.arange(6, dtype=np.uint64)]) == 0
     docs, items = mutated_items(spark, [6, 8, 11, 17, 28, 47, 61, 62, 130, 300], 30)
     assert sorted(r.item_id for r in D.hits(docs, items).collect()) == sorted(r.item_id for r in items.collect())
+
+
+def test_items_without_id(spark):
+    draw = random.Random(2)
+    items = [[f"w{draw.randrange(10**6)}" for _ in range(20)] for _ in range(3)]
+    d = spark.createDataFrame([(i, "before " + " ".join(ws) + " after") for i, ws in enumerate(items)] + [(9, "clean text")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, " ".join(items[0])), (None, " ".join(items[1])), (1, " ".join(items[2])), (1, " ".join(items[0]))], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in D.hits(d, b).collect()), key=repr)
+    assert got == sorted([(0, None, 0), (0, 1, 0), (1, None, 0), (2, 1, 0)], key=repr)
+    assert [r.doc_id for r in D.clean(d, b).collect()] == [9]
