@@ -21,8 +21,8 @@ item of m words when some stretch of it is within ``edits(m)`` word edits (a fif
 4. Verification.  Each candidate's region is compared with the whole item exactly: the least
    edit distance of the item to any stretch of the region, by bit-parallel dynamic programming.
 
-Items of fewer than ``LEAST`` words are too short to tell and are not searched for.  Null and
-empty texts hold nothing; items without a text are nothing.  Long texts are handled whole.  Rows
+Items of fewer than ``LEAST`` words allow no edit: a document holds one if a run of its words
+equals it, which is joined by the hash of the run.  Null and empty texts hold nothing; items without a text are nothing.  Long texts are handled whole.  Rows
 that are equal in id and text give one result.  Null ids, of documents and of items, are reported
 as null.  Repeated item ids, null among them, keep their nearest text.  Other columns are not carried.  Empty tables give empty results.
 """
@@ -220,16 +220,50 @@ def _item_rows(plan: dict[int, int]):
     return run
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the bitmap that the items' triples set."""
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the bitmaps: of the items' triples (size 0), and of the whole items of each size
+    below ``LEAST``."""
     for _, texts in text_batches(batches):
         w = tokens_of(texts)
-        h, whole = windows(w, 3)
-        whole &= np.repeat(w.count >= LEAST, w.count)
-        bit = np.unique(_bit(h[whole]))
-        place, first = np.unique(bit >> 6, return_index=True)
-        value = np.bitwise_or.reduceat(_U(1) << (bit & 63).astype(np.uint64), first) if len(bit) else np.array([], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value.view(np.int64))], ["place", "bits"])
+        for size in range(LEAST):
+            h, whole = windows(w, size or 3)
+            whole &= np.repeat(w.count == size if size else w.count >= LEAST, w.count)
+            bit = np.unique(_bit(h[whole]))
+            place, first = np.unique(bit >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(_U(1) << (bit & 63).astype(np.uint64), first) if len(bit) else np.array([], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), size)), pa.array(place), pa.array(value.view(np.int64))], ["size", "place", "bits"])
+
+
+def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    bit = _bit(h)
+    return ((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & _U(1)).astype(bool)
+
+
+def _short_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items below ``LEAST`` words, with the hash of their words."""
+    for batch, texts in text_batches(batches):
+        w = tokens_of(texts)
+        for size in range(1, LEAST):
+            own = np.flatnonzero(w.count == size)
+            run = windows(w, size)[0][w.first[own]]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(own)), pa.array(np.full(len(own), size)), pa.array(run.view(np.int64))], ["item_id", "size", "run"])
+
+
+def _runs(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's first run of words of every hash that a short item may have."""
+        for batch, texts in text_batches(batches):
+            w = tokens_of(texts)
+            for size in sorted(set(bitmap.value) - {0}):
+                h, whole = windows(w, size)
+                at = np.flatnonzero(whole & _marked(h, bitmap.value[size]))
+                found = pd.DataFrame({"text": np.searchsorted(w.first, at, "right") - 1, "run": h[at].view(np.int64), "at": at}).drop_duplicates(["text", "run"])
+                text = found["text"].to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(text)), batch.column("doc_id").take(pa.array(text)), pa.array(np.full(len(text), size)), pa.array(found["run"].to_numpy()), pa.array(found["at"].to_numpy() - w.first[text])],
+                    ["key", "doc_id", "size", "run", "first_word"])
+
+    return run
 
 
 def window_starts(w: Words, hits: np.ndarray, text_of: np.ndarray, c: int) -> np.ndarray:
@@ -262,12 +296,11 @@ def _regions(plan: dict[int, int], beside: dict[int, int], bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regions of documents that may hold an item: their words and window keys."""
-        bits = bitmap.value
+        bits = bitmap.value[0]
         for batch, texts in text_batches(batches):
             w = tokens_of(texts)
             h, whole = windows(w, 3)
-            bit = _bit(h)
-            hits = np.flatnonzero(whole & ((bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & _U(1)).astype(bool))
+            hits = np.flatnonzero(whole & _marked(h, bits))
             text_of = np.searchsorted(w.first, hits, "right") - 1
             starts = [window_starts(w, hits, text_of, c) for c in sizes]
             at = np.concatenate(starts) if starts else hits[:0]
@@ -343,10 +376,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("item_key"), "item_id", "text").where("text IS NOT NULL")
-    # at most BITS / 64 rows, whatever the size of the benchmark
-    placed = items.mapInArrow(_triples, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[placed["place"].to_numpy(np.int64)] = placed["bits"].to_numpy(np.int64).view(np.uint64)
+    # at most LEAST * BITS / 64 rows, whatever the size of the benchmark
+    placed = items.mapInArrow(_bits, "size bigint, place bigint, bits bigint").groupBy("size", "place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = {size: np.zeros(BITS // 64, np.uint64) for size in {0, *placed["size"].tolist()}}
+    for size, part in placed.groupby("size"):
+        bits[size][part["place"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64).view(np.uint64)
     bitmap = spark.sparkContext.broadcast(bits)
     kind, own = (x.schema[n].dataType.simpleString() for x, n in ((items, "item_id"), (docs, "doc_id")))
     some = items.mapInArrow(_sampled, "c bigint, reach bigint, hash bigint, piece array<bigint>").withColumn("reach", F.max("reach").over(W.partitionBy("c")))
@@ -364,6 +398,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = probes.join(known.select("item_key", F.explode("keys").alias("k")), "k").select("key", "start", "item_key").distinct()
     pairs = met.join(regions.drop("keys").dropDuplicates(["key", "start"]), ["key", "start"]).join(known.drop("keys"), "item_key")
     found = pairs.select("key", "doc_id", "item_id", "start", "words", "item").mapInArrow(_verify, f"key bigint, doc_id {own}, item_id {kind}, distance bigint, first_word bigint, end_word bigint")
+    if len(bits) > 1:
+        short = items.mapInArrow(_short_items, f"item_id {kind}, size bigint, run bigint").distinct()
+        runs = rows.mapInArrow(_runs(bitmap), f"key bigint, doc_id {own}, size bigint, run bigint, first_word bigint")
+        equal = runs.join(short, ["size", "run"]).withColumn("distance", F.lit(0).cast("long")).withColumn("end_word", F.col("first_word") + F.col("size"))
+        found = found.unionByName(equal.drop("size", "run"))
     best = found.where("distance IS NOT NULL").groupBy("key", "doc_id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("b"))
     return best.select("key", "doc_id", "item_id", "b.*")
 

@@ -107,3 +107,12 @@ def test_items_without_id(spark):
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in D.hits(d, b).collect()), key=repr)
     assert got == sorted([(0, None, 0), (0, 1, 0), (1, None, 0), (2, 1, 0)], key=repr)
     assert [r.doc_id for r in D.clean(d, b).collect()] == [9]
+
+
+def test_short_items_are_found_verbatim(spark):
+    docs = [(1, "well, Who wrote Hamlet? he asked; who wrote hamlet"), (2, "who wrote a hamlet"), (3, "who wrote"), (None, "what is two plus two"), (4, ""), (5, "hamlet")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "what is two plus two"), (3, "hamlet"), (None, "wrote a"), (4, "?")], "item_id long, text string")
+    got = sorted((tuple(r)[1:] for r in D.hits(d, b).collect()), key=repr)
+    assert got == sorted([(1, 1, 0, 1, 4), (None, 2, 0, 0, 5), (1, 3, 0, 3, 4), (2, 3, 0, 3, 4), (5, 3, 0, 0, 1), (2, None, 0, 1, 3)], key=repr)
+    assert sorted(r.doc_id for r in D.clean(d, b).collect()) == [3, 4]
