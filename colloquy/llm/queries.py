@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import align, decontaminate, jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import read, staging_path
 
 
@@ -61,6 +61,12 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers, with corpus-wide pair counts."""
+    import public_tokenizers
+    return align.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: All pairs that share a shingle, then classes by spreading the least id.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -76,5 +82,5 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup, op13_token_alignment)}
 ORACLE = {"op2_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
