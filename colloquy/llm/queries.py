@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import align, decontaminate, jaccard_tree, mixing, quality, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import align, cuckoo, decontaminate, jaccard_tree, mixing, quality, repair, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import read, staging_path
 
 
@@ -61,6 +61,17 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_exact_dedup(spark, sf_dir):
+    """Groups of equal texts by a cuckoo-filter index of all documents."""
+    return cuckoo.groups(read(spark, sf_dir, "documents"), staging_path(spark, "cuckoo"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    """Cheapest repair of every conversation after the stated damage."""
+    rows = read(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 def op13_token_alignment(spark, sf_dir):
     """Groups and links between the tokens of two tokenizers, with corpus-wide pair counts."""
     import public_tokenizers
@@ -82,5 +93,5 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS id FROM r GROUP BY a
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup, op13_token_alignment)}
-ORACLE = {"op2_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_source_mixing, op4_jaccard_join, op5_token_counts, op6_sharding, op7_decontamination, op8_warc, op9_quality_rules, op10_suffix_dedup, op11_exact_dedup, op12_conversation_repair, op13_token_alignment)}
+ORACLE = {"op11_exact_dedup": cuckoo.ORACLE, "op2_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op3_source_mixing": mixing.ORACLE, "op4_jaccard_join": JACCARD_SQL, "op6_sharding": sharding.ORACLE, "op9_quality_rules": quality.ORACLE}
