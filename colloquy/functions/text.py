@@ -103,24 +103,74 @@ def fenced_block(col, lang: str = "yaml") -> Column:
     return F.when(s.contains(fence), F.substring_index(after, "```", 1)).otherwise(s)
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _unquote(col: Column) -> Column:
     """A YAML scalar without its quotes (``''`` and ``\\"`` inside them undone)."""
-    c = F.trim(col, F.lit(" \t"))
-    inner = F.substring(c, F.lit(2), F.length(c) - 2)
-    return (F.when((F.length(c) >= 2) & c.startswith('"') & c.endswith('"'), F.replace(inner, F.lit('\\"'), F.lit('"')))
-            .when((F.length(c) >= 2) & c.startswith("'") & c.endswith("'"), F.replace(inner, F.lit("''"), F.lit("'")))
-            .otherwise(c))
+    def plain(c):
+        inner = F.substring(c, F.lit(2), F.length(c) - 2)
+        return (F.when((F.length(c) >= 2) & c.startswith('"') & c.endswith('"'), F.replace(inner, F.lit('\\"'), F.lit('"')))
+                .when((F.length(c) >= 2) & c.startswith("'") & c.endswith("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+                .otherwise(c))
+    return _let(F.trim(col, F.lit(" \t")), plain)
+
+
+def _lines(block) -> Column:
+    """The lines of a reply; CR and CR LF end a line as LF does."""
+    return F.split(F.replace(F.replace(_c(block), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+
+
+def _key_line(lines: Column, key: str) -> Column:
+    """Number of the first line that starts with ``key`` (0 if there is none)."""
+    return F.array_position(F.transform(lines, lambda x: x.startswith(key)), F.lit(True))
+
+
+def _after(lines: Column, at: Column) -> Column:
+    return F.slice(lines, at + 1, F.size(lines))
+
+
+def _while(lines: Column, good) -> Column:
+    """The lines in front of the first one that is not ``good``."""
+    def upto(end):
+        return F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(lines)
+    return _let(F.array_position(F.transform(lines, good), F.lit(False)), upto)
+
+
+def _indented(line: Column) -> Column:
+    return line.startswith(" ") | line.startswith("\t")
 
 
 def parse_predictions(block) -> Column:
     """``Diseases:`` list of the predictor reply -> ARRAY<STRING>, from a block list (items up to
     the next unindented key) or a flow list; items lose their quotes.  NULL, a parse error, when
-    the key or its items are missing."""
-    b = F.concat(_c(block), F.lit("\n"))
-    part = F.regexp_extract(b, r"(?m)^Diseases:[ \t]*(\[[^\]]*\]|(?:\n(?:[ \t]*-(?:[ \t][^\n]*)?|[ \t]+[^\n]*|))*)", 1)
-    flow = F.regexp_extract_all(F.substring(part, F.lit(2), F.length(part) - 2), F.lit(r"""[ \t\n]*("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1))
-    items = F.when(part.startswith("["), flow).otherwise(F.regexp_extract_all(part, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)))
-    items = F.filter(F.transform(items, _unquote), lambda x: x != "")
+    the key or its items are missing.
+
+    The reply is split into lines once and each line is looked at once, so replies of any length
+    and number of lines are read; no regular expression runs over a whole reply but that of a
+    flow list's items."""
+    blanks = F.lit(" \t")
+
+    def item(line):
+        rest = F.ltrim(line, blanks)
+        return F.when(rest.startswith("- ") | rest.startswith("-\t"), F.substr(rest, F.lit(2)))
+
+    def flow(first, tail):
+        text = F.array_join(F.concat(F.array(F.substr(first, F.lit(2))), tail), "\n")
+        listed = F.when(text.contains("]"), F.substring_index(text, "]", 1))
+        return F.regexp_extract_all(listed, F.lit(r"""[ \t\n]*("[^"]*"|'[^']*'|[^,]+)"""), F.lit(1))
+
+    def listed(lines):
+        first, tail = F.ltrim(F.substr(F.get(lines, F.lit(0)), F.lit(len("Diseases:") + 1)), blanks), _after(lines, F.lit(1))
+        rows = _while(tail, lambda x: (x == "") | _indented(x) | (x == "-") | x.startswith("- ") | x.startswith("-\t"))
+        return F.when(first.startswith("["), flow(first, tail)).when(first == "", F.transform(rows, item))
+
+    def found(lines):
+        return _let(_key_line(lines, "Diseases:"), lambda at: F.when(at > 0, _let(F.slice(lines, at, F.size(lines)), listed)))
+
+    items = F.filter(F.transform(_let(_lines(block), found), _unquote), lambda x: x != "")
     return F.when(F.size(items) > 0, items)
 
 
@@ -133,27 +183,42 @@ def yaml_bool(col) -> Column:
 def parse_judgement(block) -> Column:
     """``Reasoning`` / ``Result`` fields of the judge reply, both unindented keys.  The reasoning
     may be a block scalar (``|`` keeps lines, ``>`` folds them; the indent and outer blank lines
-    go), a quoted or a plain scalar, also over several indented lines.
+    go), a quoted or a plain scalar, also over several indented lines.  As in
+    ``parse_predictions``, lines are split once and looked at one by one.
 
     ``ok`` is false when either field is missing (the original retries and
     then fails); ``result`` is NULL when the value is not a YAML boolean, so
     it never counts as a correct answer."""
-    b = F.concat(_c(block), F.lit("\n"))
-    key = r"(?m)^Reasoning:[ \t]*([^\n]*)((?:\n[ \t]+[^\n]*|\n(?=\n))*)"
-    first, rest = F.rtrim(F.regexp_extract(b, key, 1)), F.regexp_extract(b, key, 2)
-    indent = F.regexp_extract(rest, r"\A(?:\n[ \t]*(?=\n))*\n([ \t]+)", 1)
-    literal = F.trim(F.when(indent != "", F.replace(rest, F.concat(F.lit("\n"), indent), F.lit("\n"))).otherwise(rest), F.lit("\n \t"))
-    folded = F.regexp_replace(literal, r"[ \t]*\n[ \t]*", " ")
-    plain = _unquote(F.regexp_replace(F.concat(first, F.rtrim(rest)), r"[ \t]*\n[ \t]*", " "))
-    reasoning = F.when(first.rlike(r"\A\|[+-]?\z"), literal).when(first.rlike(r"\A>[+-]?\z"), folded).otherwise(plain)
-    result_text = F.regexp_extract(b, r"(?m)^Result:[ \t]*([^\n]*?)[ \t]*$", 1)
-    ok = F.coalesce(b.rlike(r"(?m)^Reasoning:") & b.rlike(r"(?m)^Result:"), F.lit(False))
-    return F.struct(
-        F.when(ok, reasoning).alias("reasoning"),
-        F.when(ok, result_text).alias("result_text"),
-        F.when(ok, yaml_bool(result_text)).alias("result"),
-        ok.alias("ok"),
-    )
+    blanks = F.lit(" \t")
+
+    def value(line, key):
+        return F.ltrim(F.substr(line, F.lit(len(key) + 1)), blanks)
+
+    def folded(lines):
+        return F.array_join(F.transform(lines, lambda x: F.trim(x, blanks)), " ")
+
+    def reasoning(first, rows):
+        def literal(rows):
+            lead = F.get(F.filter(rows, lambda x: F.trim(x, blanks) != ""), F.lit(0))
+            indent = F.coalesce(F.length(lead) - F.length(F.ltrim(lead, blanks)), F.lit(0))
+            prefix = F.coalesce(F.substring(lead, F.lit(1), indent), F.lit(""))
+            cut = _let(prefix, lambda p: F.transform(rows, lambda x: F.when(x.startswith(p), F.substr(x, F.length(p) + 1)).otherwise(x)))
+            return F.trim(F.array_join(cut, "\n"), F.lit("\n \t"))
+        return (F.when(first.isin("|", "|+", "|-"), literal(rows))
+                .when(first.isin(">", ">+", ">-"), folded(F.split(literal(rows), "\n")))
+                .otherwise(_unquote(folded(F.concat(F.array(first), rows)))))
+
+    def read(lines):
+        at, result = _key_line(lines, "Reasoning:"), _key_line(lines, "Result:")
+        rows = _while(_after(lines, at), lambda x: (x == "") | _indented(x))
+        text = F.trim(value(F.get(lines, result - 1), "Result:"), blanks)
+        whole = _let(rows, lambda r: reasoning(F.rtrim(value(F.get(lines, at - 1), "Reasoning:")), r))
+        ok = (at > 0) & (result > 0)
+        return F.struct(F.when(ok, whole).alias("reasoning"), F.when(ok, text).alias("result_text"), F.when(ok, yaml_bool(text)).alias("result"), ok.alias("ok"))
+
+    none = F.struct(F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("string").alias("result_text"), F.lit(None).cast("boolean").alias("result"), F.lit(False).alias("ok"))
+    lines = _lines(block)
+    return F.coalesce(F.when(lines.isNotNull(), _let(lines, read)), none)
 
 
 def render_dialogue(head, body, turns: int) -> Column:

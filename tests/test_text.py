@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,75 @@ def test_odd_keys_and_missing_values(spark):
     assert _one(spark, X.render_profile("m"), {"a": None, "b": '["x","y"]'}, "m map<string,string>") == "a: None\nb: x, y"
     m = F.create_map(*[F.lit(x) for x in ("pid", "1", "q", 'say "x"')], F.lit("n"), F.lit(None).cast("string"), F.lit("l"), F.lit('["x"]'), F.lit("token"), F.lit("t"))
     assert _one(spark, X.profile_text(m), "") == '{"q": "say \\"x\\"", "n": null, "l": ["x"]}'
+
+
+def _plain_predictions(block):
+    """The rule as regular expressions, in plain Python."""
+    b = block + "\n"
+    m = re.search(r"(?m)^Diseases:[ \t]*(\[[^\]]*\]|(?:\n(?:[ \t]*-(?:[ \t][^\n]*)?|[ \t]+[^\n]*|))*)", b)
+    if not m:
+        return None
+    part = m[1]
+    found = re.findall(r"""[ \t\n]*("[^"]*"|'[^']*'|[^,]+)""", part[1:-1]) if part.startswith("[") else re.findall(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$", part)
+    return [x for x in map(_plain_unquote, found) if x] or None
+
+
+def _plain_unquote(s):
+    s = s.strip(" \t")
+    if len(s) >= 2 and s[0] == s[-1] == '"':
+        return s[1:-1].replace('\\"', '"')
+    return s[1:-1].replace("''", "'") if len(s) >= 2 and s[0] == s[-1] == "'" else s
+
+
+def _plain_judgement(block):
+    b = block + "\n"
+    m, r = re.search(r"(?m)^Reasoning:[ \t]*([^\n]*)((?:\n[ \t]+[^\n]*|\n(?=\n))*)", b), re.search(r"(?m)^Result:[ \t]*([^\n]*?)[ \t]*$", b)
+    if not m or not r:
+        return (None, None, False)
+    first, rest = m[1].rstrip(" "), m[2]
+    lead = next((x for x in rest.split("\n") if x.strip(" \t")), "")
+    indent = lead[: len(lead) - len(lead.lstrip(" \t"))]
+    literal = (rest.replace("\n" + indent, "\n") if indent else rest).strip("\n \t")
+    if re.fullmatch(r"\|[+-]?", first):
+        return (literal, r[1], True)
+    if re.fullmatch(r">[+-]?", first):
+        return (re.sub(r"[ \t]*\n[ \t]*", " ", literal), r[1], True)
+    return (_plain_unquote(re.sub(r"[ \t]*\n[ \t]*", " ", first + rest.rstrip(" "))), r[1], True)
+
+
+def _replies(seed, n):
+    draw = random.Random(seed)
+    lines = ["Diseases:", "Diseases: ", "Diseases: [a, 'b, c', \"d\"]", "Diseases: [x,", "  y]", "Diseases: z", "- one", "  - two  ", "-", "- ", "-\tthree", "-four", "", "  ", "  five", "key: six", "- 'it''s'",
+             "- \"q\\\"q\"", "Reasoning: plain", "Reasoning: |", "Reasoning: >-", "Reasoning:", "Reasoning: 'a", "   deeper", "\ttab \t", "Result: True", "Result:  no  ", "Result:", " Result: x", "]", "a, b"]
+    return ["\n".join(draw.choice(lines) for _ in range(draw.randint(0, 9))) for _ in range(n)]
+
+
+def test_replies_read_by_lines_equal_the_expressions(spark):
+    replies = _replies(1, 4000)
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, s string").select("i", X.parse_predictions("s").alias("p"), X.parse_judgement("s").alias("j")).collect()
+    for r in rows:
+        assert r.p == _plain_predictions(replies[r.i]), replies[r.i]
+        assert (r.j.reasoning, r.j.result_text, r.j.ok) == _plain_judgement(replies[r.i]), replies[r.i]
+
+
+def test_replies_with_other_line_ends(spark):
+    s = "Reasoning: |\r\n  a\r\n  b\r\nResult: yes\r\nDiseases:\r\n- x \r\n- y\r\n"
+    assert _one(spark, X.parse_predictions(F.col("s")), s) == ["x", "y"]
+    j = _one(spark, X.parse_judgement(F.col("s")), s)
+    assert (j.reasoning, j.result, j.ok) == ("a\nb", True, True)
+    assert _one(spark, X.parse_predictions(F.col("s")), None) is None and not _one(spark, X.parse_judgement(F.col("s")), None).ok
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_replies_of_very_many_lines(spark, n):
+    """A model that loops must cost one reply, not the executor; one line may also be very long."""
+    listed = "Diseases:\n" + "".join(f"  - item {i}\n\n  more\n" for i in range(n)) + "end: 1"
+    judged = "Reasoning: |\n" + "".join(f"  line {i}\n\n" for i in range(n)) + "Result: True\n"
+    folded = "Reasoning: >\n" + "   w\n" * n + "Result: no"
+    wide = "Reasoning: " + "x " * 5_000_000 + "\nResult: True\nDiseases:\n- " + "y \t" * 2_500_000
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate([listed, judged, folded, wide])], "i int, s string").repartition(2).select("i", X.parse_predictions("s").alias("p"), X.parse_judgement("s").alias("j")).collect()
+    got = {r.i: (r.p, r.j) for r in rows}
+    assert got[0][0] == [f"item {i}" for i in range(n)]
+    assert got[1][1].result and got[1][1].reasoning == "\n\n".join(f"line {i}" for i in range(n))
+    assert got[2][1].result is False and got[2][1].reasoning == " ".join(["w"] * n)
+    assert got[3][1].reasoning == ("x " * 5_000_000).strip() and got[3][0] == [("y \t" * 2_500_000).strip()]
