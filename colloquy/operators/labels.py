@@ -39,30 +39,58 @@ def join_gold(dialogues: DataFrame, gold: DataFrame, disease_col: str = "disease
 
 
 def label_cover(gold: DataFrame) -> DataFrame:
-    """``(disease, symptom, cover)``: trace labels whose trace line
-    ``- <cover>`` contains ``symptom`` (cover ranges over the disease's
+    """``(disease, symptom, cover)``: trace labels whose trace entry
+    ``- <cover>\\n`` contains ``symptom`` (cover ranges over the disease's
     labels plus the not-in-list label).
 
-    A symptom without a newline is inside the running trace text
-    ``- l1\\n- l2\\n...`` exactly when it is inside one of its lines, so the
-    substring "seen before" test becomes an equi-join on this small table."""
+    The trace text is the sequence of these entries, so the substring "seen
+    before" test becomes an equi-join on this small table.  A symptom that
+    holds a line break and a dash behind it may also be found across entries;
+    ``label_runs`` has these."""
     syms = gold.select("disease", "symptom").distinct()
     covers = syms.select("disease", F.col("symptom").alias("cover")).unionByName(
         syms.select("disease").distinct().withColumn("cover", F.lit(NOT_IN_GOLD)))
     pairs = syms.join(covers, "disease")
-    return pairs.where(F.concat(F.lit("- "), F.col("cover")).contains(F.col("symptom")))
-
-
-def accepted_labels(gold: DataFrame) -> DataFrame:
-    """Labels that can be matched: one line each.  A label with a line break
-    could be found across several lines of a trace, which no lookup by label
-    can tell; such rows are reported by ``refused_labels``."""
-    return gold.where(~F.coalesce(F.col("symptom").contains("\n"), F.lit(False)))
-
-
-def refused_labels(gold: DataFrame) -> DataFrame:
-    """The rows that ``accepted_labels`` leaves out, with the reason."""
-    return gold.where(F.col("symptom").contains("\n")).withColumn("error", F.lit("label spans lines"))
+    return pairs.where(F.concat(F.lit("- "), F.col("cover"), F.lit("\n")).contains(F.col("symptom")))
+
+
+def crossing_labels(gold: DataFrame) -> DataFrame:
+    """The labels that can be found across several entries of a trace."""
+    return gold.where(F.col("symptom").contains("\n-"))
+
+
+def runs_of(labels: list[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """(label, run): the sequences of two or more trace entries, by their labels, that hold a label
+    across their borders, for the labels of one disease.
+
+    A label is matched entry by entry: the first one ends with its beginning, those in between are
+    the next part of it, whole, and the last one begins with the rest."""
+    entries = {x: f"- {x}\n" for x in [*dict.fromkeys(labels), NOT_IN_GOLD]}
+    out = []
+    for label in dict.fromkeys(x for x in labels if "\n-" in x):
+        ends = [i + 1 for i, c in enumerate(label[:-1]) if c == "\n"]
+        open_ = [(p, (x,)) for p in ends for x, t in entries.items() if t.endswith(label[:p])]
+        while open_:
+            at, run = open_.pop()
+            for x, t in entries.items():
+                if t.startswith(label[at:]):
+                    out.append((label, (*run, x)))
+                elif label[at:].startswith(t):
+                    open_.append((at + len(t), (*run, x)))
+    return list(dict.fromkeys(out))
+
+
+def label_runs(gold: DataFrame) -> DataFrame:
+    """``(disease, symptom, run)``: consecutive trace labels across whose
+    entries ``symptom`` is found.  Bounded by the label file: only diseases
+    with such a label are looked at, each one's labels together."""
+    def find(frame):
+        import pandas as pd
+        found = runs_of(frame.sort_values("ord")["symptom"].tolist())
+        return pd.DataFrame({"disease": frame["disease"].iloc[0], "symptom": [s for s, _ in found], "run": [list(r) for _, r in found]})
+
+    some = gold.join(crossing_labels(gold).select("disease").distinct(), "disease", "left_semi").where("symptom IS NOT NULL")
+    return some.groupBy("disease").applyInPandas(find, "disease string, symptom string, run array<string>")
 
 
 def first_rows(df: DataFrame, keys: list[str], order_col: str, value_cols: list[str]) -> DataFrame:

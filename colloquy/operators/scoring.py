@@ -20,7 +20,9 @@ Only partial aggregations and equi-joins against small label tables are
 used: first position per ``(dialogue, label)``, the break position, and the
 "seen" test as a lookup of the earliest covering label.  No window and no
 per-dialogue array of statements: a dialogue holding a third of all rows is
-still split across tasks (partial aggregation; a salted join back).  Labels are single lines (``labels.accepted_labels``); the
+still split across tasks (partial aggregation; a salted join back).  A label over several lines
+is found inside one entry of the trace like any other; where it can lie across entries, the
+statements are numbered by a range partition and consecutive ones joined.  The
 tests hold the result against a running trace text in a window.
 """
 
@@ -30,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators.joins import broadcast_if_small
-from colloquy.operators.labels import NOT_IN_GOLD, accepted_labels, gold_list_text, label_cover, label_weight
+from colloquy.operators.labels import NOT_IN_GOLD, crossing_labels, gold_list_text, label_cover, label_runs, label_weight
+from colloquy.operators.ranking import dense_index
 
 SUBSTRING = "substring"
 EXACT = "exact"
@@ -57,6 +60,30 @@ def _live(brk: Column) -> Column:
     return brk.isNull() | (F.col("pos") < brk)
 
 
+def _crossing(ann: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, symptom, first_pos)``: where a label is first complete across
+    consecutive entries of a dialogue's trace.  Only dialogues of diseases
+    with such a label are numbered, and only their statements that take part
+    in a run are joined, once for each further entry of the longest run."""
+    runs = label_runs(gold).checkpoint()  # bounded by the label file
+    rows = ann.join(broadcast_if_small(runs.select("disease").distinct()), "disease", "left_semi").select(*keys, "disease", "pos", "label")
+    numbered = dense_index(rows, keys, ["pos"], "__at")
+    used = runs.select("disease", F.explode("run").alias("label")).distinct()
+    numbered = numbered.join(broadcast_if_small(used), ["disease", "label"], "left_semi").checkpoint()
+    longest = runs.agg(F.max(F.size("run"))).first()[0] or 0
+    part = numbered.join(broadcast_if_small(runs.withColumnRenamed("disease", "__d")), (F.col("disease") == F.col("__d")) & (F.col("label") == F.get("run", F.lit(0))))
+    part = part.select(*keys, "symptom", "run", "__at", F.col("pos").alias("first_pos"))
+    out = None
+    for n in range(1, longest):
+        step = numbered.select(*keys, (F.col("__at") - 1).alias("__at"), F.col("label").alias("__l"), F.col("pos").alias("__p"))
+        part = part.where(F.size("run") > n).join(step, [*keys, "__at"]).where(F.col("__l") == F.get("run", F.lit(n)))
+        part = part.select(*keys, "symptom", "run", (F.col("__at") + 1).alias("__at"), F.col("__p").alias("first_pos"))
+        ended = part.where(F.size("run") == n + 1).select(*keys, "symptom", "first_pos")
+        out = ended if out is None else out.unionByName(ended)
+    out = part.select(*keys, "symptom", "first_pos").limit(0) if out is None else out
+    return out.groupBy(*keys, "symptom").agg(F.min("first_pos").alias("first_pos"))
+
+
 def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str) -> DataFrame:
     # 1. first position of each label per dialogue: partial aggregation,
     #    so a hot dialogue is reduced on the map side before the shuffle
@@ -69,6 +96,9 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
         lc = broadcast_if_small(label_cover(gold).withColumnRenamed("disease", "__cd"))
         cover = firsts.join(lc, (F.col("disease") == F.col("__cd")) & (F.col("label") == F.col("cover"))
                             & ~F.col("poison"), "left")
+    cover = cover.select(*keys, "symptom", "first_pos", "poison")
+    if mode != EXACT and not crossing_labels(gold).isEmpty():
+        cover = cover.unionByName(_crossing(ann, gold, keys).withColumn("poison", F.lit(False)))
     per_symptom = cover.groupBy(*keys, "symptom").agg(
         F.min(F.when(~F.col("poison"), F.col("first_pos"))).alias("cover_pos"),
         F.min(F.when(F.col("poison"), F.col("first_pos"))).alias("brk"))
@@ -92,7 +122,6 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
 def bullet_flags(bullets: DataFrame, gold: DataFrame, keys: list[str],
                  mode: str = SUBSTRING) -> DataFrame:
     """Per-bullet ``hit, weight, poison, label, brk, live, seen``."""
-    gold = accepted_labels(gold)
     return _seen_decomposed(annotate_bullets(bullets, gold), gold, keys, mode)
 
 

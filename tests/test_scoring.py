@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import schemas
-from colloquy.operators.labels import refused_labels
+from colloquy.operators.labels import runs_of
 from colloquy.operators import scoring as S
 from colloquy.plans.bindings import inline_table
 from tests.rules import score_dialogue
@@ -136,13 +136,45 @@ def test_invariants_and_partition_count(spark):
             assert penalty + reward == 2 * score
 
 
-def test_labels_over_several_lines_are_refused_and_reported(spark):
-    gold = _gold(spark, {"M": [("a\n- b", "m"), ("b", "h")]})
-    assert [(r.symptom, r.error) for r in refused_labels(gold).collect()] == [("a\n- b", "label spans lines")]
-    b = _bullets(spark, {"m1": ("M", ["a\n- b", "b"])})
-    r = S.score_bullets(b, gold, ["did"]).collect()[0]
-    want = score_dialogue(["a\n- b", "b"], [("b", "h")], ["r0", "r1"])
-    assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace) == want[:5]
+def test_labels_over_two_lines(spark):
+    gold = _gold(spark, {"M": [("Fever", "m"), ("Chest pain\nat rest", "h")]})
+    b = _bullets(spark, {"m1": ("M", ["Fever", "Chest pain\nat rest"]), "m2": ("M", ["Chest pain"])})
+    got = {r.did: r for r in S.score_bullets(b, gold, ["did"]).collect()}
+    assert (got["m1"].score, got["m1"].weighted_score, got["m1"].label_trace) == (2, 3, "- Fever\n- Chest pain\nat rest\n")
+    assert (got["m2"].score, got["m2"].status) == (-1, "match_error")
+
+
+#: Labels that lie inside one another, over one entry or several.
+LINED = {"M": [("a\n- b", "m"), ("b", "h"), ("x a", "m"), ("b\n- b\n- c", "h"), ("c", "m"), ("a", "h"), ("b\n-", "m"), ("a\n", "h"), ("b\nq", "m"), ("Label\n- a", "h")],
+         "N": [("p\nq", "m"), ("q", "h"), ("p", "h")]}
+
+
+@pytest.mark.parametrize("mode", [S.SUBSTRING, S.EXACT])
+def test_labels_over_several_lines(spark, mode):
+    rnd = random.Random(5)
+    vocab = {d: [s for s, _ in rows] * 3 + ["Not in Gold Label", "zz", "Gold"] for d, rows in LINED.items()}
+    dialogues = {f"m{i}": (d, [rnd.choice(vocab[d]) for _ in range(rnd.randint(1, 14))]) for i in range(400) for d in [rnd.choice(["M", "M", "N"])]}
+    gold, b = _gold(spark, LINED), _bullets(spark, dialogues)
+    forms = {f: {r.did: r for r in score_by(b, gold, ["did"], mode=mode, form=f).collect()} for f in ("package", "window")}
+    again = 0
+    for did, (disease, answers) in dialogues.items():
+        want = score_dialogue(answers, LINED[disease], [f"r{i}" for i in range(len(answers))], exact=(mode == S.EXACT))
+        again += want[3] > want[2]
+        for f, got in forms.items():
+            r = got[did]
+            assert (r.score, r.weighted_score, r.penalty_score, r.reward_score, r.label_trace, r.reason_trace) == want, (f, did, answers)
+    assert again > 100
+
+
+def test_runs_are_exactly_the_sequences_that_hold_a_label():
+    labels = [s for s, _ in LINED["M"]]
+    runs = set(runs_of(labels))
+    every = [*labels, "Not in Gold Label"]
+    for label in labels:
+        for run in [(x, y) for x in every for y in every] + [(x, y, z) for x in every for y in every for z in every]:
+            text = "".join(f"- {x}\n" for x in run)
+            inside = any(label in "".join(f"- {x}\n" for x in run[i:j]) for i in range(len(run)) for j in range(i + 1, len(run) + 1) if j - i < len(run))
+            assert (label in text and not inside) <= ((label, run) in runs) <= (label in text)
 
 
 def test_decomposed_plan_shape(spark):

@@ -6,11 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.operators import scoring as S
-from colloquy.operators.labels import accepted_labels
 
 
 def flags(bullets, gold, keys, mode):
-    gold = accepted_labels(gold)
     ann = S.annotate_bullets(bullets, gold)
     ordered = Window.partitionBy(*keys).orderBy("pos")
     j = ann.withColumn("brk", F.min(F.when(F.col("poison"), F.col("pos"))).over(Window.partitionBy(*keys)))
