@@ -240,3 +240,29 @@ def test_replies_of_very_many_lines(spark, n):
     assert got[1][1].result and got[1][1].reasoning == "\n\n".join(f"line {i}" for i in range(n))
     assert got[2][1].result is False and got[2][1].reasoning == " ".join(["w"] * n)
     assert got[3][1].reasoning == ("x " * 5_000_000).strip() and got[3][0] == [("y \t" * 2_500_000).strip()]
+
+
+def _plain_scrub(reply, context, rules):
+    for words, phrase in rules:
+        if not any(w in context for w in words):
+            reply = reply.replace(phrase, "")
+    return reply
+
+
+def test_scrub_in_one_pass_equals_the_chain(spark):
+    """Also where a removal forms a phrase, of an earlier or of a later rule."""
+    from colloquy.functions.scrub import never_overlap
+    rules, draw = default_rules(), random.Random(2)
+    parts = [p for _, p in rules] + [p[:4] for _, p in rules] + [p[4:] for _, p in rules] + ["- ", "없다.\n", "x", "\n"]
+    words = [w for ws, _ in rules for w in ws] + ["", "etc"]
+    rows = [("".join(draw.choice(parts) for _ in range(draw.randint(0, 7))), " ".join(draw.choice(words) for _ in range(draw.randint(0, 3)))) for _ in range(3000)]
+    first, second = rules[6][1], rules[12][1]
+    rows += [(first[:5] + second + first[5:], ""), (second[:5] + first + second[5:], ""), (None, "x"), ("- x", None), (first, None)]
+    got = [r.o for r in spark.createDataFrame(rows, "r string, c string").coalesce(1).select(scrub_negations("r", "c").alias("o")).collect()]
+    assert got[:-3] == [_plain_scrub(r, c, rules) for r, c in rows[:-3]]
+    assert got[-3:] == [None, "- x", first]
+    assert never_overlap([p for _, p in rules]) and not never_overlap(["ab", "ba"]) and not never_overlap(["a", "xax"])
+    other = [(("k",), "aba"), (("z",), "b")]
+    rows = [("".join(draw.choice("abc") for _ in range(9)), draw.choice("kzx")) for _ in range(300)]
+    got = [r.o for r in spark.createDataFrame(rows, "r string, c string").coalesce(1).select(scrub_negations("r", "c", other).alias("o")).collect()]
+    assert got == [_plain_scrub(r, c, other) for r, c in rows]
