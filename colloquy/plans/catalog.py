@@ -692,6 +692,48 @@ def apply_model_errors(spark, sf_dir):
     return out.select("request_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"))
 
 
+@query("call_model")
+def call_model(spark, sf_dir):
+    """One prompt per call, many calls in flight in each task."""
+    from colloquy.operators import calls
+    from colloquy.plans.standins import make_echo_call
+    out = calls.call_model(_model_requests(spark, sf_dir), make_echo_call, in_flight=16)
+    return out.select("request_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"))
+
+
+@query("reply_ledger")
+def reply_ledger(spark, sf_dir):
+    """A first run in which the service refuses some requests, then one that asks for these again; the
+    ledger has every reply once, and only the refused requests were asked twice."""
+    from colloquy.operators import calls
+    from colloquy.plans.standins import make_echo_call, make_refusing_call
+    path, buckets = staging_path(spark, "ledger"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    requests = _model_requests(spark, sf_dir)
+    first = calls.call_into_ledger(requests, make_refusing_call, path, buckets, in_flight=16, max_retries=2, backoff_seconds=0)
+    refused = first.where("response IS NULL").select("request_id", F.col("attempts").alias("refused")).checkpoint()
+    out = calls.call_into_ledger(requests, make_echo_call, path, buckets, in_flight=16)
+    out = out.join(refused, "request_id", "left")
+    return out.select("request_id", "response", "error", (F.col("attempts") + F.coalesce("refused", F.lit(0))).cast("bigint").alias("attempts"))
+
+
+@query("leaderboard_states")
+def leaderboard_states(spark, sf_dir):
+    """The leaderboard from the states of four batches of dialogues."""
+    from colloquy.operators import rollup
+    rows, path = B.b3_results(spark, sf_dir), staging_path(spark, "states")
+    for i in range(4):
+        rollup.add_batch(rows.where(F.pmod(F.xxhash64("pid"), F.lit(4)) == i), path, i)
+    return _rounded(rollup.roll_up(spark, path))
+
+
+@query("exact_quantiles")
+def exact_quantiles(spark, sf_dir):
+    """Quartiles of prices by return flag, by selection over value counts."""
+    from colloquy.operators import rollup
+    q = rollup.exact_quantiles(B.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])
+    return q.select("l_returnflag", *[F.round(F.col("quantiles")[i], 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
+
+
 # --------------------------------------------------- C the whole evaluation
 
 from colloquy.operators import stages as ST  # noqa: E402

@@ -490,6 +490,15 @@ ORACLE["apply_model_errors"] = (
     "CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error, "
     "CAST(CASE WHEN length(text) % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM conversations")
 
+ORACLE["call_model"] = ORACLE["apply_model"]
+ORACLE["reply_ledger"] = (
+    "SELECT sha256('echo|' || length(conv_id::VARCHAR) || ':' || conv_id::VARCHAR || '|' || length(turn::VARCHAR) || ':' || turn::VARCHAR) AS request_id, "
+    "'ok:' || sha256(text) AS response, CAST(NULL AS VARCHAR) AS error, "
+    "CAST(CASE WHEN length(text) % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM conversations")
+ORACLE["leaderboard_states"] = ORACLE["run_leaderboard"]
+ORACLE["exact_quantiles"] = ("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p / 100}), 6) AS p{p}" for p in (25, 50, 75))
+                             + " FROM lineitem GROUP BY l_returnflag")
+
 # --------------------------------------------------- C the whole evaluation
 # The chain stated row by row: what each order's dialogue, statements and
 # replies are, then the scoring rule over a running trace text.

@@ -31,6 +31,19 @@ def make_refusing_model():
     return fn
 
 
+def make_echo_call():
+    """The same for services that answer one prompt per call."""
+    return digest_reply
+
+
+def make_refusing_call():
+    def call(prompt: str) -> str:
+        if len(prompt) % REFUSE_MODULUS == 0:
+            raise ValueError("refused")
+        return digest_reply(prompt)
+    return call
+
+
 # Stage stand-ins (end-to-end test of the stages; fixed, rule-based replies).
 
 def make_organizer_model():
