@@ -7,7 +7,9 @@ of documents; the last adds ``slot`` and ``shard``.
 
 Nulls, empty texts, repeated rows and empty tables: see each operator.  In short, rows without
 text fail the quality rules; of rows equal in id and text one stays from the second stage on; a
-row's copies in the mix are equal rows.
+row's copies in the mix are equal rows, and the mix is stored in the order of its schedule.  Texts
+of any length pass whole.  Further columns of documents stay, whatever their names, but for
+``slot`` and ``shard``, which the last stage replaces.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
