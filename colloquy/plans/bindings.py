@@ -272,6 +272,38 @@ def list_cell():
     return F.when(F.col("event_id") % 4 == 0, escaped).otherwise(plain)
 
 
+# ---------------------------------------------------------------------- D
+# Labels from parts, some over two lines, some of them parts of others; one
+# statement per order, a customer's orders in key order are a dialogue.
+def d_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, rest = F.substring_index("p_type", " ", 1), F.expr("substr(p_type, instr(p_type, ' ') + 1)")
+    k = F.col("p_size") % 5
+    symptom = (F.when(k == 0, F.concat(first, F.lit("\n- "), rest)).when(k == 1, F.concat(first, F.lit("\n"), rest))
+               .when(k == 2, first).when(k == 3, rest).otherwise(F.col("p_type")))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("disease"), F.col("p_partkey").alias("ord"), symptom.alias("symptom"),
+                                               F.when(F.col("p_size") > 25, "h").otherwise("m").alias("weight"))
+
+
+def d_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are labels of any disease, a part of one, or none."""
+    gold = d_gold(spark, sf_dir)
+    n = gold.count()  # one number
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dialogue_id"), k.alias("event_id"), k.alias("pos"), F.col("o_orderpriority").alias("reason"), ((k * 31) % n + 1).alias("__part"))
+    j = o.join(gold.select(F.col("ord").alias("__part"), "symptom"), "__part", "left")
+    said = F.when(k % 97 == 0, F.substring("symptom", 2, 100)).when(k % 11 == 0, F.lit("Not there")).otherwise(F.coalesce("symptom", F.lit("")))
+    return j.withColumnRenamed("event_id", "o_orderkey").withColumn("resp", said).select("dialogue_id", d_disease().alias("disease"), F.col("o_orderkey").alias("event_id"), "pos", "resp", "reason")
+
+
+def d_disease(cust_col: str = "dialogue_id"):
+    c = F.col(cust_col)
+    return F.concat(F.lit("Brand#"), (c % 5 + 1).cast("string"), (F.floor(c / 5) % 6 + 1).cast("string"))
+
+
+def d_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dialogue_id")).distinct().withColumn("disease", d_disease())
+
+
 # ---------------------------------------------------------------------- C
 # The evaluation chain: one dialogue per order, labels from parts, profiles
 # from customers, replies as functions of the keys.  They hold what services

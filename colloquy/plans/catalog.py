@@ -85,22 +85,29 @@ def trace_rows(spark, sf_dir):
 
 @query("gold_contains")
 def gold_contains(spark, sf_dir):
-    a = S.annotate_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark))
+    a = S.annotate_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
     return a.select("event_id", "dialogue_id", "resp", "hit")
 
 
 @query("label_weight")
 def label_weight(spark, sf_dir):
-    a = S.annotate_bullets(B.b1_bullets(spark, sf_dir), B.b1_gold(spark))
+    a = S.annotate_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
     return a.select("event_id", "resp", "weight")
 
 
 @query("join_gold")
 def join_gold(spark, sf_dir):
-    j = L.join_gold(B.b1_dialogues(spark, sf_dir), B.b1_gold(spark))
+    j = L.join_gold(B.d_dialogues(spark, sf_dir), B.d_gold(spark, sf_dir))
     return j.select("dialogue_id", "disease", "ord", "symptom", "weight")
 
 
+@query("score_lines")
+def score_lines(spark, sf_dir):
+    """All scores and the label trace with labels that span lines and lie across one another."""
+    s = S.score_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir), ["dialogue_id"])
+    return s.select("dialogue_id", "n_bullets", "n_live", "score", "weighted_score", "penalty_score", "reward_score", "label_trace", "status")
+
+
 def _seen(spark, sf_dir, mode):
     f = S.bullet_flags(B.b1_bullets(spark, sf_dir), B.b1_gold(spark), B.B1_KEYS, mode=mode)
     return f.select("event_id", "dialogue_id", "label", "live",
@@ -119,8 +126,8 @@ def seen_before_exact(spark, sf_dir):
 
 @query("gold_list_text")
 def gold_list_text(spark, sf_dir):
-    gl = L.gold_list_text(B.b1_gold(spark)).withColumnRenamed("disease", "__d")
-    d = B.b1_dialogues(spark, sf_dir)
+    gl = L.gold_list_text(B.d_gold(spark, sf_dir)).withColumnRenamed("disease", "__d")
+    d = B.d_dialogues(spark, sf_dir)
     return d.join(broadcast_if_small(gl), d.disease == gl.__d, "left").select("dialogue_id", "disease", "gold_list")
 
 

@@ -71,6 +71,26 @@ scored AS (
 """
 
 
+# ------------------------------------------------------------------- D
+
+_D_DISEASE = "'Brand#' || (o_custkey % 5 + 1)::VARCHAR || ((o_custkey // 5) % 6 + 1)::VARCHAR"
+_D_FIRST, _D_REST = "split_part(p_type, ' ', 1)", "substr(p_type, instr(p_type, ' ') + 1)"
+D_GOLD = f"""gold AS (SELECT p_brand AS disease, p_partkey AS ord, CASE p_size % 5 WHEN 0 THEN {_D_FIRST} || {NL} || '- ' || {_D_REST} WHEN 1 THEN {_D_FIRST} || {NL} || {_D_REST}
+  WHEN 2 THEN {_D_FIRST} WHEN 3 THEN {_D_REST} ELSE p_type END AS symptom, CASE WHEN p_size > 25 THEN 'h' ELSE 'm' END AS weight FROM part)"""
+_D_B = f"""
+b AS (
+  SELECT o_custkey AS dialogue_id, {_D_DISEASE} AS disease, o_orderkey AS event_id, o_orderkey AS ts, o_orderpriority AS reason,
+         CASE WHEN o_orderkey % 97 = 0 THEN substr(symptom, 2, 100) WHEN o_orderkey % 11 = 0 THEN 'Not there' ELSE coalesce(symptom, '') END AS resp
+  FROM orders LEFT JOIN gold ON gold.ord = (o_orderkey * 31) % (SELECT count(*) FROM part) + 1),
+"""
+# the same rules over these tables
+D_BASE = D_GOLD + "," + _D_B + B1_BASE[B1_BASE.index("gl AS ("):]
+
+
+def _d(select: str) -> str:
+    return f"WITH {D_BASE} {select}"
+
+
 def _b1(select: str) -> str:
     return f"WITH {B1_BASE} {select}"
 
@@ -87,19 +107,21 @@ ORACLE["poison_break"] = _b1("SELECT dialogue_id, break_event_id, n_live FROM sc
 ORACLE["label_trace"] = _b1("SELECT dialogue_id, label_trace FROM scored")
 ORACLE["reason_trace"] = _b1("SELECT dialogue_id, reason_trace FROM scored")
 ORACLE["trace_rows"] = _b1("SELECT dialogue_id, event_id, label, reason FROM s WHERE live")
-ORACLE["gold_contains"] = _b1("SELECT event_id, dialogue_id, resp, hit FROM a")
-ORACLE["label_weight"] = _b1("SELECT event_id, resp, weight FROM a")
-ORACLE["join_gold"] = f"""WITH {B1_GOLD},
-d AS (SELECT DISTINCT user_id AS dialogue_id, 'd' || CAST(user_id % 5 AS VARCHAR) AS disease FROM events)
+ORACLE["gold_contains"] = _d("SELECT event_id, dialogue_id, resp, hit FROM a")
+ORACLE["label_weight"] = _d("SELECT event_id, resp, weight FROM a")
+ORACLE["join_gold"] = f"""WITH {D_GOLD},
+d AS (SELECT DISTINCT o_custkey AS dialogue_id, {_D_DISEASE} AS disease FROM orders)
 SELECT d.dialogue_id, d.disease, g.ord::BIGINT AS ord, g.symptom, g.weight
 FROM d LEFT JOIN gold g ON g.disease = d.disease"""
+ORACLE["score_lines"] = _d("SELECT dialogue_id, n_bullets, n_live, score::BIGINT AS score, weighted_score::BIGINT AS weighted_score, round(penalty_score, 6) AS penalty_score, "
+                           "round(reward_score, 6) AS reward_score, label_trace, status FROM scored")
 ORACLE["seen_before"] = _b1(
     "SELECT event_id, dialogue_id, label, live, (live AND hit AND seen_sub) AS seen FROM s")
 ORACLE["seen_before_exact"] = _b1(
     "SELECT event_id, dialogue_id, label, live, (live AND hit AND seen_exact) AS seen FROM s")
-ORACLE["gold_list_text"] = f"""WITH {B1_GOLD},
+ORACLE["gold_list_text"] = f"""WITH {D_GOLD},
 gl AS (SELECT disease, string_agg('-' || symptom, {NL} ORDER BY ord) AS gold_list FROM gold GROUP BY disease),
-d AS (SELECT DISTINCT user_id AS dialogue_id, 'd' || CAST(user_id % 5 AS VARCHAR) AS disease FROM events)
+d AS (SELECT DISTINCT o_custkey AS dialogue_id, {_D_DISEASE} AS disease FROM orders)
 SELECT d.dialogue_id, d.disease, gl.gold_list FROM d LEFT JOIN gl ON gl.disease = d.disease"""
 ORACLE["first_label"] = _b1(
     "SELECT dialogue_id, label, arg_min(event_id, pos) AS first_event_id, count(*) AS n_rows "
