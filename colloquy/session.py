@@ -74,13 +74,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
 _STAGED: list[str] = []
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the staged tables of this application, once the results that
-    read them are written; returns their number."""
+def drop_staged(spark: SparkSession, *paths: str) -> int:
+    """Delete the staged tables of this application (or those of them in
+    ``paths``), once the results that read them are written; returns their
+    number."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = 0
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in [p for p in _STAGED if not paths or p in paths]:
+        _STAGED.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontaminate, jaccard_tree, mixing, quality, sharding
 from colloquy.llm.common import read, staging_path
+from colloquy.session import drop_staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of ``sf_dir`` through all stages."""
-    docs = read(spark, sf_dir, "documents")
+    """The documents of ``sf_dir`` through all stages.  A stage's table goes when the next one's is
+    written; the last one's stays for the result."""
+    docs, old = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = staging_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old:
+            drop_staged(spark, old)
+        old = path
     return docs

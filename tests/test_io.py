@@ -181,7 +181,10 @@ def test_staged_tables_go(spark):
     drop_staged(spark)
     path = staging_path(spark, "x")
     spark.range(3).write.parquet(path)
-    assert drop_staged(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    other = staging_path(spark, "y")
+    spark.range(3).write.parquet(other)
+    assert drop_staged(spark, path, "elsewhere") == 1 and not os.path.exists(path.removeprefix("file:"))
+    assert drop_staged(spark) == 1 and not os.path.exists(other.removeprefix("file:"))
 
 
 def test_a_cluster_needs_a_shared_folder():
