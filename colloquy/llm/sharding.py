@@ -7,7 +7,8 @@ slot is its key's hash modulo the size.  The table has as many rows as the prime
 data's size, and is broadcast; no record is shuffled.
 
 A null key is hashed as its own value; equal keys go to one shard (that is the promise of
-placement by key), so spread rows of a hot key by adding columns to the key.  Empty tables give
+placement by key), so spread rows of a hot key by adding columns to the key.  Texts of any length are
+carried as they are, and not read unless they are the key.  Empty tables give
 empty results.  The added columns ``slot`` and ``shard`` replace input columns of those names.
 """
 

@@ -10,11 +10,13 @@ library and the tokenizer may disagree (``unsure``: unassigned in Python's Unico
 their class depends on a library's version) send their whole text through the tokenizer.
 
 Null and empty texts count 0; texts of any length are handled whole; repeated rows and null ids
-stay rows of their own; other columns are not carried.
+stay rows of their own; an empty table gives an empty result; other columns, clashing names included,
+are not carried.  A tokenizer file with another split, or with a normaliser, is refused.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -35,6 +37,11 @@ CACHE = 500_000
 def whole_tokens(path: str) -> frozenset[str]:
     """The proof: vocabulary strings that the tokenizer encodes as one token, that one."""
     tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError(f"{path}: only byte-level files with the standard split and without a normaliser are read")
     ids = [i for s, i in tok.get_vocab(with_added_tokens=False).items()]
     special = set(tok.get_added_tokens_decoder())
     texts = [(i, tok.decode([i], skip_special_tokens=False)) for i in ids if i not in special]

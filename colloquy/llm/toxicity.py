@@ -15,7 +15,8 @@ Features come from the text alone.
 Null and empty texts have no sentence and score 0.  Texts are scored whole, whatever their
 length.  Repeated rows and null ids are scored like others; a document labelled twice counts as
 toxic if either label says so; null labels are ignored.  Without toxic or without clean labels
-every score is 0.  Other columns are not carried.
+every score is 0.  An empty table gives an empty result.  Other columns, clashing names included, are
+not carried.
 """
 
 from __future__ import annotations

@@ -25,3 +25,9 @@ def test_query_on_hard_rows(spark):
     want = sorted(((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in rows), key=repr)
     assert sorted((tuple(r) for r in token_count.token_counts(docs, PATH).collect()), key=repr) == want
     assert token_count.token_counts(docs.limit(0), PATH).collect() == []
+
+
+def test_other_files_are_refused():
+    import pytest
+    with pytest.raises(ValueError):
+        token_count.whole_tokens(public_tokenizers.path("word_bpe_49k.json"))
