@@ -23,7 +23,7 @@ def test_a_window_of_slow_calls():
         return str(x)
     began = time.monotonic()
     got = list(C.window(((i, i) for i in range(50)), call, in_flight=50))
-    assert time.monotonic() - began < 0.8 and most[0] > 40
+    assert time.monotonic() - began < 2.5 and most[0] > 25  # one by one they take over 5 s
     assert got[-1][0] == 0 and sorted(g[0] for g in got) == list(range(50)) and all(g[3] == 1 for g in got)
     most[0] = 0
     list(C.window(((i, i) for i in range(30)), call, in_flight=4))
@@ -46,7 +46,7 @@ def test_the_rate_holds_and_items_are_taken_as_needed():
     assert len(taken) <= 12
     list(found)
     assert len(starts) == 40 and starts[-1] - starts[0] >= 0.38
-    assert min(b - a for a, b in zip(starts, starts[1:])) > 0.001
+    assert all(sum(s <= x < s + 0.1 for x in starts) <= 15 for s in starts)
 
 
 def test_one_back_off_does_not_hold_the_others():
@@ -62,10 +62,10 @@ def test_one_back_off_does_not_hold_the_others():
             raise KeyError("no")
         return "ok"
     began, ended = time.monotonic(), {}
-    for key, reply, error, n in C.window(((i, i) for i in range(20)), call, in_flight=3, backoff=0.2, max_retries=4, valid=lambda r: r != "bad", retryable=lambda e: not isinstance(e, KeyError)):
+    for key, reply, error, n in C.window(((i, i) for i in range(20)), call, in_flight=3, backoff=0.5, max_retries=4, valid=lambda r: r != "bad", retryable=lambda e: not isinstance(e, KeyError)):
         ended[key] = (reply, error, n, time.monotonic() - began)
-    assert all(ended[i][:3] == ("ok", None, 1) and ended[i][3] < 0.2 for i in range(3, 20))
-    assert ended[0][:3] == ("ok", None, 3) and ended[0][3] >= 0.6
+    assert all(ended[i][:3] == ("ok", None, 1) and ended[i][3] < 0.5 for i in range(3, 20))
+    assert ended[0][:3] == ("ok", None, 3) and ended[0][3] >= 1.5
     assert ended[1][:3] == (None, "invalid reply", 4) and ended[2][:3] == (None, "KeyError: 'no'", 1)
 
 
