@@ -105,7 +105,7 @@ class Encoders:
 
     def encode(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both; none for texts that the tokens do not spell."""
-        strings = [t.decode("utf-8") for t in texts]
+        strings = [t.decode("utf-8", "replace") for t in texts]
         a = [self.encode_a(" " + t) if t else [] for t in strings]
         b = self.b.encode(strings, num_threads=1)
         for i, t in enumerate(texts):
