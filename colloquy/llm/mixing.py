@@ -15,7 +15,7 @@ No window runs over a whole source: streams are numbered by (source, hash bucket
 
 Null and empty texts have size 0 and are never taken.  A null source is a source of its own, the
 last one.  Repeated rows are rows of their own.  Null ids are allowed; order in the stream comes
-from a hash of id and text.  An empty table gives an empty mix.  Other columns of the input, clashing
+from a hash of id and text.  Texts of any length are counted whole.  An empty table gives an empty mix.  Other columns of the input, clashing
 names included, are not carried by ``mix``.
 """
 
@@ -124,10 +124,9 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     return fit.unionByName(surplus.join(short, "k").select("slot", "source_no", "block"))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """Every row of ``docs``: the columns ``keep`` (default doc_id), size, source_size, target and
-    taken, the words that the scheduled blocks take from it, repeats counted."""
-    keep = ["doc_id"] if keep is None else keep
+def _blocks(docs: DataFrame, keep: list[str], text: str, source: str, block: int) -> DataFrame:
+    """For every row, copy of it in the repeating stream (``epoch``; null if none is reached) and block
+    that the copy touches: the words there, and the slot that takes them."""
     rows, targets = streams(docs, keep, text, source)
     slots = schedule(targets.select("source_no", "target"), block)
     # copies of a document in the repeating stream, then the blocks that each copy touches
@@ -139,27 +138,51 @@ def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", sour
     copies = copies.withColumn("to", F.least(F.col("from") + size, end))
     parts = copies.withColumn("block", F.explode_outer(F.when(F.col("epoch").isNotNull(), F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))))
     words = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
-    parts = parts.withColumn("words", words)
-    joined = parts.join(slots, ["source_no", "block"], "left")
-    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken")
-    joined = joined.groupBy(*keep, "size", "source_size", "target", "source_no", "m_bucket", "row").agg(taken)
-    return joined.select(*keep, "size", "source_size", "target", "taken")
+    return parts.withColumn("words", words).join(slots, ["source_no", "block"], "left")
+
+
+_ROW = ["size", "source_size", "target", "source_no", "m_bucket", "row"]
+
+
+def _taken() -> Column:
+    return F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken")
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """Every row of ``docs``: the columns ``keep`` (default doc_id), size, source_size, target, taken
+    (the words that the scheduled blocks take from it, repeats counted) and first_slot (the
+    first slot that takes from it; null if none does)."""
+    keep = ["doc_id"] if keep is None else keep
+    joined = _blocks(docs, keep, text, source, block).groupBy(*keep, *_ROW).agg(_taken(), F.min("slot").alias("first_slot"))
+    return joined.select(*keep, "size", "source_size", "target", "taken", "first_slot")
+
+
+def copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(__key, slot): the whole copies of ``docs`` that make the mix, each with the first slot that takes
+    from it.  ``docs`` has a column ``__key``.  Only the last copy that a source's target reaches can be
+    taken in part; it stays if at least half of it is, which comes nearest to the target.  The first
+    document of a source's stream always stays, so no source with a target is left empty."""
+    parts = _blocks(docs, ["__key"], "text", "source", block).where("epoch IS NOT NULL")
+    per = parts.groupBy("__key", *_ROW, "start", "epoch").agg(_taken(), F.min("slot").alias("slot"))
+    return per.where((2 * F.col("taken") >= F.col("size")) | ((F.col("start") == 0) & (F.col("epoch") == 0))).select("__key", "slot")
 
 
 def repeat(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` mixed: every row as often as the mix takes its words, rounded; at most one
-    document of a source is taken in part.  Rows equal in id and text are repeated as one row.
-    Texts without words are never taken."""
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    taken = mix(rows, ["__key"], block=block).where("size > 0")
-    times = F.floor(F.col("taken") / F.col("size") + 0.5)
-    copies = taken.groupBy("__key").agg(F.sum(times).alias("__n")).where(F.col("__n") > 0)
-    out = rows.dropDuplicates(["__key"]).join(copies, "__key").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-    return out.select(*docs.columns)
-
-
-#: DuckDB SQL of the rows of mix over a table of documents: the closed form of the schedule,
-#: which takes the first floor(target) words of each source's repeating stream.
+    """``docs`` mixed: a row for every copy that ``copies`` tells, in the order of the schedule over the
+    partitions of the result, so that any stretch of it holds the sources in about their shares.
+    Rows equal in id and text count as one row of all their words.  Texts without words are never
+    taken.  Other columns stay, whatever their names."""
+    key = "__mix_key"
+    rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias(key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = copies(rows.select(F.col(key).alias("__key"), *[F.col("__row")[c].alias(c) for c in ("doc_id", "text", "source")]), block)
+    out = rows.dropDuplicates([key]).join(found, F.col(key) == F.col("__key"))
+    out = out.repartitionByRange("slot", "__key").sortWithinPartitions("slot", "__key")
+    return out.select("__row.*")
+
+
+#: DuckDB SQL of the rows of mix over a table of documents.  ``m``: taken words by the closed form of
+#: the schedule, the first floor(target) words of each source's repeating stream.  ``SLOTS``: the
+#: schedule itself and the first slot of every document.
 SQL = r"""
 WITH RECURSIVE d AS (SELECT {keep}, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS pos FROM {docs}),
@@ -171,10 +194,27 @@ fill(round, source, source_size, weight, capped, level) AS (
     ((sum(source_size) OVER ()) - coalesce(sum(CASE WHEN c THEN 3 * source_size END) OVER (), 0)) / nullif(sum(CASE WHEN NOT c THEN weight END) OVER (), 0)::DOUBLE
   FROM (SELECT *, capped OR level * weight > 3 * source_size AS c, bool_or(NOT capped AND level * weight > 3 * source_size) OVER () AS again FROM fill) WHERE again),
 t AS (SELECT source, source_size, CASE WHEN capped THEN 3.0 * source_size ELSE level * weight END::DOUBLE AS target FROM fill WHERE round = (SELECT max(round) FROM fill)),
-p AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY pos, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+p AS (SELECT d.*, row_number() OVER () AS rid, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY pos, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-m AS (SELECT {keep}, size::BIGINT AS size, source_size, target,
+m AS (SELECT rid, {keep}, size::BIGINT AS size, source_size, target,
   (greatest(least(start + size, floor(target)) - start, 0) + greatest(least(start + size + source_size, floor(target)) - start - source_size, 0)
    + greatest(least(start + size + 2 * source_size, floor(target)) - start - 2 * source_size, 0))::BIGINT AS taken FROM p)
 """
-ORACLE = SQL.format(keep="doc_id", docs="documents") + "SELECT * FROM m"
+SLOTS = f""",
+need AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS no, ceil(floor(target) / {BLOCK})::BIGINT AS need FROM t),
+wanted AS (SELECT *, sum(need) OVER (ORDER BY no) AS upto, sum(need) OVER () AS total FROM need WHERE need > 0),
+span AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY no), 0) AS lo FROM (SELECT *, CASE WHEN no = max(no) OVER () THEN 1 ELSE upto / total::DOUBLE END AS hi FROM wanted)),
+bits AS (SELECT greatest(1, ceil(log2(greatest(2, max(total)))))::INT AS b, max(total)::BIGINT AS total FROM wanted),
+points AS (SELECT slot, list_sum(list_transform(range(b), lambda i: ((slot >> i) & 1) << (b - 1 - i))) / (1::BIGINT << b)::DOUBLE AS point
+  FROM (SELECT unnest(range(total)) AS slot, b FROM bits)),
+falls AS (SELECT slot, no, need, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS r FROM points JOIN span ON point >= lo AND point < hi),
+late AS (SELECT slot, row_number() OVER (ORDER BY slot) AS k FROM falls WHERE r >= need),
+short AS (SELECT no, block, row_number() OVER (ORDER BY no, block) AS k
+  FROM (SELECT no, unnest(range(got, need)) AS block FROM (SELECT w.no, w.need, count(f.slot) AS got FROM wanted w LEFT JOIN falls f ON f.no = w.no AND f.r < f.need GROUP BY ALL) WHERE got < need)),
+plan AS (SELECT slot, no, r AS block FROM falls WHERE r < need UNION ALL SELECT slot, no, block FROM late JOIN short USING (k)),
+copy AS (SELECT rid, no, start + e * source_size AS a, least(start + e * source_size + size, floor(target)::BIGINT) AS z
+  FROM (SELECT p.*, no, unnest(range(3)) AS e FROM p JOIN need ON p.source IS NOT DISTINCT FROM need.source) WHERE size > 0),
+touched AS (SELECT rid, no, unnest(range((a // {BLOCK})::BIGINT, ((z - 1) // {BLOCK})::BIGINT + 1)) AS block FROM copy WHERE a < z),
+first AS (SELECT rid, min(slot) AS first_slot FROM touched JOIN plan USING (no, block) GROUP BY rid)
+"""
+ORACLE = SQL.format(keep="doc_id", docs="documents") + SLOTS + "SELECT doc_id, size, source_size, target, taken, first_slot FROM m LEFT JOIN first USING (rid)"
