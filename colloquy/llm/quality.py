@@ -6,7 +6,12 @@ mask.  ``apply_policies`` and ``ablate`` work on the stored bits alone; no text
 
 Nulls and empty texts have no words (all measurements 0, ``too_few_words`` set); texts of any
 length are handled whole; repeated rows stay rows of their own; other columns of the input are
-carried through unless they clash with a name of the ledger, which then wins.
+carried through unless they clash with a name of the ledger, which then wins.  An empty table gives
+an empty ledger.
+
+``quality_ledger`` stores the ledger as a table and answers from it; ``passing``, which hands on the
+texts, takes its verdicts in the one pass in which it reads them, as storing the bits there would
+cost a join of all texts.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, text_batches
+from .common import prepare, staging_path, text_batches
 from .words import windows, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -146,10 +151,23 @@ def passing(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataF
     return rows.where(F.col(f"kept_{policy}")).select(*[F.col(c).alias(n) for c, n in zip(own, docs.columns)])
 
 
+def stored(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder, without the texts."""
+    path = staging_path(docs.sparkSession, "ledger")
+    ledger(docs, text, keep).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def quality_ledger(docs: DataFrame) -> DataFrame:
-    """The contract's row per document: measurements, base verdict and the current policy's."""
-    rows = apply_policies(ledger(docs, keep=["doc_id"]), ("base", CURRENT))
-    return rows.select("doc_id", *MEASURES, (~F.col("kept_base")).alias("base_failed"), F.col(f"kept_{CURRENT}").alias("kept"), "failed")
+    """The contract's row per document: measurements, base verdict and the current policy's.  For the
+    ablation of that policy, only_rule is the rule that alone rejects the document (null if none
+    does), and alike the number of documents with the same failures of its rules."""
+    rows = apply_policies(stored(docs, ["doc_id"]), ("base", CURRENT))
+    rows = rows.withColumn("bits", F.col("failed").bitwiseAND(F.lit(mask(CURRENT))))
+    alike = rows.groupBy(F.col("bits").alias("b")).agg(F.count("*").alias("alike"))  # at most 2**rules rows
+    rows = rows.join(F.broadcast(alike), F.col("bits") == F.col("b"))
+    only = F.coalesce(*[F.when(F.col("bits") == 1 << RULES[r][0], F.lit(r)) for r in POLICIES[CURRENT]])
+    return rows.select("doc_id", *MEASURES, (~F.col("kept_base")).alias("base_failed"), F.col(f"kept_{CURRENT}").alias("kept"), "failed", only.alias("only_rule"), "alike")
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -182,4 +200,6 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END)
   + (CASE WHEN n_words > 1000000 THEN 32 ELSE 0 END)
   + (CASE WHEN n_words >= 20 AND 10 * n_stutter > 3 * n_words THEN 64 ELSE 0 END) AS b FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (b & 3) <> 0 AS base_failed, (b & 95) = 0 AS kept, b::BIGINT AS failed FROM f"""
+  (b & 3) <> 0 AS base_failed, (b & 95) = 0 AS kept, b::BIGINT AS failed,
+  CASE b & 95 WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbol_noise' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'word_length' WHEN 64 THEN 'stutter' END AS only_rule,
+  count(*) OVER (PARTITION BY b & 95) AS alike FROM f"""

@@ -42,6 +42,14 @@ def test_policies_and_ablation(spark):
     assert ablation["symbol_noise"] == (2, 1) and ablation["too_few_words"][0] == 2 and ablation["word_length"] == (0, 0)
 
 
+def test_the_query_ablates_by_bits(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, good), (2, "few"), (3, good + " #" * 9), (4, "# few"), (5, "few too"), (6, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.only_rule, r.alike) for r in quality.quality_ledger(docs).collect()}
+    assert got[1] == (None, 1) and got[2] == got[5] == ("too_few_words", 3) and got[3] == ("symbol_noise", 1)
+    assert got[4] == (None, 1) and got[6] == ("too_few_words", 3)
+
+
 def test_clean_labelled_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
