@@ -9,13 +9,14 @@ per character, calibrated to a chance of being accepted with the means and the v
 labelled URLs' scores have when the model comes from the other half of the hosts.
 
 Everything is DataFrame code.  The table of distinct character runs is bounded by the alphabet
-(41 ** 4 rows; a few tens of thousands in practice), so it alone is broadcast.  URLs are scored
-once per distinct normalised address.
+(41 ** 4 rows; a few tens of thousands in practice).  It is counted, and broadcast if it has at
+most ``SMALL`` rows; else it is joined.  URLs are scored once per distinct normalised address.
 
 Null URLs and those without ``://`` have empty host and path, no rule and an empty address, which
 scores as a single end mark.  If the labelled URLs hold one class only, every other URL gets it;
 if there are none, URLs are allowed.  Very long URLs are scored whole.  Repeated rows stay rows;
-other columns are not carried.
+other columns, clashing names included, are not carried.  Of equally long rules that fit, the last in
+the list counts; a chance of exactly one half allows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import prepare
 
 ORDER = 3
+#: Rows of a model table that is broadcast at most (30 MB).
+SMALL = 100_000
 #: Rule: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Letters, one digit class, URL marks, one class for the rest, start and end.
@@ -65,7 +68,7 @@ def _runs(key: Column) -> Column:
 _MODELS = [(c, f) for c in ("allow", "block") for f in (0, 1, 2)]
 
 
-def run_ratios(counts: DataFrame) -> DataFrame:
+def run_ratios(counts: DataFrame, hint=lambda df: df) -> DataFrame:
     """(run, n_<class>_<half>) to (run, ratio_0, ratio_1, ratio_2): the log ratio of the last
     character's chances under the two models, by the half of the hosts that was left out."""
     names = {m: f"n_{m[0]}_{m[1]}" for m in _MODELS}
@@ -77,7 +80,7 @@ def run_ratios(counts: DataFrame) -> DataFrame:
     level = out.groupBy(last.alias("c")).agg(*[F.sum(n).alias(n) for n in names.values()])
     every = W.partitionBy(F.lit(0))
     level = level.select(F.col("c").alias("k0"), *[((F.col(n) + 1.0) / (F.sum(n).over(every) + size)).alias(f"p0_{n}") for n in names.values()])
-    out = out.withColumn("k0", last).join(F.broadcast(level), "k0")
+    out = out.withColumn("k0", last).join(hint(level), "k0")
     for k in range(1, ORDER + 1):
         tail = F.substring("run", ORDER + 1 - k, k + 1)
         level = out.groupBy(tail.alias(f"k{k}")).agg(*[F.sum(n).alias(n) for n in names.values()])
@@ -85,7 +88,7 @@ def run_ratios(counts: DataFrame) -> DataFrame:
         level = level.select(f"k{k}", *[x for n in names.values() for x in (
             F.col(n).cast("double").alias(f"c{k}_{n}"), F.sum(n).over(context).cast("double").alias(f"s{k}_{n}"),
             F.sum((F.col(n) > 0).cast("double")).over(context).alias(f"t{k}_{n}"))])
-        out = out.withColumn(f"k{k}", tail).join(F.broadcast(level), f"k{k}")
+        out = out.withColumn(f"k{k}", tail).join(hint(level), f"k{k}")
         for n in names.values():
             lower = F.col(f"p{k - 1}_{n}")
             seen = F.col(f"s{k}_{n}") + F.col(f"t{k}_{n}")
@@ -106,10 +109,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url
     lots = rows.groupBy("key", "label", "half").agg(F.count("*").alias("n")).checkpoint()
     runs = lots.select("label", "half", "n", F.explode(_runs(F.col("key"))).alias("run"))
     counts = runs.groupBy("run").agg(*[F.coalesce(F.sum(F.when((F.col("label") == c) & (F.col("half") != f), F.col("n"))), F.lit(0)).alias(f"n_{c}_{f}") for c, f in _MODELS]).checkpoint()
-    ratios = run_ratios(counts).checkpoint()
+    few = counts.count() <= SMALL  # no table of the model has more rows than this one
+    hint = F.broadcast if few else (lambda df: df)
+    ratios = run_ratios(counts, hint).checkpoint()
     keys = lots.select("key").distinct()
     parts = keys.select("key", F.explode(_runs(F.col("key"))).alias("run")).groupBy("key", "run").agg(F.count("*").alias("times"))
-    scored = parts.join(F.broadcast(ratios), "run").groupBy("key").agg(*[(F.sum(F.col(f"ratio_{f}") * F.col("times")) / F.sum("times")).alias(f"score_{f}") for f in (0, 1, 2)]).checkpoint()
+    scored = parts.join(hint(ratios), "run").groupBy("key").agg(*[(F.sum(F.col(f"ratio_{f}") * F.col("times")) / F.sum("times")).alias(f"score_{f}") for f in (0, 1, 2)]).checkpoint()
     held = lots.where("label IS NOT NULL").join(scored, "key").select("label", "n", F.when(F.col("half") == 0, F.col("score_0")).otherwise(F.col("score_1")).alias("x"))
     fit = {r["label"]: r for r in held.groupBy("label").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("square")).collect()}  # two rows
     if len(fit) < 2:
