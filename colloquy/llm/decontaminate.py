@@ -408,7 +408,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns."""
-    bad = hits(docs, benchmark).select(F.col("key").alias("__bad")).distinct()
-    kept = docs.withColumn("__key", row_key(docs)).join(bad, F.col("__key") == F.col("__bad"), "left_anti")
-    return kept.select(*docs.columns)
+    """The rows of ``docs`` that hold no item, with their columns, whatever their names."""
+    bad = hits(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias("__bad")).distinct()
+    rows = docs.select(row_key(docs).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return rows.join(bad, F.col("__key") == F.col("__bad"), "left_anti").select("__row.*")

@@ -1,26 +1,29 @@
 """N-gram Jaccard join with signature trees.
 
-1. Blocking.  A pair with Jaccard similarity t or more differs in at most d shingles, where d
-   follows from the larger size.  Shingles are dealt by hash into d + 1 + k slices, so such a pair
-   has at least k + 1 slices in common, shingle for shingle.  Slices without a shingle, or with
-   none but very frequent ones (boilerplate, passages that many documents hold), say nothing, so
-   a document with at most k such weak slices leaves them out: one common slice is still strong,
-   as equal slices are weak or strong together.  (The few documents with more weak slices keep
-   them, and so meet each other.)  What is very frequent is read off a table of ``COUNTERS``
-   counts of shingle hashes, the only thing broadcast.  Documents that share a slice (of the
-   same size class; a class's smaller neighbours use its slices too) are chained, and the
-   components of these chains are the blocks: a linked pair never lies across two blocks.
-   Equal slices met in one batch are combined before the shuffle.
+1. Blocking.  All shingles have one order: those of one set alone first, then by the number of sets
+   that hold them, very frequent ones last.  Two sets with Jaccard similarity t or more share
+   one of their first n - ceil(t n) + 1 shingles in that order, each set's ``prefix``; else
+   fewer than t n could be common.  Shingles of one set alone can't be shared, so only the
+   others of the prefix are keys, mostly none at all.  Sets that share a key are chained, and
+   the components of the chains are the blocks: a linked pair never lies across two blocks.  A
+   passage or boilerplate that many documents hold comes late in the order, so it seldom chains.
+   The numbers are counted exactly: distinct shingles of each task's sets are sent to the slice
+   of their hash, ``NAMED`` bytes each, with their sets.  Very frequent shingles (by a table of
+   counters, the only thing broadcast) stay at home, so no slice is large.  Shingles that share
+   a name by chance only make a key more frequent, or chain two sets too many.
 2. Tree.  Within a block, distinct sets are the leaves of a tree whose nodes hold the OR of their
    sets' token bitmaps, their size range, and whether they all are already joined.  A dual
    traversal visits pairs of nodes and leaves out those whose sizes or largest possible overlap
    cannot reach t, and those whose sets are already connected.  What remains is compared exactly.
-3. Blocks of more than ``LEAVES`` shingles are cut into parts by hash; every pair of parts is a task
-   of its own, so no task holds more than two parts.
+3. Blocks of more than ``LEAVES`` shingles are cut into parts by hash, each a task of its own that
+   also holds the block's hub, the set of least hash.  That joins most of a large group of near
+   copies at once.  Sets outside the block's largest class so far are then dealt to tiles, each
+   with one of the parts, so every pair that is not joined yet meets in a task.
 4. The links found are a spanning forest of the linked sets, and its components are the classes.
 
-Equal sets collapse into one leaf first.  Nothing is sampled and no block or slice is capped.
-Cost of a block of g shingles in distinct sets: (g / LEAVES)**2 / 2 tasks before pruning.
+Equal sets collapse into one leaf first.  Nothing is sampled and no block or key is capped.  Cost
+of a block of g shingles, r of them in sets that the first round leaves outside: g / LEAVES tasks,
+then (r / LEAVES) * (g / LEAVES) before pruning.
 
 Documents without words or text have an empty set, link with nothing and are their own class, as
 equal empty texts are too.  Sets are known by their hash, not by an id: rows without an id, and
@@ -33,26 +36,30 @@ other columns are not carried.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from fractions import Fraction
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, text_batches
+from .common import prepare, staging_path, text_batches, tidy
 from .components import components
 from .words import mix, shingle_sets, words
 
 _U = np.uint64
-#: Shingles of a block's distinct sets that one side of a task holds (24 MB), one set at least.
-LEAVES = 3_000_000
-#: Counters of shingle hashes; a shingle is very frequent if its counter is ``FREQUENT`` times the mean.
-COUNTERS = 1 << 20
+#: Shingles and distinct sets of a block that one side of a task holds (2 MB), one set at least.
+LEAVES, SETS = 200_000, 500
+#: Text bytes per counter of shingle hashes, and the binary logarithms of the least and the largest
+#: number of counters.  A shingle is very frequent if its counter is ``FREQUENT`` times the mean.
+PER_COUNTER, COUNTERS = 512, (12, 24)
 FREQUENT = 8
+#: Shingles that a task sends at once, and those of a slice on average (100 MB in its task).
+PACK = SLICE = 1 << 21
+#: Bytes of a shingle's name inside its slice.
+NAMED = 5
+#: Keys that a task combines before it hands them on.
+KEYS = 1 << 19
 #: Sets under one lowest node, and nodes under a higher one.
 FAN = 32
 #: What names a set: whether no row has an id, the least id (else 0), its two hashes.  The least
@@ -61,33 +68,14 @@ NAME = ["none", "least", "one", "two"]
 
 
 class Threshold:
-    """Similarity num / den or more, and the size classes that go with it."""
+    """Similarity num / den or more."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        low = [1]
-        while low[-1] < 1 << 40:  # a class spans a factor of about 8 / 5, or of 1 / t if that is more
-            low.append(max(low[-1] * den // num, low[-1] * 8 // 5) + 1)
-        self.low = np.array(low, np.int64)
-
-    def size_class(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, n, "right") - 1
-
-    @cache
-    def slices(self, k: int) -> tuple[int, int]:
-        """Slices of class k, and how many of them a linked pair whose larger set is of that class
-        has in common at least."""
-        most = int(self.low[k + 1]) - 1
-        t = Fraction(self.num, self.den)
-        d = int(2 * most * (1 - t) / (1 + t))
-        least = max(1.0, float(t) * int(self.low[k]))  # the smallest set with slices of this class
-        spare = 0
-        while d and spare < d:  # as many as even that set's empty slices are, with a margin
-            empty = (d + 1 + spare) * math.exp(-least / (d + 1 + spare))
-            if spare >= empty + 4 * math.sqrt(empty):
-                break
-            spare += max(1, spare // 16)
-        return d + 1 + spare, spare + 1
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many first shingles of a set of n (in the common order) a linked set must meet."""
+        return n + (-self.num * n) // self.den + 1
 
     def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
         return self.den * common >= self.num * (a + b - common)
@@ -100,121 +88,265 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one).view(np.int64), mix(two).view(np.int64)
 
 
-def slice_keys(s: np.ndarray, t: Threshold, frequent: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the slices of one sorted set, under its own class and, where a larger set of the
-    next class can still be linked, under that.  ``frequent``: by counter, whether a shingle is."""
-    tell = np.ones(len(s), bool) if frequent is None else ~frequent[(s % _U(len(frequent))).astype(np.int64)]
-    n = len(s)
-    k = int(t.size_class(np.array([n]))[0])
-    out = []
-    for c in (k, k + 1):
-        if c > k and n * t.den < t.num * int(t.low[c]):
-            break
-        parts, common = t.slices(c)
-        at = ((s >> _U(20)) % _U(parts)).astype(np.int64)
-        value = np.zeros(parts, np.uint64)
-        np.add.at(value, at, mix(s + _U(c)))
-        key = mix(value + np.arange(parts, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(c << 40))
-        strong = np.bincount(at[tell], minlength=parts) > 0
-        out.append(key[strong] if parts - strong.sum() < common else key)
-    return np.concatenate(out)
-
-
-def _describe(k: int, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """doc_id, the columns ``keep``, n (set size), one, two (set hashes) per row."""
+def _describe(k: int, docs: DataFrame, text: str, keep: list[str], bits: int) -> DataFrame:
+    """doc_id, the columns ``keep``, n (set size), one, two (set hashes) per row; and rows with
+    ``counter`` and ``weight``: how many shingles a task saw of each counter that stands out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, schema = np.zeros(1 << bits, np.int64), None
+        names = ["doc_id", *keep, "n", "one", "two", "counter", "weight"]
+
+        def rows(m: int, own: list, n: tuple, counts: tuple) -> pa.RecordBatch:
+            none = pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays([*own, *(n or (none,) * 3), *(counts or (none,) * 2)], names)
+
         for batch, texts in text_batches(batches, "__text"):
+            schema = batch.schema
             sets = shingle_sets(words(texts, lower=True), k)
             one, two = set_keys(sets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], ["doc_id", *keep, "n", "one", "two"])
+            first = np.unique(one, return_index=True)[1]  # copies of a text count once
+            at, n = np.unique(np.concatenate([sets[i] for i in first]) & _U((1 << bits) - 1), return_counts=True)
+            total[at.astype(np.int64)] += n
+            yield rows(len(sets), [batch.column(c) for c in ("doc_id", *keep)], (pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)), ())
+        at = np.flatnonzero(total >= 6 + 2 * total.mean())
+        if len(at):
+            yield rows(len(at), [pa.nulls(len(at), schema.field(c).type) for c in ("doc_id", *keep)], (), (pa.array(at), pa.array(total[at])))
+
+    return docs.select("doc_id", *keep, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"doc_id {kind}, {''.join(f'{c} bigint, ' for c in keep)}n bigint, one bigint, two bigint, counter bigint, weight bigint")
+
+
+def _levels(counted: DataFrame, bits: int, total: int) -> np.ndarray:
+    """By counter: 0, or how frequent (in powers of two) its shingles are if they are very frequent."""
+    mean = total / (1 << bits)
+    found = counted.groupBy("counter").agg(F.sum("weight").alias("n")).where(F.col("n") > FREQUENT * (mean + 4)).toPandas()  # at most 1 / FREQUENT of the counters
+    out = np.zeros(1 << bits, np.uint8)
+    out[found["counter"].to_numpy(np.int64)] = np.log2(found["n"].to_numpy(np.int64)).astype(np.uint8) + 1
+    return out
 
-    return docs.select("doc_id", *keep, F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"doc_id {kind}, {''.join(f'{c} bigint, ' for c in keep)}n bigint, one bigint, two bigint")
 
+def named(sets: list[np.ndarray], slices: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of sorted sets: slice (``slices``: their binary logarithm) and name in one number of each of the
+    distinct shingles that are not very frequent, whose set each is, how many each set has of them,
+    and each set's very frequent ones in their order."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), size)
+    often = level[(flat & _U(len(level) - 1)).astype(np.int64)]
+    rare = often == 0
+    last = np.searchsorted(own[~rare], np.arange(len(sets) + 1))
+    x, o = flat[~rare], often[~rare]
+    late = [x[s:e][np.lexsort((x[s:e], o[s:e]))] for s, e in zip(last[:-1], last[1:])]
+    name, own = flat[rare] >> _U(64 - 8 * NAMED - slices), own[rare]
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
+    return name[new], own[new], np.bincount(own[new], minlength=len(sets)), late
 
-def _frequent(k: int, docs: DataFrame, text: str) -> np.ndarray:
-    """By counter: whether the shingles that it counts are very frequent."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for _, texts in text_batches(batches, "__text"):
-            every = np.concatenate(shingle_sets(words(texts, lower=True), k))
-            total += np.bincount((every % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
-
-    counts = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(count, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).checkpoint()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") > FREQUENT * (total / COUNTERS + 4)).select("counter").toPandas()  # at most COUNTERS / FREQUENT rows
-    out = np.zeros(COUNTERS, bool)
-    out[found["counter"].to_numpy(np.int64)] = True
-    return out
+def _key(name: np.ndarray) -> np.ndarray:
+    return mix(name + _U(0x5851F42D4C957F2D)).view(np.int64)
 
 
-def _chains(k: int, t: Threshold, docs: DataFrame, text: str) -> DataFrame:
-    """(a, b): set hashes that share a slice, chained by the least one of each slice."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(k, docs, text))
+def _ship(k: int, t: Threshold, slices: int, level):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By slice: the sets' hashes, how many of the slice's shingles each has, and their names.
+        Each set's numbers (rare shingles, prefix), and keys that are known here, go along."""
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            one, sets = np.array(list(held), np.int64), list(held.values())
+            name, own, rare, late = named(sets, slices, level.value)
+            prefix = t.prefix(np.array([len(s) for s in sets], np.int64))
+            part = (name >> _U(8 * NAMED)).astype(np.uint16 if slices <= 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            raw = name[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAMED]
+            cut = np.searchsorted(part[order], np.arange((1 << slices) + 1))
+            at, x, y, z = [], [], [], []
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                whose, n = np.unique(own[order[cut[i] : cut[i + 1]]], return_counts=True)
+                at.append(i)
+                x.append(one[whose].tobytes())
+                y.append(n.astype(np.uint32).tobytes())
+                z.append(raw[cut[i] : cut[i + 1]].tobytes())
+            parts = len(at)
+            at += (one % (1 << slices)).tolist()
+            extra = [s[:n] for s, n in zip(late, np.maximum(0, prefix - rare).tolist())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), pa.array(x + [None] * len(one), pa.binary()), pa.array(y + [None] * len(one), pa.binary()), pa.array(z + [None] * len(one), pa.binary()),
+                 pa.array([None] * parts + one.tolist(), pa.int64()), pa.array([None] * parts + rare.tolist(), pa.int64()), pa.array([None] * parts + prefix.tolist(), pa.int64()),
+                 pa.array([None] * parts + [_key(s).tolist() for s in extra], pa.list_(pa.int64()))], _SENT)
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(slice, set), and (set, set) with kind 1 where a batch has several sets of a slice."""
         for _, texts in text_batches(batches, "__text"):
             sets = [s for s in shingle_sets(words(texts, lower=True), k) if len(s)]
-            if not sets:
+            for key, s in zip(set_keys(sets)[0].tolist(), sets):
+                if key not in held:
+                    held[key] = s
+                    size += len(s)
+            if size > PACK:
+                yield done()
+                size = 0
+        if held:
+            yield done()
+
+    return run
+
+
+_SENT = ["slice", "sets", "counts", "names", "one", "rare", "prefix", "late"]
+_SENT_SQL = "slice bigint, sets binary, counts binary, names binary, one bigint, rare bigint, prefix bigint, late array<bigint>"
+
+
+def shared(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names that two sets or more have: name, set and number of sets, once for each set."""
+    order = np.lexsort((own, names))
+    names, own = names[order], own[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (own[1:] != own[:-1])
+    names, own = names[new], own[new]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.array([], np.int64)
+    n = np.diff(np.append(first, len(names)))
+    n = np.repeat(n, n)
+    return names[n > 1], own[n > 1], n[n > 1]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slice, and are counted slice by slice.  A set's own row (kind 0: ``name`` is
+    its prefix, ``n`` its rare shingles) and keys that are already known (kind 2) pass through."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        names = np.frombuffer(b"".join(z for _, _, z in held), np.uint8).reshape(-1, NAMED)
+        wide = np.zeros((len(names), 8), np.uint8)
+        wide[:, :NAMED] = names
+        own = np.repeat(np.frombuffer(b"".join(x for x, _, _ in held), np.int64), np.frombuffer(b"".join(y for _, y, _ in held), np.uint32))
+        name, whose, n = shared(wide.view("<u8").ravel(), own)
+        key = _key(name + _U(now << 8 * NAMED))
+        order = np.argsort(whose, kind="stable")  # a set's rows together, which the shuffle compresses best
+        return pa.RecordBatch.from_arrays([pa.array(whose[order]), pa.array(np.ones(len(key), np.int8)), pa.array(key[order]), pa.array(n[order])], ["one", "kind", "name", "n"])
+
+    for batch in batches:
+        at = batch.column("slice").to_pylist()
+        sets, counts, names = (batch.column(c).to_pylist() for c in ("sets", "counts", "names"))
+        for i, x, y, z in zip(at, sets, counts, names):
+            if x is None:
                 continue
-            one, first = np.unique(set_keys(sets)[0], return_index=True)
-            keys = [slice_keys(sets[i], t, frequent.value) for i in first]
-            key, own = np.concatenate(keys).view(np.int64), np.repeat(one, [len(x) for x in keys])
-            order = np.lexsort((own, key))
-            key, own = key[order], own[order]
-            lead = np.ones(len(key), bool)
-            lead[1:] = key[1:] != key[:-1]
-            leader = own[lead][np.cumsum(lead) - 1]
-            links = np.unique(np.stack([leader[~lead], own[~lead]], 1), axis=0)
-            # a set's slices one after another, which the shuffle compresses best
-            by = np.argsort(own[lead], kind="stable")
-            key, own = np.concatenate([key[lead][by], links[:, 0]]), np.concatenate([own[lead][by], links[:, 1]])
-            kind = np.zeros(len(key), np.int8)
-            kind[len(kind) - len(links):] = 1
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(own)], ["kind", "a", "b"])
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted; the first set of a slice leads the others, also across batches."""
-        last = lead = None
-        for batch in batches:
-            kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            ready = kind == 1
-            out_a, out_b = [a[ready]], [b[ready]]
-            a, b = a[~ready], b[~ready]
-            if len(a):
-                new = np.ones(len(a), bool)
-                new[1:] = a[1:] != a[:-1]
-                if last is not None and a[0] == last:
-                    new[0] = False
-                group = np.cumsum(new)
-                leads = np.concatenate([[0 if lead is None else lead], b[new]])[group]
-                out_a.append(leads[~new])
-                out_b.append(b[~new])
-                last, lead = a[-1], leads[-1]
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    rows = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(slices, "kind tinyint, a bigint, b bigint")
-    rows = rows.repartition("kind", "a").sortWithinPartitions("kind", "a", "b")
-    return rows.mapInArrow(chain, "a bigint, b bigint")
+            if i != now:
+                if held:
+                    yield done()
+                    tidy()
+                now, held = i, []
+            held.append((x, y, z))
+        own = batch.filter(batch.column("one").is_valid())
+        yield pa.RecordBatch.from_arrays([own.column("one"), pa.array(np.zeros(own.num_rows, np.int8)), own.column("prefix"), own.column("rare")], ["one", "kind", "name", "n"])
+        late = own.column("late")
+        n = np.array([len(x) for x in late.to_pylist()], np.int64)
+        one = np.repeat(own.column("one").to_numpy(zero_copy_only=False), n)
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), 2, np.int8)), late.flatten(), pa.array(np.zeros(len(one), np.int64))], ["one", "kind", "name", "n"])
+    if held:
+        yield done()
+
+
+def prefix_keys(one: np.ndarray, kind: np.ndarray, name: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set) of rows sorted by set, kind, n, name: the shared names within each set's prefix.  Of its
+    rare shingles those that no other set has come first."""
+    if not len(one):
+        return one, one
+    first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+    group = np.cumsum(np.concatenate([[True], one[1:] != one[:-1]])) - 1
+    common = np.bincount(group[kind == 1], minlength=len(first))
+    begin = first + np.bincount(group[kind == 0], minlength=len(first))
+    rare, prefix = n[first], name[first]  # equal texts of several tasks have equal rows
+    take = np.minimum(prefix, rare) - (rare - common)
+    use = (kind == 1) & (np.arange(len(one)) - begin[group] < take[group])
+    use |= kind == 2
+    return name[use], one[use]
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted as ``prefix_keys`` needs them.  Of the keys found, (key, set) with kind 0, and
+    (set, set) with kind 1 where several sets met here have a key."""
+    left = [np.array([], t) for t in (np.int64, np.int8, np.int64, np.int64)]
+    keys, owns, size = [], [], 0
+
+    def done() -> pa.RecordBatch:
+        key, own = np.concatenate(keys), np.concatenate(owns)
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        lead = np.ones(len(key), bool)
+        lead[1:] = key[1:] != key[:-1]
+        leader = own[lead][np.cumsum(lead) - 1]
+        links = np.unique(np.stack([leader[~lead], own[~lead]], 1), axis=0)
+        links = links[links[:, 0] != links[:, 1]]
+        kind = np.zeros(int(lead.sum()) + len(links), np.int8)
+        kind[int(lead.sum()):] = 1
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([key[lead], links[:, 0]])), pa.array(np.concatenate([own[lead], links[:, 1]]))], ["kind", "a", "b"])
+
+    def more(columns: list[np.ndarray]) -> None:
+        nonlocal size
+        key, own = prefix_keys(*columns)
+        keys.append(key)
+        owns.append(own)
+        size += len(key)
+
+    for batch in batches:
+        columns = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(left, ("one", "kind", "name", "n"))]
+        whole = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0  # the last set may go on
+        more([c[:whole] for c in columns])
+        left = [c[whole:] for c in columns]
+        if size > KEYS:
+            yield done()
+            keys, owns, size = [], [], 0
+    more(left)
+    yield done()
+    tidy()
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted; the first set of a key leads the others, also across batches."""
+    last = lead = None
+    for batch in batches:
+        kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ready = kind == 1
+        out_a, out_b = [a[ready]], [b[ready]]
+        a, b = a[~ready], b[~ready]
+        if len(a):
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            if last is not None and a[0] == last:
+                new[0] = False
+            group = np.cumsum(new)
+            leads = np.concatenate([[0 if lead is None else lead], b[new]])[group]
+            out_a.append(leads[~new])
+            out_b.append(b[~new])
+            last, lead = a[-1], leads[-1]
+        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _chains(k: int, t: Threshold, docs: DataFrame, text: str, level: np.ndarray, total: int) -> DataFrame:
+    """(a, b): hashes of sets that share a key, chained by the least one of each key."""
+    slices = min(23, max(0, total // SLICE).bit_length())
+    known = docs.sparkSession.sparkContext.broadcast(level)
+    sent = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_ship(k, t, slices, known), _SENT_SQL)
+    counted = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(_count, "one bigint, kind tinyint, name bigint, n bigint")
+    order = ["one", "kind", "n", "name"]
+    keys = counted.repartition("one").sortWithinPartitions(*order).mapInArrow(_choose, "kind tinyint, a bigint, b bigint")
+    return keys.repartition("kind", "a").sortWithinPartitions("kind", "a", "b").mapInArrow(_chain, "a bigint, b bigint")
 
 
 class Tree:
-    """Signature tree over sets; ``root`` labels sets that are already connected."""
+    """Signature tree over sets.  Trees that are traversed together need the same ``most``, the size
+    of their largest set, so that their bitmaps are alike."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], most: int):
         size = np.array([len(s) for s in sets], np.int64)
         least = np.array([s[0] for s in sets], np.uint64)
         self.order = np.lexsort((least, size))  # near sets mostly share size and least shingle
         self.sets = [sets[i] for i in self.order]
         self.size = size[self.order]
-        self.bits = 1 << min(16, max(9, int(16 * max(1, size.max())).bit_length()))
+        self.bits = 1 << min(16, max(9, (16 * most).bit_length()))
         maps = np.zeros((len(sets), self.bits // 64), np.uint64)
         for i, s in enumerate(self.sets):
             at = (s % _U(self.bits)).astype(np.int64)
@@ -250,9 +382,32 @@ def possible(u: Tree, v: Tree, level: int, i: np.ndarray, j: np.ndarray, t: Thre
     return ok & (most * (t.num + t.den) >= t.num * (la + lb))
 
 
-def traverse(u: Tree, v: Tree, root_u: np.ndarray, root_v: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Links (position in u, position in v) that connect all linked sets of the two trees, given
-    what is already connected.  With u is v, root_u and root_v must be the same array."""
+class Joined:
+    """Which of a task's sets are connected already; ``root``: equal numbers for those that are."""
+
+    def __init__(self, root: np.ndarray):
+        _, first, at = np.unique(root, return_index=True, return_inverse=True)
+        self.parent = first[at]
+
+    def of(self, i: np.ndarray) -> np.ndarray:
+        top = self.parent[i]
+        while True:
+            up = self.parent[top]
+            if (up == top).all():
+                self.parent[i] = top
+                return top
+            top = up
+
+    def join(self, i: int, j: int) -> bool:
+        """False if they were already."""
+        a, b = self.of(np.array([i, j])).tolist()
+        self.parent[b] = a
+        return a != b
+
+
+def traverse(u: Tree, v: Tree, at_u: np.ndarray, at_v: np.ndarray, joined: Joined, t: Threshold) -> list[tuple[int, int]]:
+    """Links (position in u, position in v) that connect all linked sets of the two trees, given what
+    is already connected.  ``at_u`` and ``at_v``: the sets' numbers in ``joined``."""
     links = []
     same = u is v
     top = min(len(u.maps), len(v.maps)) - 1
@@ -271,7 +426,7 @@ def traverse(u: Tree, v: Tree, root_u: np.ndarray, root_v: np.ndarray, t: Thresh
         alo, ahi = (a * FAN, min((a + 1) * FAN, len(u.sets))) if level else (a, a + 1)
         blo, bhi = (b * FAN, min((b + 1) * FAN, len(v.sets))) if level else (b, b + 1)
         i, j = (x.ravel() for x in np.meshgrid(np.arange(alo, ahi), np.arange(blo, bhi), indexing="ij"))
-        ok = root_u[i] != root_v[j]
+        ok = joined.of(at_u[i]) != joined.of(at_v[j])
         if same:
             ok &= i < j
         i, j = i[ok], j[ok]
@@ -279,42 +434,82 @@ def traverse(u: Tree, v: Tree, root_u: np.ndarray, root_v: np.ndarray, t: Thresh
         i, j = i[ok], j[ok]
         for x in np.unique(i).tolist():
             near = j[i == x]
-            near = near[root_v[near] != root_u[x]]
+            near = near[joined.of(at_v[near]) != joined.of(at_u[[x]])]
             if not len(near):
                 continue
             hit = t.linked(v.common(u.sets[x], blo, bhi)[near - blo], len(u.sets[x]), v.size[near])
             for y in near[hit].tolist():
-                if root_v[y] != root_u[x]:
+                if joined.join(at_u[x], at_v[y]):
                     links.append((x, y))
-                    old, new = root_v[y], root_u[x]
-                    root_u[root_u == old] = new
-                    if root_v is not root_u:
-                        root_v[root_v == old] = new
     return links
 
 
+_LINKS = ", ".join(f"{x}_{c} bigint" for x in "ab" for c in NAME)
+
+
 def _block_links(k: int, t: Threshold, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links within one task's sets: one part of a block with itself, or two parts."""
+    """Links within one task's sets (``side`` 0: among themselves, else between the two sides), given
+    the sets that are connected already (``root``)."""
     batch = pa.RecordBatch.from_arrays([pa.array(frame["text"], pa.string())], ["text"])
     # the texts in small slices, as hashing takes many times their size
     sets = [s for _, texts in text_batches(iter([batch])) for s in shingle_sets(words(texts, lower=True), k)]
     # a row key shared by chance may have brought another text along, a repeated row the same one
-    key = pd.DataFrame(dict(zip(("one", "two"), set_keys(sets))))
+    key = pd.DataFrame(dict(zip(("one", "two"), set_keys(sets))) | {"side": frame["side"].to_numpy()})
     keep = np.flatnonzero((key["one"].to_numpy() == frame["one"].to_numpy()) & (key["two"].to_numpy() == frame["two"].to_numpy()) & ~key.duplicated().to_numpy())
     sets, side, name = [sets[i] for i in keep], frame["side"].to_numpy()[keep], frame[NAME].to_numpy(np.int64)[keep]
-    if (side == side[0]).all():
-        u = Tree(sets)
-        root = np.arange(len(sets))
-        out = [(u.order[i], u.order[j]) for i, j in traverse(u, u, root, root, t)]
+    joined = Joined(frame["root"].to_numpy(np.int64)[keep])
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    most = max(map(len, sets), default=0)
+    u = Tree([sets[i] for i in left], most) if len(left) else None
+    if (side == 0).all() and u:
+        out = [(left[u.order[i]], left[u.order[j]]) for i, j in traverse(u, u, left[u.order], left[u.order], joined, t)]
+    elif u and len(right):
+        v = Tree([sets[i] for i in right], most)
+        out = [(left[u.order[i]], right[v.order[j]]) for i, j in traverse(u, v, left[u.order], right[v.order], joined, t)]
     else:
-        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        u, v = Tree([sets[i] for i in left]), Tree([sets[i] for i in right])
-        ru, rv = np.arange(len(left)), len(left) + np.arange(len(right))
-        out = [(left[u.order[i]], right[v.order[j]]) for i, j in traverse(u, v, ru, rv, t)]
+        out = []
     at = np.array(out, np.int64).reshape(-1, 2)
     return pd.DataFrame(np.hstack([name[at[:, 0]], name[at[:, 1]]]), columns=[f"{x}_{c}" for x in "ab" for c in NAME])
 
 
+def _linked(k: int, t: Threshold, tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links found in every tile (block, x, y); ``tiles``: rep, NAME, n, block, x, y, side, root."""
+    total = tiles.agg(F.sum("n")).first()[0] or 0  # one number
+    # tasks by the shingles that they compare, not by bytes
+    work = tiles.join(texts, "rep").repartition(int(total // LEAVES) + 1, "block", "x", "y")
+    return work.groupBy("block", "x", "y").applyInPandas(lambda f: _block_links(k, t, f), _LINKS).checkpoint()
+
+
+def _within_blocks(k: int, t: Threshold, reps: DataFrame, texts: DataFrame, leaves: int) -> DataFrame:
+    """Links that connect all linked sets; ``reps``: rep, NAME, n, block of every distinct set."""
+    parts = F.greatest(F.ceil(F.sum("n") / leaves), F.ceil(F.count("*") / SETS))
+    sizes = reps.groupBy("block").agg(parts.alias("parts"), F.min("one").alias("hub"))
+    reps = reps.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts"))).checkpoint()
+    # the texts of the blocks, most often few of all, are looked up once
+    path = staging_path(reps.sparkSession, "block-texts")
+    texts.join(reps.select("rep").distinct(), "rep").dropDuplicates(["rep", "text"]).write.parquet(path)
+    texts = reps.sparkSession.read.parquet(path)
+    # the hub goes to every part
+    copies = F.when((F.col("one") == F.col("hub")) & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = reps.withColumn("x", F.explode(copies)).select("rep", *NAME, "n", "block", "x", F.lit(-1).cast("long").alias("y"), F.lit(0).alias("side"), F.col("one").alias("root"))
+    links = _linked(k, t, first, texts)
+    several = reps.where("parts > 1")
+    if several.isEmpty():
+        return links
+    joined = components(links, "a_one", "b_one")
+    several = several.join(joined, F.col("one") == F.col("node"), "left").withColumn("root", F.coalesce("component", "one")).drop("node", "component").checkpoint()
+    largest = several.groupBy("block", "root").agg(F.sum("n").alias("w")).groupBy("block").agg(F.max(F.struct("w", "root")).alias("main"))
+    rest = several.join(largest, "block").where("root <> main.root").drop("main").checkpoint()
+    if rest.isEmpty():
+        return links
+    share = rest.groupBy("block").agg(parts.alias("others"))
+    rest = rest.join(share, "block").withColumn("x", F.pmod(F.xxhash64("one"), F.col("others")))
+    a = rest.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    b = several.join(share, "block").withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("y", F.col("part")).withColumn("side", F.lit(2))
+    columns = ["rep", *NAME, "n", "block", "x", "y", "side", "root"]
+    return links.unionByName(_linked(k, t, a.select(*columns).unionByName(b.select(*columns)), texts))
+
+
 def row_key(text: str):
     return F.xxhash64("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
@@ -322,13 +517,13 @@ def row_key(text: str):
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the least id (one
     of those without an id, if none has one), of rows equal in id and text one.  Texts without
-    words stay."""
-    rows = docs.withColumn("__key", row_key("text"))
-    found = _classed(rows, k, num, den, keep=["__key"])
+    words stay.  Columns keep their names, whatever they are."""
+    rows = docs.select(row_key("text").alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = _classed(rows.select("__key", "__row.doc_id", "__row.text"), k, num, den, keep=["__key"])
     free = found.where("n = 0").select("__key")
     first = found.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("one"))
     stay = free.unionByName(first.select(F.col("one.__key").alias("__key"))).distinct()
-    return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*docs.columns)
+    return rows.dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select("__row.*")
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, text: str = "text", leaves: int = LEAVES, keep: list[str] | None = None) -> DataFrame:
@@ -347,22 +542,22 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str = "text", le
     t = Threshold(num, den)
     keep = keep or []
     docs = docs.withColumn("__row", row_key(text))
-    found = _describe(k, docs, text, [*keep, "__row"]).checkpoint()
-    blocks = components(_chains(k, t, docs, text), "a", "b")  # of set hashes
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    bits = min(COUNTERS[1], max(COUNTERS[0], (size // PER_COUNTER).bit_length()))
+    described = _describe(k, docs, text, [*keep, "__row"], bits).checkpoint()
+    found = described.where("counter IS NULL").select("doc_id", *keep, "__row", "n", "one", "two")
     sets = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").cast("long").alias("least"), F.min("__row").alias("rep"))
     sets = sets.withColumn("none", F.col("least").isNull().cast("long")).fillna(0, ["least"]).checkpoint()
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    level = _levels(described.where("counter IS NOT NULL"), bits, total)
+    blocks = components(_chains(k, t, docs, text, level, total), "a", "b")  # of set hashes
     # one row for each distinct set of a block with others in it
-    reps = sets.join(blocks, sets["one"] == blocks["node"]).select("rep", *NAME, "n", F.col("component").alias("block")).checkpoint()
-    sizes = reps.groupBy("block").agg(F.ceil(F.sum("n") / leaves).alias("parts"))
-    reps = reps.join(sizes, "block").withColumn("side", F.pmod(F.xxhash64("one"), F.col("parts")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    tiles = reps.withColumn("other", F.explode(others)).select("rep", *NAME, "block", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    reps = sets.join(blocks, sets["one"] == blocks["node"]).select("rep", *NAME, "n", F.col("component").alias("block"))
     texts = docs.select("doc_id", F.col("__row").alias("rep"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     # many rows without an id may be equal
     texts = texts.where("doc_id IS NOT NULL").unionByName(texts.where("doc_id IS NULL").dropDuplicates(["rep"])).drop("doc_id")
-    work = tiles.join(texts, "rep")
-    links = work.groupBy("block", "x", "y").applyInPandas(lambda f: _block_links(k, t, f), ", ".join(f"{x}_{c} bigint" for x in "ab" for c in NAME))
+    links = _within_blocks(k, t, reps, texts, leaves)
     joined = components(links.select(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in NAME)).alias(x) for x in "ab")), "a", "b")
-    named = sets.withColumn("name", F.struct(*NAME))
-    named = named.join(joined, named["name"] == joined["node"], "left").select(F.col("one").alias("o"), F.col("two").alias("w"), F.col("n").alias("m"), F.coalesce("component", "name").alias("class"))
-    return found.join(named, F.expr("one = o AND two = w AND n = m AND n > 0"), "left").select("doc_id", *keep, "n", "class")
+    named_sets = sets.withColumn("name", F.struct(*NAME))
+    named_sets = named_sets.join(joined, named_sets["name"] == joined["node"], "left").select(F.col("one").alias("o"), F.col("two").alias("w"), F.col("n").alias("m"), F.coalesce("component", "name").alias("class"))
+    return found.join(named_sets, F.expr("one = o AND two = w AND n = m AND n > 0"), "left").select("doc_id", *keep, "n", "class")

@@ -84,20 +84,68 @@ def test_shared_and_null_ids(spark):
     assert [t for i, t in kept if i is None] in ([" ".join(c)], [" ".join(near(c))])
 
 
-def test_slices_of_a_linked_pair_meet():
-    draw = np.random.Generator(np.random.PCG64(3))
-    for num, den in ((9, 10), (4, 5)):
-        t = J.Threshold(num, den)
-        for _ in range(300):
-            n = int(draw.integers(1, 400))
-            a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
-            drop = int(draw.integers(0, len(a) // 5 + 1))
-            b = np.unique(np.concatenate([a[drop:], draw.integers(0, 1 << 63, int(draw.integers(0, len(a) // 5 + 1)), dtype=np.uint64)]))
-            c = len(np.intersect1d(a, b))
-            if den * c >= num * (len(a) + len(b) - c):
-                assert len(np.intersect1d(J.slice_keys(a, t), J.slice_keys(b, t)))
-                frequent = draw.random(64) < draw.random()
-                assert len(np.intersect1d(J.slice_keys(a, t, frequent), J.slice_keys(b, t, frequent)))
+def keys_of(sets, t, slices, level):
+    """The keys that the blocking gives each set."""
+    name, own, rare, late = J.named(sets, slices, level)
+    prefix = t.prefix(np.array([len(s) for s in sets], np.int64))
+    rows = [(i, 0, int(prefix[i]), int(rare[i])) for i in range(len(sets))]
+    rows += [(int(o), 1, int(x), int(n)) for x, o, n in zip(*J.shared(name, own))]
+    rows += [(i, 2, int(x), 0) for i, s in enumerate(late) for x in J._key(s[: max(0, prefix[i] - rare[i])])]
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[2]))
+    one, kind, what, n = (np.array(c, np.int64) for c in zip(*rows))
+    found = [set() for _ in sets]
+    for key, i in zip(*J.prefix_keys(one, kind, what, n)):
+        found[i].add(int(key))
+    return found
+
+
+@pytest.mark.parametrize("num,den,slices", [(9, 10, 0), (4, 5, 5), (1, 2, 23)])
+def test_prefixes_of_a_linked_pair_meet(num, den, slices):
+    """Also where many shingles are very frequent, or share a name inside a set."""
+    draw = np.random.Generator(np.random.PCG64(num))
+    t = J.Threshold(num, den)
+    met = 0
+    for _ in range(60):
+        pool = np.unique(draw.integers(0, 1 << 64, 300, dtype=np.uint64))
+        if draw.random() < 0.3:  # few names
+            pool = np.unique((pool & np.uint64(0xFF00000000000000)) | draw.integers(0, 1 << 12, len(pool), dtype=np.uint64))
+        sets = []
+        for _ in range(12):
+            a = np.unique(draw.choice(pool, int(draw.integers(1, len(pool)))))
+            sets.append(a)
+            for _ in range(3):
+                gone = int(draw.integers(0, len(a) // 4 + 1))
+                sets.append(np.unique(np.concatenate([draw.permutation(a)[gone:], draw.integers(0, 1 << 64, int(draw.integers(0, len(a) // 5 + 1)), dtype=np.uint64)])))
+        level = (draw.integers(1, 4, 64) * (draw.random(64) < draw.choice([0, 0.2, 0.9]))).astype(np.uint8)
+        sets = [s for s in sets if len(s)]
+        found = keys_of(sets, t, slices, level)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                c = len(np.intersect1d(a, b))
+                if den * c >= num * (len(a) + len(b) - c) and len(np.union1d(a, b)) > c:
+                    assert found[i] & found[j]
+                    met += 1
+    assert met > 200
+
+
+@pytest.mark.parametrize("frequent,pack", [(8, 1 << 21), (0, 300)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, frequent, pack):
+    """Many parts around a hub, some sets that only others link to it, and a passage in all documents."""
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "PACK", pack)
+    monkeypatch.setattr(J, "COUNTERS", (6, 24))
+    draw = random.Random(5)
+    base, passage = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(8)]
+    rows = []
+    for i in range(400):
+        ws = list(base)
+        for _ in range(draw.choice([0, 1, 1, 2, 3])):
+            ws[draw.randrange(60)] = f"n{draw.randrange(10**6)}"
+        rows.append((i, " ".join(ws + passage)))
+    rows += [(1000 + i, " ".join([f"u{i}x{j}" for j in range(draw.randint(3, 30))] + passage)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [tuple(r) for r in J.classes(docs, 3, 9, 10, leaves=1500).collect()]
+    assert len(got) == len(rows) and set(got) == brute(rows, 3, 9, 10)
 
 
 def test_components(spark):

@@ -86,3 +86,19 @@ def test_empty_tables(spark, tmpdir_path):
     docs.write.parquet(f"{tmpdir_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmpdir_path}/benchmark.parquet")
     assert P.run(spark, tmpdir_path).collect() == []
+
+
+def test_clashing_names_and_a_long_text(spark, tmpdir_path):
+    """Columns named like those that the stages add on the way stay as they are; all but slot and
+    shard, which the last stage replaces."""
+    draw = random.Random(1)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    names = ["__key", "__row", "__mix_key", "key", "size", "slot", "shard", "class", "one", "n", "taken", "found"]
+    rows = [(i, words(40 if i else 60_000), "en", "s", 1, *[f"{c}{i}" for c in names]) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(1, words(30))], "item_id long, text string").write.parquet(f"{tmpdir_path}/benchmark.parquet")
+    got = P.run(spark, tmpdir_path).collect()
+    assert {r.doc_id for r in got} == set(range(12))
+    for r in got:
+        assert r.text == rows[r.doc_id][1] and all(r[c] == f"{c}{r.doc_id}" for c in names if c not in ("slot", "shard"))
+        assert isinstance(r.slot, int) and isinstance(r.shard, int)
