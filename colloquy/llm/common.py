@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from colloquy.session import ensure_checkpoint_dir, ship_package, staging_path
 #: Text bytes that a task handles at once; longer single texts form a batch of their own.
 BATCH_BYTES = 1 << 20
 
-__all__ = ["BATCH_BYTES", "prepare", "staging_path", "text_batches", "read"]
+__all__ = ["BATCH_BYTES", "prepare", "staging_path", "text_batches", "tidy", "read"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +26,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and what the allocators
+    hold on to would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the Arrow batches with about ``BATCH_BYTES`` of text each, and the texts as
     UTF-8 (null: empty)."""
@@ -38,3 +57,5 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
             size += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        del texts
+        tidy()
