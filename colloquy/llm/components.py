@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import gc
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -23,15 +25,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints of tables that nothing refers to any more:
+    it does so when the driver's garbage is collected, which a small driver heap seldom needs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node that ``links`` (a, b) reach, for every node with a link
-    to another one.  The links stay distributed; each round is checkpointed, and rounds end when
-    the links no longer change, which takes about log(nodes) rounds."""
+    to another one.  The links stay distributed; each round is checkpointed and the one before it
+    released, and rounds end when the links no longer change, after about log(nodes) of them."""
     x, y = F.col(a), F.col(b)
     now = links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct().checkpoint()
     mark = None
     while True:
         now = _small_star(_large_star(now)).checkpoint()
+        release(links.sparkSession)
         r = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
         if (r["n"], r["h"]) == mark:
             rest = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
