@@ -58,7 +58,8 @@ def op6_sharding(spark, sf_dir):
 
 def op10_suffix_dedup(spark, sf_dir):
     """Bytes of every document without the 400-byte strings that occur elsewhere."""
-    return suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
+    rows = suffix_dedup.remove(read(spark, sf_dir, "documents")).drop("kept")
+    return rows.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "repeated": F.col("n_removed") > 0})
 
 
 def op11_exact_dedup(spark, sf_dir):

@@ -24,7 +24,8 @@ A byte is removed when a string of ``LENGTH`` bytes that covers it also starts a
 
 Matches never cross documents.  Null and empty texts give zeros and the hash of nothing.  Texts
 of any length are handled in overlapping chunks.  Null and repeated ids are allowed: a row is
-known by a hash of id and text together with its length, so rows equal in both share a result.
+known by a hash of id and text together with its length, so rows equal in both share a result.  An
+empty table gives an empty result.
 Other columns, clashing names included, are not carried.
 """
 
@@ -276,7 +277,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, size, spans): the removed byte spans of every text that has any.  ``rows``: key, text."""
     every = rows.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_found(length, gram), "h bigint, ra bigint, off int, cnt int, key bigint, size bigint, lo bigint")
-    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h")
+    # stored, so that the join below shuffles both sides for itself and may split an anchor's segments
+    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h").checkpoint()
     some = every.join(often, "h").checkpoint()
     kinds = some.groupBy(*_SEGMENT).agg(F.count("*").alias("m"), F.min(F.struct("key", "size", "lo")).alias("one")).checkpoint()
     per = kinds.groupBy("h").agg(F.count("*").alias("variants")).where("variants >= 2")
