@@ -9,7 +9,8 @@ does no harm.  Pages cross the network once: only the narrow facts which record
 are joined, and travel to the archive's task as rows of their own.
 
 Reading.  Index rows are selected, sorted by (file, offset) and coalesced into byte ranges:
-records less than ``GAP`` bytes apart are read in one request.  A task reads a range, cuts it by
+records less than ``GAP`` bytes apart are read in one request.  The ranges are dealt to one task
+per ``RANGE`` bytes selected; a task reads its ranges one by one, cuts them by
 the index, and parses every record's header and payload.
 
 Of records with equal payloads, of at least ``smallest`` bytes, the one with the least page id
@@ -74,7 +75,8 @@ def tape(pages: DataFrame, smallest: int = 0, archives: int | None = None) -> Da
     notes = notes.where("page_id IS NULL OR page_id <> first")
     both = rows.select("archive", "page_id", "url", "digest", F.lit(None).cast("long").alias("first"), "html").unionByName(
         notes.select("archive", "page_id", "url", "digest", F.col("first").cast("long").alias("first"), F.lit(None).cast("string").alias("html")))
-    return both.repartition("archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_last(), "url", "digest", F.col("first").asc_nulls_last())
+    # one archive a task, whatever the session's number of partitions
+    return both.repartitionById(int(archives), "archive").sortWithinPartitions("archive", F.col("page_id").asc_nulls_last(), "url", "digest", F.col("first").asc_nulls_last())
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -197,7 +199,9 @@ def read(index: DataFrame) -> DataFrame:
     """The records that the index rows name: page_id, url, payload_bytes and payload_digest (of
     the full payload), record_type, refers_to and html (empty for revisits)."""
     prepare(index.sparkSession)
-    return ranges(index).mapInArrow(_read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string")
+    total = index.agg(F.sum("length")).first()[0] or 0  # one number
+    # the ranges are few and small rows, but each stands for up to RANGE bytes: tasks by bytes, not by rows
+    return ranges(index).repartition(int(total // RANGE) + 1).mapInArrow(_read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string")
 
 
 #: DuckDB SQL of the records' facts over pages.

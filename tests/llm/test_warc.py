@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from colloquy.llm import warc
 
 
@@ -61,3 +63,19 @@ def test_ranges_coalesce(spark):
 def test_empty(spark, tmpdir_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(pages, f"{tmpdir_path}/none")).collect() == []
+
+
+def test_tasks_by_bytes(spark, tmpdir_path, monkeypatch):
+    """As many writers as archives and as many readers as ranges, though the index is small."""
+    monkeypatch.setattr(warc, "RANGE", 20_000)
+    draw = random.Random(2)
+    rows = [(i, f"u{i}", draw.randbytes(1500).hex()) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    written = warc.tape(pages, archives=9).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("archive").alias("n")).collect()
+    assert [r.n for r in written] == [1] * 9
+    index = warc.write(pages, f"{tmpdir_path}/t", archives=9)
+    total = index.agg(F.sum("length")).first()[0]
+    back = warc.read(index)
+    parts = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    assert total // 20_000 >= 8 and len(parts) >= 5 and sum(parts) == 120
+    assert {(r.page_id, r.html) for r in back.collect()} == {(i, h) for i, _, h in rows}
