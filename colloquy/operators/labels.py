@@ -31,6 +31,22 @@ def label_weight(gold: DataFrame) -> DataFrame:
     return gold.groupBy("disease", "symptom").agg(F.min_by("weight", "ord").alias("weight"))
 
 
+#: Parts that the dialogues of a disease are dealt to, and tasks of a join by disease.
+SALTS, TASKS = 8, 512
+
+
+def deal_by_disease(dialogues: DataFrame, labels: DataFrame, disease_col: str = "disease") -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by disease, whose result is far larger than its
+    input: dialogues dealt to ``SALTS`` parts of their disease, ``labels``
+    (``__gd`` is the disease) copied to each part.  The number of tasks is
+    given, as AQE sizes tasks by their input; a task holds the rows of one or
+    two diseases together, so that what they repeat is stored once per file."""
+    plain = [F.col(f.name) for f in dialogues.schema.fields if "map<" not in f.dataType.simpleString()]
+    d = dialogues.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
+    g = labels.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return d.repartition(TASKS, disease_col, "__salt"), g.repartition(TASKS, "__gd", "__salt")
+
+
 def join_gold(dialogues: DataFrame, gold: DataFrame, disease_col: str = "disease") -> DataFrame:
     """Each dialogue with every label of its disease (1:N, left: an unknown
     disease keeps its row with NULL label columns)."""
@@ -38,6 +54,15 @@ def join_gold(dialogues: DataFrame, gold: DataFrame, disease_col: str = "disease
     return dialogues.join(broadcast_if_small(g), F.col(disease_col) == F.col("__gd"), "left").drop("__gd")
 
 
+def dialogue_lists(dialogues: DataFrame, gold: DataFrame, disease_col: str = "disease") -> DataFrame:
+    """Each dialogue with the ``gold_list`` of its disease (NULL for an
+    unknown one), the rows of a disease together."""
+    d, gl = deal_by_disease(dialogues, gold_list_text(gold).withColumnRenamed("disease", "__gd"), disease_col)
+    gl = gl.withColumnRenamed("__salt", "__gs").hint("merge")
+    j = d.join(gl, (F.col(disease_col) == F.col("__gd")) & (F.col("__salt") == F.col("__gs")), "left")
+    return j.drop("__gd", "__gs", "__salt")
+
+
 def label_cover(gold: DataFrame) -> DataFrame:
     """``(disease, symptom, cover)``: trace labels whose trace entry
     ``- <cover>\\n`` contains ``symptom`` (cover ranges over the disease's
