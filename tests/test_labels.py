@@ -15,6 +15,24 @@ def _tables(spark):
     return dialogues, gold
 
 
+def test_join_gold_is_whole_and_dealt(spark):
+    dialogues, gold = _tables(spark)
+    got = L.join_gold(dialogues, gold)
+    g = gold.withColumnRenamed("disease", "g")
+    plain = dialogues.join(g, F.col("disease") == F.col("g"), "left").drop("g")
+    assert got.columns == plain.columns
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+    at = got.where("disease = 'd0'").withColumn("p", F.spark_partition_id()).collect()
+    parts: dict[int, list[int]] = {}
+    for r in at:
+        parts.setdefault(r.p, []).append(r.ord)
+    assert len(parts) > 3
+    for ords in parts.values():  # a label's rows come together
+        assert sum(a != b for a, b in zip(ords, ords[1:])) < 2 * len(set(ords)) * L.SALTS
+        assert sum(a == b for a, b in zip(ords, ords[1:])) > len(ords) / 2
+
+
 def test_lists_of_dialogues_are_whole_and_dealt(spark):
     dialogues, gold = _tables(spark)
     got = L.dialogue_lists(dialogues, gold)
