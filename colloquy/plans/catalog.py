@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import labels as L
 from colloquy.operators import scoring as S
 from colloquy.plans import bindings as B
+from colloquy.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,15 +83,19 @@ def trace_rows(spark, sf_dir):
     return S.trace_rows(f, ["dialogue_id", "event_id"]).drop("pos")
 
 
+def _d_bullets(spark, sf_dir):
+    return stored(B.d_bullets(spark, sf_dir), "bullets")  # they are read several times
+
+
 @query("gold_contains")
 def gold_contains(spark, sf_dir):
-    a = S.annotate_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
+    a = S.annotate_bullets(_d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
     return a.select("event_id", "dialogue_id", "resp", "hit")
 
 
 @query("label_weight")
 def label_weight(spark, sf_dir):
-    a = S.annotate_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
+    a = S.annotate_bullets(_d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir))
     return a.select("event_id", "resp", "weight")
 
 
@@ -103,7 +108,7 @@ def join_gold(spark, sf_dir):
 @query("score_lines")
 def score_lines(spark, sf_dir):
     """All scores and the label trace with labels that span lines and lie across one another."""
-    s = S.score_bullets(B.d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir), ["dialogue_id"])
+    s = S.score_bullets(_d_bullets(spark, sf_dir), B.d_gold(spark, sf_dir), ["dialogue_id"])
     return s.select("dialogue_id", "n_bullets", "n_live", "score", "weighted_score", "penalty_score", "reward_score", "label_trace", "status")
 
 
@@ -744,26 +749,19 @@ def exact_quantiles(spark, sf_dir):
 from colloquy.operators import stages as ST  # noqa: E402
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Each stage's result is a table of its own, as replies are costly."""
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _organize(spark, sf_dir):
     org = ST.organize_requests(B.c_dialogues(spark, sf_dir), B.C_KEYS, B.C_TURNS, B.C_ORGANIZER)
     return ST.organize_results(org, B.c_organizer_replies(spark, sf_dir), "ord")
 
 
 def _compare(spark, sf_dir):
-    organized, gold = _stored(_organize(spark, sf_dir), "organized"), B.c_gold(spark, sf_dir)
+    organized, gold = stored(_organize(spark, sf_dir), "organized"), B.c_gold(spark, sf_dir)
     reqs = ST.compare_requests(organized, gold, B.C_KEYS, B.C_COMPARER)
     return ST.compare_results(organized, reqs, B.c_comparer_replies(spark, sf_dir, reqs), gold, B.C_KEYS, order_col="ord")
 
 
 def _predict(spark, sf_dir):
-    scored = _stored(_compare(spark, sf_dir), "scored")
+    scored = stored(_compare(spark, sf_dir), "scored")
     reqs = ST.predict_requests(scored, B.c_profiles(spark, sf_dir), B.C_KEYS, B.C_TURNS, system=B.C_PREDICTOR_SYSTEM, order_col="ord")
     preds, judge = ST.judge_requests(scored, reqs, B.c_predictor_replies(spark, sf_dir), B.C_KEYS, B.C_JUDGE_SYSTEM, "ord")
     return scored, reqs, preds, judge

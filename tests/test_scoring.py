@@ -217,3 +217,26 @@ def test_hot_dialogue_is_split(spark):
     finally:
         spark.conf.set(key, "true")
     assert sum(parts) == n // 3 and max(parts) < 0.6 * sum(parts)
+
+
+def test_answers_are_judged_once(spark):
+    """Each distinct answer is searched once, exactly as in the list's text."""
+    from colloquy.operators.labels import gold_list_text
+    labels = ["Fatigue", "Dry cough", "over\ntwo lines", "Dry cough", "", None, "end "]
+    gold = spark.createDataFrame([("D", i, x, "h") for i, x in enumerate(labels)] + [(None, 9, "n", "m")], "disease string, ord bigint, symptom string, weight string")
+    said = ["Fatigue", "atig", "end ", "end", "two lines\n-Dry", "over\ntwo", "Fatigue\n-Dry", "Fatigue\n-over", "", "none", None, "-", "\n"]
+    rows = [(d, f"x{i % 3}", i, x) for d in ("D", "E", None) for i, x in enumerate(said * 3)]
+    b = spark.createDataFrame(rows, "disease string, did string, pos int, resp string")
+    text = {r.disease: r.gold_list for r in gold_list_text(gold).collect()}
+    want = {(d, x): x is not None and d is not None and x in text.get(d, "") or x == "" for d, _, _, x in rows}
+    got = S.annotate_bullets(b, gold).collect()
+    assert len(got) == len(rows) and all(r.hit == want[r.disease, r.resp] for r in got)
+    assert all((r.weight == "h") == (r.disease == "D" and r.resp in set(labels) - {None}) for r in got)
+    known = S.known_answers(b, gold)
+    assert known.count() == known.select("disease", "resp").distinct().count()
+
+
+def test_states_of_short_dialogues_are_not_copied(spark):
+    b = spark.createDataFrame([("a", "D", i, "Fatigue", "r") for i in range(5)], "did string, disease string, pos int, resp string, reason string")
+    f = S.bullet_flags(b, _gold(spark, GOLDS), ["did"])
+    assert "__salt" not in f._jdf.queryExecution().optimizedPlan().toString() and f.count() == 5
