@@ -34,15 +34,12 @@ from colloquy.operators import diagnosis as D
 from colloquy.operators import scoring as S
 from colloquy.operators.joins import broadcast_if_small
 from colloquy.operators.labels import gold_list_text
-from colloquy.operators.requests import last_replies, messages, request_id
+from colloquy.operators.requests import attach_replies, messages, request_id
+from colloquy.session import stored
 
 SCORES = ["score", "weighted_score", "penalty_score", "reward_score"]
 
 
-def _replies(df: DataFrame, replies: DataFrame, order_col: str | None) -> DataFrame:
-    return df.join(last_replies(replies, order_col), "request_id", "left")
-
-
 # ------------------------------------------------------------- organize
 
 def organize_requests(dialogues: DataFrame, keys: list[str], turns: int, template: str,
@@ -61,7 +58,7 @@ def organize_requests(dialogues: DataFrame, keys: list[str], turns: int, templat
 def organize_results(org: DataFrame, replies: DataFrame, order_col: str | None = None) -> DataFrame:
     """``organized_QA``: scrubbed reply for valid rows, the validation
     error text otherwise, ``Error`` when a valid row got no reply."""
-    j = _replies(org, replies, order_col)
+    j = attach_replies(org, replies, order_col)
     ok = F.coalesce(scrub_negations(F.col("response"), F.col("rendered")), F.lit(DG.GENERIC_ERROR))
     organized = F.when(F.col("status") == DG.VALID, ok).otherwise(F.col("status"))
     return j.withColumn("organized_QA", organized).drop("response", "prompt", "messages", "request_id", "status")
@@ -91,11 +88,13 @@ def _failed():
 def compare_results(organized: DataFrame, bullet_requests: DataFrame, replies: DataFrame, gold: DataFrame,
                     keys: list[str], mode: str = S.SUBSTRING, order_col: str | None = None) -> DataFrame:
     """Parse every reply, score each dialogue, attach with the guard.  A
-    dialogue that misses a reply is pending: its scores and traces are NULL."""
-    j = _replies(bullet_requests, replies, order_col)
+    dialogue that misses a reply is pending: its scores and traces are NULL.
+    The parsed replies are stored, as the scoring reads them several times."""
+    j = attach_replies(bullet_requests, replies, order_col)
     v = X.parse_verdict(F.coalesce(F.col("response"), F.lit("")))
     bullets = j.select(*keys, "disease", "pos", v["answer"].alias("resp"), v["reason"].alias("reason"),
                        F.col("response").isNull().alias("absent"))
+    bullets = stored(bullets, "bullets")
     scored = S.apply_error_guard(organized, S.score_bullets(bullets, gold, keys, mode=mode), keys)
     absent = bullets.groupBy(*keys).agg(F.count_if("absent").alias("__absent"))
     out = scored.join(absent, keys, "left")
@@ -126,12 +125,13 @@ def predict_requests(scored: DataFrame, profiles: DataFrame, keys: list[str], tu
 def judge_requests(scored: DataFrame, predict_reqs: DataFrame, predict_replies: DataFrame,
                    keys: list[str], system: str | None = None, order_col: str | None = None):
     """Parsed predictions ``(keys, model_predictions, predict_status)`` and
-    the top-k and top-1 judge requests built from them, out of one join."""
-    p = _replies(predict_reqs.select(*keys, "request_id", "status"), predict_replies, order_col)
+    the top-k and top-1 judge requests built from them, out of one join that
+    is stored."""
+    p = attach_replies(predict_reqs.select(*keys, "request_id", "status"), predict_replies, order_col)
     parsed = X.parse_predictions(X.fenced_block("response"))
     status = (F.when(F.col("status") != "ok", F.col("status")).when(F.col("response").isNull(), F.lit("missing_prediction"))
               .when(parsed.isNull(), F.lit("prediction_parse_error")).otherwise(F.lit("ok")))
-    p = p.select(*keys, F.when(status == "ok", parsed).alias("model_predictions"), status.alias("predict_status"))
+    p = stored(p.select(*keys, F.when(status == "ok", parsed).alias("model_predictions"), status.alias("predict_status")), "predictions")
     j = scored.select(*keys, "disease").join(p.where("predict_status = 'ok'"), keys)
     asked = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), D.judge_input(D.python_list_text(x), F.col("disease")).alias("prompt"))
                                 for s, x in (("judge_topk", F.col("model_predictions")), ("judge_top1", D.top_k(F.col("model_predictions"), 1)))]))
@@ -144,7 +144,7 @@ def diagnose_results(scored: DataFrame, predictions: DataFrame, judge_reqs: Data
                      judge_replies: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
     """Attach predictions and both judgements; failed dialogues get the
     defaults (no prediction, both results false).  One row per dialogue."""
-    jr = _replies(judge_reqs, judge_replies, order_col).select(
+    jr = attach_replies(judge_reqs, judge_replies, order_col).select(
         *keys, "stage", "response", X.parse_judgement(X.fenced_block("response")).alias("j"))
     wide = jr.groupBy(*keys).agg(
         *[F.max(F.when(F.col("stage") == f"judge_{s}", F.col(f"j.{c}"))).alias(f"{s}_{n}")

@@ -99,3 +99,36 @@ def test_doubled_absent_and_odd_profiles(spark):
 def test_request_ids_differ_for_different_keys(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("", "x")], "p string, q string")
     assert df.select(RQ.request_id("s", "p", "q").alias("i")).distinct().count() == 5
+
+
+def test_replies_are_attached_by_packed_ids(spark):
+    """Half the bytes of an id, and the same result as by its text."""
+    from pyspark.sql import functions as F
+
+    from colloquy.operators import requests as RQ
+    h = "ab" * 32
+    ids = [h, h.upper(), h + "\n", "ab" * 16, "«" * 16, "x", "", None]
+    reqs = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "request_id string, k int")
+    replies = spark.createDataFrame([(x, o, f"{i}-{o}" if o < 3 else None) for i, x in enumerate([*ids, "y"]) for o in (2, 1, 3)], "request_id string, ord int, response string")
+    got = RQ.attach_replies(reqs, replies, "ord")
+    want = reqs.join(RQ.last_replies(replies, "ord"), "request_id", "left")
+    assert {r.k: (r.request_id, r.response) for r in got.collect()} == {r.k: (r.request_id, r.response) for r in want.collect()}
+    sizes = {r[0]: r[1] for r in reqs.select("k", F.octet_length(RQ.packed_id())).collect()}
+    assert sizes[0] == 32 and sizes[3] == 33 and reqs.select(RQ.packed_id().alias("i")).where("i IS NOT NULL").distinct().count() == len(ids) - 1
+
+
+def test_predictions_are_parsed_once(spark):
+    """The parsed predictions are read from their table, not joined again for each use."""
+    from colloquy.operators import stages as ST
+    scored = spark.createDataFrame([(1, "D"), (2, "D")], "k int, disease string")
+    reqs = spark.createDataFrame([(1, "r1", "ok"), (2, "r2", "no_profile")], "k int, request_id string, status string")
+    replies = spark.createDataFrame([("r1", "Diseases:\n- D")], "request_id string, response string")
+    preds, judge = ST.judge_requests(scored, reqs, replies, ["k"])
+    assert "Join" not in preds._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.predict_status for r in preds.collect()} == {1: "ok", 2: "no_profile"} and judge.count() == 2
+
+
+def test_judge_messages_stay_out_of_the_reply_join(spark):
+    from colloquy.plans.catalog import QUERIES
+    q = QUERIES["stage_judge"](spark, "/root/testdata/sf0.001")
+    assert "AS messages" not in q._jdf.queryExecution().optimizedPlan().toString()
