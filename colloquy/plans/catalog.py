@@ -788,9 +788,11 @@ def stage_predict(spark, sf_dir):
 @query("stage_judge")
 def stage_judge(spark, sf_dir):
     _, _, _, judge = _predict(spark, sf_dir)
-    j = judge.join(RQ.last_replies(B.c_judge_replies(spark, sf_dir), "ord"), "request_id", "left")
+    # only what is shown goes through the join, not the messages
+    asked = judge.select("o_orderkey", "stage", "request_id", F.col("messages")[0]["content"].alias("system"), "prompt")
+    j = RQ.attach_replies(asked, B.c_judge_replies(spark, sf_dir), "ord")
     v = X.parse_judgement(X.fenced_block("response"))
-    return j.select("o_orderkey", "stage", F.col("messages")[0]["content"].alias("system"), "prompt", v["reasoning"].alias("reasoning"), v["result"].alias("result"))
+    return j.select("o_orderkey", "stage", "system", "prompt", v["reasoning"].alias("reasoning"), v["result"].alias("result"))
 
 
 @query("evaluate_run")
