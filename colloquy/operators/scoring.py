@@ -16,19 +16,21 @@ Rules (per dialogue, in ``pos`` order):
 * trace lines ``- label`` (``Not in Gold Label`` for non-hits) and
   ``- reason`` for every row before the break.
 
-Only partial aggregations and equi-joins against small label tables are
+For long dialogues, only partial aggregations and equi-joins against small label tables are
 used: first position per ``(dialogue, label)``, the break position, and the
 "seen" test as a lookup of the earliest covering label.  No window and no
 per-dialogue array of statements: a dialogue holding a third of all rows is
 still split across tasks (partial aggregation; a salted join back).  A label over several lines
 is found inside one entry of the trace like any other; where it can lie across entries, the
-statements are numbered by a range partition and consecutive ones joined.  The
+statements are numbered by a range partition and consecutive ones joined.  When no dialogue is
+long, the statements are instead dealt by dialogue once for all of these steps, and a window of
+at most ``HOT`` statements looks ahead for the runs.  The
 tests hold the result against a running trace text in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip
@@ -41,6 +43,8 @@ SUBSTRING = "substring"
 EXACT = "exact"
 #: Parts that the bullets of a dialogue of more than ``HOT`` are dealt to when its state is joined back.
 SALTS, HOT = 8, 1000
+#: Entries that a window looks at together; longer runs are joined step by step.
+AHEAD = 16
 
 
 def known_answers(bullets: DataFrame, gold: DataFrame) -> DataFrame:
@@ -77,17 +81,21 @@ def _live(brk: Column) -> Column:
     return brk.isNull() | (F.col("pos") < brk)
 
 
-def _crossing(ann: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+def _crossing(ann: DataFrame, gold: DataFrame, keys: list[str], whole: bool = False) -> DataFrame:
     """``(keys, symptom, first_pos)``: where a label is first complete across
     consecutive entries of a dialogue's trace.  Only dialogues of diseases
     with such a label are numbered, and only their statements that take part
-    in a run are joined, once for each further entry of the longest run."""
-    runs = label_runs(gold).checkpoint()  # bounded by the label file
+    in a run are joined, once for each further entry of the longest run.
+    Where dialogues are ``whole`` in their partition and short, each statement
+    looks ahead for the runs that it begins."""
+    runs = stored(label_runs(gold), "runs")  # bounded by the label file
+    longest = runs.agg(F.max(F.size("run"))).first()[0] or 0
     rows = ann.join(broadcast_if_small(runs.select("disease").distinct()), "disease", "left_semi").select(*keys, "disease", "pos", "label")
+    if whole and 0 < longest <= AHEAD:
+        return _looking_ahead(rows, runs, longest, keys)
     numbered = dense_index(rows, keys, ["pos"], "__at")
     used = runs.select("disease", F.explode("run").alias("label")).distinct()
     numbered = numbered.join(broadcast_if_small(used), ["disease", "label"], "left_semi").checkpoint()
-    longest = runs.agg(F.max(F.size("run"))).first()[0] or 0
     part = numbered.join(broadcast_if_small(runs.withColumnRenamed("disease", "__d")), (F.col("disease") == F.col("__d")) & (F.col("label") == F.get("run", F.lit(0))))
     part = part.select(*keys, "symptom", "run", "__at", F.col("pos").alias("first_pos"))
     out = None
@@ -101,7 +109,26 @@ def _crossing(ann: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     return out.groupBy(*keys, "symptom").agg(F.min("first_pos").alias("first_pos"))
 
 
+def _looking_ahead(rows: DataFrame, runs: DataFrame, longest: int, keys: list[str]) -> DataFrame:
+    """``_crossing`` of short dialogues: one sort of their statements."""
+    ordered = Window.partitionBy(*keys).orderBy("pos")
+    later = range(1, longest)
+    j = rows.select("*", *[F.lead(c, n).over(ordered).alias(f"__{c}{n}") for n in later for c in ("label", "pos")])
+    same = (F.col("disease") == F.col("__d")) & (F.col("label") == F.get("run", F.lit(0)))
+    for n in later:
+        same = same & ((F.size("run") <= n) | (F.col(f"__label{n}") == F.get("run", F.lit(n))))
+    found = j.join(broadcast_if_small(runs.withColumnRenamed("disease", "__d")), same)
+    end = F.coalesce(*[F.when(F.size("run") == n + 1, F.col(f"__pos{n}")) for n in later])
+    return found.select(*keys, "symptom", end.alias("first_pos"))
+
+
 def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    # 0. when no dialogue is long, its statements are brought together once and
+    #    the steps below need no further shuffle
+    hot = stored(ann.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select(*keys), "hot")
+    whole = hot.isEmpty()
+    if whole:
+        ann = ann.repartition(*keys)
     # 1. first position of each label per dialogue: partial aggregation,
     #    so a hot dialogue is reduced on the map side before the shuffle
     firsts = ann.groupBy(*keys, "disease", "label", "poison").agg(F.min("pos").alias("first_pos"))
@@ -110,12 +137,12 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
     if mode == EXACT:
         cover = firsts.select("*", F.when(~F.col("poison"), F.col("label")).alias("symptom"))
     else:
-        lc = broadcast_if_small(label_cover(gold).withColumnRenamed("disease", "__cd"))
+        lc = broadcast_if_small(stored(label_cover(gold), "cover").withColumnRenamed("disease", "__cd"))
         cover = firsts.join(lc, (F.col("disease") == F.col("__cd")) & (F.col("label") == F.col("cover"))
                             & ~F.col("poison"), "left")
     cover = cover.select(*keys, "symptom", "first_pos", "poison")
     if mode != EXACT and not crossing_labels(gold).isEmpty():
-        cover = cover.unionByName(_crossing(ann, gold, keys).withColumn("poison", F.lit(False)))
+        cover = cover.unionByName(_crossing(ann, gold, keys, whole).withColumn("poison", F.lit(False)))
     per_symptom = cover.groupBy(*keys, "symptom").agg(
         F.min(F.when(~F.col("poison"), F.col("first_pos"))).alias("cover_pos"),
         F.min(F.when(F.col("poison"), F.col("first_pos"))).alias("brk"))
@@ -125,12 +152,11 @@ def _seen_decomposed(ann: DataFrame, gold: DataFrame, keys: list[str], mode: str
         F.min("brk").alias("brk"),
         F.map_from_entries(F.collect_list(F.when(F.col("symptom").isNotNull() & F.col("cover_pos").isNotNull(),
                                                  F.struct("symptom", "cover_pos")))).alias("cover_map"))
-    # 4. the single shuffle of the bullets: join the state back by dialogue.
+    # 4. the single shuffle of whole bullets: join the state back by dialogue.
     #    Only long dialogues are dealt to several tasks, by a salt (AQE cannot
     #    split this join, as its other side is an aggregate); a state copied for
     #    every dialogue would be most of what is moved
-    hot = stored(ann.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT).select(*keys), "hot")
-    if hot.isEmpty():
+    if whole:
         j = ann.join(state, keys, "left")
     else:
         hot = broadcast_if_small(hot.withColumn("__hot", F.lit(True)))

@@ -240,3 +240,18 @@ def test_states_of_short_dialogues_are_not_copied(spark):
     b = spark.createDataFrame([("a", "D", i, "Fatigue", "r") for i in range(5)], "did string, disease string, pos int, resp string, reason string")
     f = S.bullet_flags(b, _gold(spark, GOLDS), ["did"])
     assert "__salt" not in f._jdf.queryExecution().optimizedPlan().toString() and f.count() == 5
+
+
+def test_short_dialogues_are_dealt_once(spark):
+    """No step between the statements and their scores deals them by anything but the dialogue,
+    and the runs of labels over several entries come out as in the long form."""
+    rnd = random.Random(21)
+    vocab = [s for s, _ in LINED["M"]] * 3 + ["Not in Gold Label", "zz"]
+    b = _bullets(spark, {f"m{i}": ("M", [rnd.choice(vocab) for _ in range(12)]) for i in range(60)})
+    gold = _gold(spark, LINED)
+    out = S.score_bullets(b, gold, ["did"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [did" in plan and "repartitionByRange" not in plan and "__part" not in plan
+    ann = S.annotate_bullets(b, gold)
+    near, far = ({tuple(r) for r in S._crossing(ann, gold, ["did"], whole).groupBy("did", "symptom").agg(F.min("first_pos")).collect()} for whole in (True, False))
+    assert near == far and len(near) > 20
