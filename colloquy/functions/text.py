@@ -171,7 +171,7 @@ def parse_predictions(block) -> Column:
         return _let(_key_line(lines, "Diseases:"), lambda at: F.when(at > 0, _let(F.slice(lines, at, F.size(lines)), listed)))
 
     items = F.filter(F.transform(_let(_lines(block), found), _unquote), lambda x: x != "")
-    return F.when(F.size(items) > 0, items)
+    return _let(items, lambda x: F.when(F.size(x) > 0, x))
 
 
 def yaml_bool(col) -> Column:
@@ -209,10 +209,13 @@ def parse_judgement(block) -> Column:
                 .otherwise(_unquote(folded(F.concat(F.array(first), rows)))))
 
     def read(lines):
-        at, result = _key_line(lines, "Reasoning:"), _key_line(lines, "Result:")
+        keys = F.struct(_key_line(lines, "Reasoning:").alias("at"), _key_line(lines, "Result:").alias("result"))
+        return _let(keys, lambda k: fields(lines, k["at"], k["result"]))
+
+    def fields(lines, at, result):
         rows = _while(_after(lines, at), lambda x: (x == "") | _indented(x))
-        text = F.trim(value(F.get(lines, result - 1), "Result:"), blanks)
-        whole = _let(rows, lambda r: reasoning(F.rtrim(value(F.get(lines, at - 1), "Reasoning:")), r))
+        first, text = F.rtrim(value(F.get(lines, at - 1), "Reasoning:")), F.trim(value(F.get(lines, result - 1), "Result:"), blanks)
+        whole = _let(F.struct(first.alias("first"), rows.alias("rows")), lambda x: reasoning(x["first"], x["rows"]))
         ok = (at > 0) & (result > 0)
         return F.struct(F.when(ok, whole).alias("reasoning"), F.when(ok, text).alias("result_text"), F.when(ok, yaml_bool(text)).alias("result"), ok.alias("ok"))
 

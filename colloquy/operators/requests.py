@@ -61,7 +61,8 @@ def packed_id(col: str = "request_id") -> Column:
     """A request id in half the bytes: the 32 bytes of a SHA-256 text, any
     other text whole behind a zero byte (so two ids never become one)."""
     c = F.col(col)
-    return F.when(c.rlike("^[0-9a-f]{64}\\z"), F.unhex(c)).otherwise(F.concat(F.lit(b"\0"), c.cast("binary")))
+    digest = (F.octet_length(c) == 64) & (F.lower(F.hex(F.unhex(c))) == c)
+    return F.when(digest, F.unhex(c)).otherwise(F.concat(F.lit(b"\0"), c.cast("binary")))
 
 
 def attach_replies(reqs: DataFrame, replies: DataFrame, order_col: str | None = None) -> DataFrame:

@@ -128,7 +128,8 @@ def judge_requests(scored: DataFrame, predict_reqs: DataFrame, predict_replies:
     the top-k and top-1 judge requests built from them, out of one join that
     is stored."""
     p = attach_replies(predict_reqs.select(*keys, "request_id", "status"), predict_replies, order_col)
-    parsed = X.parse_predictions(X.fenced_block("response"))
+    p = p.withColumn("__parsed", X.parse_predictions(X.fenced_block("response")))  # a column of its own: evaluated once
+    parsed = F.col("__parsed")
     status = (F.when(F.col("status") != "ok", F.col("status")).when(F.col("response").isNull(), F.lit("missing_prediction"))
               .when(parsed.isNull(), F.lit("prediction_parse_error")).otherwise(F.lit("ok")))
     p = stored(p.select(*keys, F.when(status == "ok", parsed).alias("model_predictions"), status.alias("predict_status")), "predictions")

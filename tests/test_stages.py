@@ -132,3 +132,16 @@ def test_judge_messages_stay_out_of_the_reply_join(spark):
     from colloquy.plans.catalog import QUERIES
     q = QUERIES["stage_judge"](spark, "/root/testdata/sf0.001")
     assert "AS messages" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replies_are_parsed_once_each(spark):
+    """The parsers stand once in the plan of the predictions, which uses them for value and status."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from colloquy.functions import text as X
+    df = spark.createDataFrame([("Diseases: [a, b]\nx",), ("Reasoning: r\n  s\nResult: True",)], "response string")
+    for parse, marker in ((X.parse_predictions, "Diseases:"), (X.parse_judgement, "Result:")):
+        plan = df.select(parse(F.col("response")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(rf"StartsWith\([^()]*, {marker}\)", plan, re.I)) == 1, plan
