@@ -7,6 +7,10 @@
    others of the prefix are keys, mostly none at all.  Sets that share a key are chained, and
    the components of the chains are the blocks: a linked pair never lies across two blocks.  A
    passage or boilerplate that many documents hold comes late in the order, so it seldom chains.
+   Most sets have no near copy, and a part of their shingles shows it: with as many in no other
+   set as the prefix is long, a set has no keys and links with nothing.  So the shingles of the
+   least hashes (``SHARE`` prefixes of them) are counted first, and only a number for each set
+   comes back.  Sets that it does not settle go on, with their texts and all their shingles.
    The numbers are counted exactly: distinct shingles of each task's sets are sent to the slice
    of their hash, ``NAMED`` bytes each, with their sets.  Very frequent shingles (by a table of
    counters, the only thing broadcast) stay at home, so no slice is large.  Shingles that share
@@ -41,9 +45,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, staging_path, text_batches, tidy
+from .common import prepare, stored, text_batches, tidy
 from .components import components
 from .words import mix, shingle_sets, words
 
@@ -58,6 +63,11 @@ FREQUENT = 8
 PACK = SLICE = 1 << 21
 #: Bytes of a shingle's name inside its slice.
 NAMED = 5
+#: Shingles of a set that are counted first, as a multiple of its prefix.
+SHARE = 4
+#: Bits of a key's bitmap for each of the keys wanted, and the binary logarithms of its least and its
+#: largest size (8 MB, broadcast).
+PER_KEY, BITS = 16, (15, 26)
 #: Keys that a task combines before it hands them on.
 KEYS = 1 << 19
 #: Sets under one lowest node, and nodes under a higher one.
@@ -77,6 +87,14 @@ class Threshold:
         """How many first shingles of a set of n (in the common order) a linked set must meet."""
         return n + (-self.num * n) // self.den + 1
 
+    def prefix_sql(self, n: str) -> str:
+        return f"{n} - ({self.num} * {n} + {self.den - 1}) div {self.den} + 1"
+
+    @property
+    def limit(self) -> int:
+        """Shingles up to this hash are counted first."""
+        return min((1 << 64) - 1, SHARE * (self.den - self.num) * (1 << 64) // self.den)
+
     def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
         return self.den * common >= self.num * (a + b - common)
 
@@ -143,53 +161,156 @@ def named(sets: list[np.ndarray], slices: int, level: np.ndarray) -> tuple[np.nd
     return name[new], own[new], np.bincount(own[new], minlength=len(sets)), late
 
 
+def _slices(total: int) -> int:
+    """Binary logarithm of the number of slices for so many shingles."""
+    return min(23, max(0, total // SLICE).bit_length())
+
+
 def _key(name: np.ndarray) -> np.ndarray:
     return mix(name + _U(0x5851F42D4C957F2D)).view(np.int64)
 
 
-def _ship(k: int, t: Threshold, slices: int, level):
+def _gathered(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Hashes of distinct sets and the sets, of about PACK shingles at a time."""
+    held: dict[int, np.ndarray] = {}
+    size = 0
+    for _, texts in text_batches(batches, "__text"):
+        sets = [s for s in shingle_sets(words(texts, lower=True), k) if len(s)]
+        for key, s in zip(set_keys(sets)[0].tolist(), sets):
+            if key not in held:
+                held[key] = s
+                size += len(s)
+        if size > PACK:
+            yield np.array(list(held), np.int64), list(held.values())
+            held.clear()
+            size = 0
+    if held:
+        yield np.array(list(held), np.int64), list(held.values())
+
+
+def _dealt(one: np.ndarray, name: np.ndarray, own: np.ndarray, slices: int) -> tuple[list, list, list, list]:
+    """By slice: its number, the sets' hashes, how many of the slice's shingles each has, and their names."""
+    part = (name >> _U(8 * NAMED)).astype(np.uint16 if slices <= 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    raw = name[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAMED]
+    cut = np.searchsorted(part[order], np.arange((1 << slices) + 1))
+    at, x, y, z = [], [], [], []
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        whose, n = np.unique(own[order[cut[i] : cut[i + 1]]], return_counts=True)
+        at.append(i)
+        x.append(one[whose].tobytes())
+        y.append(n.astype(np.uint32).tobytes())
+        z.append(raw[cut[i] : cut[i + 1]].tobytes())
+    return at, x, y, z
+
+
+def _opened(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Names and set hashes of one slice's rows of ``_dealt``."""
+    names = np.frombuffer(b"".join(z for _, _, z in held), np.uint8).reshape(-1, NAMED)
+    wide = np.zeros((len(names), 8), np.uint8)
+    wide[:, :NAMED] = names
+    own = np.repeat(np.frombuffer(b"".join(x for x, _, _ in held), np.int64), np.frombuffer(b"".join(y for _, y, _ in held), np.uint32))
+    return wide.view("<u8").ravel(), own
+
+
+def _offer(k: int, slices: int, limit: int, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By slice: the sets' hashes, how many of the slice's shingles each has, and their names.
-        Each set's numbers (rare shingles, prefix), and keys that are known here, go along."""
-        held: dict[int, np.ndarray] = {}
-        size = 0
+        """The shingles up to ``limit`` by slice and ``chunk``, the sets that were gathered together."""
+        first = TaskContext.get().partitionId() << 32
+        for chunk, (one, sets) in enumerate(_gathered(k, batches), first):
+            name, own, _, _ = named([s[: np.searchsorted(s, _U(limit), "right")] for s in sets], slices, level.value)
+            at, *rest = _dealt(one, name, own, slices)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(at), pa.int64()), pa.array(at, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["chunk", *_SENT[:4]])
+
+    return run
+
+
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slice.  The answer to each row: how many of its sets' shingles no other set has."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        _, own, n = numbered(*_opened([row for _, *row in held]))
+        one, m = np.unique(own[n == 1], return_counts=True)
+        x, y = [], []
+        for _, sets, _, _ in held:
+            asked = np.frombuffer(sets, np.int64)
+            at = np.searchsorted(one, asked)
+            asked, at = asked[at < len(one)], at[at < len(one)]
+            hit = one[at] == asked
+            x.append(asked[hit].tobytes())
+            y.append(m[at[hit]].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([c for c, *_ in held], pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["chunk", "sets", "lone"])
+
+    for batch in batches:
+        for i, *row in zip(*(batch.column(c).to_pylist() for c in ("slice", "chunk", *_SENT[1:4]))):
+            if i != now:
+                if held:
+                    yield done()
+                    tidy()
+                now, held = i, []
+            held.append(row)
+    if held:
+        yield done()
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by chunk.  Sums over the slices by chunk and set."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        sets, n = np.frombuffer(b"".join(x for x, _ in held), np.int64), np.frombuffer(b"".join(y for _, y in held), np.uint32)
+        one, at = np.unique(sets, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.bincount(at, n, len(one)).astype(np.int64))], ["set", "lone"])
+
+    for batch in batches:
+        for i, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sets", "lone"))):
+            if i != now:
+                if held:
+                    yield done()
+                now, held = i, []
+            held.append(row)
+    if held:
+        yield done()
+
+
+def _unsettled(k: int, t: Threshold, docs: DataFrame, text: str, sets: DataFrame, level, slices: int) -> DataFrame:
+    """The rows of ``sets`` that may link: too few of their shingles counted first are in no other set."""
+    sent = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_offer(k, slices, t.limit, level), "chunk bigint, slice bigint, sets binary, counts binary, names binary")
+    lone = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(_lone, "chunk bigint, sets binary, lone binary")
+    lone = lone.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "set bigint, lone bigint")
+    lone = lone.groupBy("set").agg(F.max("lone").alias("lone"))  # a set in several chunks has its whole sum in each
+    return sets.join(lone, F.col("one") == F.col("set"), "left").where(f"coalesce(lone, 0) < {t.prefix_sql('n')}").drop("set", "lone")
+
+
+def _looked_up(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the column ``key`` of ``wanted``.  A bitmap of the keys comes first, so
+    that hardly any other rows are shuffled."""
+    wanted = wanted.select(key).distinct()
+    bits = 1 << min(BITS[1], max(BITS[0], (PER_KEY * wanted.count()).bit_length()))
+    page, at = F.floor(F.pmod(F.col(key), F.lit(bits)) / 32768).cast("int"), F.pmod(F.col(key), F.lit(32768))  # 4 KB a page
+    maps = wanted.select(page.alias("__page"), at.cast("long").alias("at")).groupBy("__page").agg(F.bitmap_construct_agg("at").alias("__map"))
+    marked = F.expr("(shiftright(cast(conv(hex(substring(__map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1) = 1")
+    near = rows.withColumn("__page", page).withColumn("__at", at).join(F.broadcast(maps), "__page").where(marked).drop("__page", "__at", "__map")
+    return near.join(wanted, key)
+
 
-        def done() -> pa.RecordBatch:
-            one, sets = np.array(list(held), np.int64), list(held.values())
+def _ship(k: int, t: Threshold, slices: int, level):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles by slice.  Each set's numbers (rare shingles, prefix), and keys that are known here,
+        go along."""
+        for one, sets in _gathered(k, batches):
             name, own, rare, late = named(sets, slices, level.value)
             prefix = t.prefix(np.array([len(s) for s in sets], np.int64))
-            part = (name >> _U(8 * NAMED)).astype(np.uint16 if slices <= 16 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            raw = name[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAMED]
-            cut = np.searchsorted(part[order], np.arange((1 << slices) + 1))
-            at, x, y, z = [], [], [], []
-            for i in np.flatnonzero(np.diff(cut)).tolist():
-                whose, n = np.unique(own[order[cut[i] : cut[i + 1]]], return_counts=True)
-                at.append(i)
-                x.append(one[whose].tobytes())
-                y.append(n.astype(np.uint32).tobytes())
-                z.append(raw[cut[i] : cut[i + 1]].tobytes())
+            at, x, y, z = _dealt(one, name, own, slices)
             parts = len(at)
             at += (one % (1 << slices)).tolist()
             extra = [s[:n] for s, n in zip(late, np.maximum(0, prefix - rare).tolist())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int64()), pa.array(x + [None] * len(one), pa.binary()), pa.array(y + [None] * len(one), pa.binary()), pa.array(z + [None] * len(one), pa.binary()),
                  pa.array([None] * parts + one.tolist(), pa.int64()), pa.array([None] * parts + rare.tolist(), pa.int64()), pa.array([None] * parts + prefix.tolist(), pa.int64()),
                  pa.array([None] * parts + [_key(s).tolist() for s in extra], pa.list_(pa.int64()))], _SENT)
 
-        for _, texts in text_batches(batches, "__text"):
-            sets = [s for s in shingle_sets(words(texts, lower=True), k) if len(s)]
-            for key, s in zip(set_keys(sets)[0].tolist(), sets):
-                if key not in held:
-                    held[key] = s
-                    size += len(s)
-            if size > PACK:
-                yield done()
-                size = 0
-        if held:
-            yield done()
-
     return run
 
 
@@ -197,8 +318,8 @@ _SENT = ["slice", "sets", "counts", "names", "one", "rare", "prefix", "late"]
 _SENT_SQL = "slice bigint, sets binary, counts binary, names binary, one bigint, rare bigint, prefix bigint, late array<bigint>"
 
 
-def shared(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names that two sets or more have: name, set and number of sets, once for each set."""
+def numbered(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, set and the number of sets that have the name, once for each set."""
     order = np.lexsort((own, names))
     names, own = names[order], own[order]
     new = np.ones(len(names), bool)
@@ -206,7 +327,12 @@ def shared(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     names, own = names[new], own[new]
     first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.array([], np.int64)
     n = np.diff(np.append(first, len(names)))
-    n = np.repeat(n, n)
+    return names, own, np.repeat(n, n)
+
+
+def shared(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of names that two sets or more have."""
+    names, own, n = numbered(names, own)
     return names[n > 1], own[n > 1], n[n > 1]
 
 
@@ -216,11 +342,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held = None, []
 
     def done() -> pa.RecordBatch:
-        names = np.frombuffer(b"".join(z for _, _, z in held), np.uint8).reshape(-1, NAMED)
-        wide = np.zeros((len(names), 8), np.uint8)
-        wide[:, :NAMED] = names
-        own = np.repeat(np.frombuffer(b"".join(x for x, _, _ in held), np.int64), np.frombuffer(b"".join(y for _, y, _ in held), np.uint32))
-        name, whose, n = shared(wide.view("<u8").ravel(), own)
+        name, whose, n = shared(*_opened(held))
         key = _key(name + _U(now << 8 * NAMED))
         order = np.argsort(whose, kind="stable")  # a set's rows together, which the shuffle compresses best
         return pa.RecordBatch.from_arrays([pa.array(whose[order]), pa.array(np.ones(len(key), np.int8)), pa.array(key[order]), pa.array(n[order])], ["one", "kind", "name", "n"])
@@ -325,11 +447,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _chains(k: int, t: Threshold, docs: DataFrame, text: str, level: np.ndarray, total: int) -> DataFrame:
+def _chains(k: int, t: Threshold, texts: DataFrame, level, slices: int) -> DataFrame:
     """(a, b): hashes of sets that share a key, chained by the least one of each key."""
-    slices = min(23, max(0, total // SLICE).bit_length())
-    known = docs.sparkSession.sparkContext.broadcast(level)
-    sent = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_ship(k, t, slices, known), _SENT_SQL)
+    sent = texts.select(F.col("text").alias("__text")).mapInArrow(_ship(k, t, slices, level), _SENT_SQL)
     counted = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(_count, "one bigint, kind tinyint, name bigint, n bigint")
     order = ["one", "kind", "n", "name"]
     keys = counted.repartition("one").sortWithinPartitions(*order).mapInArrow(_choose, "kind tinyint, a bigint, b bigint")
@@ -485,10 +605,6 @@ def _within_blocks(k: int, t: Threshold, reps: DataFrame, texts: DataFrame, leav
     parts = F.greatest(F.ceil(F.sum("n") / leaves), F.ceil(F.count("*") / SETS))
     sizes = reps.groupBy("block").agg(parts.alias("parts"), F.min("one").alias("hub"))
     reps = reps.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts"))).checkpoint()
-    # the texts of the blocks, most often few of all, are looked up once
-    path = staging_path(reps.sparkSession, "block-texts")
-    texts.join(reps.select("rep").distinct(), "rep").dropDuplicates(["rep", "text"]).write.parquet(path)
-    texts = reps.sparkSession.read.parquet(path)
     # the hub goes to every part
     copies = F.when((F.col("one") == F.col("hub")) & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))
     first = reps.withColumn("x", F.explode(copies)).select("rep", *NAME, "n", "block", "x", F.lit(-1).cast("long").alias("y"), F.lit(0).alias("side"), F.col("one").alias("root"))
@@ -550,12 +666,17 @@ def _classed(docs: DataFrame, k: int, num: int, den: int, text: str = "text", le
     sets = sets.withColumn("none", F.col("least").isNull().cast("long")).fillna(0, ["least"]).checkpoint()
     total = sets.agg(F.sum("n")).first()[0] or 0
     level = _levels(described.where("counter IS NOT NULL"), bits, total)
-    blocks = components(_chains(k, t, docs, text, level, total), "a", "b")  # of set hashes
-    # one row for each distinct set of a block with others in it
-    reps = sets.join(blocks, sets["one"] == blocks["node"]).select("rep", *NAME, "n", F.col("component").alias("block"))
+    known = docs.sparkSession.sparkContext.broadcast(level)
+    left = _unsettled(k, t, docs, text, sets, known, _slices(total)).checkpoint()
     texts = docs.select("doc_id", F.col("__row").alias("rep"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    texts = _looked_up(texts, "rep", left)  # once, most often few of all
     # many rows without an id may be equal
     texts = texts.where("doc_id IS NOT NULL").unionByName(texts.where("doc_id IS NULL").dropDuplicates(["rep"])).drop("doc_id")
+    texts = stored(texts.dropDuplicates(["rep", "text"]), "block-texts")
+    rest = left.agg(F.sum("n")).first()[0] or 0
+    blocks = components(_chains(k, t, texts, known, _slices(rest)), "a", "b")  # of set hashes
+    # one row for each distinct set of a block with others in it
+    reps = left.join(blocks, left["one"] == blocks["node"]).select("rep", *NAME, "n", F.col("component").alias("block"))
     links = _within_blocks(k, t, reps, texts, leaves)
     joined = components(links.select(*(F.struct(*(F.col(f"{x}_{c}").alias(c) for c in NAME)).alias(x) for x in "ab")), "a", "b")
     named_sets = sets.withColumn("name", F.struct(*NAME))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import jaccard_tree as J
@@ -161,3 +162,51 @@ def test_components(spark):
             break
         root = new
     assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in links)}
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 9, 10), (5, 4, 5)])
+def test_texts_without_near_copies_are_settled_early(spark, monkeypatch, k, num, den):
+    """Their shingles are not counted in whole, and only the other texts are looked up."""
+    seen, chains = [], J._chains
+    monkeypatch.setattr(J, "_chains", lambda k, t, texts, *more: seen.append(texts.count()) or chains(k, t, texts, *more))
+    draw = random.Random(k)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [[f"w{draw.randrange(10**6)}" for _ in range(120)] + passage for _ in range(200)]
+    texts += [ws[:-1] + ["other"] for ws in texts[:6]] + texts[6:10] + [ws[:3] for ws in texts[10:14]]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in J.classes(docs, k, num, den).collect()]
+    assert len(got) == len(rows) and set(got) == brute(rows, k, num, den)
+    assert 12 <= seen[0] <= 30
+
+
+@pytest.mark.parametrize("bits", [(15, 15), (15, 26)])
+def test_looked_up_rows(spark, monkeypatch, bits):
+    monkeypatch.setattr(J, "BITS", bits)
+    draw = random.Random(1)
+    keys = [draw.randrange(-(1 << 63), 1 << 63) for _ in range(6000)] + [0, -1, 32767, 32768, -(1 << 63)]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(keys + keys[:50])], "rep long, i int").repartition(3)
+    wanted = keys[:3000] + keys[-5:] + keys[:10]
+    got = sorted(tuple(r) for r in J._looked_up(rows, "rep", spark.createDataFrame([(x,) for x in wanted], "rep long")).collect())
+    assert got == sorted((x, i) for i, x in enumerate(keys + keys[:50]) if x in set(wanted))
+    assert J._looked_up(rows, "rep", spark.createDataFrame([], "rep long")).collect() == []
+
+
+def test_lone_shingles_of_a_repeated_set_count_once():
+    """Sets that several chunks hold, and an answer for every row."""
+    draw = np.random.Generator(np.random.PCG64(3))
+    sets = [np.unique(draw.integers(0, 1 << 64, 30, dtype=np.uint64)) for _ in range(6)]
+    sets[1] = np.unique(np.concatenate([sets[0][:20], sets[1]]))
+    one = J.set_keys(sets)[0]
+    rows = []
+    for chunk, has in enumerate([[0, 1, 2], [2, 3, 4], [2, 5], [2, 5]]):
+        name, own, _, _ = J.named([sets[i] for i in has], 3, np.zeros(4, np.uint8))
+        rows += [(chunk, *row) for row in zip(*J._dealt(one[has], name, own, 3))]
+    rows.sort(key=lambda r: r[1])
+    sent = pa.RecordBatch.from_pylist([dict(zip(("chunk", *J._SENT[:4]), r)) for r in rows])
+    answers = list(J._lone(iter([sent.slice(0, 7), sent.slice(7)])))
+    assert sum(b.num_rows for b in answers) == len(rows)
+    back = sorted((r for b in answers for r in b.to_pylist()), key=lambda r: r["chunk"])
+    got = [(r["set"], r["lone"]) for b in J._summed(iter([pa.RecordBatch.from_pylist(back)])) for r in b.to_pylist()]
+    lone = {int(one[i]): len(s) - 20 * (i < 2) for i, s in enumerate(sets)}
+    assert sorted(got) == sorted((int(one[i]), lone[int(one[i])]) for has in ([0, 1, 2], [2, 3, 4], [2, 5], [2, 5]) for i in has)
