@@ -39,3 +39,24 @@ def test_lists_of_dialogues_are_whole_and_dealt(spark):
     texts = {r.disease: r.gold_list for r in L.gold_list_text(gold).collect() if r.disease}
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str((*r, texts.get(r[1]))) for r in map(tuple, dialogues.collect()))
     assert got.where("disease = 'd0'").select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def _sf(spark, path, labels, dialogues):
+    """part and orders with ``labels`` labels of one brand and ``dialogues`` customers that have it."""
+    spark.range(labels).selectExpr("id AS p_partkey", "'Brand#11' AS p_brand", "concat('TYPE ', sha2(cast(id as string), 512)) AS p_type",
+                                   "cast(4 as int) AS p_size").coalesce(1).write.parquet(f"{path}/part.parquet")
+    spark.range(dialogues).selectExpr("id AS o_orderkey", "id * 30 AS o_custkey", "'O' AS o_orderstatus", "'1' AS o_orderpriority").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    return path
+
+
+def test_join_gold_is_dealt_finely_and_its_row_groups_are_bounded(spark, tmpdir_path):
+    from colloquy.plans.catalog import QUERIES
+    from colloquy.session import SHORT_ROWS
+
+    d = _sf(spark, f"{tmpdir_path}/in", 300, 3000)
+    got = QUERIES["join_gold"](spark, d)
+    assert got.count() == 900_000 and got.select("dialogue_id", "ord").distinct().count() == 900_000
+    assert got.sparkSession.conf.get("parquet.block.row.count.limit") == SHORT_ROWS["parquet.block.row.count.limit"]
+    assert spark.conf.get("parquet.block.row.count.limit", None) is None
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 16 and max(sizes) < 900_000 / 6  # one disease alone is over many tasks
