@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import labels as L
 from colloquy.operators import scoring as S
 from colloquy.plans import bindings as B
-from colloquy.session import SHORT_ROWS, stored, writing_session
+from colloquy.session import LONG_TEXTS, SHORT_ROWS, stored, writing_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -131,6 +131,8 @@ def seen_before_exact(spark, sf_dir):
 
 @query("gold_list_text")
 def gold_list_text(spark, sf_dir):
+    # a list grows with the label file, to MBs; Parquet keeps no least or greatest value of that length
+    spark = writing_session(spark, {**LONG_TEXTS, "parquet.column.statistics.enabled#gold_list": "false"})
     d = L.dialogue_lists(B.d_dialogues(spark, sf_dir), B.d_gold(spark, sf_dir))
     return d.select("dialogue_id", "disease", "gold_list")
 

@@ -41,6 +41,16 @@ def test_lists_of_dialogues_are_whole_and_dealt(spark):
     assert got.where("disease = 'd0'").select(F.spark_partition_id().alias("p")).distinct().count() > 3
 
 
+def _groups(path):
+    """Row groups of a folder's files, in rows, and their column chunks of ``gold_list`` or ``symptom``."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f).metadata for f in sorted(glob.glob(f"{path}/*.parquet"))]
+    return [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+
+
 def _sf(spark, path, labels, dialogues):
     """part and orders with ``labels`` labels of one brand and ``dialogues`` customers that have it."""
     spark.range(labels).selectExpr("id AS p_partkey", "'Brand#11' AS p_brand", "concat('TYPE ', sha2(cast(id as string), 512)) AS p_type",
@@ -49,6 +59,24 @@ def _sf(spark, path, labels, dialogues):
     return path
 
 
+def test_lists_beyond_the_dictionary_limit_are_written_once_a_file(spark, tmpdir_path):
+    """Lists of over 1 MB: a file holds one copy and not one per dialogue, and no page of 100 rows is built."""
+    from colloquy.plans.catalog import QUERIES
+
+    keep = {k: spark.conf.get(k, None) for k in ("parquet.page.size.row.check.min", "parquet.dictionary.page.size")}
+    d = _sf(spark, f"{tmpdir_path}/in", 12_000, 640)
+    got = QUERIES["gold_list_text"](spark, d)
+    got.write.parquet(f"{tmpdir_path}/out")
+    assert {k: spark.conf.get(k, None) for k in keep} == keep  # the caller's session is as it was
+    back = spark.read.parquet(f"{tmpdir_path}/out")
+    want = "\n".join(f"-{r.p_type}" for r in spark.read.parquet(f"{d}/part.parquet").orderBy("p_partkey").collect())
+    assert len(want) > 1 << 20
+    assert [tuple(r) for r in back.groupBy("disease", F.md5("gold_list").alias("h")).count().collect()] == [("Brand#11", _md5(want), 640)]
+    chunks = [g.column(j) for g in _groups(f"{tmpdir_path}/out") for j in range(g.num_columns) if g.column(j).path_in_schema == "gold_list"]
+    assert sum(c.total_uncompressed_size for c in chunks) < 1.1 * len(want) * len(chunks)
+    assert len(chunks) < 100
+
+
 def test_join_gold_is_dealt_finely_and_its_row_groups_are_bounded(spark, tmpdir_path):
     from colloquy.plans.catalog import QUERIES
     from colloquy.session import SHORT_ROWS
@@ -60,3 +88,9 @@ def test_join_gold_is_dealt_finely_and_its_row_groups_are_bounded(spark, tmpdir_
     assert spark.conf.get("parquet.block.row.count.limit", None) is None
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 16 and max(sizes) < 900_000 / 6  # one disease alone is over many tasks
+
+
+def _md5(text: str) -> str:
+    import hashlib
+
+    return hashlib.md5(text.encode()).hexdigest()
